@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, substring, suffixes, toxicity
+from tidemark.llm import packing, pii, substring, suffixes, toxicity
 from tidemark.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return out.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", F.sha2(F.encode("pii.base", "UTF-8"), 256).alias("base_sha256"), "pii.spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
