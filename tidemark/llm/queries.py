@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, packing, pii, substring, suffixes, toxicity
-from tidemark.llm.common import table
+from tidemark.llm import decontam, lshforest, packing, pii, substring, suffixes, toxicity
+from tidemark.llm.common import NULL_ID, table
 
 
 def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class (the smallest doc_id of its group) and its number of links."""
+    found = lshforest.near_duplicates(table(spark, sf_dir, "documents"))
+    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return found.select(null("doc").alias("doc_id"), null("root_doc").alias("class_id"), "n_links")
+
+
 def op3_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
