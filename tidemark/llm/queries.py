@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lshforest, packing, pii, substring, suffixes, toxicity
+from tidemark.llm import ann, decontam, lshforest, packing, pii, substring, suffixes, toxicity, warc
 from tidemark.llm.common import NULL_ID, table
 
 
@@ -43,11 +43,50 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.where(F.size("leaks") > 0).select("doc_id", F.inline("leaks"))
 
 
+def op6_rotated_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's revisit: the earlier page of its URL, and whether that still holds."""
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")), with_payload=False).where("outcome <> 'full'")
+    page = lambda c: F.floor(F.col(c) / 2).cast("long")
+    return found.select(
+        page("record_id").alias("page_id"), F.col("url").alias("canonical_url"), "outcome", page("source_id").alias("source_page_id"),
+        F.element_at("headers", "etag").alias("etag"), F.element_at("headers", "date").alias("date"), F.element_at("headers", "content-type").alias("content_type"),
+    )
+
+
+OP10_SQL = """
+WITH plain AS (
+  SELECT page_id, md5(coalesce(html, '')) AS digest,
+         regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+  FROM pages),
+cut AS (
+  SELECT page_id, digest,
+         regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '') AS host,
+         regexp_replace(substr(u, length(regexp_extract(u, '^[^/?]*')) + 1), '([?&])((utm_[a-z]*|ref|fbclid|gclid)=[^&]*(&|$))+', '\\1', 'g') AS rest
+  FROM plain),
+canon AS (
+  SELECT page_id, digest, host || regexp_replace(regexp_replace(rest, '[?&]+$', ''), '/$', '') AS canonical_url FROM cut),
+earlier AS (
+  SELECT *, lag(page_id) OVER w AS before_id, lag(digest) OVER w AS before_digest
+  FROM canon WINDOW w AS (PARTITION BY canonical_url ORDER BY page_id))
+SELECT page_id, canonical_url,
+       CASE WHEN before_id IS NULL THEN 'unresolved' WHEN before_digest = digest THEN 'resolved' ELSE 'changed' END AS outcome,
+       CASE WHEN before_digest = digest THEN before_id END AS source_page_id,
+       '"' || digest || '"' AS etag, CAST(page_id AS VARCHAR) AS date,
+       CASE WHEN before_digest = digest THEN 'text/html' END AS content_type
+FROM earlier
+"""
+
+
 def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return out.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", F.sha2(F.encode("pii.base", "UTF-8"), 256).alias("base_sha256"), "pii.spans")
@@ -58,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_revisit_resolution": OP10_SQL}
