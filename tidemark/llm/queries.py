@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, lshforest, packing, pii, substring, suffixes, toxicity, warc
+from tidemark.llm import ann, decontam, lshforest, packing, pii, substring, suffixes, template, toxicity, warc
 from tidemark.llm.common import NULL_ID, table
 
 
@@ -53,6 +53,11 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = template.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's revisit: the earlier page of its URL, and whether that still holds."""
     found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")), with_payload=False).where("outcome <> 'full'")
