@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import superkmers as sk
 
-WINDOW, GRAM = 20, 4
+WINDOW, GRAM = 20, 3
 
 
 class _Numbers(dict):
@@ -30,11 +30,8 @@ def _resolver(window: int):
         order = np.lexsort((starts, ties, docs))
         docs, ties, starts = docs[order], ties[order], starts[order].astype(np.int64)
         strings = [strings[i] for i in order]
-        split = [s.split(b" ") for s in strings]
-        size = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = _Numbers()
-        ids = np.fromiter((numbers[w] for s in split for w in s), np.int64, int(size.sum()))
-        del split
+        size = np.fromiter((s.count(b" ") for s in strings), np.int64, len(strings)) + 1
+        ids = np.fromiter(map(_Numbers().__getitem__, b" ".join(strings).split(b" ")), np.int64, int(size.sum()))
         base = np.cumsum(size) - size
         count = size - window + 1
         owner = np.repeat(np.arange(len(strings)), count)

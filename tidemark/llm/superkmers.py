@@ -91,10 +91,10 @@ def runs(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Iterato
 
 
 class Slice:
-    """Texts of one batch as one row of symbols."""
+    """Texts of one batch as one row of symbols; ``cut`` gives the packed strings of runs of symbols."""
 
-    def __init__(self, docs, ties, codes: np.ndarray, ends: np.ndarray, take: Callable[[int, int], bytes]):
-        self.docs, self.ties, self.codes, self.ends, self.take = docs, ties, codes, ends, take
+    def __init__(self, docs, ties, codes: np.ndarray, ends: np.ndarray, cut: Callable[[np.ndarray, np.ndarray], list[bytes]]):
+        self.docs, self.ties, self.codes, self.ends, self.cut = np.array(docs, np.int64), np.array(ties, np.int64), codes, ends, cut
         self.begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
 
@@ -119,7 +119,8 @@ def word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
         code = np.fromiter(map(codes.__getitem__, words), U, len(words))
         joined = b" ".join(words)
         stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        yield Slice(docs, ties, code, np.array(ends, np.int64), lambda a, b, j=joined, s=stop: j[(s[a - 1] + 1 if a else 0) : s[b - 1]])
+        start = np.concatenate([[0], stop[:-1] + 1])
+        yield Slice(docs, ties, code, np.array(ends, np.int64), lambda a, b, j=joined, x=start, y=stop: [j[p:q] for p, q in zip(x[a].tolist(), y[b - 1].tolist(), strict=True)])
 
 
 def byte_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
@@ -127,14 +128,13 @@ def byte_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
         docs, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         texts = [(t.as_py() or "").encode() for t in batch.column(2)]
         joined = b"".join(texts)
-        yield Slice(docs, ties, np.frombuffer(joined, np.uint8).astype(U) + U(1), np.cumsum([len(t) for t in texts]).astype(np.int64), lambda a, b, j=joined: j[a:b])
+        yield Slice(docs, ties, np.frombuffer(joined, np.uint8).astype(U) + U(1), np.cumsum([len(t) for t in texts]).astype(np.int64), lambda a, b, j=joined: [j[p:q] for p, q in zip(a.tolist(), b.tolist(), strict=True)])
 
 
-def packed(docs, ties, starts, strings: list[bytes], marks) -> bytes:
-    n = np.array([len(strings)], "<i8").tobytes()
-    lens = np.array([len(s) for s in strings], "<i4").tobytes()
-    body = n + np.array(docs, "<i8").tobytes() + np.array(ties, "<i4").tobytes() + np.array(starts, "<i4").tobytes() + np.array(marks, "<u8").tobytes() + lens + b"".join(strings)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+def packed(docs, ties, starts, marks, strings: list[bytes]) -> bytes:
+    lens = np.fromiter(map(len, strings), "<i4", len(strings))
+    parts = [np.array([len(strings)], "<i8"), *(np.asarray(x).astype(k) for x, k in ((docs, "<i8"), (ties, "<i4"), (starts, "<i4"), (marks, "<u8"))), lens]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(p.tobytes() for p in parts), *strings]))
 
 
 def unpacked(blob: bytes):
@@ -190,64 +190,27 @@ def windows_repeated(
     hot = np.sort(np.array([r["g"] for r in top if r["g"] != TOTAL and r["n"] >= least], np.int64).view(U))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        rows: list[tuple] = []
-        known: list[tuple] = []
-        held = 0
+        rows, held = Rows(first_stays), 0
         for s in slices(batches):
             for first, last, marks in runs(s.codes, s.ends, window, gram):
-                owner = np.searchsorted(s.ends, first, "right")
-                begin = s.begins[owner]
                 single = np.isin(marks, hot) if len(hot) else np.zeros(len(marks), bool)
-                for k, a, b, m, alone, o, begun in zip(range(len(first)), first.tolist(), last.tolist(), marks.tolist(), single.tolist(), owner.tolist(), begin.tolist(), strict=True):
-                    for x, y in [(i, i) for i in range(a, b + 1)] if alone else [(a, b)]:
-                        string = s.take(x, y + window)
-                        if alone:
-                            m = xxhash.xxh3_64_intdigest(string)
-                        row = (s.docs[o], s.ties[o], x - begun, y - begun)
-                        was = seen.get(string)
-                        if was is None:
-                            seen[string] = len(rows)
-                            rows.append((*row, m, string))
-                            held += len(string) + 300
-                            continue
-                        mine = rows[was]
-                        if first_stays and row[:3] < mine[:3]:
-                            rows[was] = (*row, m, string)
-                            known.append(mine[:4])
-                        elif not first_stays or row[:3] != mine[:3]:
-                            known.append(row)
-                            if not first_stays:
-                                known.append(mine[:4])
+                if single.any():  # each window of a hot minimiser by itself
+                    alone = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[single].tolist(), last[single].tolist(), strict=True)])
+                    held += rows.add(s, alone, alone, window, None)
+                    first, last, marks = first[~single], last[~single], marks[~single]
+                held += rows.add(s, first, last, window, marks)
                 if held > FLUSH:
-                    yield from emit(rows, known)
-                    seen, rows, known, held = {}, [], [], 0
-        yield from emit(rows, known)
-
-    def emit(rows: list[tuple], known: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(r[4] % buckets, []).append(r)
-        out = []
-        for b, own in by.items():
-            d, t, a, _, m, s = zip(*own, strict=True)
-            out.append((b, False, packed(d, t, a, s, m)))
-        if known:
-            d, t, a, b = zip(*joined_spans(*zip(*sorted(set(known)), strict=True)), strict=True)
-            ends = np.array(b, "<i8").tobytes()
-            out.append((rows[0][4] % buckets, True, packed(d, t, a, [ends[i : i + 8] for i in range(0, len(ends), 8)], [0] * len(d))))
-        bucket, is_known, blob = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(is_known, pa.bool_()), pa.array(blob, pa.binary())], names=["bucket", "known", "blob"])
+                    yield from rows.blobs(buckets)
+                    rows, held = Rows(first_stays), 0
+        yield from rows.blobs(buckets)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs = None, []
         for batch in batches:
             for b, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if k:
-                    d, t, a, _, ends = unpacked(blob)
-                    yield span_rows(d, t, a, np.frombuffer(b"".join(ends), "<i8"))
+                    d, t, a, b_, _ = unpacked(blob)
+                    yield span_rows(d, t, a, b_.view("<i8"))
                     continue
                 if b != bucket and blobs:
                     yield from opened(blobs)
@@ -271,6 +234,67 @@ def windows_repeated(
     )
 
 
+class Rows:
+    """Packed strings of one flush, each distinct one once, and the runs of windows that others of the flush repeat."""
+
+    def __init__(self, first_stays: bool):
+        self.first_stays = first_stays
+        self.seen: dict[bytes, int] = {}
+        self.known: list[tuple] = []
+        self.doc, self.tie, self.a, self.b, self.mark = ([] for _ in range(5))
+
+    def add(self, s: Slice, first: np.ndarray, last: np.ndarray, window: int, marks: np.ndarray | None) -> int:
+        """Take runs of windows; about how many bytes they hold."""
+        strings = s.cut(first, last + window)
+        if marks is None:
+            marks = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), U, len(strings))
+        owner = np.searchsorted(s.ends, first, "right")
+        begin = s.begins[owner]
+        seen, n = self.seen, len(self.doc)
+        new = [seen.setdefault(x, n + k) for k, x in enumerate(strings)]
+        cols = (s.docs[owner], s.ties[owner], first - begin, last - begin)
+        at = np.array(new, np.int64)
+        again = np.flatnonzero(at != np.arange(n, n + len(at)))
+        for col, v in zip((self.doc, self.tie, self.a, self.b, self.mark), (*cols, marks), strict=True):
+            col += v.tolist()
+        for k in again.tolist():
+            self.repeat(n + k, new[k])
+        return sum(map(len, strings)) + 200 * len(strings)
+
+    def repeat(self, k: int, was: int) -> None:
+        """Row k has the string of row ``was``; only one of them travels."""
+        mine, theirs = ((self.doc[i], self.tie[i], self.a[i], self.b[i]) for i in (k, was))
+        if not self.first_stays:
+            self.known += [mine, theirs]
+        elif mine[:3] < theirs[:3]:
+            self.known.append(theirs)
+            self.doc[was], self.tie[was], self.a[was], self.b[was] = mine
+        elif mine[:3] != theirs[:3]:
+            self.known.append(mine)
+
+    def blobs(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        if not self.seen:
+            return
+        strings = list(self.seen)
+        at = np.fromiter(self.seen.values(), np.int64, len(strings))
+        doc, tie, start, mark = (np.array(x, k)[at] for x, k in ((self.doc, np.int64), (self.tie, np.int64), (self.a, np.int64), (self.mark, U)))
+        bucket = (mark % U(buckets)).astype(np.int64)
+        if self.first_stays:
+            mark = np.zeros_like(mark)  # of no use to those who sort words
+        order = np.argsort(bucket, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+        out = []
+        for x, y in zip(cuts, cuts[1:]):
+            k = order[x:y]
+            out.append((int(bucket[k[0]]), False, packed(doc[k], tie[k], start[k], mark[k], [strings[i] for i in k.tolist()])))
+        if self.known:
+            d, t, a, b = zip(*joined_spans(*zip(*sorted(set(self.known)), strict=True)), strict=True)
+            out.append((out[0][0], True, packed(d, t, a, np.array(b, np.int64).view(U), [b""] * len(d))))
+        for x in range(0, len(out), 256):
+            b, known, blob = zip(*out[x : x + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(known, pa.bool_()), pa.array(blob, pa.binary())], names=["bucket", "known", "blob"])
+
+
 def span_rows(d, t, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, np.int64)), pa.array(np.asarray(t, np.int32)), pa.array(np.asarray(a, np.int32)), pa.array(np.asarray(b, np.int32))], names=["doc", "tie", "a", "b"])
 
