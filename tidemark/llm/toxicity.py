@@ -37,6 +37,8 @@ class Settings:
     sample: int = 4000
     most_chars: int = 12_000
     epochs: int = 2
+    #: Small samples are gone through more often, until this many steps are made.
+    least_steps: int = 200
     batch_docs: int = 32
     rate: float = 0.01
     seed: int = 11
@@ -215,7 +217,8 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
     adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     slow_w, slow_c = np.full(word.shape, 1e-3, np.float32), np.full(char.shape, 1e-3, np.float32)
     step = 0
-    for epoch in range(s.epochs):
+    epochs = max(s.epochs, -(-s.least_steps * s.batch_docs // max(1, len(fit))))
+    for epoch in range(epochs):
         order = rng.permutation(fit)
         for a in range(0, len(order), s.batch_docs):
             docs = list(order[a : a + s.batch_docs])
@@ -230,7 +233,7 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
             err = (sigmoid(pooled) - y[docs]) / len(docs)
             g, dx = backward(p, kept, (err[owner] * weight).astype(np.float32))
             step += 1
-            rate = s.rate * (1 - epoch / s.epochs * 0.7)
+            rate = s.rate * (1 - epoch / epochs * 0.7)
             for k, v in p.items():
                 m1, m2 = adam[k]
                 m1 += 0.1 * (g[k] - m1)
