@@ -26,7 +26,7 @@ class _Numbers(dict):
 
 
 def _resolver(window: int):
-    def resolve(docs, ties, starts, marks, strings):
+    def resolve(docs, ties, starts, places, strings):
         order = np.lexsort((starts, ties, docs))
         docs, ties, starts = docs[order], ties[order], starts[order].astype(np.int64)
         strings = [strings[i] for i in order]
@@ -91,7 +91,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     place, so neither removes the other's words. Null text has no words. Other
     columns aren't carried.
     """
-    spans = sk.windows_repeated(sk.keyed(docs), sk.word_slices, window, gram, _resolver(window), first_stays=True)
+    own = sk.keyed(docs)
+    spans = sk.windows_repeated(own, sk.word_slices, window, gram, _resolver(window), first_stays=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,4 +110,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 gone.append(len(words) - len(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return sk.with_spans(docs, spans).mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long")
+    return sk.with_spans(own, spans).mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long")

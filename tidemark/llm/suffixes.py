@@ -1,8 +1,8 @@
 """Repeated byte strings, found with a collection Burrows-Wheeler transform.
 
 Windows of ``WINDOW`` bytes reach the bucket of their minimiser in packed
-strings (see ``superkmers``). Strings whose minimiser no other string has can't
-repeat and go at once. The rest of a bucket is indexed column by column: each
+strings (see ``superkmers``). Strings whose minimiser and one side of it no
+other string has can't repeat and go at once. The rest of a bucket is indexed column by column: each
 round inserts one symbol of every string into the transform of the collection,
 from the last column to the first, and updates the common prefixes of the rows
 around each insertion. Rows of the finished index whose common prefix with a
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import superkmers as sk
 
-WINDOW, GRAM = 200, 40
+WINDOW, GRAM = 200, 24
 BATCH = 400_000
 
 
@@ -113,15 +113,38 @@ def least(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def _resolver(window: int):
-    def resolve(docs, ties, starts, marks, strings):
-        _, group, count = np.unique(marks, return_inverse=True, return_counts=True)
+def candidates(strings: list[bytes], places: np.ndarray, window: int, gram: int) -> tuple[list[int], np.ndarray]:
+    """Strings that may hold a window of another, and the number of each one's minimiser.
+
+    Equal windows agree around their minimiser: on half of the rest of a window
+    to its left, or to its right. A string none of whose halves another string
+    of its minimiser has can't repeat.
+    """
+    half = (window - gram) // 2
+    numbers: dict[bytes, int] = {}
+    group = np.empty(len(strings), np.int64)
+    sides: list[tuple] = []
+    count: dict[tuple, int] = {}
+    for i, (s, p) in enumerate(zip(strings, places.tolist(), strict=True)):
+        alone = p == sk.ALONE
+        g = group[i] = numbers.setdefault(s if alone else s[p : p + gram], len(numbers))
+        left = (g, 0, s if alone else s[max(0, p - half) : p])
+        right = (g, 1, s if alone else s[p + gram : p + gram + half])
+        sides.append((left, right))
+        count[left] = count.get(left, 0) + 1
+        count[right] = count.get(right, 0) + 1
+    return [i for i, (a, b) in enumerate(sides) if (count[a] > 1 and len(a[2]) >= half) or (count[b] > 1 and len(b[2]) >= half)], group
+
+
+def _resolver(window: int, gram: int):
+    def resolve(docs, ties, starts, places, strings):
+        may, group = candidates(strings, places, window, gram)
         found: list[tuple] = []
         whole = lambda i: found.append((docs[i], ties[i], starts[i], starts[i] + len(strings[i]) - window))
         same: dict[bytes, int] = {}
         told: set[int] = set()
         by_group: dict[int, list[int]] = {}
-        for i in np.flatnonzero(count[group] > 1).tolist():
+        for i in may:
             k = same.setdefault(strings[i], i)
             if k == i:
                 by_group.setdefault(int(group[i]), []).append(i)
@@ -160,7 +183,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     Null text is empty; other columns aren't carried. Cutting through a
     character can leave bytes that aren't UTF-8, so what is kept is binary.
     """
-    spans = sk.windows_repeated(sk.keyed(docs), sk.byte_slices, window, gram, _resolver(window), first_stays=False)
+    own = sk.keyed(docs)
+    spans = sk.windows_repeated(own, sk.byte_slices, window, gram, _resolver(window, gram), first_stays=False)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,4 +198,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 runs.append(int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return sk.with_spans(docs, spans).mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return sk.with_spans(own, spans).mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")

@@ -32,6 +32,8 @@ CHUNK, FLUSH = 1 << 19, 24 << 20
 #: A minimiser counts as hot from this many packed strings on.
 HOT_LEAST = 4096
 TOTAL = -1
+#: Place of the minimiser of a window that travels by itself: it is of no use there.
+ALONE = 0xFFFF
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,8 +70,8 @@ def minimisers(grams: np.ndarray, w: int) -> np.ndarray:
     return (key & U(0xFFFFFF)).astype(np.int64)
 
 
-def runs(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First window, last window and minimiser of each super-k-mer of concatenated texts.
+def runs(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First window, last window, minimiser and its place (from the first window) of each super-k-mer of concatenated texts.
 
     ``ends`` are the texts' ends in ``codes``. Windows that cross texts take no part.
     """
@@ -87,7 +89,7 @@ def runs(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Iterato
         new = np.r_[True, (pos[at[1:]] != pos[at[:-1]]) | (at[1:] != at[:-1] + 1)]
         first = at[new]
         last = at[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]]
-        yield first + a, last + a, grams[pos[first]]
+        yield first + a, last + a, grams[pos[first]], pos[first] - first
 
 
 class Slice:
@@ -131,17 +133,17 @@ def byte_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
         yield Slice(docs, ties, np.frombuffer(joined, np.uint8).astype(U) + U(1), np.cumsum([len(t) for t in texts]).astype(np.int64), lambda a, b, j=joined: [j[p:q] for p, q in zip(a.tolist(), b.tolist(), strict=True)])
 
 
-def packed(docs, ties, starts, marks, strings: list[bytes]) -> bytes:
+def packed(docs, ties, starts, places, strings: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, strings), "<i4", len(strings))
-    parts = [np.array([len(strings)], "<i8"), *(np.asarray(x).astype(k) for x, k in ((docs, "<i8"), (ties, "<i4"), (starts, "<i4"), (marks, "<u8"))), lens]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(p.tobytes() for p in parts), *strings]))
+    parts = [np.array([len(strings)], "<i8"), *(np.asarray(x).astype(k) for x, k in ((docs, "<i8"), (ties, "<i4"), (starts, "<i4"), (places, "<i4"))), lens]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(p.tobytes() for p in parts), *strings]))
 
 
 def unpacked(blob: bytes):
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     at, out = 8, []
-    for kind, size in (("<i8", 8), ("<i4", 4), ("<i4", 4), ("<u8", 8), ("<i4", 4)):
+    for kind, size in (("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4), ("<i4", 4)):
         out.append(np.frombuffer(raw, kind, n, at))
         at += size * n
     stop = at + np.cumsum(out[4].astype(np.int64))
@@ -165,7 +167,7 @@ def windows_repeated(
     """Runs of repeated windows: doc, tie, a, b (first and last window, by its first symbol).
 
     docs: doc (long), tie (int), text. ``resolve`` gets all packed strings of a
-    bucket (docs, ties, starts, minimisers, strings, known) and yields runs.
+    bucket (docs, ties, starts, minimisers' places, strings) and returns runs.
     ``first_stays``: the first of equal windows isn't a repeat of the others.
     """
     spark = docs.sparkSession
@@ -175,7 +177,7 @@ def windows_repeated(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for s in slices(batches):
-            marks = [m for _, _, m in runs(s.codes, s.ends, window, gram)]
+            marks = [m for _, _, m, _ in runs(s.codes, s.ends, window, gram)]
             if marks:
                 g, n = np.unique(np.concatenate(marks), return_counts=True)
                 total += int(n.sum())
@@ -192,13 +194,13 @@ def windows_repeated(
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = Rows(first_stays), 0
         for s in slices(batches):
-            for first, last, marks in runs(s.codes, s.ends, window, gram):
+            for first, last, marks, places in runs(s.codes, s.ends, window, gram):
                 single = np.isin(marks, hot) if len(hot) else np.zeros(len(marks), bool)
                 if single.any():  # each window of a hot minimiser by itself
                     alone = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[single].tolist(), last[single].tolist(), strict=True)])
-                    held += rows.add(s, alone, alone, window, None)
-                    first, last, marks = first[~single], last[~single], marks[~single]
-                held += rows.add(s, first, last, window, marks)
+                    held += rows.add(s, alone, alone, window, None, np.full(len(alone), ALONE))
+                    first, last, marks, places = first[~single], last[~single], marks[~single], places[~single]
+                held += rows.add(s, first, last, window, marks, places)
                 if held > FLUSH:
                     yield from rows.blobs(buckets)
                     rows, held = Rows(first_stays), 0
@@ -210,7 +212,7 @@ def windows_repeated(
             for b, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if k:
                     d, t, a, b_, _ = unpacked(blob)
-                    yield span_rows(d, t, a, b_.view("<i8"))
+                    yield span_rows(d, t, a, b_)
                     continue
                 if b != bucket and blobs:
                     yield from opened(blobs)
@@ -241,9 +243,9 @@ class Rows:
         self.first_stays = first_stays
         self.seen: dict[bytes, int] = {}
         self.known: list[tuple] = []
-        self.doc, self.tie, self.a, self.b, self.mark = ([] for _ in range(5))
+        self.doc, self.tie, self.a, self.b, self.mark, self.place = ([] for _ in range(6))
 
-    def add(self, s: Slice, first: np.ndarray, last: np.ndarray, window: int, marks: np.ndarray | None) -> int:
+    def add(self, s: Slice, first: np.ndarray, last: np.ndarray, window: int, marks: np.ndarray | None, places: np.ndarray) -> int:
         """Take runs of windows; about how many bytes they hold."""
         strings = s.cut(first, last + window)
         if marks is None:
@@ -255,7 +257,7 @@ class Rows:
         cols = (s.docs[owner], s.ties[owner], first - begin, last - begin)
         at = np.array(new, np.int64)
         again = np.flatnonzero(at != np.arange(n, n + len(at)))
-        for col, v in zip((self.doc, self.tie, self.a, self.b, self.mark), (*cols, marks), strict=True):
+        for col, v in zip((self.doc, self.tie, self.a, self.b, self.mark, self.place), (*cols, marks, places), strict=True):
             col += v.tolist()
         for k in again.tolist():
             self.repeat(n + k, new[k])
@@ -277,19 +279,19 @@ class Rows:
             return
         strings = list(self.seen)
         at = np.fromiter(self.seen.values(), np.int64, len(strings))
-        doc, tie, start, mark = (np.array(x, k)[at] for x, k in ((self.doc, np.int64), (self.tie, np.int64), (self.a, np.int64), (self.mark, U)))
+        doc, tie, start, place, mark = (np.array(x, k)[at] for x, k in ((self.doc, np.int64), (self.tie, np.int64), (self.a, np.int64), (self.place, np.int64), (self.mark, U)))
         bucket = (mark % U(buckets)).astype(np.int64)
         if self.first_stays:
-            mark = np.zeros_like(mark)  # of no use to those who sort words
+            place = np.zeros_like(place)  # of no use to those who sort words
         order = np.argsort(bucket, kind="stable")
         cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
         out = []
         for x, y in zip(cuts, cuts[1:]):
             k = order[x:y]
-            out.append((int(bucket[k[0]]), False, packed(doc[k], tie[k], start[k], mark[k], [strings[i] for i in k.tolist()])))
+            out.append((int(bucket[k[0]]), False, packed(doc[k], tie[k], start[k], place[k], [strings[i] for i in k.tolist()])))
         if self.known:
             d, t, a, b = zip(*joined_spans(*zip(*sorted(set(self.known)), strict=True)), strict=True)
-            out.append((out[0][0], True, packed(d, t, a, np.array(b, np.int64).view(U), [b""] * len(d))))
+            out.append((out[0][0], True, packed(d, t, a, b, [b""] * len(d))))
         for x in range(0, len(out), 256):
             b, known, blob = zip(*out[x : x + 256], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(known, pa.bool_()), pa.array(blob, pa.binary())], names=["bucket", "known", "blob"])
@@ -300,13 +302,18 @@ def span_rows(d, t, a, b) -> pa.RecordBatch:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tie, text of documents: what tells rows apart, nulls made values."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tie"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """doc, tie, text of documents: what tells rows apart, nulls made values.
+
+    The tie is a hash of the text where some id repeats in the table, else 0.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    repeats = docs.select(doc).groupBy("doc").count().where("count > 1").limit(1).count()
+    return docs.select(doc, (F.hash(text) if repeats else F.lit(0)).alias("tie"), text.alias("text"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text, spans (array of first and last window) of every row of ``docs``."""
-    own = keyed(docs)
+def with_spans(own: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, text, spans (array of first and last window) of every row of keyed documents."""
     by_doc = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return own.join(by_doc, ["doc", "tie"], "left").select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "text", "spans")
 
