@@ -1,8 +1,390 @@
-"""Every registered query and, where SQL can express it, its SQL."""
+"""Every registered query: the operators bound to the driver's tables."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalars as s
+from tidemark.functions import text as tx
+from tidemark.operators import compare, dims, frames, levels, rules
+from tidemark.plans.sql import ORACLES as ORACLES
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+c = F.col
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def r(x, digits: int = 4):
+    return s.js_round(x, digits)
+
+
+def event_frames(spark, sf, series: str) -> DataFrame:
+    """series, frame, value of all events, numbered by day so that no series needs one task."""
+    rows = table(spark, sf, "events").select(series, "ts", "event_id", (c("value") / 500.0).alias("value"))
+    return frames.framed(rows, series, ["ts", "event_id"], F.to_date("ts")).select(series, "frame", "value")
+
+
+def components(spark, sf) -> DataFrame:
+    """vec_id, i, v of every component."""
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", c("i").cast("bigint").alias("i"), c("v").cast("double").alias("v"))
+
+
+def stereo(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_suppkey", (c("l_extendedprice") / 100000.0).alias("x"), (c("l_quantity") / 50.0).alias("y"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+def stats(spark, sf) -> DataFrame:
+    k = c("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", (k % 23 - 26.0).alias("integrated"), (k % 12 + 1.0).alias("lra"), (k % 15 + 4.0).alias("crest_db"), ((k % 9) * 0.5 - 4.0).alias("true_peak_db"), (k % 8 - 2.0).alias("bass_db"), (k % 7 - 1.0).alias("presence_db"), (k % 8 - 3.0).alias("treble_db"), ((k % 12) * 0.1 - 0.2).alias("correlation"), (k % 2 + 1).alias("channels"))
+
+
+@query
+def gated_block_level(spark, sf):
+    own = frames.integrated(frames.block_levels(event_frames(spark, sf, "event_type"), "event_type", 16, 4), "event_type")
+    return own.select("event_type", r(c("integrated")).alias("integrated"), "n_blocks")
+
+
+@query
+def loudness_range(spark, sf):
+    own = frames.loudness_range(frames.block_levels(event_frames(spark, sf, "user_id"), "user_id", 8, 2), "user_id")
+    return own.select("user_id", r(c("lra")).alias("lra"), "n_blocks")
+
+
+@query
+def uneven_block_level(spark, sf):
+    return frames.block_levels(event_frames(spark, sf, "user_id"), "user_id", 10, 3).select("user_id", "block_idx", r(c("level")).alias("level"))
+
+
+@query
+def rms_crest_by_series(spark, sf):
+    v = c("value") / 500.0
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), r(levels.rms(v), 6).alias("rms"), r(levels.rms_db(v)).alias("rms_db"), r(levels.peak(v), 6).alias("peak"), r(levels.crest_db(v)).alias("crest_db"), r(F.avg(v), 6).alias("dc"), F.bool_and(v == 0).alias("silent"))
+
+
+@query
+def rms_envelope(spark, sf):
+    f = event_frames(spark, sf, "user_id")
+    return frames.hop_blocks(f, "user_id", 10, 5, {"sq": c("value") * c("value")}).select("user_id", "block_idx", r(F.sqrt(c("sq") / 10), 6).alias("rms"))
+
+
+@query
+def channel_correlation(spark, sf):
+    return stereo(spark, sf).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), r(levels.correlation(c("x"), c("y")), 6).alias("correlation"))
+
+
+@query
+def mono_loss(spark, sf):
+    return stereo(spark, sf).groupBy("l_suppkey").agg(r(levels.mono_loss_db(c("x"), c("y"))).alias("mono_loss_db"))
+
+
+@query
+def mid_side_energy(spark, sf):
+    m, d = levels.mid(c("x"), c("y")), levels.side(c("x"), c("y"))
+    return stereo(spark, sf).groupBy("l_suppkey").agg(r(s.power_db(F.sum(m * m), 1e-20)).alias("mid_db"), r(s.power_db(F.sum(d * d), 1e-20)).alias("side_db"))
+
+
+@query
+def correlation_envelope(spark, sf):
+    f = frames.framed(stereo(spark, sf), "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], F.year("l_shipdate"))
+    own = frames.hop_blocks(f, "l_suppkey", 32, 16, {"xy": c("x") * c("y"), "xx": c("x") * c("x"), "yy": c("y") * c("y")})
+    return own.select("l_suppkey", "block_idx", r(c("xy") / F.sqrt(c("xx") * c("yy")), 6).alias("correlation"))
+
+
+@query
+def sliding_minimum(spark, sf):
+    return frames.sliding_minimum(event_frames(spark, sf, "user_id"), "user_id", 5).select("user_id", "frame", r(c("low"), 6).alias("low"))
+
+
+@query
+def peak_buckets(spark, sf):
+    return frames.peak_buckets(event_frames(spark, sf, "user_id"), "user_id", 8).select("user_id", "bucket", r(c("peak"), 6).alias("peak"))
+
+
+@query
+def waveform_pyramid(spark, sf):
+    return frames.pyramid(event_frames(spark, sf, "user_id"), "user_id", 4, 3).select("user_id", "level", "bucket", r(c("vmin"), 6).alias("vmin"), r(c("vmax"), 6).alias("vmax"))
+
+
+@query
+def tumbling_blocks(spark, sf):
+    return frames.hop_blocks(event_frames(spark, sf, "user_id"), "user_id", 16, 16, {"v": c("value")}).select("user_id", "block_idx", r(c("v") / 16, 6).alias("mean"))
+
+
+@query
+def downsampled_maxima(spark, sf):
+    f = event_frames(spark, sf, "user_id")
+    step = f.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / 20).alias("step"))
+    return f.join(step, "user_id").groupBy("user_id", F.floor(c("frame") / c("step")).alias("point")).agg(r(F.max("value"), 6).alias("value"))
+
+
+@query
+def percentile_range(spark, sf):
+    v = c("value") / 500.0
+    return table(spark, sf, "events").groupBy("user_id").agg(*(r(F.percentile(v, F.lit(p)), 6).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p95", 0.95))))
+
+
+@query
+def clip_runs(spark, sf):
+    return frames.runs(event_frames(spark, sf, "user_id"), "user_id", c("value") >= 0.3)
+
+
+@query
+def beep_sessions(spark, sf):
+    own = frames.bursts(event_frames(spark, sf, "user_id"), "user_id", c("value") > 0.35, 3)
+    return own.groupBy("user_id").agg(F.count_if(c("length") <= 6).alias("beeps"), F.count_if(c("length") > 6).alias("tones"))
+
+
+@query
+def event_sessions(spark, sf):
+    e = table(spark, sf, "events").select("user_id", c("ts").cast("timestamp").alias("ts"))
+    own = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return own.select("user_id", c("w.start").cast("timestamp_ntz").alias("session_start"), c("w.end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@query
+def short_term_levels(spark, sf):
+    e = table(spark, sf, "events").withColumn("v", c("value") / 500.0)
+    own = e.groupBy("event_type", F.window(c("ts").cast("timestamp"), "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), s.block_level(F.avg(c("v") * c("v"))).alias("level"))
+    return own.select("event_type", c("w.start").cast("timestamp_ntz").alias("day"), "n", r(c("level")).alias("level"))
+
+
+@query
+def quantise_16bit(spark, sf):
+    return components(spark, sf).select("vec_id", "i", s.quantise(c("v"), 16).alias("pcm"))
+
+
+@query
+def gain_and_sample_peak(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("y", F.transform("embedding", lambda v: v.cast("double") * 0.5))
+    return e.select("vec_id", r(F.array_max(F.transform("y", F.abs)), 6).alias("peak"), r(F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, v: a + v * v) / F.size("y")), 6).alias("rms"))
+
+
+@query
+def js_round_db(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", r(s.gain_to_db(c("o_totalprice") / 500000.0), 2).alias("level_db"), r(s.db_to_gain(-(c("o_orderkey") % 97).cast("double")), 6).alias("gain"))
+
+
+@query
+def band_smooth_3pt(spark, sf):
+    w = Window.partitionBy("vec_id").orderBy("i")
+    v = c("v")
+    return components(spark, sf).where("i < 8").select("vec_id", "i", r(v * 0.7 + (F.coalesce(F.lag(v).over(w), v) + F.coalesce(F.lead(v).over(w), v)) * 0.15, 6).alias("smooth"))
+
+
+@query
+def hann_smooth(spark, sf):
+    half = 3
+    g = [0.5 - 0.5 * math.cos(2 * math.pi * (k + half + 1) / (2 * half + 2)) for k in range(-half, half + 1)]
+    e = c("embedding")
+    at = lambda i, k: F.element_at(e, F.least(F.greatest(i + k, F.lit(0)), F.size(e) - 1) + 1).cast("double") * g[k + half]
+    smooth = F.transform(F.sequence(F.lit(0), F.size(e) - 1), lambda i: sum((at(i, k) for k in range(-half + 1, half + 1)), at(i, -half)) / sum(g))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(smooth).alias("i", "v")).select("vec_id", c("i").cast("bigint").alias("i"), r(c("v"), 5).alias("smooth"))
+
+
+@query
+def goertzel_dot(spark, sf):
+    """Best of eight tones of each channel by the magnitude of its product with the tone, and how far ahead it is."""
+    e = F.transform("embedding", lambda v: v.cast("double"))
+
+    def magnitude(b):
+        w = 2 * math.pi * b / 64
+        dot = lambda fn: F.aggregate(F.transform("e", lambda v, i: v * fn(i.cast("double") * w)), F.lit(0.0), lambda a, v: a + v)
+        return F.sqrt(F.pow(dot(F.cos), F.lit(2.0)) + F.pow(dot(F.sin), F.lit(2.0))) / 32
+
+    scored = table(spark, sf, "embeddings").select("vec_id", e.alias("e")).select("vec_id", F.reverse(F.array_sort(F.array(*(F.struct(magnitude(b).alias("mag"), F.lit(b).alias("bin")) for b in range(1, 9))))).alias("best"))
+    return scored.select("vec_id", c("best")[0]["bin"].alias("best"), r(c("best")[0]["mag"], 5).alias("magnitude"), r(c("best")[0]["mag"] / c("best")[1]["mag"], 3).alias("confidence"))
+
+
+@query
+def lag_alignment(spark, sf):
+    """Lag within 8 samples at which a vector fits the next one best."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    j = e.join(e.select((c("vec_id") - 1).alias("vec_id"), c("e").alias("o")), "vec_id")
+    n = F.size("e")
+    dot = lambda k: F.aggregate(F.zip_with(F.slice("e", max(0, -k) + 1, n - abs(k)), F.slice("o", max(0, k) + 1, n - abs(k)), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    best = F.array_max(F.array(*(F.struct(F.floor(dot(k) * 1e6 + 0.5).alias("m"), F.lit(-k).alias("k"), dot(k).alias("dot")) for k in range(-8, 9))))
+    return j.select("vec_id", best.alias("b")).select("vec_id", (-c("b.k")).alias("lag"), r(c("b.dot"), 5).alias("dot"))
+
+
+@query
+def limiter_required_gain(spark, sf):
+    pk, ceiling, knee = c("l_extendedprice") / 60000.0, 10 ** (-1.3 / 20), 10 ** (-2.8 / 20)
+    full = ceiling / pk
+    soft = F.least(F.lit(1.0), 1 - (1 - F.least(F.lit(1.0), full)) * s.smoothstep((pk - knee) / (ceiling - knee)))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", r(F.when(pk <= knee, F.lit(1.0)).when(pk >= ceiling, full).otherwise(soft), 6).alias("gain"))
+
+
+@query
+def limiter_statistics(spark, sf):
+    g = F.least(F.lit(1.0), F.lit(40000.0) / c("l_extendedprice"))
+    on = g < 0.9999
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(r(s.gain_to_db(F.min(g))).alias("peak_gr_db"), r(s.gain_to_db(F.coalesce(F.avg(F.when(on, g)), F.lit(1.0)))).alias("avg_gr_db"), r(F.count_if(on) / F.count(F.lit(1))).alias("active"))
+
+
+@query
+def classify_source(spark, sf):
+    return stats(spark, sf).select("c_custkey", rules.source_class().alias("source_class"))
+
+
+@query
+def adapt_params(spark, sf):
+    """A creative preset eased for every source; the number of edits."""
+    preset = {"normalize": True, "targetLUFS": -12.0, "drive": 2.0, "sat": 35.0, "mbLow": 30.0, "mbMid": 22.0, "mbHigh": 18.0, "mbMix": 90.0, "transAttack": 20.0, "transSustain": -10.0, "air": 1.2, "clarity": 1.0, "tilt": 0.5, "harsh": 0.5, "sub": 1.5, "warm": 1.5, "width": 1.35, "bassMono": 80.0, "haas": 6.0, "spread": 0.2, "phaseRot": 0.1, "widthLow": 1.0, "widthMid": 1.2, "widthHigh": 1.4}
+    own = rules.adapt(stats(spark, sf).withColumns({k: F.lit(v) for k, v in preset.items()}))
+    return own.select("c_custkey", "source_class", F.size("edits").alias("n_edits"), *(r(c(k)).alias(k) for k in preset if k not in ("normalize", "targetLUFS")))
+
+
+@query
+def hf_budget(spark, sf):
+    p = table(spark, sf, "part")
+    k = c("p_partkey")
+    match = F.array(*(((k + i) % 7 - 3).cast("double") for i in range(8)))
+    plan = rules.hf_budget((k % 13 - 3) / 2.0, (k % 11) / 10.0, k % 2 == 0, (k % 9 - 2) / 2.0, (k % 5 - 1) / 2.0, match, rules.brightness_factor((k % 21 - 24).cast("double")))
+    return p.select("p_partkey", plan.alias("b")).select("p_partkey", "b.*")
+
+
+@query
+def spatial_laws(spark, sf):
+    k = c("p_partkey")
+    w, b, h, x = (k % 31) / 10.0, (k % 11) / 10.0, (k % 36) * 1.0, (k % 21) / 20.0
+    side = rules.width_side_gain(w)
+    return table(spark, sf, "part").select("p_partkey", r(side, 6).alias("side_gain"), r(rules.cap_side_gain(side, "low"), 6).alias("low_gain"), r(rules.mid_balance_gain(b), 6).alias("mid_gain"), r(rules.haas_width_scale(h), 6).alias("haas_scale"), r(rules.crossfeed_tap_gain(x), 6).alias("crossfeed"), r(rules.side_width_gain(w, F.lit(0.0), F.lit(False), F.lit(0.0), h), 6).alias("side_width"))
+
+
+@query
+def phase_risk(spark, sf):
+    k = c("p_partkey")
+    p = table(spark, sf, "part").select("p_partkey", ((k % 26) / 10.0).alias("width"), ((k % 5) * 60).alias("bassMono"), ((k % 36) * 1.0).alias("haas"), ((k % 11) / 10.0).alias("phaseRot"), ((k % 21) / 10.0 - 1).alias("ms"), ((k % 17) / 10.0).alias("widthLow"))
+    return p.select("p_partkey", rules.phase_risk().alias("x")).select("p_partkey", "x.level", F.size("x.messages").alias("n_messages"))
+
+
+@query
+def memory_class(spark, sf):
+    b = rules.audio_memory(1 + c("o_orderkey") % 24, F.floor(c("o_totalprice") * 100), 8)
+    return table(spark, sf, "orders").select("o_orderkey", b.alias("peak_bytes"), rules.memory_class(b, F.lit(float(1 << 30))).alias("memory_class"))
+
+
+@query
+def top_bottlenecks(spark, sf):
+    own = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(r(F.sum("l_extendedprice"), 2).alias("total"))
+    return own.orderBy(F.desc("total"), "l_returnflag", "l_linestatus").limit(3)
+
+
+@query
+def union_catalog(spark, sf):
+    own = lambda t, col, name: table(spark, sf, t).select(F.lit(name).alias("catalogue"), c(col).alias("name"))
+    return own("nation", "n_name", "nation").unionAll(own("region", "r_name", "region")).unionAll(own("part", "p_brand", "brand").distinct())
+
+
+@query
+def missing_measurements(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders"), c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query
+def present_measurements(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders"), c("o_custkey") == c("c_custkey"), "left_semi").select("c_custkey", "c_name")
+
+
+@query
+def channel_weights(spark, sf):
+    """Weights of a lookup, and a default where there is none."""
+    w = spark.createDataFrame([("EUROPE", 1.41), ("ASIA", 0.0)], "r_name string, weight double")
+    s_ = table(spark, sf, "supplier").join(table(spark, sf, "nation"), c("n_nationkey") == c("s_nationkey")).join(table(spark, sf, "region"), c("r_regionkey") == c("n_regionkey")).join(w, "r_name", "left")
+    return s_.select("s_suppkey", F.coalesce("weight", F.when(c("s_acctbal") < 0, F.lit(0.0)).otherwise(F.lit(1.0))).alias("weight"))
+
+
+@query
+def pcm_compare(spark, sf):
+    e = components(spark, sf).select(c("vec_id").alias("clip"), F.lit(0).alias("channel"), c("i").alias("frame"), c("v").alias("value"))
+    decoded = e.withColumn("value", s.quantise(c("value"), 16) / 32768.0)
+    own = compare.pcm_differences(e, decoded, s.quantisation_tolerance(F.lit(16)))
+    return own.select(c("clip").alias("vec_id"), r(c("max_error"), 7).alias("max_error"), (c("max_error") <= s.quantisation_tolerance(F.lit(16))).alias("ok"))
+
+
+@query
+def delivery_checksums(spark, sf):
+    h = F.sha2(F.encode("text", "UTF-8"), 256)
+    return table(spark, sf, "documents").select("doc_id", h.alias("sha256"), F.concat(h, F.lit("  document_"), c("doc_id").cast("string"), F.lit(".txt")).alias("line"))
+
+
+@query
+def sanitise_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.sanitise_filename(c("url"), fallback="").alias("raw"))
+
+
+@query
+def xml_escape(spark, sf):
+    e = tx.xml_escape(c("html"))
+    return table(spark, sf, "pages").select("page_id", F.md5(F.encode(e, "UTF-8")).alias("digest"), (tx.xml_unescape(e) == c("html")).alias("round_trip"))
+
+
+@query
+def fuzzy_match(spark, sf):
+    return table(spark, sf, "part").where(tx.fuzzy_match("pa1", c("p_name"))).select("p_partkey", "p_name")
+
+
+@query
+def unique_names(spark, sf):
+    k = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))
+    return table(spark, sf, "part").withColumn("k", k).select("p_partkey", F.concat("p_type", F.when(c("k") > 1, F.concat(F.lit(" ("), c("k").cast("string"), F.lit(")"))).otherwise("")).alias("name"))
+
+
+@query
+def timecodes(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", tx.timecode(c("o_totalprice")).alias("timecode"))
+
+
+@query
+def waveform_energy_cube(spark, sf):
+    return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), r(levels.rms(c("l_quantity")), 6).alias("rms"))
+
+
+@query
+def finite_audit(spark, sf):
+    v = c("value")
+    inf = F.abs(v) == float("inf")
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.isnan(v)).alias("nan"), F.count_if(inf).alias("inf"), F.bool_and(~F.isnan(v) & ~inf).alias("ok"))
+
+
+@query
+def normalisation_gain(spark, sf):
+    return stats(spark, sf).select("c_custkey", r(s.normalisation_gain(c("integrated"), F.lit(-14.0))).alias("gain_db"))
+
+
+@query
+def refinement_score(spark, sf):
+    return stats(spark, sf).select("c_custkey", r(s.refinement_score((c("c_custkey") % 9) * 0.1 - 0.4, -c("lra"), -c("crest_db"))).alias("score"))
+
+
+@query
+def band_settings(spark, sf):
+    b = rules.band_settings(c("p_size") * 2.0)
+    return table(spark, sf, "part").select("p_partkey", r(b["threshold"], 6).alias("threshold"), r(b["ratio"], 6).alias("ratio"))
+
+
+@query
+def identification_tones(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", r(F.lit(220.0) * F.pow(F.lit(2.0), (c("s_suppkey") % 24) / 12.0)).alias("hz"))
+
+
+@query
+def as_of_latest_order(spark, sf):
+    """The latest order of each event's user at its time: a union in order of time instead of a range join."""
+    e = table(spark, sf, "events").select(c("user_id").alias("k"), c("ts").cast("timestamp").alias("t"), "event_id", F.lit(None).cast("bigint").alias("o_orderkey"), F.lit(1).alias("kind"))
+    o = table(spark, sf, "orders").select(c("o_custkey").alias("k"), c("o_orderdate").cast("timestamp").alias("t"), F.lit(None).cast("bigint").alias("event_id"), "o_orderkey", F.lit(0).alias("kind"))
+    w = Window.partitionBy("k").orderBy("t", "kind", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    return e.unionAll(o).withColumn("last", F.last("o_orderkey", ignorenulls=True).over(w)).where("kind = 1 and last is not null").select("event_id", c("last").alias("o_orderkey"))

@@ -1,0 +1 @@
+"""Readers and writers of sampled-signal containers, and signal generators."""
