@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
 from tidemark.functions import text as tx
-from tidemark.operators import compare, dims, frames, levels, rules
+from tidemark.operators import clips, compare, dims, frames, kernels, levels, matching, rules
+from tidemark.plans import render
 from tidemark.plans.sql import ORACLES as ORACLES
+from tidemark.sources import containers, signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 c = F.col
@@ -119,7 +121,7 @@ def waveform_pyramid(spark, sf):
 
 @query
 def tumbling_blocks(spark, sf):
-    return frames.hop_blocks(event_frames(spark, sf, "user_id"), "user_id", 16, 16, {"v": c("value")}).select("user_id", "block_idx", r(c("v") / 16, 6).alias("mean"))
+    return frames.hop_blocks(event_frames(spark, sf, "user_id"), "user_id", 16, 16, {"v": c("value")}).select("user_id", "block_idx", r(c("v") / 16, 8).alias("mean"))
 
 
 @query
@@ -291,12 +293,12 @@ def union_catalog(spark, sf):
 
 @query
 def missing_measurements(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 300000"), c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query
 def present_measurements(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), c("o_custkey") == c("c_custkey"), "left_semi").select("c_custkey", "c_name")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 300000"), c("o_custkey") == c("c_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
 @query
@@ -334,7 +336,7 @@ def xml_escape(spark, sf):
 
 @query
 def fuzzy_match(spark, sf):
-    return table(spark, sf, "part").where(tx.fuzzy_match("pa1", c("p_name"))).select("p_partkey", "p_name")
+    return table(spark, sf, "part").where(tx.fuzzy_match("rdg", c("p_name"))).select("p_partkey", "p_name")
 
 
 @query
@@ -388,3 +390,197 @@ def as_of_latest_order(spark, sf):
     o = table(spark, sf, "orders").select(c("o_custkey").alias("k"), c("o_orderdate").cast("timestamp").alias("t"), F.lit(None).cast("bigint").alias("event_id"), "o_orderkey", F.lit(0).alias("kind"))
     w = Window.partitionBy("k").orderBy("t", "kind", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     return e.unionAll(o).withColumn("last", F.last("o_orderkey", ignorenulls=True).over(w)).where("kind = 1 and last is not null").select("event_id", c("last").alias("o_orderkey"))
+
+
+@query
+def layout_report(spark, sf):
+    j = dims.layout_channels(spark).join(dims.speakers(spark), "speaker_id")
+    return j.groupBy("layout_id").agg(F.count(F.lit(1)).alias("n_channels"), F.count_if("lfe").alias("n_lfe"), F.count_if(c("elevation") > 0).alias("n_height"), F.count_if(~c("lfe") & (c("azimuth_adm") > 0)).alias("n_left"), F.count_if(~c("lfe") & (c("azimuth_adm") < 0)).alias("n_right"))
+
+
+@query
+def profile_conformance(spark, sf):
+    k = c("p_partkey")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    renders = table(spark, sf, "part").select(k.alias("render_id"), pick(["stereo-distribution", "film-video", "high-res-archive", "bed-714", "venue-204", "adm-ingest"], k % 6).alias("profile_id"), pick([44100, 48000, 96000], k % 3).alias("sample_rate"), pick([16, 24, 32], k % 3).alias("bit_depth"), pick(["stereo", "7.1.4", "venue"], F.floor(k / 3) % 3).alias("layout"), ((k % 10) * 0.4 - 3.0).alias("true_peak"), (k % 14 - 25.0).alias("integrated"))
+    return dims.conformance(renders, spark)
+
+
+@query
+def compare_measurements(spark, sf):
+    k = c("c_custkey")
+    none = F.lit(None).cast("double")
+    own = lambda kept, i, crest, rms, corr, dc: table(spark, sf, "customer").where(kept).select(k.alias("id"), F.when(k % 2 == 0, "creative").otherwise("reference").alias("class"), F.lit(0).alias("nan"), F.lit(0).alias("inf"), dc.alias("dc"), none.alias("true_peak_db"), i.alias("integrated"), crest.alias("crest_db"), rms.alias("rms_db"), corr.alias("correlation"), none.alias("mono_loss_db"), none.alias("centroid_hz"))
+    base = own(F.lit(True), k % 5 - 14.0, k % 4 + 10.0, k % 3 - 18.0, F.lit(0.9), F.lit(0.0))
+    cand = own(k % 10 != 3, k % 7 - 14.0, F.lit(10.0) - k % 6, k % 5 - 18.0, F.lit(0.9) - (k % 8) * 0.1, F.when(k % 11 == 0, 0.06).otherwise(0.0))
+    return compare.flags(base, cand).select("severity", "kind", "id", "class")
+
+
+@query
+def hf_stack(spark, sf):
+    k = c("p_partkey")
+    plan = rules.hf_budget((k % 13 - 3) / 2.0, (k % 11) / 10.0, k % 2 == 0, (k % 9 - 2) / 2.0, (k % 5 - 1) / 2.0, F.array(*[F.lit(0.0)] * 8), rules.brightness_factor((k % 21 - 24).cast("double")))
+    return table(spark, sf, "part").select("p_partkey", plan.alias("b")).select("p_partkey", "b.engaged", "b.estimate_db", "b.cut_db")
+
+
+@query
+def match_curve(spark, sf):
+    """Each vector's first eight components as bands, matched to the next vector's."""
+    bands = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double") * 10).alias("bands"))
+    pairs = bands.join(bands.select((c("vec_id") - 1).alias("vec_id"), c("bands").alias("reference")), "vec_id")
+    out = pairs.select("vec_id", matching.curve(c("bands"), c("reference")).alias("m"))
+    return out.select("vec_id", c("m.confidence").alias("confidence"), F.posexplode("m.gains").alias("i", "gain_db")).select("vec_id", c("i").cast("bigint").alias("i"), "gain_db", "confidence")
+
+
+@query
+def wav_channel_order(spark, sf):
+    return dims.wav_channel_order(spark)
+
+
+@query
+def delivery_sidecars(spark, sf):
+    return dims.profiles(spark).select("profile_id", F.explode(F.transform("sidecars", lambda x: F.replace(x, F.lit("{base}"), F.lit("programme")))).alias("file"))
+
+
+@query
+def param_coercion(spark, sf):
+    """Settings as text from orders, against the parameter table."""
+    spec = dims.param_spec(spark).where(c("kind") != "array")
+    keys = [x for x, v in dims.defaults().items() if "," not in v]
+    o = table(spark, sf, "orders")
+    key = F.element_at(F.array(*map(F.lit, keys)), (c("o_orderkey") % len(keys) + 1).cast("int"))
+    rows = o.select((c("o_custkey") % 20).alias("set_id"), key.alias("key"), F.when(c("o_orderkey") % 5 == 0, "bad").otherwise((c("o_orderkey") % 301 - 150).cast("string")).alias("value"))
+    return rules.coerce(rows, spec)
+
+
+@query
+def compressor_makeup(spark, sf):
+    p = table(spark, sf, "part")
+    b = rules.band_settings(c("p_size") * 2.0)
+    return p.select("p_partkey", r(rules.makeup_db(b["threshold"], b["knee"], b["ratio"])).alias("makeup_db"))
+
+
+@query
+def measure_clips(spark, sf):
+    """The measurement document of every clip of the signal catalogue."""
+    return clips.each_clip(signals.chunks(spark), clips.measure, clips.MEASURES)
+
+
+@query
+def limit_true_peak(spark, sf):
+    def run(clip, x, rate):
+        y, st = kernels.limit((x * 2).astype("float32"), rate, -1.0)
+        return [{"clip_id": clip, **{k: st[k] for k in ("peak_gr_db", "avg_gr_db", "active", "trim_db", "true_peak_db", "ceiling_respected")}}]
+
+    return clips.each_clip(signals.chunks(spark, ["transient-train", "pink-noise", "clipped-source"]), run, "clip_id string, peak_gr_db double, avg_gr_db double, active double, trim_db double, true_peak_db double, ceiling_respected boolean")
+
+
+@query
+def render_report(spark, sf):
+    return render.render(signals.chunks(spark, ["pink-noise", "multitone"]), render.Job(target=-16.0))
+
+
+@query
+def fingerprint_fft(spark, sf):
+    def run(clip, x, rate):
+        f = kernels.fingerprint(x, rate)
+        return [{"clip_id": clip, "bands_db": f and f["bands_db"], "frames_used": f and f["frames_used"], "frames_rejected": f and f["frames_rejected"]}]
+
+    return clips.each_clip(signals.chunks(spark), run, "clip_id string, bands_db array<double>, frames_used int, frames_rejected int")
+
+
+@query
+def resample(spark, sf):
+    def run(clip, x, rate):
+        y = kernels.resample(x, rate, 44_100)
+        return [{"clip_id": clip, "n_frames": y.shape[1], "peak": float(abs(y).max())}]
+
+    return clips.each_clip(signals.chunks(spark, ["sine-1k", "sine-sweep"]), run, "clip_id string, n_frames bigint, peak double")
+
+
+@query
+def dither_tpdf(spark, sf):
+    def run(clip, x, rate):
+        return [{"clip_id": clip, "mode": m, "error_db": kernels.to_db(float(((kernels.dither(x, m, 16, 7) - x) ** 2).mean() ** 0.5))} for m in ("none", "tpdf", "shaped")]
+
+    return clips.each_clip(signals.chunks(spark, ["sine-1k"]), run, "clip_id string, mode string, error_db double")
+
+
+@query
+def shape_transients(spark, sf):
+    def run(clip, x, rate):
+        y = kernels.shape_transients(x, rate, 60, -20)
+        return [{"clip_id": clip, "peak_before": float(abs(x).max()), "peak_after": float(abs(y).max())}]
+
+    return clips.each_clip(signals.chunks(spark, ["transient-train", "bass-60"]), run, "clip_id string, peak_before double, peak_after double")
+
+
+@query
+def spatial_profiles(spark, sf):
+    def run(clip, x, rate):
+        return [{"clip_id": clip, **kernels.spatial_profile(x[0], x[1], rate)}]
+
+    return clips.each_clip(signals.chunks(spark, ["pink-noise", "correlated", "anti-correlated"]), run, "clip_id string, brightness_air_db double, centre_dominance double, width double, bass_coherence double, ambient_ratio double, onsets_per_s double")
+
+
+@query
+def inspect_containers(spark, sf):
+    """A file of every catalogue clip, written and inspected again: chunk rows."""
+    def run(clip, x, rate):
+        raw = containers.write_wav(x, rate, 24)
+        found = containers.inspect(raw)
+        return [{"clip_id": clip, "idx": i, "id": ch["id"], "offset": ch["offset"], "size": ch["size"], "errors": len(found["errors"]), "sniffed_rate": containers.sniff_rate(raw)} for i, ch in enumerate(found["chunks"])]
+
+    return clips.each_clip(signals.chunks(spark), run, "clip_id string, idx int, id string, offset bigint, size bigint, errors int, sniffed_rate int")
+
+
+@query
+def speaker_feeds(spark, sf):
+    """Levels of a stereo programme's feeds in each standard layout."""
+    from tidemark.operators import immersive
+
+    def run(clip, x, rate):
+        return [{"clip_id": clip, "layout_id": lay, "channel": i, "speaker_id": sp, "rms": float((feed**2).mean() ** 0.5)} for lay in dims.LAYOUTS for i, (sp, feed) in enumerate(immersive.feeds(x, rate, dims.LAYOUTS[lay].split()).items())]
+
+    return clips.each_clip(signals.chunks(spark, ["pink-noise"]), run, "clip_id string, layout_id string, channel int, speaker_id string, rms double")
+
+
+@query
+def identify_channels(spark, sf):
+    """Which tone each channel of the identification signal carries, with a runner-up ratio, and its beeps."""
+    from tidemark.operators import immersive
+
+    rows = spark.createDataFrame([(n,) for n in (2, 6, 8)], "n int").repartition(3, "n")
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame([(n, *x) for n in b["n"] for x in immersive.identify(signals.identification(n), signals.RATE)], columns=["n", "channel", "detected", "confidence", "beeps"])
+
+    return rows.mapInPandas(run, "n int, channel int, detected int, confidence double, beeps int")
+
+
+@query
+def crossover_response(spark, sf):
+    """Worst deviation of the three-band tree's sum from flat, over 512 frequencies, by rate."""
+    import numpy as np
+
+    from tidemark.functions import design
+
+    rates = spark.createDataFrame([(x,) for x in (44100, 48000, 96000)], "rate int")
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for rate in b["rate"]:
+                f = np.geomspace(20, 20_000, 512)
+                bands = design.crossover(140, 3200, rate)
+                total = sum(design.response(bands[k], f, rate) for k in ("low", "mid", "high"))
+                db = 20 * np.log10(np.abs(total))
+                rows.append((rate, float(np.abs(db).max()), float(f[np.abs(db).argmax()])))
+            yield pd.DataFrame(rows, columns=["rate", "worst_db", "worst_hz"])
+
+    return rates.mapInPandas(run, "rate int, worst_db double, worst_hz double")

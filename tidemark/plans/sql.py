@@ -65,7 +65,7 @@ ORACLES: dict[str, str] = {
     "sliding_minimum": USER + f"SELECT user_id, frame, {r('min(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)', 6)} AS low FROM f",
     "peak_buckets": USER + f", n AS (SELECT user_id, greatest(1, CAST(floor(count(*) / 8) AS BIGINT)) AS step FROM f GROUP BY user_id) SELECT user_id, CAST(floor(frame / step) AS BIGINT) AS bucket, {r('max(abs(value))', 6)} AS peak FROM f JOIN n USING (user_id) WHERE floor(frame / step) < 8 GROUP BY ALL",
     "waveform_pyramid": USER + f", a AS (SELECT user_id, CAST(floor(frame / 4) AS BIGINT) AS bucket, min(value) AS vmin, max(nxt) AS vmax FROM (SELECT *, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY frame), value) AS nxt FROM f) GROUP BY ALL), b AS (SELECT user_id, CAST(floor(bucket / 4) AS BIGINT) AS bucket, min(vmin) AS vmin, max(vmax) AS vmax FROM a GROUP BY ALL), c AS (SELECT user_id, CAST(floor(bucket / 4) AS BIGINT) AS bucket, min(vmin) AS vmin, max(vmax) AS vmax FROM b GROUP BY ALL) SELECT user_id, level, bucket, {r('vmin', 6)} AS vmin, {r('vmax', 6)} AS vmax FROM (SELECT *, 0 AS level FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c)",
-    "tumbling_blocks": USER + f"SELECT user_id, CAST(floor(frame / 16) AS BIGINT) AS block_idx, {r('avg(value)', 6)} AS mean FROM f GROUP BY ALL HAVING count(*) = 16",
+    "tumbling_blocks": USER + f"SELECT user_id, CAST(floor(frame / 16) AS BIGINT) AS block_idx, {r('avg(value)', 8)} AS mean FROM f GROUP BY ALL HAVING count(*) = 16",
     "downsampled_maxima": USER + f", n AS (SELECT user_id, CAST(ceil(count(*) / 20) AS BIGINT) AS step FROM f GROUP BY user_id) SELECT user_id, CAST(floor(frame / step) AS BIGINT) AS point, {r('max(value)', 6)} AS value FROM f JOIN n USING (user_id) GROUP BY ALL",
     "percentile_range": USER + f"SELECT user_id, {r('quantile_cont(value, 0.1)', 6)} AS p10, {r('quantile_cont(value, 0.5)', 6)} AS p50, {r('quantile_cont(value, 0.95)', 6)} AS p95 FROM f GROUP BY user_id",
     "clip_runs": USER + ", i AS (SELECT user_id, frame, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS run FROM f WHERE value >= 0.3) SELECT user_id, min(frame) AS start, count(*) AS length FROM i GROUP BY user_id, run",
@@ -87,14 +87,15 @@ ORACLES: dict[str, str] = {
     "memory_class": "WITH o AS (SELECT o_orderkey, (1 + o_orderkey % 24) * CAST(floor(o_totalprice * 100) AS BIGINT) * 8 AS b FROM orders) SELECT o_orderkey, b AS peak_bytes, CASE WHEN b > 1073741824 * 1.25 THEN 'LIKELY UNSAFE' WHEN b > 1073741824 * 0.75 THEN 'VERY HEAVY' WHEN b > 1073741824 * 0.35 THEN 'HEAVY' ELSE 'SAFE' END AS memory_class FROM o",
     "top_bottlenecks": "WITH s AS (SELECT l_returnflag, l_linestatus, " + r("sum(l_extendedprice)", 2) + " AS total FROM lineitem GROUP BY ALL) SELECT * FROM s ORDER BY total DESC, l_returnflag, l_linestatus LIMIT 3",
     "union_catalog": "SELECT 'nation' AS catalogue, n_name AS name FROM nation UNION ALL SELECT 'region', r_name FROM region UNION ALL SELECT 'brand', p_brand FROM (SELECT DISTINCT p_brand FROM part)",
-    "missing_measurements": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "present_measurements": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "missing_measurements": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+    "present_measurements": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "channel_weights": "WITH w(n, weight) AS (VALUES ('EUROPE', 1.41), ('ASIA', 0.0)) SELECT s_suppkey, coalesce(weight, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE 1.0 END)::DOUBLE AS weight FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey LEFT JOIN w ON n = r_name",
     "pcm_compare": f"WITH e AS ({EMB}), q AS (SELECT vec_id, i, v, least(floor(least(greatest(v, -1), 1) * 32768 + 0.5), 32767) / 32768 AS d FROM e) SELECT vec_id, {r('max(abs(v - d))', 7)} AS max_error, max(abs(v - d)) <= 1 / 32768.0 + 1e-7 AS ok FROM q GROUP BY vec_id",
     "delivery_checksums": "SELECT doc_id, sha256(text) AS sha256, sha256(text) || '  document_' || doc_id || '.txt' AS line FROM documents",
-    "sanitise_names": r"SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '[<>:""|?*]', '', 'g'), '\s+', ' ', 'g')), '[. ]+$', '') AS raw FROM pages".replace('""', '"'),
-    "xml_escape": r"SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '""', '&quot;'), '''', '&apos;')) AS digest, html = replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '""', '&quot;'), '''', '&apos;'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&apos;', ''''), '&amp;', '&') AS round_trip FROM pages".replace('""', '"'),
-    "fuzzy_match": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'p.*a.*1', 's')",
+    "sanitise_names": r"""SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '[<>:"|?*]', '', 'g'), '\s+', ' ', 'g')), '[. ]+$', '') AS raw FROM pages""",
+    "xml_escape": r"""WITH e AS (SELECT page_id, html, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS x FROM pages)
+SELECT page_id, md5(x) AS digest, html = replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS round_trip FROM e""",
+    "fuzzy_match": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'r.*d.*g', 's')",
     "unique_names": "WITH n AS (SELECT p_partkey, p_type AS name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, name || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END AS name FROM n",
     "timecodes": "WITH s AS (SELECT o_orderkey, o_totalprice AS s FROM orders) SELECT o_orderkey, lpad(CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(s / 60) AS BIGINT) % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(s) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(CAST(floor((s - floor(s)) * 1e9 + 0.5) AS BIGINT) AS VARCHAR), 9, '0') AS timecode FROM s",
     "waveform_energy_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, " + r("sqrt(avg(l_quantity * l_quantity))", 6) + " AS rms FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
@@ -104,4 +105,37 @@ ORACLES: dict[str, str] = {
     "band_settings": "SELECT p_partkey, " + r("-0.24 * least(p_size * 2.0, 100)", 6) + " AS threshold, " + r("1 + 0.02 * least(p_size * 2.0, 100)", 6) + " AS ratio FROM part",
     "identification_tones": "SELECT s_suppkey, " + r("220 * pow(2, s_suppkey % 24 / 12.0)") + " AS hz FROM supplier",
     "as_of_latest_order": "WITH q AS (SELECT event_id, user_id, ts FROM events) SELECT event_id, o_orderkey FROM (SELECT q.event_id, o.o_orderkey, row_number() OVER (PARTITION BY q.event_id ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS k FROM q JOIN orders o ON o.o_custkey = q.user_id AND o.o_orderdate <= q.ts) WHERE k = 1",
+    "layout_report": """
+WITH sp AS (SELECT * FROM (VALUES {speakers}) t(speaker_id, az, el, mask, lfe)), la AS (SELECT * FROM (VALUES {layouts}) t(layout_id, pos, speaker_id))
+SELECT layout_id, count(*) AS n_channels, count(*) FILTER (lfe = 1) AS n_lfe, count(*) FILTER (el > 0) AS n_height, count(*) FILTER (lfe = 0 AND az > 0) AS n_left, count(*) FILTER (lfe = 0 AND az < 0) AS n_right FROM la JOIN sp USING (speaker_id) GROUP BY layout_id""",
+    "profile_conformance": """
+WITH p AS (SELECT * FROM (VALUES ('stereo-distribution', 24, [44100, 48000], 'stereo', -1.0, -14.0), ('film-video', 24, [48000], 'stereo', -2.0, -23.0), ('high-res-archive', 32, [48000, 88200, 96000, 176400, 192000], 'stereo', NULL, NULL), ('bed-714', 24, [48000, 96000], '7.1.4', -1.0, NULL), ('venue-204', 24, [48000, 96000], 'venue', -1.0, NULL), ('adm-ingest', 24, [48000, 96000], '7.1.4', -1.0, NULL)) t(profile_id, depth, rates, lay, ceil, loud)),
+r AS (SELECT p_partkey AS render_id, ['stereo-distribution', 'film-video', 'high-res-archive', 'bed-714', 'venue-204', 'adm-ingest'][1 + p_partkey % 6] AS profile_id, [44100, 48000, 96000][1 + p_partkey % 3] AS rate, [16, 24, 32][1 + p_partkey % 3] AS bits, ['stereo', '7.1.4', 'venue'][1 + CAST(floor(p_partkey / 3) AS BIGINT) % 3] AS layout, -3.0 + (p_partkey % 10) * 0.4 AS tp, -25.0 + p_partkey % 14 AS lufs FROM part),
+d AS (SELECT render_id, profile_id, concat_ws(',', CASE WHEN NOT list_contains(rates, rate) THEN 'sample rate' END, CASE WHEN bits <> depth THEN 'bit depth' END, CASE WHEN layout <> lay THEN 'layout' END) AS deviations, concat_ws(',', CASE WHEN tp > ceil + 0.05 THEN 'true peak' END, CASE WHEN abs(lufs - loud) > 1 THEN 'loudness' END) AS advisories FROM r JOIN p USING (profile_id))
+SELECT render_id, profile_id, deviations = '' AS conforms, deviations, advisories FROM d""",
+    "compare_measurements": """
+WITH k AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'creative' ELSE 'reference' END AS cls, c_custkey AS k FROM customer),
+b AS (SELECT id, -14.0 + k % 5 AS i, 10.0 + k % 4 AS cr, -18.0 + k % 3 AS rm, 0.9 AS co FROM k), c AS (SELECT id, cls, k, -14.0 + k % 7 AS i, 10.0 - k % 6 AS cr, -18.0 + k % 5 AS rm, 0.9 - (k % 8) * 0.1 AS co FROM k WHERE k % 10 <> 3),
+j AS (SELECT c.*, c.i - b.i AS di, c.cr - b.cr AS dcr, c.rm - b.rm AS drm, c.co - b.co AS dco, CASE WHEN cls = 'reference' THEN 'defect' ELSE 'info' END AS sev, cls = 'creative' AS cv FROM c JOIN b USING (id))
+SELECT sev AS severity, 'loudness-change' AS kind, id, cls AS class FROM j WHERE abs(di) > CASE WHEN cv THEN 3 ELSE 1 END
+UNION ALL SELECT sev, 'crest-collapse', id, cls FROM j WHERE -dcr > CASE WHEN cv THEN 8 ELSE 3 END
+UNION ALL SELECT sev, 'rms-change', id, cls FROM j WHERE abs(drm) > CASE WHEN cv THEN 4 ELSE 1 END
+UNION ALL SELECT sev, 'correlation-collapse', id, cls FROM j WHERE -dco > CASE WHEN cv THEN 0.55 ELSE 0.155 END
+UNION ALL SELECT 'defect', 'dc', id, cls FROM j WHERE k % 11 = 0
+UNION ALL SELECT 'defect', 'missing-measurement', id, cls FROM k WHERE k % 10 = 3""",
+    "hf_stack": "WITH p AS (SELECT p_partkey, greatest((p_partkey % 13 - 3) / 2.0, 0) AS air, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 11) / 10.0 * 1.5 ELSE 0 END AS spread, greatest((p_partkey % 9 - 2) / 2.0, 0) AS clarity, greatest((p_partkey % 5 - 1) / 2.0, 0) AS tilt FROM part), t AS (SELECT *, air + spread + 0.45 * clarity + 0.85 * tilt AS total, greatest(least(((p_partkey % 21 - 24) + 20) / 8.0, 1), 0) AS b FROM p), s AS (SELECT *, total - (4 - 1.25 * b) AS surplus FROM t) SELECT p_partkey, surplus > 0 AND total > 0 AS engaged, " + r("total", 1) + " AS estimate_db, CASE WHEN surplus > 0 THEN least(7, " + r("surplus * 0.65 * (0.5 + 0.5 * least(1, surplus / 1.5))", 1) + ") ELSE 0 END AS cut_db FROM s",
+    "match_curve": f"WITH e AS ({EMB}), p AS (SELECT a.vec_id, a.i, (b.v - a.v) * 10 AS d FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.i = a.i WHERE a.i < 8), m AS (SELECT *, d - avg(d) OVER (PARTITION BY vec_id) AS u FROM p), s AS (SELECT *, u * 0.7 + (coalesce(lag(u) OVER w, u) + coalesce(lead(u) OVER w, u)) * 0.15 AS sm FROM m WINDOW w AS (PARTITION BY vec_id ORDER BY i)), t AS (SELECT *, sm * CASE i WHEN 0 THEN 0.5 WHEN 6 THEN 6.0 / 7 WHEN 7 THEN 2.0 / 7 ELSE 1 END AS ta FROM s), z AS (SELECT *, ta - avg(ta) OVER (PARTITION BY vec_id) AS g FROM t) SELECT vec_id, i, {r('least(greatest(g, -5), 5)', 1)} AS gain_db, {r('greatest(0, least(1, 1 - sqrt(avg(u * u) OVER (PARTITION BY vec_id)) / 12))', 2)} AS confidence FROM z",
 }
+
+
+def _dimension_values() -> tuple[str, str]:
+    from tidemark.operators import dims
+
+    own = [(a, float(b), float(c), int(m, 16), int(f)) for a, b, c, _, m, f in dims._lines(dims.SPEAKERS)]
+    own += [(f"V{k + 1}", *map(float, v.split(":")), 0, int(k >= 20)) for k, v in enumerate(dims.VENUE.split())]
+    layouts = dims.LAYOUTS | {"venue": " ".join(f"V{k + 1}" for k in range(24))}
+    return ", ".join(map(str, own)), ", ".join(str((name, k, sp)) for name, x in layouts.items() for k, sp in enumerate(x.split()))
+
+
+_SPEAKERS, _LAYOUTS = _dimension_values()
+ORACLES["layout_report"] = ORACLES["layout_report"].format(speakers=_SPEAKERS, layouts=_LAYOUTS)

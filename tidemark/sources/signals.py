@@ -10,6 +10,7 @@ from tidemark.functions import design as d
 from tidemark.operators.clips import CHUNKS, chunked
 
 RATE = 48_000
+ARROW = pa.schema([("clip_id", pa.string()), ("channel", pa.int32()), ("chunk_idx", pa.int64()), ("start_frame", pa.int64()), ("frame_count", pa.int32()), ("samples", pa.list_(pa.float32())), ("sample_rate", pa.int32())])
 
 
 def sine(freq: float, seconds: float, amp: float = 0.5, rate: int = RATE) -> np.ndarray:
@@ -105,9 +106,6 @@ def chunks(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
         for b in batches:
             for n in b.column(0).to_pylist():
                 rows = [r | {"sample_rate": RATE} for r in chunked(n, CATALOGUE[n]().astype(np.float32))]
-                from pyspark.sql.pandas.types import to_arrow_schema
-                from pyspark.sql.types import StructType
-
-                yield from pa.Table.from_pylist(rows, schema=to_arrow_schema(StructType.fromDDL(CHUNKS + ", sample_rate int"))).to_batches()
+                yield from pa.Table.from_pylist(rows, schema=ARROW).to_batches()
 
     return clips.mapInArrow(run, CHUNKS + ", sample_rate int")
