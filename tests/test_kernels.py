@@ -110,7 +110,7 @@ def test_fingerprint_mono_and_brightness():
     assert k.fingerprint(np.zeros((2, SR), np.float32), SR) is None
     p = sg.pink(2)
     assert all(b["mono_loss_db"] < -60 for b in k.mono_bands(p, -p, SR)) and all(abs(b["correlation"] - 1) < 1e-6 for b in k.mono_bands(p, p, SR))
-    assert k.brightness(stereo(sg.sine(12_000, 1)), SR) > -1 > -30 > k.brightness(x, SR)
+    assert k.brightness(stereo(sg.sine(12_000, 1)), SR) > -3 > -30 > k.brightness(x, SR)
 
 
 def test_identification():
