@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -553,8 +555,6 @@ def identify_channels(spark, sf):
     rows = spark.createDataFrame([(n,) for n in (2, 6, 8)], "n int").repartition(3, "n")
 
     def run(batches):
-        import pandas as pd
-
         for b in batches:
             yield pd.DataFrame([(n, *x) for n in b["n"] for x in immersive.identify(signals.identification(n), signals.RATE)], columns=["n", "channel", "detected", "confidence", "beeps"])
 
@@ -564,15 +564,11 @@ def identify_channels(spark, sf):
 @query
 def crossover_response(spark, sf):
     """Worst deviation of the three-band tree's sum from flat, over 512 frequencies, by rate."""
-    import numpy as np
-
     from tidemark.functions import design
 
     rates = spark.createDataFrame([(x,) for x in (44100, 48000, 96000)], "rate int")
 
     def run(batches):
-        import pandas as pd
-
         for b in batches:
             rows = []
             for rate in b["rate"]:
@@ -584,3 +580,33 @@ def crossover_response(spark, sf):
             yield pd.DataFrame(rows, columns=["rate", "worst_db", "worst_hz"])
 
     return rates.mapInPandas(run, "rate int, worst_db double, worst_hz double")
+
+
+@query
+def spectral_centroid(spark, sf):
+    """Centre of the power of each vector's spectrum, in bins: an FFT in Arrow batches."""
+    @F.pandas_udf("double")
+    def centroid(e: pd.Series) -> pd.Series:
+        p = np.abs(np.fft.rfft(np.stack(e.to_numpy()).astype(np.float64))) ** 2
+        k = np.arange(p.shape[1])
+        return pd.Series((p[:, 1:] * k[1:]).sum(1) / p[:, 1:].sum(1))
+
+    return table(spark, sf, "embeddings").select("vec_id", r(centroid("embedding"), 5).alias("centroid_bin"))
+
+
+@query
+def filename_durations(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", tx.short_duration(c("o_totalprice")).alias("short"), tx.format_bytes(c("o_totalprice") * 100).alias("size"))
+
+
+@query
+def conversation_turns(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
+
+
+@query
+def requires_stereo(spark, sf):
+    k = c("p_partkey")
+    zero = F.lit(0.0)
+    p = table(spark, sf, "part").select("p_partkey", (k % 3).alias("width"), F.when(k % 5 > 2, 5.0).otherwise(0.0).alias("haas"), (k % 7 == 0).alias("binaural"), *(zero.alias(x) for x in ("ms", "bassMono", "crossfeed", "phaseRot", "spread", "depth", "tape")), *(F.lit(1.0).alias(x) for x in ("widthLow", "widthMid", "widthHigh")))
+    return p.select("p_partkey", rules.requires_stereo().alias("stereo"))

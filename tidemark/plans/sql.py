@@ -52,6 +52,8 @@ concat_ws('+',
   CASE WHEN treble_db > 3 THEN 'bright' END, CASE WHEN bass_db > 4 THEN 'bass-heavy' END, CASE WHEN presence_db > 4 AND treble_db <= 3 THEN 'forward' END)
 """
 
+CLASS_OR_BALANCED = f"CASE WHEN {CLASS} = '' THEN 'balanced' ELSE {CLASS} END"
+
 ORACLES: dict[str, str] = {
     "gated_block_level": levels("event_type", 16, 4) + gate("event_type", -10) + f"SELECT event_type, {r('-0.691 + 10 * log10(avg(pow(10, (level + 0.691) / 10)))')} AS integrated, count(*) AS n_blocks FROM g GROUP BY event_type",
     "loudness_range": levels("user_id", 8, 2) + gate("user_id", -20) + f"SELECT user_id, {r('greatest(0, quantile_cont(level, 0.95) - quantile_cont(level, 0.10))')} AS lra, count(*) AS n_blocks FROM g GROUP BY user_id HAVING count(*) >= 2",
@@ -139,3 +141,38 @@ def _dimension_values() -> tuple[str, str]:
 
 _SPEAKERS, _LAYOUTS = _dimension_values()
 ORACLES["layout_report"] = ORACLES["layout_report"].format(speakers=_SPEAKERS, layouts=_LAYOUTS)
+
+ORACLES["adapt_params"] = f"""
+WITH s AS ({STATS}),
+f AS (SELECT *, integrated >= -11 AS loud, crest_db < 7 OR (lra < 3 AND crest_db < 10) AS dense, treble_db > 3 AS bright, bass_db > 4 AS bassy, correlation < 0.35 AS wide, CASE WHEN correlation < 0.15 THEN 0 ELSE 0.35 END AS k, CASE WHEN correlation < 0.15 THEN 0 ELSE 0.4 END AS kb FROM s),
+g AS (SELECT *, loud OR dense AS a, NOT (loud OR dense) AND crest_db < 10 AS b FROM f),
+h AS (SELECT *, NOT a AND NOT b AND NOT dense AND (crest_db > 14 OR lra > 9) AS d FROM g),
+i AS (SELECT *, NOT a AND NOT b AND NOT d AND integrated >= -14 AS n FROM h),
+j AS (SELECT *, CASE WHEN a AND dense THEN 0.3 WHEN a THEN 0.45 WHEN b THEN 0.6 WHEN d OR n THEN 0.7 END AS mb FROM i),
+p1 AS (
+  SELECT *, CASE WHEN a THEN 0.0 WHEN b OR n THEN 0.5 ELSE 2.0 END AS drive1, CASE WHEN a THEN 9.0 WHEN b OR n THEN 21.0 ELSE 35.0 END AS sat1,
+    CASE WHEN mb IS NULL THEN 30.0 ELSE floor(30 * mb + 0.5) END AS low1, CASE WHEN mb IS NULL THEN 22.0 ELSE floor(22 * mb + 0.5) END AS mid1, CASE WHEN mb IS NULL THEN 18.0 ELSE floor(18 * mb + 0.5) END AS high1,
+    CASE WHEN a THEN 8.0 WHEN b THEN 12.0 ELSE 20.0 END AS ta, CASE WHEN a THEN -4.0 ELSE -10.0 END AS tsus, CASE WHEN d THEN 70.0 ELSE 90.0 END AS mix,
+    CASE WHEN loud THEN 0.5 ELSE 1.2 END AS air1, CASE WHEN loud THEN 0.5 ELSE 1.0 END AS cla1, CASE WHEN loud THEN 0.0 ELSE 0.5 END AS tilt1, CASE WHEN loud THEN 1 + 0.35 * 0.25 ELSE 1.35 END AS w1,
+    CASE WHEN a THEN 7 WHEN b THEN 6 WHEN d THEN 4 WHEN n THEN 5 ELSE 0 END + CASE WHEN loud THEN 4 ELSE 0 END AS n1 FROM j),
+p2 AS (
+  SELECT *, CASE WHEN true_peak_db > -1.5 THEN 0.0 ELSE drive1 END AS drive2, CASE WHEN true_peak_db > -0.3 THEN floor(sat1 * 0.5 + 0.5) ELSE sat1 END AS sat2,
+    CASE WHEN bright THEN 0.0 WHEN presence_db > 4 AND cla1 > 0.5 THEN 0.5 ELSE cla1 END AS cla2, CASE WHEN bright THEN least(air1, 0.5) ELSE air1 END AS air2, CASE WHEN bright THEN 0.0 ELSE tilt1 END AS tilt2, CASE WHEN bright THEN 0.0 ELSE 0.5 END AS harsh2,
+    CASE WHEN bassy AND dense THEN greatest(low1, 18.0) ELSE low1 END AS low2, CASE WHEN bassy AND channels <> 1 THEN 90.0 ELSE 80.0 END AS bass2,
+    n1 + (true_peak_db > -1.5 AND drive1 > 0)::INT + (true_peak_db > -0.3)::INT + CASE WHEN bright THEN 2 + (air1 > 0.5)::INT + (tilt1 > 0)::INT ELSE (presence_db > 4 AND cla1 > 0.5)::INT END
+       + CASE WHEN bassy THEN 2 + (dense AND low1 < 18)::INT + (channels <> 1)::INT ELSE 0 END + CASE WHEN wide THEN 6 ELSE 0 END AS n2 FROM p1)
+SELECT c_custkey, {CLASS_OR_BALANCED} AS source_class, CAST(n2 AS INTEGER) AS n_edits, drive2::DOUBLE AS drive, sat2::DOUBLE AS sat, low2::DOUBLE AS "mbLow", mid1::DOUBLE AS "mbMid", high1::DOUBLE AS "mbHigh", mix::DOUBLE AS "mbMix", ta::DOUBLE AS "transAttack", tsus::DOUBLE AS "transSustain",
+  air2::DOUBLE AS air, cla2::DOUBLE AS clarity, tilt2::DOUBLE AS tilt, harsh2::DOUBLE AS harsh, CASE WHEN bassy THEN 0.8 ELSE 1.5 END::DOUBLE AS sub, CASE WHEN bassy THEN 1.0 ELSE 1.5 END::DOUBLE AS warm, {r('CASE WHEN wide THEN 1 + (w1 - 1) * k ELSE w1 END')} AS width, bass2::DOUBLE AS "bassMono",
+  {r('CASE WHEN wide THEN 6 * k ELSE 6 END')} AS haas, {r('CASE WHEN wide THEN 0.2 * k ELSE 0.2 END')} AS spread, {r('CASE WHEN wide THEN 0.1 * k ELSE 0.1 END')} AS "phaseRot", 1.0::DOUBLE AS "widthLow", {r('CASE WHEN wide THEN 1 + 0.2 * kb ELSE 1.2 END')} AS "widthMid", {r('CASE WHEN wide THEN 1 + 0.4 * kb ELSE 1.4 END')} AS "widthHigh"
+FROM p2"""
+ORACLES["wav_channel_order"] = f"""
+WITH sp AS (SELECT * FROM (VALUES {_SPEAKERS}) t(speaker_id, az, el, bit, lfe)), la AS (SELECT * FROM (VALUES {_LAYOUTS}) t(layout_id, pos, speaker_id)),
+j AS (SELECT layout_id, pos, speaker_id, bit FROM la JOIN sp USING (speaker_id)),
+u AS (SELECT layout_id, layout_id NOT IN ('9.1.6', 'venue') AND min(bit) > 0 AND count(DISTINCT bit) = count(*) AS standard, bit_or(bit) AS bits FROM j GROUP BY layout_id)
+SELECT layout_id, CAST(row_number() OVER (PARTITION BY layout_id ORDER BY CASE WHEN standard THEN bit ELSE pos END) AS INTEGER) AS channel, speaker_id, CAST(CASE WHEN standard THEN bits ELSE 0 END AS INTEGER) AS mask, standard FROM j JOIN u USING (layout_id)"""
+ORACLES["spectral_centroid"] = f"""
+WITH e AS ({EMB}), k AS (SELECT unnest(range(1, 33)) AS bin), m AS (SELECT vec_id, bin, pow(sum(v * cos(2 * pi() * bin * i / 64)), 2) + pow(sum(v * sin(2 * pi() * bin * i / 64)), 2) AS p FROM e CROSS JOIN k GROUP BY ALL)
+SELECT vec_id, {r('sum(p * bin) / sum(p)', 5)} AS centroid_bin FROM m GROUP BY vec_id"""
+ORACLES["filename_durations"] = "SELECT o_orderkey, CAST(CAST(floor(o_totalprice + 0.5) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(o_totalprice + 0.5) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS short, CASE WHEN o_totalprice * 100 < 1048576 THEN CAST(CAST(floor(o_totalprice * 100 / 1024 + 0.5) AS BIGINT) AS VARCHAR) || ' KB' ELSE CASE WHEN o_totalprice * 100 >= 10485760 THEN CAST(CAST(floor(o_totalprice * 100 / 1048576 + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', o_totalprice * 100 / 1048576) END || ' MB' END AS size FROM orders"
+ORACLES["conversation_turns"] = "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, max(turn) AS last_turn FROM conversations GROUP BY conv_id"
+ORACLES["requires_stereo"] = "SELECT p_partkey, (p_partkey % 3) <> 1 OR p_partkey % 5 > 2 OR p_partkey % 7 = 0 AS stereo FROM part"
