@@ -124,3 +124,27 @@ def test_render_leaves_out_neutral_stages():
     assert [n for n, _ in render.stages(render.Job(drive=1, eq=[(100, 2)], width=1.2, saturation=0.3, attack=10), SR)] == ["drive", "tone", "stereo", "saturation", "transients"]
     c = d.saturation_curve(0.5)
     assert abs(c.mean()) < 1e-6 and np.all(np.diff(c) > 0)
+
+
+def test_stages_are_neutral_when_off_and_do_what_they_say():
+    from tidemark.operators import stages as st
+
+    x = np.stack([sg.pink(1), sg.pink(1, seed=9)]).astype(np.float32)
+    assert st.haas(x, SR, 0) is x and st.depth(x, SR, 0) is x and st.tape(x, SR, 0) is x and st.crossfeed(x, SR, 0) is x and st.side_bands(x, SR, 1, 1, 1) is x
+    flat = st.multiband(x, SR, 0, 0, 0)
+    dry = np.stack([k.filtered(c, d.crossover(140, 3200, SR)["dry"]) for c in x])
+    assert np.abs(flat - dry).max() < 1e-4
+    loud = x * 4
+    assert np.abs(st.multiband(loud, SR, 80, 80, 80)).max() < np.abs(loud).max()
+    late = st.haas(x, SR, 10)
+    assert np.array_equal(late[1, 480:], x[1, :-480]) and np.array_equal(late[0], x[0])
+    mono = st.side_bands(x, SR, 0, 0, 0)
+    assert np.abs(mono[0] - mono[1]).max() < 1e-6
+    assert np.array_equal(st.beds(1000, SR, 50, 50, 3), st.beds(1000, SR, 50, 50, 3)) and np.abs(st.beds(SR, SR, 100, 100, 3)).max() < 0.2
+    for y in (st.depth(x, SR, 60), st.depth(x, SR, 60, "large", "clean"), st.tape(x, SR, 50), st.crossfeed(x, SR, 0.8)):
+        assert y.shape == x.shape and np.isfinite(y).all() and np.abs(y).max() < 2
+
+
+def test_normalise_obeys_its_budget():
+    y, got = k.normalise(stereo(sg.bursts(1)), SR, -6.0, -1.0)
+    assert got["reason"] == "budget" and -got["avg_gr_db"] <= 2 and -got["peak_gr_db"] <= 6

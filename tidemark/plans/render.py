@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.functions import design as d
 from tidemark.operators import clips
+from tidemark.operators import stages as st
 from tidemark.operators import kernels as k
 
 
@@ -23,6 +24,23 @@ class Job:
     width: float = 1.0
     bass_mono: float = 0.0
     saturation: float = 0.0
+    #: Compressor amounts of three bands, their mix, ballistics and solo.
+    bands: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    mix: float = 100.0
+    speed: str = "med"
+    solo: str = "none"
+    #: Side width by band, all-pass blend, Haas delay (ms) and side, crossfeed.
+    side_bands: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    phase_blend: float = 0.0
+    haas: float = 0.0
+    haas_side: int = 1
+    crossfeed: float = 0.0
+    tape: float = 0.0
+    hiss: float = 0.0
+    vinyl: float = 0.0
+    depth: float = 0.0
+    depth_size: str = "med"
+    depth_mode: str = "classic"
     attack: float = 0.0
     sustain: float = 0.0
     rate: int | None = None
@@ -41,6 +59,8 @@ def stages(job: Job, rate: int) -> list[tuple[str, object]]:
         cascade += [d.biquad("lowshelf", 650, d.BUTTERWORTH, -job.tilt / 2, rate), d.biquad("highshelf", 650, d.BUTTERWORTH, job.tilt / 2, rate)]
     if cascade:
         out.append(("tone", lambda x: np.stack([k.filtered(c, cascade) for c in x])))
+    if any(job.bands) or job.solo != "none":
+        out.append(("multiband", lambda x: st.multiband(x, rate, *job.bands, job.mix, job.speed, job.solo)))
     if job.width != 1 or job.bass_mono:
 
         def stereo(x):
@@ -52,6 +72,18 @@ def stages(job: Job, rate: int) -> list[tuple[str, object]]:
             return np.stack([m + s, m - s])
 
         out.append(("stereo", stereo))
+    if job.side_bands != (1.0, 1.0, 1.0) or job.phase_blend:
+        out.append(("side bands", lambda x: st.side_bands(x, rate, *job.side_bands, job.phase_blend)))
+    if job.haas > 0:
+        out.append(("haas", lambda x: st.haas(x, rate, job.haas, job.haas_side)))
+    if job.crossfeed > 0:
+        out.append(("crossfeed", lambda x: st.crossfeed(x, rate, job.crossfeed)))
+    if job.tape > 0:
+        out.append(("tape", lambda x: st.tape(x, rate, job.tape)))
+    if job.hiss > 0 or job.vinyl > 0:
+        out.append(("beds", lambda x: x + st.beds(x.shape[1], rate, job.hiss, job.vinyl, job.seed)))
+    if job.depth > 0:
+        out.append(("depth", lambda x: st.depth(x, rate, job.depth, job.depth_size, job.depth_mode)))
     if job.saturation > 0:
         curve = d.saturation_curve(job.saturation)
         grid = np.linspace(-2, 2, len(curve))
