@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID
+from tidemark.llm.common import NULL_ID, checkpointed
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, BITS = 8, 1 << 22
@@ -145,7 +145,7 @@ def disclosing(docs: DataFrame, alpha: float = 0.8, support: int = 5) -> tuple[D
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc", "tie", "entity", "term", "ctx"])
 
-    met = rows.where(suspects(F.col("text"))).mapInArrow(pairs, "doc long, tie long, entity long, term string, ctx long")
+    met = checkpointed(rows.where(suspects(F.col("text"))).mapInArrow(pairs, "doc long, tie long, entity long, term string, ctx long"))
     both = met.groupBy("entity", "term", "ctx").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_ctx"))
     wanted = both.where((F.col("term") != "") & (F.col("n_ctx") >= support))
     on = wanted.select(F.xxhash64("term").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("b")).distinct().collect()  # at most BITS numbers
@@ -155,11 +155,10 @@ def disclosing(docs: DataFrame, alpha: float = 0.8, support: int = 5) -> tuple[D
     held = spark.sparkContext.broadcast(bitmap)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, n_docs, seen = held.value, 0, Counter()
+        bits, seen = held.value, Counter()
         some = bool(bits.any())
         known: dict[str, bool] = {}
         for batch in batches:
-            n_docs += batch.num_rows
             for text in batch.column(0) if some else ():
                 for t in set(TERM.findall(text.as_py().lower())):
                     hit = known.get(t)
@@ -173,16 +172,14 @@ def disclosing(docs: DataFrame, alpha: float = 0.8, support: int = 5) -> tuple[D
             if len(seen) > 100_000:
                 yield _counted(seen)
                 seen = Counter()
-        seen[""] = n_docs
         yield _counted(seen)
 
     n_term = rows.select("text").mapInArrow(counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    # the number of documents is one more row of the counts
-    n_all = n_term.where("term = ''").select(F.col("n_term").alias("n_all"))
+    n_all = F.lit(float(docs.count()))
     n_entity = both.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    scored = wanted.join(n_entity, "entity").join(n_term, "term").join(F.broadcast(n_all))  # n_all is one row
-    content = F.log2(F.col("n_all") / F.col("n_entity"))
-    pmi = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    scored = wanted.join(n_entity, "entity").join(n_term, "term")
+    content = F.log2(n_all / F.col("n_entity"))
+    pmi = F.log2(n_all * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     found = scored.where((content > 0) & (pmi >= alpha * content)).select("entity", "term", pmi.alias("pmi"), content.alias("content"))
     return found, met.where("term = ''").select("doc", "tie", "entity").distinct()
 
