@@ -8,6 +8,7 @@ Hashes only order the sort: equal neighbours are compared word by word.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,38 @@ class _Numbers(dict):
         return n
 
 
-def _resolver(window: int):
+def candidates(strings: list[bytes], places: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Strings that may hold a window of another.
+
+    Equal windows agree on their minimiser and on half of the rest of a window
+    to its left or to its right; a string that shares neither can't repeat.
+    """
+    half = (window - gram) // 2
+    heads = [s if p == sk.ALONE else tuple(s[p:].split(b" ", gram)[:gram]) for s, p in zip(strings, places.tolist(), strict=True)]
+    seen = Counter(heads)
+    count: Counter = Counter()
+    sides: list[tuple] = []
+    for i, h in enumerate(heads):
+        if seen[h] > 1:
+            p = int(places[i])
+            if p == sk.ALONE:
+                left = right = (h, 2)
+            else:
+                before, after = strings[i][:p].rsplit(b" ", half + 1)[-half - 1 : -1], strings[i][p:].split(b" ", gram + half)[gram : gram + half]
+                left, right = (h, 0, *before) if len(before) == half else None, (h, 1, *after) if len(after) == half else None
+            sides.append((i, left, right))
+            count.update(x for x in (left, right) if x)
+    return np.array([i for i, a, b in sides if (a and count[a] > 1) or (b and count[b] > 1)], np.int64)
+
+
+def _resolver(window: int, gram: int):
     def resolve(docs, ties, starts, places, strings):
-        order = np.lexsort((starts, ties, docs))
+        may = candidates(strings, places, window, gram)
+        if not len(may):
+            return [], [], [], []
+        order = may[np.lexsort((starts[may], ties[may], docs[may]))]
         docs, ties, starts = docs[order], ties[order], starts[order].astype(np.int64)
-        strings = [strings[i] for i in order]
+        strings = [strings[i] for i in order.tolist()]
         size = np.fromiter((s.count(b" ") for s in strings), np.int64, len(strings)) + 1
         ids = np.fromiter(map(_Numbers().__getitem__, b" ".join(strings).split(b" ")), np.int64, int(size.sum()))
         base = np.cumsum(size) - size
@@ -92,7 +120,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     columns aren't carried.
     """
     own = sk.keyed(docs)
-    spans = sk.windows_repeated(own, sk.word_slices, window, gram, _resolver(window), first_stays=True)
+    spans = sk.windows_repeated(own, sk.word_slices, window, gram, _resolver(window, gram), first_stays=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

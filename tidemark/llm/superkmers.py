@@ -33,7 +33,7 @@ CHUNK, FLUSH = 1 << 19, 24 << 20
 HOT_LEAST = 4096
 TOTAL = -1
 #: Place of the minimiser of a window that travels by itself: it is of no use there.
-ALONE = 0xFFFF
+ALONE = -1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -93,12 +93,17 @@ def runs(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Iterato
 
 
 class Slice:
-    """Texts of one batch as one row of symbols; ``cut`` gives the packed strings of runs of symbols."""
+    """Texts of one batch as one row of symbols; symbol i is bytes starts[i] to stops[i] of ``joined``."""
 
-    def __init__(self, docs, ties, codes: np.ndarray, ends: np.ndarray, cut: Callable[[np.ndarray, np.ndarray], list[bytes]]):
-        self.docs, self.ties, self.codes, self.ends, self.cut = np.array(docs, np.int64), np.array(ties, np.int64), codes, ends, cut
+    def __init__(self, docs, ties, codes: np.ndarray, ends: np.ndarray, joined: bytes, starts: np.ndarray, stops: np.ndarray):
+        self.docs, self.ties, self.codes, self.ends = np.array(docs, np.int64), np.array(ties, np.int64), codes, ends
+        self.joined, self.starts, self.stops = joined, starts, stops
         self.begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
+    def cut(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """Packed strings of symbols a to b."""
+        return [self.joined[p:q] for p, q in zip(self.starts[a].tolist(), self.stops[b - 1].tolist(), strict=True)]
+
 
 class WordCodes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -122,7 +127,7 @@ def word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
         joined = b" ".join(words)
         stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         start = np.concatenate([[0], stop[:-1] + 1])
-        yield Slice(docs, ties, code, np.array(ends, np.int64), lambda a, b, j=joined, x=start, y=stop: [j[p:q] for p, q in zip(x[a].tolist(), y[b - 1].tolist(), strict=True)])
+        yield Slice(docs, ties, code, np.array(ends, np.int64), joined, start, stop)
 
 
 def byte_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
@@ -130,7 +135,8 @@ def byte_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
         docs, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         texts = [(t.as_py() or "").encode() for t in batch.column(2)]
         joined = b"".join(texts)
-        yield Slice(docs, ties, np.frombuffer(joined, np.uint8).astype(U) + U(1), np.cumsum([len(t) for t in texts]).astype(np.int64), lambda a, b, j=joined: [j[p:q] for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+        at = np.arange(len(joined) + 1)
+        yield Slice(docs, ties, np.frombuffer(joined, np.uint8).astype(U) + U(1), np.cumsum([len(t) for t in texts]).astype(np.int64), joined, at[:-1], at[1:])
 
 
 def packed(docs, ties, starts, places, strings: list[bytes]) -> bytes:
@@ -195,6 +201,7 @@ def windows_repeated(
         rows, held = Rows(first_stays), 0
         for s in slices(batches):
             for first, last, marks, places in runs(s.codes, s.ends, window, gram):
+                places = s.starts[first + places] - s.starts[first]  # in bytes from the string's begin
                 single = np.isin(marks, hot) if len(hot) else np.zeros(len(marks), bool)
                 if single.any():  # each window of a hot minimiser by itself
                     alone = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[single].tolist(), last[single].tolist(), strict=True)])
@@ -281,8 +288,6 @@ class Rows:
         at = np.fromiter(self.seen.values(), np.int64, len(strings))
         doc, tie, start, place, mark = (np.array(x, k)[at] for x, k in ((self.doc, np.int64), (self.tie, np.int64), (self.a, np.int64), (self.place, np.int64), (self.mark, U)))
         bucket = (mark % U(buckets)).astype(np.int64)
-        if self.first_stays:
-            place = np.zeros_like(place)  # of no use to those who sort words
         order = np.argsort(bucket, kind="stable")
         cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
         out = []
