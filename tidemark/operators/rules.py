@@ -54,14 +54,26 @@ def percent(value: Column, factor, low: float = 0.0) -> Column:
 
 
 class Edits:
-    """Ordered edits of parameter columns; each sees what earlier ones made of them."""
+    """Edits of parameter columns in sections: those of one section see what earlier sections made.
+
+    A section is one projection, so plans stay flat. Edits of one key in a
+    section exclude each other.
+    """
 
     def __init__(self, rows: DataFrame):
         self.rows = rows.withColumn("edits", F.array().cast("array<string>"))
+        self.section: list[tuple[str, Column, Column, str]] = []
 
     def put(self, key: str, when: Column, value: Column, why: str) -> None:
-        note = F.concat(F.lit(key + ": "), F.lit(why))
-        self.rows = self.rows.withColumns({"__on": _true(when), "__new": value}).withColumns({"edits": F.when(F.col("__on"), F.concat("edits", F.array(note))).otherwise(F.col("edits")), key: F.when(F.col("__on"), F.col("__new")).otherwise(F.col(key))}).drop("__on", "__new")
+        self.section.append((key, _true(when), value, why))
+
+    def done(self) -> None:
+        values: dict[str, Column] = {}
+        for key, when, value, _ in self.section:
+            values[key] = values[key].when(when, value) if key in values else F.when(when, value)
+        notes = F.filter(F.array(*(F.when(when, F.lit(f"{key}: {why}")) for key, when, _, why in self.section)), lambda x: x.isNotNull())
+        self.rows = self.rows.withColumns({k: v.otherwise(F.col(k)) for k, v in values.items()} | {"edits": F.concat("edits", notes)})
+        self.section = []
 
 
 def adapt(rows: DataFrame) -> DataFrame:
@@ -90,14 +102,15 @@ def adapt(rows: DataFrame) -> DataFrame:
     e.put("transAttack", second & (c("transAttack") != 0), percent(c("transAttack"), 0.6, -100.0), "moderately dense")
     e.put("drive", second & (c("drive") > 0.5), F.lit(0.5), "moderately dense")
     third = ~first & ~second & f["dynamic"]
+    near = ~first & ~second & ~third & c("normalize") & _true(c("integrated") >= c("targetLUFS") - NEAR_TARGET)
     for k in BANDS:
         e.put(k, third & (c(k) > 0), percent(c(k), 0.7), "dynamic")
-    e.put("mbMix", third & (c("mbMix") > 70) & (F.greatest(*BANDS) > 0), F.lit(70.0), "dynamic")
-    near = ~first & ~second & ~third & c("normalize") & _true(c("integrated") >= c("targetLUFS") - NEAR_TARGET)
     for k in BANDS:
         e.put(k, near & (c(k) > 0), percent(c(k), 0.7), "near target")
     e.put("sat", near & (c("sat") > 0), percent(c("sat"), 0.6), "near target")
     e.put("drive", near & (c("drive") > 0.5), F.lit(0.5), "near target")
+    e.done()
+    e.put("mbMix", third & (c("mbMix") > 70) & (F.greatest(*BANDS) > 0), F.lit(70.0), "dynamic")
     e.put("drive", f["hot"] & (c("drive") > 0), F.lit(0.0), "hot peaks")
     e.put("sat", f["very_hot"] & (c("sat") > 0), percent(c("sat"), 0.5), "very hot peaks")
     e.put("clarity", f["bright"] & (c("clarity") > 0), F.lit(0.0), "bright")
@@ -110,12 +123,14 @@ def adapt(rows: DataFrame) -> DataFrame:
     held = F.greatest(c("mbLow"), percent(c("__mbLow"), 0.6))
     e.put("mbLow", f["bassy"] & f["dense"] & (c("mbLow") > 0) & (held != c("mbLow")), held, "held for bass")
     e.put("bassMono", f["bassy"] & (c("bassMono") < 90) & ~_true(c("channels") == 1), F.lit(90.0), "bass-heavy")
+    e.done()
     factor, band = F.when(f["phasey"], 0.0).otherwise(0.35), F.when(f["phasey"], 0.0).otherwise(0.4)
     e.put("width", f["wide"] & (c("width") != 1), 1 + (c("width") - 1) * factor, "wide")
     for k in ("haas", "spread", "phaseRot"):
         e.put(k, f["wide"] & (c(k) > 0), c(k) * factor, "wide")
     for k in ("widthLow", "widthMid", "widthHigh"):
         e.put(k, f["wide"] & (c(k) != 1), 1 + (c(k) - 1) * band, "wide")
+    e.done()
     return e.rows.withColumn("source_class", source_class()).drop("__mbLow")
 
 
