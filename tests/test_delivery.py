@@ -84,3 +84,18 @@ def test_scenes_and_motion(spark):
             assert all(0.3 < v < 1.7 for v in r)
     with pytest.raises(ValueError):
         scene.motion("spin", F.col("p"))
+
+
+def test_packages_presets_and_observation(spark, tmp_path):
+    from tidemark.operators.observe import Recorder
+
+    files = spark.createDataFrame([("p", "a.txt", bytearray(b"1"))], "package string, name string, content binary")
+    own = delivery.package(spark.createDataFrame([("p", 1.0)], "package string, level double"), files, f"{tmp_path}/pkg")
+    assert "a.txt (1 bytes)" in delivery.readme_lines(own).first().text and spark.read.parquet(f"{tmp_path}/pkg/SHA256SUMS").first().text.endswith("  a.txt")
+    text = delivery.serialised_presets(spark.createDataFrame([("x", "N", "d", {"drive": "2"})], "preset_id string, name string, description string, settings map<string,string>"))
+    back = intake.presets(text).first()
+    assert back.name == "N" and back.settings == {"drive": "2"} and back.error is None
+    rec = Recorder()
+    df = rec.watched("rows", spark.range(10).select(F.col("id").cast("double").alias("v")), "v")
+    rec.timed("count", lambda: df.write.format("noop").mode("overwrite").save())
+    assert rec.counts("rows") == {"rows": 10, "finite": 10} and rec.slowest()[0][0] == "count"

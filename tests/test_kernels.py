@@ -148,3 +148,13 @@ def test_stages_are_neutral_when_off_and_do_what_they_say():
 def test_normalise_obeys_its_budget():
     y, got = k.normalise(stereo(sg.bursts(1)), SR, -6.0, -1.0)
     assert got["reason"] == "budget" and -got["avg_gr_db"] <= 2 and -got["peak_gr_db"] <= 6
+
+
+def test_spectra_and_estimates():
+    x = sg.sine(1000, 1) + sg.sine(3000, 1, 0.05)
+    h = k.harmonics(x, SR, 1000)
+    assert h[0] == 0 and abs(h[2] + 20) < 1 and h[1] < -60
+    assert abs(k.spectral_summary(stereo(sg.sine(1000, 1)), SR)["centroid_hz"] - 1000) < 5 and k.spectral_summary(np.zeros((2, 10)), SR) is None
+    y = np.sin(2 * np.pi * np.arange(4800) / 4 + np.pi / 4)
+    assert -0.6 < k.to_db(k.true_peak_estimate(y, SR)) < 0.2 and k.true_peak_estimate(y, SR, 7) <= k.true_peak_estimate(y, SR) + 1e-12
+    assert k.spatial_energy({"L": 1, "R": 1, "Ls": 1, "Ltf": 1, "LFE": 0})["front"] == 50

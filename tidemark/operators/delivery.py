@@ -45,3 +45,30 @@ def regression_report(flags: DataFrame) -> DataFrame:
     """One line of Markdown for each kind of flag, with its count and the first ids."""
     own = flags.groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     return own.select(F.format_string("| %s | %s | %d | %s |", "severity", "kind", "n", F.col("first_id").cast("string")).alias("line"), "severity", "kind", "n")
+
+
+def summaries(reports: DataFrame) -> DataFrame:
+    """One line for each render report: loudness before and after, gain, peak and passes."""
+    level = lambda c: F.coalesce(F.format_string("%.1f", c), F.lit("silent"))
+    return reports.select("clip_id", F.concat_ws(", ", F.concat(level("loudness_before"), F.lit(" to "), level("loudness_after"), F.lit(" LUFS")), F.format_string("gain %.1f dB", "gain_db"), F.format_string("peak %.2f dBTP", "true_peak_db"), F.concat(F.col("passes").cast("string"), F.lit(" passes"))).alias("summary"))
+
+
+def readme_lines(manifests: DataFrame) -> DataFrame:
+    """package, text: a short note for each manifest, a line for each file."""
+    m = manifests.select("package", F.from_json("manifest", "files array<struct<name: string, bytes: bigint, sha256: string>>").alias("m"))
+    lines = F.transform("m.files", lambda f: F.concat(F.lit("- "), f["name"], F.lit(" ("), f["bytes"].cast("string"), F.lit(" bytes)")))
+    return m.select("package", F.concat(F.lit("Delivery "), F.col("package"), F.lit("\n"), F.array_join(F.coalesce(lines, F.array().cast("array<string>")), "\n")).alias("text"))
+
+
+def serialised_presets(presets: DataFrame) -> DataFrame:
+    """preset_id, text: presets (preset_id, name, description, settings) as JSON of schema 3."""
+    head = F.struct(F.lit("preset").alias("format"), F.lit(3).alias("schemaVersion"), F.substring("name", 1, 120).alias("name"), F.substring("description", 1, 500).alias("description"), F.col("settings").alias("parameters"))
+    return presets.select("preset_id", F.to_json(head).alias("text"))
+
+
+def package(renders: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """Writes a folder of manifests, checksum lists and notes, one row of text for each package; returns the manifests."""
+    own = manifests(renders, files)
+    for name, rows in (("manifest", own.select("package", F.col("manifest").alias("text"))), ("SHA256SUMS", checksum_lines(files)), ("README", readme_lines(own))):
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    return own
