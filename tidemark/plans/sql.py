@@ -139,6 +139,24 @@ def _dimension_values() -> tuple[str, str]:
     return ", ".join(map(str, own)), ", ".join(str((name, k, sp)) for name, x in layouts.items() for k, sp in enumerate(x.split()))
 
 
+def _parameter_values() -> tuple[str, str]:
+    from tidemark.operators import dims
+
+    own = [row for row in dims._lines(dims.PARAMETERS) if row[1] != "array"]
+    number = lambda x: "NULL::DOUBLE" if x == "-" else f"{x}::DOUBLE"
+    listed = lambda x: "NULL" if x == "-" else str(x.split(","))
+    rows = ", ".join(f"('{k}', '{kind}', '{d}', {number(a)}, {number(b)}, {listed(ch)})" for k, kind, d, a, b, ch in own)
+    return rows, str([k for k, *_ in own])
+
+
+def _sidecars() -> dict[str, str]:
+    from tidemark.operators import dims
+
+    return dims.SIDECARS
+
+
+_SIDECARS = _sidecars()
+_PARAMETERS, _KEYS = _parameter_values()
 _SPEAKERS, _LAYOUTS = _dimension_values()
 ORACLES["layout_report"] = ORACLES["layout_report"].format(speakers=_SPEAKERS, layouts=_LAYOUTS)
 
@@ -176,3 +194,24 @@ SELECT vec_id, {r('sum(p * bin) / sum(p)', 5)} AS centroid_bin FROM m GROUP BY v
 ORACLES["filename_durations"] = "SELECT o_orderkey, CAST(CAST(floor(o_totalprice + 0.5) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(o_totalprice + 0.5) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS short, CASE WHEN o_totalprice * 100 < 1048576 THEN CAST(CAST(floor(o_totalprice * 100 / 1024 + 0.5) AS BIGINT) AS VARCHAR) || ' KB' ELSE CASE WHEN o_totalprice * 100 >= 10485760 THEN CAST(CAST(floor(o_totalprice * 100 / 1048576 + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', o_totalprice * 100 / 1048576) END || ' MB' END AS size FROM orders"
 ORACLES["conversation_turns"] = "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, max(turn) AS last_turn FROM conversations GROUP BY conv_id"
 ORACLES["requires_stereo"] = "SELECT p_partkey, (p_partkey % 3) <> 1 OR p_partkey % 5 > 2 OR p_partkey % 7 = 0 AS stereo FROM part"
+
+ORACLES["param_coercion"] = f"""
+WITH spec AS (SELECT * FROM (VALUES {_PARAMETERS}) t(key, kind, fallback, low, high, choices)),
+r AS (SELECT o_custkey % 20 AS set_id, ({_KEYS})[1 + o_orderkey % {_KEYS.count(",") + 1}] AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'bad' ELSE CAST(o_orderkey % 301 - 150 AS VARCHAR) END AS value FROM orders),
+own AS (SELECT set_id, key, max(value) AS value FROM r GROUP BY ALL),
+j AS (SELECT k.set_id, spec.*, own.value FROM (SELECT DISTINCT set_id FROM r) k CROSS JOIN spec LEFT JOIN own ON own.set_id = k.set_id AND own.key = spec.key)
+SELECT set_id, key, CASE WHEN kind = 'number' THEN CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN fallback ELSE CAST(least(greatest(try_cast(value AS DOUBLE), low), high) AS VARCHAR) END WHEN list_contains(choices, value) THEN value ELSE fallback END AS value,
+       value IS NULL OR (kind <> 'number' AND NOT coalesce(list_contains(choices, value), false)) AS defaulted
+FROM j"""
+ORACLES["compressor_makeup"] = f"""
+WITH RECURSIVE p AS (SELECT p_partkey, least(p_size * 2.0, 100) AS a FROM part),
+q AS (SELECT p_partkey, -0.24 * a AS t, 1 + 0.02 * a AS ratio, pow(10, -0.24 * a / 20) AS lo_x, pow(10, (-0.24 * a + 12) / 20) AS end_x FROM p),
+it AS (
+  SELECT p_partkey, t, ratio, lo_x, end_x, 0.1::DOUBLE AS lo, 10000::DOUBLE AS hi, 5::DOUBLE AS k, 0 AS n FROM q
+  UNION ALL
+  SELECT p_partkey, t, ratio, lo_x, end_x, lo2, hi2, sqrt(lo2 * hi2), n + 1 FROM (
+    SELECT *, CASE WHEN slope < 1 / ratio THEN lo ELSE k END AS lo2, CASE WHEN slope < 1 / ratio THEN k ELSE hi END AS hi2 FROM (
+      SELECT *, (20 * log10(lo_x + (1 - exp(-k * (end_x * 1.001 - lo_x))) / k) - 20 * log10(lo_x + (1 - exp(-k * (end_x - lo_x))) / k)) / (20 * log10(end_x * 1.001) - 20 * log10(end_x)) AS slope FROM it WHERE n < 15))),
+w AS (SELECT *, CASE WHEN end_x > 1 THEN 20 * log10(CASE WHEN 1 < lo_x THEN 1 ELSE lo_x + (1 - exp(-k * (1 - lo_x))) / k END) ELSE 20 * log10(lo_x + (1 - exp(-k * (end_x - lo_x))) / k) - (t + 12) / ratio END AS whole FROM it WHERE n = 15)
+SELECT p_partkey, CASE WHEN ratio <= 1 THEN 0 ELSE {r('greatest(0, -0.6 * whole)')} END AS makeup_db FROM w"""
+ORACLES["delivery_sidecars"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{f.replace('{base}', 'programme')}')" for k, v in _SIDECARS.items() for f in v.split()) + ") t(profile_id, file)"
