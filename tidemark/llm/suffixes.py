@@ -2,10 +2,10 @@
 
 Windows of ``WINDOW`` bytes reach the bucket of their minimiser in packed
 strings (see ``superkmers``). Strings whose minimiser and one side of it no
-other string has can't repeat and go at once. The rest of a bucket is indexed column by column: each
-round inserts one symbol of every string into the transform of the collection,
-from the last column to the first, and updates the common prefixes of the rows
-around each insertion. Rows of the finished index whose common prefix with a
+other string has can't repeat and go at once. The rest of a bucket is indexed
+column by column: each round inserts one symbol of every string into the
+transform of the collection, from the last column to the first, and updates the
+common prefixes of the rows around each insertion. Rows of the finished index whose common prefix with a
 neighbour reaches ``WINDOW`` are repeated windows.
 
 The transform and the prefixes of one batch (about ``BATCH`` symbols, or one
