@@ -95,3 +95,19 @@ def test_streamed_meters_equal_batch(spark, tmp_path):
     q = meters.peak_hold(stream, "event_type").writeStream.format("memory").queryName("held").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("held").count() >= 5
+
+
+def test_corpus():
+    from tidemark.sources import corpus
+
+    seen = set()
+    for case in corpus.cases():
+        rows = list(pcm.decoded(case.id, case.data))
+        failed = bool(rows and rows[0][-1])
+        assert case.expect == "either" or failed == (case.expect == "reject"), case.id
+        if case.expect == "decode":
+            x, _ = c.read_aiff(case.data) if case.file_name.endswith("aif") else c.read_wav(case.data)
+            assert x.shape == (case.channels, case.frames), case.id
+            assert np.isfinite(x).all() != ("non-finite" in case.notes)
+        seen.add(case.id)
+    assert len(seen) == len(corpus.cases()) > 25
