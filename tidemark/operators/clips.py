@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.operators import kernels as k
 
@@ -30,17 +32,16 @@ def assembled(t: pa.Table) -> tuple[np.ndarray, int]:
 
 def each_clip(chunks: DataFrame, fn: Callable[[str, np.ndarray, int], list[dict]], schema: str) -> DataFrame:
     """Rows that ``fn(clip_id, samples, rate)`` gives for each clip."""
-    from pyspark.sql.types import StructType
-
     target = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(target)
 
     def run(t: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         x, rate = assembled(t)
-        return pa.Table.from_pylist(fn(t.column("clip_id")[0].as_py(), x, rate), schema=to_arrow_schema(target))
+        return pa.Table.from_pylist(fn(t.column("clip_id")[0].as_py(), x, rate), schema=arrow)
 
-    return chunks.groupBy("clip_id").applyInArrow(run, target)
+    # a stated number of partitions: clips are small in bytes but long in work, and would be coalesced into few tasks
+    parts = 4 * chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.repartition(parts, "clip_id").groupBy("clip_id").applyInArrow(run, target)
 
 
 MEASURES = "clip_id string, sample_rate int, channels int, n_frames bigint, integrated double, lra double, max_momentary double, max_short_term double, silent boolean, sample_peak_db double, true_peak_db double, rms_db double, crest_db double, correlation double, brightness_db double, worst_band_lo int, worst_mono_loss_db double"
