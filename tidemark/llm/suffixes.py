@@ -136,6 +136,29 @@ def candidates(strings: list[bytes], places: np.ndarray, window: int, gram: int)
     return [i for i, (a, b) in enumerate(sides) if (count[a] > 1 and len(a[2]) >= half) or (count[b] > 1 and len(b[2]) >= half)], group
 
 
+def shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    a, b = a[:n], b[:n]
+    return n if a == b else n - ((int.from_bytes(a) ^ int.from_bytes(b)).bit_length() + 7) // 8
+
+
+def reaching(own: list[int], strings: list[bytes], places: np.ndarray, window: int) -> list[int]:
+    """Those of one minimiser's strings that, from it, agree with others on a window's length to both sides together.
+
+    The others may differ for the two sides, so this drops none that repeats.
+    """
+    best = dict.fromkeys(own, 0)
+    for left in (False, True):
+        parts = sorted((strings[i][: places[i]][::-1] if left else strings[i][places[i] :], i) for i in own)
+        before = 0
+        for k, (x, i) in enumerate(parts):
+            after = shared(x, parts[k + 1][0]) if k + 1 < len(parts) else 0
+            best[i] += max(before, after)
+            before = after
+    return [i for i in own if best[i] >= window]
+
+
 def _resolver(window: int, gram: int):
     def resolve(docs, ties, starts, places, strings):
         may, group = candidates(strings, places, window, gram)
@@ -155,7 +178,8 @@ def _resolver(window: int, gram: int):
                     whole(k)
         batch: list[int] = []
         held = 0
-        for own in [g for g in by_group.values() if len(g) > 1] + [[]]:
+        groups = [reaching(g, strings, places, window) for g in by_group.values() if len(g) > 1]
+        for own in [g for g in groups if len(g) > 1] + [[]]:
             if batch and (not own or held + sum(len(strings[i]) for i in own) > BATCH):
                 which = np.array(batch)
                 hits = list(Index([strings[i] for i in batch]).repeated(window))
