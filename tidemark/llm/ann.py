@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed
 
-SAMPLE, BLOCK, SIGMAS = 10_000, 4096, 4.0
+SAMPLE, BLOCK, SIGMAS = 10_000, 4096, 3.0
 
 
 def usable(vectors: DataFrame) -> DataFrame:
