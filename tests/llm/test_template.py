@@ -40,5 +40,15 @@ def test_template_of_a_host(spark, tmp_path):
     assert len(got) == len(rows) and all(n == len(t) for _, t, n in got)
 
 
+def test_template_in_articles(spark):
+    page = lambda k: f"<body><p>outside {k}</p><article><h1>title {k}</h1><p>Read more on our front page</p><p>text {'q' * k}</p></article></body>"
+    fixed = lambda k: f"<body><div><p>story {k}</p></div><article><p>Welcome to our site</p></article></body>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(1, 6)] + [(10 + k, f"http://b.example/{k}", fixed(k)) for k in range(5)] + [(20, "http://c.example/", page(7))]
+    got = {r.page_id: r.main_text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "title 3\ntext qqq"  # what a host repeats in its articles is template
+    assert got[12] == "story 2"  # an article that is all template doesn't hide the slots
+    assert got[20] == "title 7\nRead more on our front page\ntext qqqqqqq"
+
+
 def test_empty_table(spark):
     assert template.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

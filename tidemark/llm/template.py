@@ -8,9 +8,10 @@ host's pages ever meet in one task. Tokens of equal vectors on ``SUPPORT`` or mo
 pages make an equivalence class; it is valid if it holds a tag path or the page itself,
 so that it nests. Texts of a valid class are template; what remains are slots.
 
-A page with an article (or main) element takes the blocks in it; other pages
-take their host's remaining slots. Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments are left out in either case.
+Slots decide on every page. Where some of a page's slots stand in an article
+element (or else in a main element), that is evidence that the others aren't main
+text; an article that is all template is none. Menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and comments are left out before.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import partitions
+
 SUPPORT = 3
 #: Fixed values of HTML: elements without content, elements of raw text, elements that open a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -158,10 +161,9 @@ class Page:
                 return
 
     def main(self, template: set[int] | None = None) -> str:
-        """Blocks of the article, else of main, else those that aren't template."""
-        own = [b for b in self.blocks if b[2]] or [b for b in self.blocks if b[3]]
-        if not own:
-            own = [b for b in self.blocks if not template or key(b[0], b[1]) not in template]
+        """Blocks that aren't template: those in an article, else in main, else all."""
+        slots = [b for b in self.blocks if not template or key(b[0], b[1]) not in template]
+        own = [b for b in slots if b[2]] or [b for b in slots if b[3]] or slots
         return "\n".join(t for _, t, _, _ in own)
 
 
@@ -211,10 +213,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.withColumn("__host", host(F.col("url")))
-    # pages with an article don't need a template, nor do they travel for one
-    plain = ~F.lower(source).rlike("<(article|main)[\\s>]")
     slim = own.select(F.col("__host").alias("host"), F.xxhash64(F.coalesce(F.col("url").cast("string"), F.lit("")), source).alias("page"), source.alias("html"))
-    known = templates(slim.where(plain)).withColumnRenamed("host", "__host")
+    known = templates(slim).withColumnRenamed("host", "__host")
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -227,7 +227,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append(Page(s).main(held))
             yield pd.Series(out, dtype=object)
 
-    none = F.lit(None).cast("array<bigint>")
-    alone = own.where(~plain).withColumn("main_text", text(source, none))
-    with_host = own.where(plain).join(known, "__host", "left").withColumn("main_text", text(source, "template"))
-    return alone.select(*pages.columns, "main_text").unionAll(with_host.select(*pages.columns, "main_text"))
+    # pages meet their template by host; hosts that would outgrow a task are dealt over all, each part with a copy of the template
+    n = partitions(pages.sparkSession)
+    sizes = own.groupBy("__host").agg(F.count(F.lit(1)).alias("n"))
+    large = [r[0] for r in sizes.where(F.col("n") > max(1000, own.count() // n)).select("__host").collect()]  # fewer than n hosts
+    is_large = F.col("__host").isin(large)
+    own = own.withColumn("__part", F.when(is_large, F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).otherwise(0))
+    known = known.withColumn("__part", F.explode(F.when(is_large, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
+    return own.join(known, ["__host", "__part"], "left").withColumn("main_text", text(source, "template")).select(*pages.columns, "main_text")
