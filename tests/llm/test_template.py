@@ -50,5 +50,21 @@ def test_template_in_articles(spark):
     assert got[20] == "title 7\nRead more on our front page\ntext qqqqqqq"
 
 
+def test_host_of_copies(spark):
+    plain = "<!-- {} --><body><div><h1>A title</h1><p>the one text of this host</p></div></body>"
+    once = "<body><article><h1>{}</h1><p>said here only</p><ul><li>point</li></ul></article></body>"
+    rows = [(k, f"http://a.example/{k % 2}", plain.format(k % 3)) for k in range(5)] + [(10 + k, f"http://b.example/{k}", once.format("mirror")) for k in range(4)]
+    rows += [(20 + k, f"http://b.example/x{k}", f"<body><article><h1>other {k}</h1><p>text {'q' * k}</p></article></body>") for k in range(5)]
+    got = {r.page_id: r.main_text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "A title\nthe one text of this host" for k in range(5))
+    assert all(got[10 + k] == "mirror\nsaid here only\npoint" for k in range(4)) and got[22] == "other 2\ntext qq"
+
+
+def test_large_host_is_dealt_out(spark):
+    rows = spark.range(1500).selectExpr("id AS page_id", "'http://a.example/' AS url", "concat('<article><h1>title ', id, '</h1><p>Read more</p></article>') AS html")
+    out = template.extract(rows)
+    assert {(r.page_id, r.main_text) for r in out.collect()} == {(k, f"title {k}") for k in range(1500)}
+
+
 def test_empty_table(spark):
     assert template.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

@@ -4,7 +4,8 @@ Pages are read as tokens: tags, and text blocks with the path of elements they
 stand in. For every host, tokens (a path, and for blocks whether their text
 changes) are grouped by their occurrence vector over the host's pages, kept as a
 commutative fingerprint so that it is summed on both sides of a shuffle and no
-host's pages ever meet in one task. Tokens of equal vectors on ``SUPPORT`` or more
+host's pages ever meet in one task. Pages of a host with equal blocks (repeated
+rows, mirrors) count once. Tokens of equal vectors on ``SUPPORT`` or more different
 pages make an equivalence class; it is valid if it holds a tag path or the page itself,
 so that it nests. Texts of a valid class are template; what remains are slots.
 
@@ -177,14 +178,16 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and the texts (path and text) of its template, from all its pages (host, page, html)."""
+    """host and the texts (path and text) of its template, from all its pages (host, html); pages of equal blocks count once."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for name, page, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for name, source in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 seen: dict[tuple[str, str], int] = {("", ""): 1}  # the page itself
-                for path, text, _, _ in Page(source).blocks:
+                blocks = Page(source).blocks
+                page = xxhash.xxh3_128_hexdigest("\x00".join(f"{path}\x00{text}" for path, text, _, _ in blocks))
+                for path, text, _, _ in blocks:
                     for t in ("", text):
                         seen[path, t] = seen.get((path, t), 0) + 1
                 for (path, t), n in seen.items():
@@ -194,7 +197,7 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["host", "path", "token", "is_text", "vector"])
 
     counted = (
-        pages.select("host", "page", "html").mapInArrow(tokens, "host string, path long, token long, is_text boolean, vector long")
+        pages.select("host", "html").mapInArrow(tokens, "host string, path long, token long, is_text boolean, vector long").distinct()
         .groupBy("host", "path", "token", "is_text").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"))
         .where(F.col("pages") >= SUPPORT)
     )
@@ -209,11 +212,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     pages: url and html among other columns. Null html is empty, and so is the
     text where nothing remains; a null url is a host of its own name "". Repeated
-    rows count as pages of their host each.
+    rows and copies under other urls stay rows, but are one page of their host's template.
     """
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.withColumn("__host", host(F.col("url")))
-    slim = own.select(F.col("__host").alias("host"), F.xxhash64(F.coalesce(F.col("url").cast("string"), F.lit("")), source).alias("page"), source.alias("html"))
+    slim = own.select(F.col("__host").alias("host"), source.alias("html"))
     known = templates(slim).withColumnRenamed("host", "__host")
 
     @F.pandas_udf("string")
