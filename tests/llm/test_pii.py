@@ -53,5 +53,18 @@ def test_revealing_terms(spark):
     assert out[None].pii.n_email == 1 and out[301].pii.base == "" and out[301].spans == 1
 
 
+def test_rare_entities(spark):
+    rows = [(i, f"plain words number {i} about other matters with agents and codenames") for i in range(3000)]
+    rows += [(4000, "the codename Nightjar writes to agent@rare.example about matters")]
+    rows += [(4002, " ".join(f"Heron wrote {'k' * (i + 4)} for long@rare.example again {'p' * (i + 4)} and {'filler words ' * 40}" for i in range(6)))]
+    rows += [(5000, "also Heron alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.pii for r in pii.sanitise(df).collect()}
+    assert "Nightjar" not in out[4000].clean and "matters" in out[4000].clean  # an entity met once
+    assert "Heron" not in out[4002].clean  # six contexts in one document
+    assert out[5000].clean == "also  alone" and out[5000].spans == "term:5:10"  # a text without the entity
+    assert all(out[i].clean == rows[i][1] for i in range(3000))
+
+
 def test_empty_table(spark):
     assert pii.sanitise(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -2,14 +2,18 @@
 
 Base spans (email, ip, card, phone) are found in whole texts. Each distinct
 value is a protected entity. Over all documents we count in how many an entity
-occurs, in how many a term occurs, and in how many a term stands within
-``CONTEXT`` words of the entity. A term discloses an entity if their pointwise
-mutual information reaches ``alpha`` of the entity's information content and the
-pair was met in at least ``support`` different contexts (copies of one text are
-one context). Texts that hold the entity have such terms removed as well.
+occurs, in how many a term occurs, in how many a term stands within ``CONTEXT``
+words of the entity, and in how many different contexts it does (each occurrence
+of the entity has its own; equal surroundings, as in copies, are one). Contexts
+are the observations behind the share of a term's documents that name the entity;
+a term discloses the entity if the pointwise mutual information at the lower
+confidence bound of that share (Wilson, ``z``) reaches ``alpha`` of the entity's
+information content. So a rare entity has terms as soon as its content is large
+beside the doubt that few contexts leave. Such terms are removed from every text.
 
 Counts are aggregated on both sides of the shuffle. Term frequencies are only
-gathered for words that hit a fixed-size bitmap (``BITS`` bits) of candidate terms.
+gathered for words that hit a fixed-size bitmap (``BITS`` bits) of candidate terms,
+and texts only ask for terms that hit one of the disclosing terms.
 """
 
 from __future__ import annotations
@@ -125,63 +129,100 @@ def suspects(text: F.Column) -> F.Column:
     return text.rlike("[0-9@]")
 
 
-def disclosing(docs: DataFrame, alpha: float = 0.8, support: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(entity, term) that exceed the threshold, and doc, tie, entity of all occurrences."""
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """BITS bits, of which those of the terms are set; put together on the executors."""
+    b = F.xxhash64("term").bitwiseAND(F.lit(BITS - 1)) + 1
+    own = terms.select(F.bitmap_bucket_number(b).alias("k"), F.bitmap_bit_position(b).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for k, bits in own.collect():  # BITS / 32768 rows at most
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+class Hits(dict):
+    """Whether a term's bit is set."""
+
+    def __init__(self, bits: np.ndarray):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, term: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        k = bit(term)
+        got = self[term] = bool(self.bits[k >> 3] >> (k & 7) & 1)
+        return got
+
+
+def terms_of(text: str) -> set[str]:
+    return {t.lower() for t in TERM.findall(text)}
+
+
+def disclosing(docs: DataFrame, alpha: float = 0.8, z: float = 1.96) -> DataFrame:
+    """(entity, term) that exceed the threshold."""
     spark = docs.sparkSession
     rows = _keyed(docs)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for doc, tie, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                terms: dict[int, dict[str, int]] = {}
-                for e, ctx, own in contexts(text):
-                    mine = terms.setdefault(e, {"": ctx})
-                    for t in own:
-                        mine.setdefault(t, ctx)
-                for e, own in terms.items():
-                    for t, ctx in own.items():
-                        for col, v in zip(cols, (doc, tie, e, t, ctx), strict=True):
+            cols: list[list] = [[] for _ in range(4)]
+            for text in batch.column(0).to_pylist():
+                seen: set[tuple[int, str]] = set()
+                for e, ctx, own in set((e, ctx, frozenset(own)) for e, ctx, own in contexts(text)):
+                    for t in ("", *own):
+                        first = (e, t) not in seen
+                        seen.add((e, t))
+                        for col, v in zip(cols, (e, t, ctx, int(first)), strict=True):
                             col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc", "tie", "entity", "term", "ctx"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["entity", "term", "ctx", "first"])
 
-    met = checkpointed(rows.where(suspects(F.col("text"))).mapInArrow(pairs, "doc long, tie long, entity long, term string, ctx long"))
-    both = met.groupBy("entity", "term", "ctx").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_ctx"))
-    wanted = both.where((F.col("term") != "") & (F.col("n_ctx") >= support))
-    on = wanted.select(F.xxhash64("term").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("b")).distinct().collect()  # at most BITS numbers
-    bitmap = np.zeros(BITS // 8, np.uint8)
-    for (b,) in on:
-        bitmap[b >> 3] |= 1 << (b & 7)
-    held = spark.sparkContext.broadcast(bitmap)
+    met = rows.where(suspects(F.col("text"))).select("text").mapInArrow(pairs, "entity long, term string, ctx long, first long")
+    both = checkpointed(met.groupBy("entity", "term", "ctx").agg(F.sum("first").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_ctx")))
+    n_all = F.lit(float(docs.count()))
+    content = F.log2(n_all / F.col("n_entity"))
+    n_entity = both.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
+    # the bound of a share of one is the most that a pair can reach, however rare its term
+    at_best = F.col("n_ctx") / (F.col("n_ctx") + z * z)
+    wanted = both.where("term <> ''").join(n_entity, "entity").where((content > 0) & (F.log2(n_all * at_best / F.col("n_entity")) >= alpha * content - 1e-9))
+    held = spark.sparkContext.broadcast(_bitmap(wanted))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = held.value, Counter()
-        some = bool(bits.any())
-        known: dict[str, bool] = {}
+        seen, hits = Counter(), Hits(held.value)
+        some = bool(held.value.any())
         for batch in batches:
             for text in batch.column(0) if some else ():
-                for t in set(TERM.findall(text.as_py().lower())):
-                    hit = known.get(t)
-                    if hit is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        k = bit(t)
-                        hit = known[t] = bool(bits[k >> 3] >> (k & 7) & 1)
-                    if hit:
-                        seen[t] += 1
+                seen.update(t for t in terms_of(text.as_py()) if hits[t])
             if len(seen) > 100_000:
                 yield _counted(seen)
                 seen = Counter()
         yield _counted(seen)
 
     n_term = rows.select("text").mapInArrow(counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    n_all = F.lit(float(docs.count()))
-    n_entity = both.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    scored = wanted.join(n_entity, "entity").join(n_term, "term")
-    content = F.log2(n_all / F.col("n_entity"))
-    pmi = F.log2(n_all * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    found = scored.where((content > 0) & (pmi >= alpha * content)).select("entity", "term", pmi.alias("pmi"), content.alias("content"))
-    return found, met.where("term = ''").select("doc", "tie", "entity").distinct()
+    share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
+    m = F.col("n_ctx") / share  # observations of the term, as n_ctx of them are with the entity
+    low = (share + z * z / (2 * m) - z * F.sqrt(share * (1 - share) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    pmi = F.log2(n_all * low / F.col("n_entity"))
+    return wanted.join(n_term, "term").where(pmi >= alpha * content).select("entity", "term", pmi.alias("pmi"), content.alias("content"))
+
+
+def _asked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, tie and the disclosing terms that stand in the text, for all texts that hold some."""
+    held = docs.sparkSession.sparkContext.broadcast(_bitmap(found))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Hits(held.value)
+        some = bool(held.value.any())
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for doc, tie, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if some else ():
+                for t in terms_of(text):
+                    if hits[t]:
+                        for col, v in zip(cols, (doc, tie, t), strict=True):
+                            col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc", "tie", "term"])
+
+    met = _keyed(docs).mapInArrow(words, "doc long, tie long, term string").join(found.select("term").distinct(), "term")
+    return met.groupBy("doc", "tie").agg(F.collect_set("term").alias("__terms"))
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
@@ -221,7 +262,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:] if out else text
 
 
-def sanitise(docs: DataFrame, alpha: float = 0.8, support: int = 5, with_text: bool = True) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = 0.8, z: float = 1.96, with_text: bool = True) -> DataFrame:
     """Every row and column of ``docs`` beside a struct ``pii`` (``RESULT``).
 
     Counts are longs; ``base`` and ``spans`` list kind:start:end in code points;
@@ -229,8 +270,7 @@ def sanitise(docs: DataFrame, alpha: float = 0.8, support: int = 5, with_text: b
     ``with_text``). Repeated rows get the same result; rows whose doc_id repeats
     are told apart by their texts.
     """
-    found, where = disclosing(docs, alpha, support)
-    terms = where.join(found, "entity").groupBy("doc", "tie").agg(F.collect_set("term").alias("__terms"))
+    terms = _asked(docs, checkpointed(disclosing(docs, alpha, z)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     @F.pandas_udf(RESULT)
@@ -239,15 +279,11 @@ def sanitise(docs: DataFrame, alpha: float = 0.8, support: int = 5, with_text: b
             rows = [find(t, set(() if own is None else own), with_text) for t, own in zip(texts, lists, strict=True)]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")])
 
-    may = suspects(text)
-    with_terms = (
-        docs.where(may).withColumns({"__doc": _long("doc_id"), "__tie": F.xxhash64(text)})
+    return (
+        docs.withColumns({"__doc": _long("doc_id"), "__tie": F.xxhash64(text)})
         .join(terms.withColumnsRenamed({"doc": "__doc", "tie": "__tie"}), ["__doc", "__tie"], "left")
-        .withColumn("pii", apply(text, "__terms")).drop("__doc", "__tie", "__terms")
+        .withColumn("pii", apply(text, "__terms")).select(*docs.columns, "pii")
     )
-    zero = F.lit(0).cast("long")
-    nothing = F.struct(*(zero.alias(f"n_{k}") for k in KINDS), F.lit("").alias("base"), F.lit("").alias("spans"), (text if with_text else F.lit(None).cast("string")).alias("clean"))
-    return with_terms.select(*docs.columns, "pii").unionAll(docs.where(~may).select(*docs.columns, nothing.alias("pii")))
 
 
 def digest(spans: str) -> str:
