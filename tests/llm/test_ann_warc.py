@@ -2,7 +2,7 @@ import duckdb
 import numpy as np
 import pytest
 from tidemark.llm import ann, warc
-from tidemark.llm.queries import OP10_SQL, op6_rotated_one_bit_codes, op10_revisit_resolution
+from tidemark.llm.queries import OP10_SQL, op6_rotated_one_bit_codes, op10_revisit_payloads, op10_revisit_resolution
 
 
 def brute(rows, k=10):
@@ -56,6 +56,16 @@ def test_pages_against_sql(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
 
 
+def test_payloads_of_pages(spark, tmp_path):
+    rows = [(1, "http://a.example/x", "one"), (2, "http://www.a.example/x/", "one"), (3, "http://a.example/x", "two"), (4, "http://b.example/", "one"), (5, "http://a.example/x", "two")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.page_id: r for r in op10_revisit_payloads(spark, str(tmp_path)).collect()}
+    assert {k: (r.outcome, r.source_page_id, r.payload) for k, r in out.items()} == {
+        1: ("unresolved", None, None), 2: ("resolved", 1, "one"), 3: ("changed", None, None), 4: ("unresolved", None, None), 5: ("resolved", 3, "two"),
+    }
+    assert out[2].headers == {"etag": out[1].headers["etag"], "date": "2", "content-type": "text/html"}
+
+
 def test_headers_validators_and_payloads(spark):
     h = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
     rows = [

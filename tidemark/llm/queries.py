@@ -68,6 +68,13 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_revisit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole result of op10: every page's revisit with all merged headers and the body of its response."""
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages"))).where("outcome <> 'full'")
+    page = lambda c: F.floor(F.col(c) / 2).cast("long")
+    return found.select(page("record_id").alias("page_id"), F.col("url").alias("canonical_url"), "outcome", page("source_id").alias("source_page_id"), "headers", "payload")
+
+
 OP10_SQL = """
 WITH plain AS (
   SELECT page_id, md5(coalesce(html, '')) AS digest,

@@ -87,8 +87,10 @@ def resolve(records: DataFrame, with_payload: bool = True) -> DataFrame:
     )
     if not with_payload:
         return out
-    bodies = r.groupBy(F.col("record_id").alias("source_id")).agg(F.max("payload").alias("payload"))
-    return out.join(bodies, "source_id", "left")
+    # records without a source are dealt out by their own id, not by one null
+    key = F.when(F.col("source_id").isNotNull(), F.concat(F.lit("s"), F.col("source_id").cast("string"))).otherwise(F.concat(F.lit("r"), F.col("record_id").cast("string")))
+    bodies = r.groupBy("record_id").agg(F.max("payload").alias("payload")).select(F.concat(F.lit("s"), F.col("record_id").cast("string")).alias("__source"), "payload")
+    return out.withColumn("__source", key).join(bodies, "__source", "left").drop("__source")
 
 
 def captures(pages: DataFrame) -> DataFrame:
