@@ -74,3 +74,13 @@ def test_many_shards_and_empty_tables(spark, monkeypatch):
     assert dc.keep_clean(df, bench).count() == 300 - len(hit)
     assert dc.keep_clean(df, bench.limit(0)).count() == 300
     assert dc.keep_clean(df.limit(0), bench).count() == 0
+
+
+def test_shards_find_what_one_index_finds(spark, monkeypatch):
+    items, docs = material()
+    bench = spark.createDataFrame([*items, (700, "short one. ok."), (None, "no id here. none.")], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    told = lambda: {r.doc_id: [(x.item_id, *(round(v, 9) for v in x[1:])) for x in r.leaks] for r in dc.with_leaks(df, bench).collect()}
+    whole = told()
+    monkeypatch.setattr(dc, "SHARD_ITEMS", 20)
+    assert told() == whole and sum(map(len, whole.values())) >= 60

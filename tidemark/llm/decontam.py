@@ -11,7 +11,9 @@ or above it. A hit counts if the item's question (all but its last sentence)
 and its answer (the last sentence) both overlap the passage.
 
 Only the items travel to the workers, in shards of at most ``SHARD_CHARS``
-characters; more items mean more shards, never a larger broadcast.
+characters; more items mean more shards, never a larger broadcast. Number, mean
+length, document frequencies and window are those of all items in every shard, so
+the shards find what one index would.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import checkpointed
+
 SHARD_CHARS, SHARD_ITEMS = 8 << 20, 4096
 BLOCK = 16
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -68,21 +73,34 @@ def shingle_size(words: list[str]) -> int:
     return min(len(words), SHINGLE if len(words) >= LONG else SHORT)
 
 
+@dataclass(frozen=True)
+class Stats:
+    """Items with words, their words, the most words of one, and in how many items each term stands."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """Inverted index of one shard of items."""
+    """Inverted index of one shard of items; ``stats`` are those of all items, if there are others."""
 
-    def __init__(self, items: list[tuple[int, str]], params: Params):
+    def __init__(self, items: list[tuple[int, str]], params: Params, stats: Stats | None = None):
         self.params = params
         kept = [(i, t) for i, t in items if words_of(t)]
         self.ids = [i for i, _ in kept]
         bags = [Counter(words_of(t)) for _, t in kept]
         self.qa = [question_answer(t) for _, t in kept]
-        self.window = 2 * max((sum(b.values()) for b in bags), default=32)
+        if stats is None:
+            sizes = [sum(b.values()) for b in bags]
+            stats = Stats(len(bags), sum(sizes), max(sizes, default=32), Counter(t for b in bags for t in b))
+        self.window = 2 * stats.longest
         self.half = self.window // 2
-        df = Counter(t for b in bags for t in b)
-        mean = sum(sum(b.values()) for b in bags) / max(1, len(bags))
+        mean, total_n = stats.words / max(1, stats.n), stats.n
         n, k1, b = len(bags), params.k1, params.b
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        df = {t: stats.df[t] for b_ in bags for t in b_}
+        idf = {t: math.log(1 + (total_n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.terms = {t: k + 1 for k, t in enumerate(df)}  # 0: not in any item
         postings: list[list[tuple[int, float]]] = [[] for _ in range(len(df) + 1)]
         spare: list[list[tuple[int, float]]] = [[] for _ in range(len(df) + 1)]
@@ -266,17 +284,41 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, params: Params | None = No
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n = shards(items)
     found = F.array().cast(LEAK)
+    own_stats = _stats(items, n) if n > 1 else lambda k: None
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # one shard: about SHARD_ITEMS rows
-        held = docs.sparkSession.sparkContext.broadcast(sorted(((-1 if i is None else i), t) for i, t in own))
+        held = docs.sparkSession.sparkContext.broadcast((sorted(((-1 if i is None else i), t) for i, t in own), own_stats(k)))
         found = F.concat(found, _lookup(held, params)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    if n > 1:
+        found = F.array_sort(found)
     return docs.withColumn(out, found)
 
 
+def _stats(items: DataFrame, n: int) -> Callable[[int], Stats]:
+    """Stats of all items for a shard, with the frequencies of its own terms."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                for t in {*words, ""} if words else ():  # "" stands for the item
+                    for col, v in zip(cols, (shard, t, 0 if t else len(words)), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["shard", "term", "size"])
+
+    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("long").alias("shard")
+    met = items.select(shard, "text").mapInArrow(terms, "shard long, term string, size long")
+    counted = checkpointed(met.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.max("size").alias("longest")))
+    count, words, longest = counted.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("longest"), F.lit(32))).first()
+    df = counted.groupBy("term").agg(F.sum("n").alias("df"))
+    return lambda k: Stats(count, words, longest, dict(map(tuple, counted.where((F.col("shard") == k) & (F.col("term") != "")).join(df, "term").select("term", "df").collect())))
+
+
 def _lookup(held, params: Params):
     @F.pandas_udf(LEAK)
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(held.value, params)
+        index = Index(held.value[0], params, held.value[1])
         codes = Codes(index.terms)
         for batch in batches:
             texts = list(batch)
