@@ -5,14 +5,13 @@ import pytest
 from tidemark.llm import packing
 from tidemark.llm.queries import op1_power_of_two_packing
 
-TEXTS = ["", None, "Hello world", "two  spaces and\ttab \nnew  ", " lead", "trail ", "don't STOP here 漢字 123 <|endoftext|> x", "a " * 5000, "word" * 9000, "\n\n a \n b", "x y  z", "it's they'll 's  's"]
+TEXTS = ["", None, "Hello world", "two  spaces and\ttab \nnew  ", " lead", "trail ", "don't STOP here 漢字 123 <|endoftext|> x", "a " * 5000, "word" * 9000, "\n\n a \n b", "x y  z", "it's they'll 's  's", "<|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|>  <|endoftext|>b <|endoftext|"]
 
 
 def plain(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_files()[0])
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -23,6 +22,11 @@ def test_ids_are_those_of_tokenizers(spark):
         assert np.frombuffer(fast.packed(t or ""), "<u4").tolist() + [1] == plain(t)
 
 
+def test_added_tokens_keep_their_id():
+    fast = packing.Encoder(*packing.tokenizer_files())
+    assert np.frombuffer(fast.packed("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(i, t, 3) for i, t in enumerate(TEXTS)] + [(2, TEXTS[2], 3), (None, "no id", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start int")

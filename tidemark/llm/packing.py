@@ -13,6 +13,7 @@ that is emptied at ``CACHE`` entries.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -57,12 +58,17 @@ class WordIds(dict):
 class Encoder:
     """Ids as ``tokenizers`` gives them with add_special_tokens=False.
 
-    Strings of special tokens in a text are ordinary text. With ``ranks_path``,
-    the same vocabulary as ranks, words are encoded by the faster library; the
-    ids are the same.
+    Texts that hold the string of an added token go through ``tokenizers`` whole,
+    as it gives that string its own id. With ``ranks_path``, the same vocabulary
+    as ranks, all other words are encoded by the faster library; the ids are the same.
     """
 
     def __init__(self, json_path: str, ranks_path: str | None):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(json_path)
+        self.whole = lambda text: whole.encode(text, add_special_tokens=False).ids
+        self.added = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)")
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -71,17 +77,15 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(json_path)
-            t.encode_special_tokens = True
-            self.encode = lambda text: t.encode(text, add_special_tokens=False).ids
+            self.encode = self.whole
         self.words = WordIds(self.encode)
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
         if not text:
             return b""
+        if self.added.search(text):
+            return np.array(self.whole(text), "<u4").tobytes()
         first, *rest = text.split(" ")
         if rest and first and not first[-1].isspace():
             try:
