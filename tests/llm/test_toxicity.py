@@ -31,7 +31,7 @@ def test_held_out_accuracy(spark, tmp_path):
     assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows)
     assert np.mean([p == y for p, y in held]) > 0.95 and len(held) > 100
     assert out[5002].predicted == 1 and out[5001].predicted == 0 and out[5001].score == out[5000].score
-    assert all(0 <= r.score <= 1 for r in out.values())
+    assert all(0 <= r.score <= 1 for r in out.values()) and out[None].held_out is False
 
 
 def test_gradients():
@@ -79,3 +79,28 @@ def test_nothing_to_learn_from(spark):
     m = tx.fit(docs, labels)
     assert [r.score for r in tx.with_scores(docs, m).collect()] == [0.0, 0.0]
     assert tx.keep_clean(docs.limit(0), m).collect() == []
+
+
+def test_long_texts_are_learned_from():
+    """Texts over any length: windows beyond the strongest ones only score."""
+    rng = random.Random(8)
+    words = lambda n: [rng.choice(["ab", "cde", "fg", "hijk"]) for _ in range(n)]
+    texts, y = [], []
+    for i in range(80):
+        w = words(3000)
+        if i % 2:
+            w[rng.randrange(3000)] = "nastyword"
+        texts.append(" ".join(w))
+        y.append(i % 2)
+    m = tx.train(texts, y, tx.Settings(learn=8))
+    assert m.constant is None
+    got = tx.Scorer(m).scores(["ab cde " * 800, "ab cde " * 800 + "nastyword", "fg"])
+    assert got[0] < 0.5 < got[1] and got[2] < 0.5
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b", "one", "two"), (1, "a b", "one", "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, toxicity string")
+    m = tx.train([], [])
+    assert tx.with_scores(docs, m).columns == [*docs.columns, "score_"]
+    assert sorted(map(tuple, tx.keep_clean(docs, m).collect())) == rows

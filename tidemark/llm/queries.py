@@ -28,11 +28,12 @@ def op3_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; a null doc_id has no label and is no held-out row."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_scores(docs.select("doc_id", "text"), model).select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -7,8 +7,8 @@ attention pools the states of a window into one logit and a text takes the
 largest logit of all its windows, calibrated to a probability.
 
 Training is plain numpy on the driver over a bounded sample of labelled rows
-(``Settings.sample`` rows of at most ``Settings.most_chars`` characters). Scoring
-is one map over whole texts: no shuffle, and the model that is shipped has a
+(``Settings.sample`` rows, whole texts): every window of a text is run, and the
+``Settings.learn`` strongest of a text carry its gradient. Scoring is one map over whole texts: no shuffle, and the model that is shipped has a
 fixed size of about 2 MB.
 """
 
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
+
 WINDOW, STRIDE = 48, 40
 #: Width of a word's two embeddings, of a recurrent state, of the attention layer.
 D_WORD, D_CHAR, HIDDEN, ATT = 4, 4, 8, 8
@@ -35,11 +37,12 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 @dataclass
 class Settings:
     sample: int = 4000
-    most_chars: int = 12_000
     epochs: int = 2
     #: Small samples are gone through more often, until this many steps are made.
     least_steps: int = 200
     batch_docs: int = 32
+    #: Windows of a text that carry its gradient: those of the largest logits.
+    learn: int = 64
     rate: float = 0.01
     seed: int = 11
 
@@ -213,6 +216,16 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
         mean = char_means(char, tri[where], counts[used])
         return np.concatenate([word[rows[used]], mean], 1)[back.reshape(grid.shape)], used, back.ravel(), where
 
+    def strongest(grid: np.ndarray, mask: np.ndarray, owner: np.ndarray):
+        """The windows of each text that learn; of texts with more of them, all windows are scored first."""
+        if np.bincount(owner).max() <= s.learn:
+            return grid, mask, owner
+        logit = np.concatenate([forward(p, inputs(grid[:, a : a + STEP])[0].astype(np.float32), mask[:, a : a + STEP]) for a in range(0, len(owner), STEP)])
+        order = np.lexsort((-logit, owner))
+        rank = np.arange(len(order)) - np.searchsorted(owner, owner)  # owners ascend
+        keep = np.sort(order[rank < s.learn])
+        return grid[:, keep], mask[:, keep], owner[keep]
+
     fit = np.array([i for i in range(len(y)) if 4 <= part[i] < 8 and len(ids[i])])
     adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     slow_w, slow_c = np.full(word.shape, 1e-3, np.float32), np.full(char.shape, 1e-3, np.float32)
@@ -222,7 +235,7 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
         order = rng.permutation(fit)
         for a in range(0, len(order), s.batch_docs):
             docs = list(order[a : a + s.batch_docs])
-            grid, mask, owner = batch(docs)
+            grid, mask, owner = strongest(*batch(docs))
             x, used, back, where = inputs(grid)
             logit, kept = forward(p, x.astype(np.float32), mask, keep=True)
             begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -392,7 +405,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     )
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .where(F.length("text").between(1, s.most_chars))
+        .where(F.length("text") > 0)
         .join(F.broadcast(known), "doc_id")  # at most s.sample rows of two numbers
         .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
         .toPandas().sort_values("doc_id")
@@ -401,8 +414,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
 
 def with_scores(docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
-    """``docs`` with a column of scores (0 to 1). Null and empty texts score as no words do."""
+    """``docs`` with a last column of scores (0 to 1). Null and empty texts score as no words do.
+
+    The column is called ``out``, with underscores appended if ``docs`` has that name.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    (out,) = fresh(docs, out)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -415,5 +432,5 @@ def with_scores(docs: DataFrame, model: Model, out: str = "score", text: str = "
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Rows that score under the threshold, columns as they came."""
-    name = "__toxicity"
+    (name,) = fresh(docs, "toxicity")
     return with_scores(docs, model, name).where(F.col(name) < threshold).drop(name)
