@@ -8,15 +8,13 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, lshforest, packing, pii, toxicity
-from tidemark.llm.common import table
+from tidemark.llm.common import fresh, shared_folder, table
 
 #: Characters of a text, where a table carries their number.
 SIZE = "n_chars"
@@ -39,10 +37,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in their texts is generalised, revealing terms are removed."""
-    out = pii.sanitise(docs)
-    clean = F.when(F.col("text").isNotNull(), F.col("pii.clean"))
+    (name,) = fresh(docs, "pii")
+    clean = F.when(F.col("text").isNotNull(), F.col(name)["clean"])
     changed = {"text": clean} | ({SIZE: F.length(clean).cast("long")} if SIZE in docs.columns else {})
-    return out.withColumns(changed).select(*docs.columns)
+    return pii.sanitise(docs).withColumns(changed).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents that all stages keep."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-pipeline")
-    where = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
