@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -55,10 +56,46 @@ def test_against_brute_force(spark, tmp_path, monkeypatch, block):
 
 def test_one_of_each(spark):
     rows = material()
-    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, doc int")
+    df = spark.createDataFrame([(d, t, "keep", b"kept", 7, 8) for d, t in rows], "doc_id long, text string, doc string, tie binary, rows int, cnt int")
     out = lf.one_of_each(df).collect()
     groups = {c for _, c, _ in brute(rows)}
-    assert {r.doc_id for r in out} == groups and out[0].doc == 1
+    assert {r.doc_id for r in out} == groups and {tuple(r)[2:] for r in out} == {("keep", b"kept", 7, 8)}
+
+
+def test_recall_over_all_pairs(spark, monkeypatch):
+    """Links found over whole documents, against every pair; small blocks make the forest descend and shorten."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = {d: (c, n) for d, c, n in brute(rows)}
+    monkeypatch.setattr(lf, "BLOCK", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc: (r.root_doc, r.n_links) for r in lf.near_duplicates(df).collect()}
+    assert sum(n for _, n in got.values()) >= 0.999 * sum(n for _, n in want.values()) > 0
+    assert sum(got[d] == want[d] for d in want) >= 0.999 * len(want)
+
+
+def test_long_text_and_rows_of_one_id(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (1, " ".join(words[:-10])), (1, "short"), (1, "short"), (None, " ".join(words[5:])), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc, r.root_doc, r.n_links) for r in lf.near_duplicates(df).collect()), key=str)
+    null = lambda x: -(2**63) if x is None else x
+    assert got == sorted(((null(d), null(c), n) for d, c, n in brute(rows)), key=str)
+
+
+def test_prefixes_shorten_until_the_recall(spark, monkeypatch):
+    """Crowded trees go deeper only as far as the recall of each text allows."""
+    monkeypatch.setattr(lf, "BLOCK", 3)
+    trees, short, deep = 32, lf.depth(), lf.DEEPEST
+    rng = random.Random(2)
+    rows = [(d, b"", t, rng.getrandbits(60)) for d in range(12) for t in range(trees)]
+    entries = spark.createDataFrame(rows, "doc long, tie binary, key long, tail long")
+    nodes = lf.trie_nodes(entries, len(rows), short, deep, 0.8, trees, lf.RECALL).collect()
+    for d in range(12):
+        wide = sum(r.asked for r in nodes if r.doc == d and r.cnt == 12)
+        assert 0 < wide < trees  # every tree is crowded; some stay deep
+        log = wide * lf.missed(short, 0.8) + (trees - wide) * lf.missed(short + 1, 0.8)
+        assert log <= math.log(1 - lf.RECALL) + 1e-9
 
 
 def test_empty_table(spark):
@@ -69,8 +106,9 @@ def test_depth_reaches_the_recall():
     assert 1 - (1 - 0.8 ** lf.depth()) ** lf.TREES >= lf.RECALL > 1 - (1 - 0.8 ** (lf.depth() + 1)) ** lf.TREES
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(1)
+    monkeypatch.setattr("tidemark.llm.components.partitions", lambda s: 10**6)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)]
     root = {x: x for p in pairs for x in p}
     for _ in range(400):
@@ -78,3 +116,12 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {k: v for k, v in root.items() if any(k in p and p[0] != p[1] for p in pairs)}
+
+
+def test_chain_and_hub(spark):
+    """A chain of 10,000 nodes and a hub of 5,000 come to their end."""
+    n = 10_000
+    chain = spark.range(n - 1).selectExpr("id * 7919 % 10000 as u", "(id + 1) * 7919 % 10000 as v")
+    hub = spark.range(1, 5001).selectExpr("20000L as u", "20000 + id as v")
+    got = {r.root: r.n for r in components(chain.unionAll(hub)).groupBy("root").agg({"node": "count"}).withColumnRenamed("count(node)", "n").collect()}
+    assert got == {0: n, 20_000: 5001}

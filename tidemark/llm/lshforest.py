@@ -1,42 +1,51 @@
 """Near-duplicate join on word shingles: MinHash LSH forest, then exact verification.
 
 1. Rows with the same set of five-word shingles make one class; its smallest
-   (doc_id, hash of the text) stands for it. From here on only representatives
+   (doc_id, digest of the text) stands for it. From here on only representatives
    move, so copies cost nothing but their first aggregation.
-2. A forest of ``TREES`` prefix tries holds the signatures. Prefixes are
-   shortened from ``DEEPEST`` values on until two texts of the least similarity
-   share one in some tree with probability ``recall`` or more. A trie node of that
-   depth is a row group of equal prefixes; nodes with one text are left out.
+2. A forest of ``TREES`` prefix tries holds signatures of ``DEEPEST`` values for
+   each tree, as a sort key: a hash of the first ``depth()`` values (the shortest
+   prefix that may be needed) and the further values in order. Each text starts
+   in every tree at the deepest node that is crowded, i.e. at the first depth at
+   which at most ``BLOCK`` texts share its prefix. Its prefixes are then shortened,
+   least crowded trees first, until the text meets another of the least similarity
+   in some tree with probability ``recall`` or more.
 3. Within a node, packed signatures are compared; pairs that may be similar tie
-   their texts into clusters (connected components).
+   their texts into clusters (connected components). A text whose prefix was
+   shortened is compared with all that share the shorter one.
 4. A cluster's texts come with their shingles, once each, and every pair is
-   verified exactly. Nodes and clusters of more than ``BLOCK`` texts are cut into
-   blocks, and pairs of blocks go to tasks of their own. Tasks return counts and
-   spanning edges, never lists of pairs.
+   verified exactly. Nodes and clusters of more than ``BLOCK`` texts, and clusters
+   of more than ``SHINGLES`` shingles, are cut into blocks, and pairs of blocks go
+   to tasks of their own. Tasks return counts and spanning edges, never lists of pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, checkpointed, partitions
+from tidemark.llm.common import NULL_ID, checkpointed, fresh, partitions
 from tidemark.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 TREES, DEEPEST, RECALL = 32, 8, 0.99999
-BLOCK = 2048
+BLOCK, SHINGLES = 2048, 4 << 20
+#: Bits of each value beyond the shortest prefix.
+BITS = 20
+ID = "doc long, tie binary"
 U = np.uint64
 
 
 def depth(similar: float = SIMILAR, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> int:
-    """The longest prefix by which the forest still reaches the target recall."""
+    """The longest prefix by which the forest still reaches the target recall if all trees use it: no text needs a shorter one."""
     for d in range(deepest, 0, -1):
         if 1 - (1 - similar**d) ** trees >= recall:
             return d
@@ -67,33 +76,46 @@ def shingles(text: str, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
 
 
 class Signer:
-    def __init__(self, trees: int, levels: int):
+    """MinHash signatures for ``trees`` tries, whose shortest prefix has ``shortest`` values and whose longest ``deepest``."""
+
+    def __init__(self, trees: int, shortest: int, deepest: int):
         rng = np.random.default_rng(20)
-        self.trees, self.levels = trees, levels
-        n = trees * levels
+        self.trees, self.shortest, self.deepest = trees, shortest, deepest
+        n = trees * deepest
         self.mul = rng.integers(0, 2**32, (n, 1), np.uint32) | np.uint32(1)
         self.xor = rng.integers(0, 2**32, (n, 1), np.uint32)
 
-    def __call__(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A key for each tree's prefix, and one byte of each value."""
+    def __call__(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each tree a key of the shortest prefix and the further values, highest bits first; one byte of each value of the shortest prefixes."""
         x = (sh >> U(17)).astype(np.uint32)
         low = np.full(len(self.mul), 2**32 - 1, np.uint32)
         for a in range(0, len(x), 2048):
             np.minimum(low, ((x[a : a + 2048][None, :] ^ self.xor) * self.mul).min(1), out=low)
+        values = low.reshape(self.deepest, self.trees).astype(U)
         key = np.arange(1, self.trees + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F)
-        for v in low.reshape(self.trees, self.levels).T.astype(U):
-            key = (key ^ v) * U(0x9E3779B97F4A7C15)
-            key ^= key >> U(31)
-        return key.view(np.int64), ((low * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
+        tail = np.zeros(self.trees, U)
+        for k, v in enumerate(values):
+            if k < self.shortest:
+                key = (key ^ v) * U(0x9E3779B97F4A7C15)
+                key ^= key >> U(31)
+            else:
+                tail = (tail << U(BITS)) | ((v * U(2654435761) & U(0xFFFFFFFF)) >> U(32 - BITS))
+        sig = ((low[: self.trees * self.shortest] * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
+        return key.view(np.int64), tail.view(np.int64), sig
 
 
 def _rows(arrays: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def tie_of(text: Column) -> Column:
+    """128 bits of a text, which tell rows of one doc_id apart."""
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(text).alias("tie"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), tie_of(text).alias("tie"), text.alias("text"))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -120,17 +142,68 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def blocked(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
-    """Adds bi, bj, own: each row once for every pair of blocks of its key that its block is in."""
-    n = F.ceil(F.col(count) / block).cast("int")
-    own = F.pmod(F.xxhash64("doc", "tie", F.lit(7)), n).cast("int")
+def blocked(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Adds bi, bj, own: each row once for every pair of blocks of its group that its block is in."""
+    n, other = fresh(rows, "blocks", "other")
     return (
-        rows.withColumn("__n", n).withColumn("own", own)
-        .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-        .withColumns({"bi": F.least("own", "__other"), "bj": F.greatest("own", "__other")}).drop("__n", "__other")
+        rows.withColumn(n, blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("doc", "tie", F.lit(7)), F.col(n)).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+        .withColumns({"bi": F.least("own", other), "bj": F.greatest("own", other)}).drop(n, other)
     )
 
 
+def missed(d: int, similar: float) -> float:
+    """Log of the probability that two texts of that similarity part before depth d of a tree."""
+    return math.log(1 - similar**d)
+
+
+def trie_nodes(entries: DataFrame, total: int, shortest: int, deepest: int, similar: float, trees: int, recall: float) -> DataFrame:
+    """node, cnt, asked, doc, tie: who meets in which node of the forest.
+
+    entries: ``total`` rows of doc, tie, key (tree and shortest prefix), tail (further values).
+    Pairs of a node count if one of the two is asked. Nodes of one text don't come.
+    """
+    many = joined(entries, entries.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"), "key", total)
+    cold = many.where(F.col("cnt") <= BLOCK).select(F.col("key").alias("node"), "cnt", F.lit(True).alias("asked"), "doc", "tie")
+    if deepest == shortest:
+        return cold.unionByName(many.where(F.col("cnt") > BLOCK).select(F.col("key").alias("node"), "cnt", F.lit(True).alias("asked"), "doc", "tie"))
+    hot = checkpointed(many.where(F.col("cnt") > BLOCK))  # crowded nodes only: the trie is descended until they aren't
+    found, left = [], hot.select("doc", "tie", "key", "tail")
+    for d in range(shortest + 1, deepest + 1):
+        prefix = F.shiftrightunsigned("tail", BITS * (deepest - d))
+        at = left.withColumn("node", F.xxhash64("key", F.lit(d), prefix))
+        at = checkpointed(joined(at, at.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node", total, "n"))
+        fits = F.col("n") <= BLOCK if d < deepest else F.lit(True)
+        found.append(at.where(fits).select("doc", "tie", "key", "node", "n", F.lit(d).alias("depth")))
+        left = at.where(~fits).select("doc", "tie", "key", "tail")
+    deep = reduce(DataFrame.unionByName, found)
+    lost = F.element_at(F.array(*(F.lit(missed(d, similar) - missed(shortest, similar)) for d in range(shortest + 1, deepest + 1))), F.col("depth") - shortest)
+    may_lose = math.log(1 - recall) - trees * missed(shortest, similar)
+    # at most one element a tree; the most crowded trees keep their long prefixes as far as the recall allows
+    own = deep.join(hot.select("doc", "tie", "key", "cnt"), ["doc", "tie", "key"]).groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("crowd"), "key", lost.alias("lost")))).alias("trees"))
+    total = F.transform("trees", lambda t, i: F.aggregate(F.slice("trees", 1, i + 1), F.lit(0.0), lambda s, x: s + x["lost"]))
+    short = own.select("doc", "tie", F.explode(F.arrays_zip("trees", total.alias("total"))).alias("t")).where(F.col("t.total") > may_lose).select("doc", "tie", F.col("t.trees.key").alias("key"), F.lit(True).alias("asked"))
+    asked = checkpointed(short)
+    wide = hot.join(asked.select("key").distinct(), "key", "left_semi").join(asked, ["doc", "tie", "key"], "left")
+    wide = wide.select(F.col("key").alias("node"), "cnt", F.coalesce("asked", F.lit(False)).alias("asked"), "doc", "tie")
+    narrow = deep.where("n > 1").select("node", F.col("n").alias("cnt"), F.lit(True).alias("asked"), "doc", "tie")
+    return cold.unionByName(narrow).unionByName(wide)
+
+
+def joined(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str = "cnt") -> DataFrame:
+    """``rows`` of groups by ``key`` with the facts of their group, one of which is its number of rows.
+
+    Groups of more than a quarter of a partition's share of the ``total`` rows are
+    fewer than four for each partition. Their facts are broadcast, so that the
+    rows of a hot key stay where they are. Groups without facts go.
+    """
+    most = max(BLOCK, total // (4 * partitions(rows.sparkSession)))
+    large = facts.where(F.col(count) > most)
+    told = rows.join(F.broadcast(large.withColumn("is_large", F.lit(True))), key, "left")
+    light = told.where("is_large is null").select(*rows.columns).join(facts.where(F.col(count) <= most), key)
+    return light.unionByName(told.where("is_large").drop("is_large"))
+
+
 def forest(links: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n items by a square matrix of links."""
     n = len(links)
@@ -152,81 +225,85 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, trees: int = TREE
     The root is the smallest row of the group that chains of links of at least
     ``similar`` make; n_links counts the other rows at least that similar, copies
     among them. Texts without words have no shingles: they link to nothing. Null
-    ids come as NULL_ID, the smallest. ``tie`` (hash of the text) tells rows with
+    ids come as NULL_ID, the smallest. ``tie`` (128 bits of the text) tells rows with
     the same id apart. Other columns aren't carried.
     """
-    levels = depth(similar, trees, recall)
-    values = trees * levels
+    shortest = depth(similar, trees, recall)
+    deepest = max(DEEPEST, shortest)
+    values = trees * shortest
     parts = partitions(docs.sparkSession)
     least_equal = int(np.floor(values * (similar + (1 - similar) / 256) - 5.5 * np.sqrt(values * similar * (1 - similar))))
     rows = keyed(docs)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sign = WordHashes(), Signer(trees, levels)
+        words, sign = WordHashes(), Signer(trees, shortest, deepest)
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                prints, sizes, keys, sigs = [], [], [], []
+                cols: list[list] = [[] for _ in range(5)]
                 seen: dict[bytes, tuple] = {}
                 for text in part.column(2):
                     sh = shingles(text.as_py(), words)
                     fp = hashlib.blake2b(sh.tobytes(), digest_size=16).digest()
                     if fp not in seen:
-                        k, s = sign(sh)
-                        seen[fp] = (k.tobytes(), s.tobytes())
-                    prints.append(fp)
-                    sizes.append(len(sh))
-                    keys.append(seen[fp][0])
-                    sigs.append(seen[fp][1])
-                yield _rows([part.column(0), part.column(1), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc", "tie", "fp", "n", "keys", "sig"])
-
-    sketched = checkpointed(rows.mapInArrow(sketch, "doc long, tie int, fp binary, n long, keys binary, sig binary"))
+                        seen[fp] = tuple(x.tobytes() for x in sign(sh))
+                    for col, v in zip(cols, (fp, len(sh), *seen[fp]), strict=True):
+                        col.append(v)
+                arrays = [pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+                yield _rows([part.column(0), part.column(1), *arrays], ["doc", "tie", "fp", "n", "keys", "tails", "sig"])
+
+    sketched = checkpointed(rows.mapInArrow(sketch, f"{ID}, fp binary, n long, keys binary, tails binary, sig binary"))
     classes = checkpointed(
-        sketched.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc", "tie")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-        .select("fp", "rep.doc", "rep.tie", "rows", "keys", "sig")
+        sketched.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc", "tie")).alias("rep"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in ("n", "keys", "tails", "sig")))
+        .select("fp", "rep.doc", "rep.tie", "rows", "n", "keys", "tails", "sig")
     )
 
-    key_at = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.substring(F.col("keys"), i * 8 + 1, F.lit(8)))
-    entries = classes.select("doc", "tie", F.explode(key_at).alias("key")).select("doc", "tie", F.conv(F.hex("key"), 16, -10).cast("long").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
-    nodes = entries.join(shared, "key").join(classes.select("doc", "tie", "sig"), ["doc", "tie"])
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each tree of each class."""
+        for batch in batches:
+            if batch.num_rows:
+                at = pa.array(np.repeat(np.arange(batch.num_rows), trees))
+                key, tail = (pa.array(np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int64)) for i in (2, 3))
+                yield _rows([batch.column(0).take(at), batch.column(1).take(at), key, tail], ["doc", "tie", "key", "tail"])
+
+    entries = classes.select("doc", "tie", "keys", "tails").mapInArrow(unpack, f"{ID}, key long, tail long")
+    n_classes, n_rows = classes.select(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    nodes = trie_nodes(entries, trees * n_classes, shortest, deepest, similar, trees, recall).join(classes.select("doc", "tie", "sig"), ["doc", "tie"])
+
+    def edge_rows(t: pa.Table, at: np.ndarray, to: np.ndarray) -> list[pa.Array]:
+        """Columns of edges from some rows of a group to others."""
+        one = lambda name, k: t.column(name).combine_chunks().take(pa.array(k))
+        return [one("doc", at), one("tie", at), one("doc", to), one("tie", to)]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Spanning edges of the texts of a trie node whose signatures may be similar."""
-        out: list[list] = [[], [], [], []]
         for t in grouped(batches, 3):
-            bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
             m = t.num_rows
-            doc, tie, own = (t.column(c).to_numpy() for c in ("doc", "tie", "own"))
+            own, asked = (t.column(c).to_numpy() for c in ("own", "asked"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(m, values)
             near = np.zeros((m, m), bool)
+            who = np.flatnonzero(asked)
             step = max(1, (4 << 20) // max(1, m * values))
-            for a in range(0, m, step):
-                near[a : a + step] = (sig[a : a + step, None, :] == sig[None]).sum(2) >= least_equal
-            if bi != bj:
+            for a in range(0, len(who), step):
+                near[who[a : a + step]] = (sig[who[a : a + step], None, :] == sig[None]).sum(2) >= least_equal
+            near |= near.T
+            if t.column("bi")[0].as_py() != t.column("bj")[0].as_py():
                 near &= own[:, None] != own[None]
             label = forest(near)
             k = np.flatnonzero(label != np.arange(m))
-            for col, v in zip(out, (doc[k], tie[k], doc[label[k]], tie[label[k]]), strict=True):
-                col.append(v)
-            if len(out[0]) > 2000:
-                yield edge_rows(out)
-                out = [[], [], [], []]
-        if out[0]:
-            yield edge_rows(out)
-
-    def edge_rows(out: list[list]) -> pa.RecordBatch:
-        return _rows([pa.array(np.concatenate(c)) for c in out], ["ud", "ut", "vd", "vt"])
+            if len(k):
+                yield _rows(edge_rows(t, k, label[k]), ["ud", "ut", "vd", "vt"])
 
     edges = (
-        blocked(nodes, "key", "cnt", BLOCK).select("key", "bi", "bj", "own", "doc", "tie", "sig")
-        .repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-        .mapInArrow(compare, "ud long, ut int, vd long, vt int")
+        blocked(nodes, F.ceil(F.col("cnt") / BLOCK)).select("node", "bi", "bj", "own", "asked", "doc", "tie", "sig")
+        .repartition(parts, "node", "bi", "bj").sortWithinPartitions("node", "bi", "bj")
+        .mapInArrow(compare, "ud long, ut binary, vd long, vt binary")
     )
     pair = lambda: (F.struct(F.col("ud").alias("doc"), F.col("ut").alias("tie")).alias("u"), F.struct(F.col("vd").alias("doc"), F.col("vt").alias("tie")).alias("v"))
-    clusters = checkpointed(components(edges.select(*pair())).select("node.doc", "node.tie", F.col("root.doc").alias("cd"), F.col("root.tie").alias("ct")))
-    sizes = clusters.groupBy("cd", "ct").agg(F.count(F.lit(1)).alias("cnt"))
-    members = clusters.join(sizes, ["cd", "ct"]).join(classes.select("doc", "tie", "rows"), ["doc", "tie"]).join(rows, ["doc", "tie"])
+    found = components(edges.select(*pair())).select("node.doc", "node.tie", F.xxhash64("root.doc", "root.tie").alias("cluster"))
+    clusters = checkpointed(found.join(classes.select("doc", "tie", "rows", "n"), ["doc", "tie"]))
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks")
+    members = joined(clusters, clusters.groupBy("cluster").agg(n_blocks, F.count(F.lit(1)).alias("cnt")), "cluster", n_classes).join(rows, ["doc", "tie"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -234,38 +311,34 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, trees: int = TREE
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 sh = [shingles(t.as_py(), words).tobytes() for t in part.column(part.num_columns - 1)]
-                yield _rows([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(sh, pa.binary())], ["doc", "tie", "cd", "ct", "cnt", "rows", "sh"])
+                yield _rows([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(sh, pa.binary())], ["doc", "tie", "cluster", "blocks", "rows", "sh"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of links and spanning edges of one cluster, or of two of its blocks."""
-        for t in grouped(batches, 4):
-            bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
-            doc, tie, own, weight = (t.column(c).to_numpy() for c in ("doc", "tie", "own", "rows"))
-            _, once = np.unique(np.stack([doc, tie]), axis=1, return_index=True)  # a repeated row of a representative comes twice
-            doc, tie, own, weight = doc[once], tie[once], own[once], weight[once]
-            sets = t.column("sh").to_pylist()
-            sets = [np.frombuffer(sets[i], U) for i in once.tolist()]
-            m = len(sets)
-            link = linked(sets, similar)
-            if bi != bj:
+        for t in grouped(batches, 3):
+            ids = list(zip(t.column("doc").to_pylist(), t.column("tie").to_pylist(), strict=True))
+            t = t.take(list({x: k for k, x in enumerate(ids)}.values()))  # a repeated row of a representative comes twice
+            own, weight = (t.column(c).to_numpy() for c in ("own", "rows"))
+            link = linked([np.frombuffer(x, U) for x in t.column("sh").to_pylist()], similar)
+            if t.column("bi")[0].as_py() != t.column("bj")[0].as_py():
                 link &= own[:, None] != own[None]
             n = link.astype(np.int64) @ weight
             label = forest(link)
             k = np.flatnonzero(n)
             if len(k):
-                yield _rows([pa.array(doc[k]), pa.array(tie[k]), pa.array(doc[label[k]]), pa.array(tie[label[k]]), pa.array(n[k])], ["ud", "ut", "vd", "vt", "n"])
+                yield _rows([*edge_rows(t, k, label[k]), pa.array(n[k])], ["ud", "ut", "vd", "vt", "n"])
 
     links = checkpointed(
-        blocked(members.select("doc", "tie", "cd", "ct", "cnt", "rows", "text").mapInArrow(shingled, "doc long, tie int, cd long, ct int, cnt long, rows long, sh binary"), "cd", "cnt", BLOCK)
-        .select("cd", "ct", "bi", "bj", "own", "doc", "tie", "rows", "sh")
-        .repartition(parts, "cd", "ct", "bi", "bj").sortWithinPartitions("cd", "ct", "bi", "bj")
-        .mapInArrow(verify, "ud long, ut int, vd long, vt int, n long")
+        blocked(members.select("doc", "tie", "cluster", "blocks", "rows", "text").mapInArrow(shingled, f"{ID}, cluster long, blocks long, rows long, sh binary"), F.col("blocks"))
+        .select("cluster", "bi", "bj", "own", "doc", "tie", "rows", "sh")
+        .repartition(parts, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+        .mapInArrow(verify, "ud long, ut binary, vd long, vt binary, n long")
     )
     counts = links.groupBy(F.col("ud").alias("doc"), F.col("ut").alias("tie")).agg(F.sum("n").alias("others"))
     roots = components(links.select(*pair())).select("node.doc", "node.tie", F.col("root.doc").alias("rd"), F.col("root.tie").alias("rt"))
     by_class = classes.select("fp", "doc", "tie", "rows").join(counts, ["doc", "tie"], "left").join(roots, ["doc", "tie"], "left")
-    by_class = by_class.select("fp", F.coalesce("rd", "doc").alias("root_doc"), F.coalesce("rt", "tie").alias("root_tie"), (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
-    full = sketched.where("n > 0").select("doc", "tie", "fp").join(by_class, "fp").drop("fp")
+    by_class = by_class.select("fp", F.coalesce("rd", "doc").alias("root_doc"), F.coalesce("rt", "tie").alias("root_tie"), (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "rows")
+    full = joined(sketched.where("n > 0").select("doc", "tie", "fp"), by_class, "fp", n_rows, "rows").drop("fp", "rows")
     return full.unionByName(sketched.where("n = 0").select("doc", "tie", F.col("doc").alias("root_doc"), F.col("tie").alias("root_tie"), F.lit(0).cast("long").alias("n_links")))
 
 
@@ -297,8 +370,9 @@ def linked(sets: list[np.ndarray], similar: float) -> np.ndarray:
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Rows that are the smallest of their group, columns as they came; repeated rows stay once."""
-    found = near_duplicates(docs, similar).where("doc = root_doc and tie = root_tie").select("doc", "tie").distinct()
+    """Rows that are the smallest of their group, columns as they came; of rows that repeat id and text one stays."""
+    doc, tie = fresh(docs, "doc", "tie")
+    found = near_duplicates(docs, similar).where("doc = root_doc and tie = root_tie").select(F.col("doc").alias(doc), F.col("tie").alias(tie)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__tie": F.hash(text)})
-    return own.join(found.withColumnsRenamed({"doc": "__doc", "tie": "__tie"}), ["__doc", "__tie"]).dropDuplicates(["__doc", "__tie"]).select(*docs.columns)
+    own = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), tie: tie_of(text)})
+    return own.join(found, [doc, tie]).dropDuplicates([doc, tie]).select(*docs.columns)
