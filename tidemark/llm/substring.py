@@ -120,7 +120,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     columns aren't carried.
     """
     own = sk.keyed(docs)
-    spans = sk.windows_repeated(own, sk.word_slices, window, gram, _resolver(window, gram), first_stays=True)
+    spans = sk.windows_repeated(own, sk.word_slices, lambda s: s.count(b" ") + 2 - window, window, gram, _resolver(window, gram), first_stays=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -163,19 +163,9 @@ def _resolver(window: int, gram: int):
     def resolve(docs, ties, starts, places, strings):
         may, group = candidates(strings, places, window, gram)
         found: list[tuple] = []
-        whole = lambda i: found.append((docs[i], ties[i], starts[i], starts[i] + len(strings[i]) - window))
-        same: dict[bytes, int] = {}
-        told: set[int] = set()
         by_group: dict[int, list[int]] = {}
         for i in may:
-            k = same.setdefault(strings[i], i)
-            if k == i:
-                by_group.setdefault(int(group[i]), []).append(i)
-            else:
-                whole(i)
-                if k not in told:
-                    told.add(k)
-                    whole(k)
+            by_group.setdefault(int(group[i]), []).append(i)
         batch: list[int] = []
         held = 0
         groups = [reaching(g, strings, places, window) for g in by_group.values() if len(g) > 1]
@@ -208,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     character can leave bytes that aren't UTF-8, so what is kept is binary.
     """
     own = sk.keyed(docs)
-    spans = sk.windows_repeated(own, sk.byte_slices, window, gram, _resolver(window, gram), first_stays=False)
+    spans = sk.windows_repeated(own, sk.byte_slices, lambda s: len(s) + 1 - window, window, gram, _resolver(window, gram), first_stays=False)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,11 +6,15 @@ ones, so equal windows have equal minimisers at equal offsets. Consecutive
 windows that share a minimiser travel as one packed string to the bucket of
 that minimiser, which therefore sees all equal windows together.
 
-Two things keep a bucket bounded. A worker sends each distinct packed string
-once per flush, however often its rows repeat it. And minimisers that hold an
-outsized share of all packed strings ("hot", found by a pass over all rows;
-at most ``16 x partitions`` of them by construction) send their windows one by
-one to buckets of the windows' own.
+What keeps a bucket bounded:
+
+* Equal packed strings are one, wherever they meet: in a worker's flush, and
+  again as a bucket's strings come in. Their rows are told at once.
+* The number of buckets follows the number of strings (``BUCKET`` for each).
+* Minimisers met ``HOT_LEAST`` times or more in the whole table ("hot") send their
+  windows one by one to buckets of the windows' own. A pass over all rows counts
+  every string in one of ``CELLS`` cells, so that a count is never too small; the
+  hot cells are a bitmap of a fixed size. Both bounds are constants, whatever the data.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from tidemark.llm.common import NULL_ID, partitions, text_slices
 U = np.uint64
 #: Symbols handled by one numpy step, and bytes of packed strings held before a flush.
 CHUNK, FLUSH = 1 << 19, 24 << 20
-#: A minimiser counts as hot from this many packed strings on.
-HOT_LEAST = 4096
+#: A minimiser counts as hot from this many packed strings on; strings of a bucket, as planned.
+HOT_LEAST, BUCKET = 4096, 50_000
+#: Cells in which minimisers are counted, and how many of them a row of counts spans.
+CELLS, SPAN = 1 << 26, 1 << 18
 TOTAL = -1
 #: Place of the minimiser of a window that travels by itself: it is of no use there.
 ALONE = -1
@@ -141,7 +147,7 @@ def byte_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
 
 def packed(docs, ties, starts, places, strings: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, strings), "<i4", len(strings))
-    parts = [np.array([len(strings)], "<i8"), *(np.asarray(x).astype(k) for x, k in ((docs, "<i8"), (ties, "<i4"), (starts, "<i4"), (places, "<i4"))), lens]
+    parts = [np.array([len(strings)], "<i8"), *(np.asarray(x).astype(k) for x, k in ((docs, "<i8"), (ties, "<i8"), (starts, "<i4"), (places, "<i4"))), lens]
     return zstandard.ZstdCompressor(level=3).compress(b"".join([*(p.tobytes() for p in parts), *strings]))
 
 
@@ -149,7 +155,7 @@ def unpacked(blob: bytes):
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     at, out = 8, []
-    for kind, size in (("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4), ("<i4", 4)):
+    for kind, size in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4)):
         out.append(np.frombuffer(raw, kind, n, at))
         at += size * n
     stop = at + np.cumsum(out[4].astype(np.int64))
@@ -167,126 +173,190 @@ def joined_spans(docs, ties, first, last) -> list[tuple]:
     return list(zip(d[at].tolist(), t[at].tolist(), a[at].tolist(), np.maximum.reduceat(b, at).tolist(), strict=True))
 
 
+def hot_cells(docs: DataFrame, slices: Callable, window: int, gram: int) -> tuple[int, np.ndarray]:
+    """Number of packed strings, and a bitmap of the cells in which ``HOT_LEAST`` or more fall."""
+    parts = partitions(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for s in slices(batches):
+            for _, _, marks, _ in runs(s.codes, s.ends, window, gram):
+                held.append(cell(marks))
+                n += len(marks)
+            if n > 2_000_000:
+                yield from counted(held)
+                held, n = [], 0
+        yield from counted(held)
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Counts of cells, a row for each span of them."""
+        if not held:
+            return
+        cells, n = np.unique(np.concatenate(held), return_counts=True)
+        span = cells // SPAN
+        at = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])
+        zip_ = zstandard.ZstdCompressor(level=3).compress
+        blobs = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(cells)], strict=True):
+            steps = np.diff(cells[a:b] - span[a] * SPAN, prepend=0)
+            blobs.append(zip_(steps.astype("<u4").reshape(-1).view("u1").reshape(-1, 4).T.tobytes() + n[a:b].astype("<u4").view("u1").reshape(-1, 4).T.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(span[at].astype(np.int32)), pa.array(blobs, pa.binary())], names=["span", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings of each span and the bits of its hot cells, from rows sorted by span."""
+        open_, total = None, np.zeros(SPAN, np.int64)
+        unzip = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != open_ and open_ is not None:
+                    yield told(open_, total)
+                    total[:] = 0
+                open_ = k
+                steps, n = np.frombuffer(unzip(blob), "u1").reshape(2, 4, -1).transpose(0, 2, 1).copy().view("<u4")[:, :, 0].astype(np.int64)
+                total[np.cumsum(steps)] += n
+        if open_ is not None:
+            yield told(open_, total)
+
+    def told(k: int, total: np.ndarray) -> pa.RecordBatch:
+        hot = total >= HOT_LEAST
+        bits = zstandard.ZstdCompressor().compress(np.packbits(hot).tobytes()) if hot.any() else None
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(total.sum())]), pa.array([bits], pa.binary())], names=["span", "n", "bits"])
+
+    spans = docs.mapInArrow(count, "span int, counts binary").repartition(min(parts, CELLS // SPAN), "span").sortWithinPartitions("span").mapInArrow(add, "span int, n long, bits binary")
+    total, out = 0, np.zeros(CELLS // 8, np.uint8)
+    for k, n, bits in spans.collect():  # CELLS / SPAN rows at most, CELLS / 8 bytes in all
+        total += n
+        if bits:
+            out[k * SPAN // 8 : (k + 1) * SPAN // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(bits)), np.uint8)
+    return total, out
+
+
+def cell(marks: np.ndarray) -> np.ndarray:
+    return (marks >> U(20)).astype(np.int64) & (CELLS - 1)
+
+
 def windows_repeated(
-    docs: DataFrame, slices: Callable, window: int, gram: int, resolve: Callable, first_stays: bool
+    docs: DataFrame, slices: Callable, count: Callable, window: int, gram: int, resolve: Callable, first_stays: bool
 ) -> DataFrame:
     """Runs of repeated windows: doc, tie, a, b (first and last window, by its first symbol).
 
-    docs: doc (long), tie (int), text. ``resolve`` gets all packed strings of a
-    bucket (docs, ties, starts, minimisers' places, strings) and returns runs.
+    docs: doc, tie (longs), text. ``count`` says how many windows a packed string has; ``resolve`` gets all packed strings of a
+    bucket, each once (docs, ties, starts, minimisers' places, strings) and returns runs.
     ``first_stays``: the first of equal windows isn't a repeat of the others.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    buckets = 4 * parts
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for s in slices(batches):
-            marks = [m for _, _, m, _ in runs(s.codes, s.ends, window, gram)]
-            if marks:
-                g, n = np.unique(np.concatenate(marks), return_counts=True)
-                total += int(n.sum())
-                keep = n >= 8
-                yield pa.RecordBatch.from_arrays([pa.array(g[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["g", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([TOTAL], pa.int64()), pa.array([total], pa.int64())], names=["g", "n"])
-
-    most = 16 * parts
-    top = docs.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(most + 1).collect()
-    total = next((r["n"] for r in top if r["g"] == TOTAL), 0)
-    least = max(HOT_LEAST, total // most)
-    hot = np.sort(np.array([r["g"] for r in top if r["g"] != TOTAL and r["n"] >= least], np.int64).view(U))
+    total, bits = hot_cells(docs, slices, window, gram)
+    buckets = max(4 * parts, -(-total // BUCKET))
+    held_bits = spark.sparkContext.broadcast(bits if bits.any() else None)  # CELLS / 8 bytes at most
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = Rows(first_stays), 0
+        rows, hot = Rows(count, first_stays), held_bits.value
         for s in slices(batches):
             for first, last, marks, places in runs(s.codes, s.ends, window, gram):
                 places = s.starts[first + places] - s.starts[first]  # in bytes from the string's begin
-                single = np.isin(marks, hot) if len(hot) else np.zeros(len(marks), bool)
+                c = cell(marks)
+                single = (hot[c >> 3] >> (7 - (c & 7)) & 1).astype(bool) if hot is not None else np.zeros(len(marks), bool)
                 if single.any():  # each window of a hot minimiser by itself
                     alone = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[single].tolist(), last[single].tolist(), strict=True)])
-                    held += rows.add(s, alone, alone, window, None, np.full(len(alone), ALONE))
+                    rows.add(s, alone, alone, window, None, np.full(len(alone), ALONE))
                     first, last, marks, places = first[~single], last[~single], marks[~single], places[~single]
-                held += rows.add(s, first, last, window, marks, places)
-                if held > FLUSH:
+                rows.add(s, first, last, window, marks, places)
+                if rows.held > FLUSH:
                     yield from rows.blobs(buckets)
-                    rows, held = Rows(first_stays), 0
+                    rows = Rows(count, first_stays)
         yield from rows.blobs(buckets)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs = None, []
+        bucket, rows = None, Rows(count, first_stays)
         for batch in batches:
-            for b, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k:
-                    d, t, a, b_, _ = unpacked(blob)
-                    yield span_rows(d, t, a, b_)
+            for b, known, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                d, t, a, place, strings = unpacked(blob)
+                if known:
+                    yield span_rows(d, t, a, place)
                     continue
-                if b != bucket and blobs:
-                    yield from opened(blobs)
-                    blobs = []
+                if b != bucket:
+                    yield from opened(rows)
+                    rows = Rows(count, first_stays)
                 bucket = b
-                blobs.append(blob)
-        if blobs:
-            yield from opened(blobs)
-
-    def opened(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts_ = [unpacked(x) for x in blobs]
-        d, t, a, m = (np.concatenate([p[i] for p in parts_]) for i in range(4))
-        found = resolve(d, t, a, m, [s for p in parts_ for s in p[4]])
-        if len(found[0]):
-            yield span_rows(*found)
+                rows.take(strings, (d, t, a, np.zeros(len(d), U), place))
+                if len(rows.known) > 500_000:
+                    yield span_rows(*zip(*sorted(rows.known), strict=True))
+                    rows.known.clear()
+        yield from opened(rows)
+
+    def opened(rows: Rows) -> Iterator[pa.RecordBatch]:
+        if rows.seen:
+            strings, (d, t, a, _, place) = rows.distinct()
+            found = resolve(d, t, a, place, strings)
+            if len(found[0]):
+                yield span_rows(*found)
+        if rows.known:
+            yield span_rows(*zip(*joined_spans(*zip(*sorted(set(rows.known)), strict=True)), strict=True))
 
     return (
         docs.mapInArrow(send, "bucket int, known boolean, blob binary")
         .repartition(parts, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(receive, "doc long, tie int, a int, b int")
+        .mapInArrow(receive, "doc long, tie long, a int, b int")
     )
 
 
 class Rows:
-    """Packed strings of one flush, each distinct one once, and the runs of windows that others of the flush repeat."""
+    """Packed strings, each distinct one once, and the runs of windows that others of them repeat."""
 
-    def __init__(self, first_stays: bool):
-        self.first_stays = first_stays
+    def __init__(self, count: Callable, first_stays: bool):
+        self.count, self.first_stays, self.held = count, first_stays, 0
         self.seen: dict[bytes, int] = {}
         self.known: list[tuple] = []
-        self.doc, self.tie, self.a, self.b, self.mark, self.place = ([] for _ in range(6))
+        self.cols: tuple[list, ...] = tuple([] for _ in range(5))  # doc, tie, first window, minimiser, its place
 
-    def add(self, s: Slice, first: np.ndarray, last: np.ndarray, window: int, marks: np.ndarray | None, places: np.ndarray) -> int:
-        """Take runs of windows; about how many bytes they hold."""
+    def add(self, s: Slice, first: np.ndarray, last: np.ndarray, window: int, marks: np.ndarray | None, places: np.ndarray) -> None:
+        """Take runs of windows of a slice."""
         strings = s.cut(first, last + window)
         if marks is None:
             marks = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), U, len(strings))
         owner = np.searchsorted(s.ends, first, "right")
         begin = s.begins[owner]
-        seen, n = self.seen, len(self.doc)
-        new = [seen.setdefault(x, n + k) for k, x in enumerate(strings)]
-        cols = (s.docs[owner], s.ties[owner], first - begin, last - begin)
-        at = np.array(new, np.int64)
-        again = np.flatnonzero(at != np.arange(n, n + len(at)))
-        for col, v in zip((self.doc, self.tie, self.a, self.b, self.mark, self.place), (*cols, marks, places), strict=True):
-            col += v.tolist()
-        for k in again.tolist():
-            self.repeat(n + k, new[k])
-        return sum(map(len, strings)) + 200 * len(strings)
-
-    def repeat(self, k: int, was: int) -> None:
-        """Row k has the string of row ``was``; only one of them travels."""
-        mine, theirs = ((self.doc[i], self.tie[i], self.a[i], self.b[i]) for i in (k, was))
+        self.take(strings, (s.docs[owner], s.ties[owner], first - begin, marks, places))
+
+    def take(self, strings: list[bytes], cols: tuple[np.ndarray, ...]) -> None:
+        """Strings and the five columns of their rows."""
+        seen, n = self.seen, len(self.cols[0])
+        at = np.fromiter((seen.setdefault(x, n + k) for k, x in enumerate(strings)), np.int64, len(strings))
+        new = at == np.arange(n, n + len(at))
+        again = np.flatnonzero(~new)
+        if len(again):  # rows are kept for first ones only, so that copies take no memory
+            place = np.cumsum(new) - 1 + n
+            at = np.where(at >= n, place[np.maximum(at - n, 0)], at)
+            for k in np.flatnonzero(new & (place != np.arange(n, n + len(at)))).tolist():
+                seen[strings[k]] = int(place[k])
+        for col, v in zip(self.cols, cols, strict=True):
+            col += v[new].tolist()
+        if len(again):
+            for k, row, d, t, a in zip(at[again].tolist(), again.tolist(), *(c[again].tolist() for c in cols[:3]), strict=True):
+                self.repeat(k, (d, t, a), self.count(strings[row]) - 1)
+        self.held += sum(map(len, strings)) + 200 * int(new.sum()) + 100 * len(again)
+
+    def repeat(self, k: int, mine: tuple[int, int, int], more: int) -> None:
+        """The string of row k, of ``more`` windows beside the first, at another place."""
+        doc, tie, first = self.cols[:3]
+        theirs = doc[k], tie[k], first[k]
         if not self.first_stays:
-            self.known += [mine, theirs]
-        elif mine[:3] < theirs[:3]:
-            self.known.append(theirs)
-            self.doc[was], self.tie[was], self.a[was], self.b[was] = mine
-        elif mine[:3] != theirs[:3]:
-            self.known.append(mine)
+            self.known += [(*mine, mine[2] + more), (*theirs, theirs[2] + more)]
+        elif mine > theirs:
+            self.known.append((*mine, mine[2] + more))
+        elif mine < theirs:
+            self.known.append((*theirs, theirs[2] + more))
+            doc[k], tie[k], first[k] = mine
+
+    def distinct(self) -> tuple[list[bytes], list[np.ndarray]]:
+        kinds = (np.int64, np.int64, np.int64, U, np.int64)
+        return list(self.seen), [np.array(c, k) for c, k in zip(self.cols, kinds, strict=True)]
 
     def blobs(self, buckets: int) -> Iterator[pa.RecordBatch]:
         if not self.seen:
             return
-        strings = list(self.seen)
-        at = np.fromiter(self.seen.values(), np.int64, len(strings))
-        doc, tie, start, place, mark = (np.array(x, k)[at] for x, k in ((self.doc, np.int64), (self.tie, np.int64), (self.a, np.int64), (self.place, np.int64), (self.mark, U)))
+        strings, (doc, tie, start, mark, place) = self.distinct()
         bucket = (mark % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
@@ -303,18 +373,19 @@ class Rows:
 
 
 def span_rows(d, t, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, np.int64)), pa.array(np.asarray(t, np.int32)), pa.array(np.asarray(a, np.int32)), pa.array(np.asarray(b, np.int32))], names=["doc", "tie", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, np.int64)), pa.array(np.asarray(t, np.int64)), pa.array(np.asarray(a, np.int32)), pa.array(np.asarray(b, np.int32))], names=["doc", "tie", "a", "b"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc, tie, text of documents: what tells rows apart, nulls made values.
 
-    The tie is a hash of the text where some id repeats in the table, else 0.
+    The tie is a 64-bit hash of the text where some id repeats in the table, else 0:
+    it only ever tells rows of one id apart.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     repeats = docs.select(doc).groupBy("doc").count().where("count > 1").limit(1).count()
-    return docs.select(doc, (F.hash(text) if repeats else F.lit(0)).alias("tie"), text.alias("text"))
+    return docs.select(doc, (F.xxhash64(text) if repeats else F.lit(0).cast("long")).alias("tie"), text.alias("text"))
 
 
 def with_spans(own: DataFrame, spans: DataFrame) -> DataFrame:
