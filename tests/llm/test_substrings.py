@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from tidemark.llm import substring, suffixes
 from tidemark.llm import superkmers as sk
 from tidemark.llm.queries import op3_superkmer_substring_dedup, op7_suffix_array_dedup
@@ -107,13 +109,67 @@ def test_equal_hashes_are_told_apart():
     assert substring.same_as_first(ids, at, np.zeros(3, np.uint64), 3).tolist() == [-1, -1, 0]
 
 
-def test_transform_against_sorted_suffixes():
+@pytest.mark.parametrize("piece", [5, 64, 1 << 17])
+def test_transform_against_sorted_suffixes(tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(suffixes, "PIECE", piece)
     rng = random.Random(3)
     strings = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(1, 40))) for _ in range(60)]
-    index = suffixes.Index(strings)
-    rows = sorted((s[i:], k) for k, s in enumerate(strings) for i in range(len(s) + 1))
+    places = [rng.randint(0, len(s)) for s in strings]
+    index = suffixes.Index(strings, places, suffixes.Files(f"file://{tmp_path}"))
+    # symbols before the place, then an end, then what follows the place
+    rows = sorted(([*(c + 1 for c in s[i:p]), 0, *s[p:]], i == 0) for s, p in zip(strings, places) for i in range(p + 1))
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    assert index.lcp.tolist() == [0] + [common(a[0], b[0]) for a, b in zip(rows, rows[1:])]
+    true = [common(a[0], b[0]) for a, b in zip(rows, rows[1:])]
+    true = [c - (0 in a[0][:c]) for c, a in zip(true, rows)]  # the end is no symbol
+    assert index.lcp.tolist()[1:] == true
     assert sorted(index.bwt.tolist()) == sorted([0] * 60 + index.text.tolist())
-    want = {(k, i) for k, s in enumerate(strings) for i in range(len(s) - 4) if sum(s[i : i + 5] == t[j : j + 5] for t in strings for j in range(len(t) - 4)) > 1}
-    assert {(int(a), int(b)) for x, y in index.repeated(5) for a, b in zip(x, y)} == want
+    want = set()
+    for k, (s, p) in enumerate(zip(strings, places)):
+        for i in range(p + 1):
+            same = [1 for t, q in zip(strings, places) if q >= p - i and s[i : i + 5] == t[q - p + i :][:5] and len(s[i : i + 5]) == 5]
+            if i <= p < i + 5 and len(same) > 1:
+                want.add((k, i))
+    got = {(int(a), int(b)) for x, y in index.repeated(5) for a, b in zip(x, y)}
+    assert want <= got and all(i + 5 <= p for k, i in got - want for p in [places[k]])
+
+
+def test_long_texts_one_partition_and_repeated_ids(spark, tmp_path, monkeypatch):
+    """Texts over one step of symbols, in one partition, all under few ids."""
+    monkeypatch.setattr(sk, "BUCKET", 500)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(20_000)}" for _ in range(70_000)]
+    long = " ".join(base)
+    rows = [(1, long), (1, " ".join(base[30_000:30_400]) + " end"), (2, "begin " + " ".join(base[-200:])), (None, long[:3000]), (None, long[:2999]), (2, "short"), (2, "short")]
+    monkeypatch.setattr(sk, "CHUNK", 1 << 12)
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).coalesce(1)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    same(op7_suffix_array_dedup(spark, str(tmp_path)).collect(), removed_bytes(rows))
+    # equal ids come in the order of a hash of their texts, which the plain version doesn't know
+    rows = [(10 * k, t) for k, (_, t) in enumerate(rows)] + [(0, long)]
+    spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/b/documents.parquet")
+    same(op3_superkmer_substring_dedup(spark, f"{tmp_path}/b").collect(), removed_words(rows))
+
+
+def test_text_of_more_than_a_step_of_symbols(spark):
+    rng = random.Random(12)
+    unit = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    text = "".join(rng.choice("abcdefghij ") for _ in range(sk.CHUNK + 5000)) + unit
+    df = spark.createDataFrame([(1, text), (2, unit)], "doc_id long, text string")
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(df).collect()}
+    assert out == {1: (len(text), 300, 1), 2: (300, 300, 1)}
+
+
+def test_counts_are_never_too_small(spark, monkeypatch):
+    """A minimiser that every slice holds a few times is found hot."""
+    monkeypatch.setattr(sk, "HOT_LEAST", 60)
+    rows = [(i, f"{i} " * 30 + "alpha beta gamma " * 7 + f"x{i} " * 30) for i in range(100)]
+    own = sk.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(20))
+    total, bits = sk.hot_cells(own, sk.word_slices, 20, 3)
+    plain = {}
+    for _, t in rows:
+        s = next(sk.word_slices(iter([pa.RecordBatch.from_pydict({"a": [1], "b": [0], "c": [t]})])))
+        for _, _, marks, _ in sk.runs(s.codes, s.ends, 20, 3):
+            for c in sk.cell(marks).tolist():
+                plain[c] = plain.get(c, 0) + 1
+    assert total == sum(plain.values())
+    assert set(np.flatnonzero(np.unpackbits(bits)).tolist()) == {c for c, n in plain.items() if n >= 60} != set()
