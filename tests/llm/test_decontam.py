@@ -68,9 +68,10 @@ def test_many_shards_and_empty_tables(spark, monkeypatch):
     items, docs = material()
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {r.doc_id for r in dc.with_leaks(df, bench).where("size(leaks) > 0").collect()}
     monkeypatch.setattr(dc, "SHARD_ITEMS", 60)
     hit = {r.doc_id for r in dc.with_leaks(df, bench).where("size(leaks) > 0").collect()}
-    assert hit >= {i for i in range(0, 300, 5)}
+    assert hit == whole >= {i for i in range(0, 300, 5)}
     assert dc.keep_clean(df, bench).count() == 300 - len(hit)
     assert dc.keep_clean(df, bench.limit(0)).count() == 300
     assert dc.keep_clean(df.limit(0), bench).count() == 0
@@ -78,9 +79,23 @@ def test_many_shards_and_empty_tables(spark, monkeypatch):
 
 def test_shards_find_what_one_index_finds(spark, monkeypatch):
     items, docs = material()
-    bench = spark.createDataFrame([*items, (700, "short one. ok."), (None, "no id here. none.")], "item_id long, text string")
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (700, "short one. ok."), (-1, items[3][1] + " minus"), (None, "no id here but words enough to be found. none of them.")], "item_id long, text string")
+    df = spark.createDataFrame([*docs, (950, "so no id here but words enough to be found. none of them. yes")], "doc_id long, text string")
     told = lambda: {r.doc_id: [(x.item_id, *(round(v, 9) for v in x[1:])) for x in r.leaks] for r in dc.with_leaks(df, bench).collect()}
     whole = told()
-    monkeypatch.setattr(dc, "SHARD_ITEMS", 20)
-    assert told() == whole and sum(map(len, whole.values())) >= 60
+    assert [x[0] for x in whole[950]] == [None] and sum(map(len, whole.values())) >= 60
+    for size in (40, 12):
+        monkeypatch.setattr(dc, "SHARD_ITEMS", size)
+        assert told() == whole
+
+
+def test_clashing_columns_long_texts_and_repeated_rows(spark):
+    items, _ = material()
+    long = "word " * 400_000 + items[7][1] + " word" * 1000
+    rows = [(1, "nothing", "keep", 5), (1, "nothing", "keep", 5), (2, long, "keep", 5), (3, None, "keep", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, leaks string, item_id int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = dc.with_leaks(df, bench)
+    assert out.columns == [*df.columns, "leaks_"]
+    assert [x.item_id for r in out.where("doc_id = 2").collect() for x in r.leaks_] == [7]
+    assert sorted(map(tuple, dc.keep_clean(df, bench).collect()), key=str) == sorted((r for r in rows if r[0] != 2), key=str)

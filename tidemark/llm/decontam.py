@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, fresh
 
 SHARD_CHARS, SHARD_ITEMS = 8 << 20, 4096
 BLOCK = 16
@@ -89,7 +89,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], params: Params, stats: Stats | None = None):
         self.params = params
         kept = [(i, t) for i, t in items if words_of(t)]
-        self.ids = [i for i, _ in kept]
+        self.ids = [i for i, _ in kept]  # a null id stays null
         bags = [Counter(words_of(t)) for _, t in kept]
         self.qa = [question_answer(t) for _, t in kept]
         if stats is None:
@@ -263,7 +263,7 @@ def leaks(index: Index, codes: Codes, texts: list[str]) -> list[list[tuple]]:
                 best[o, item] = max(best.get((o, item), (0,)), (score, q, ans))
     for (o, item), got in best.items():
         out[o].append((index.ids[item], *got))
-    return [sorted(x) for x in out]
+    return [sorted(x, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:])) for x in out]
 
 
 def shards(benchmark: DataFrame) -> int:
@@ -275,11 +275,13 @@ LEAK = "array<struct<item_id: long, score: double, question: double, answer: dou
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, params: Params | None = None, out: str = "leaks") -> DataFrame:
-    """``docs`` with an array of the test items found in each row's whole text.
+    """``docs`` with a last column, an array of the test items found in each row's whole text.
 
-    Null and empty texts hold none; so do items without words. Repeated rows
-    get the same answer. Columns of ``docs`` stay as they are.
+    The column is called ``out``, with underscores appended if ``docs`` has that
+    name. Null and empty texts hold none; so do items without words. Repeated rows
+    get the same answer; an item without an id is found under a null one.
     """
+    (out,) = fresh(docs, out)
     params = params or Params()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n = shards(items)
@@ -287,10 +289,10 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, params: Params | None = No
     own_stats = _stats(items, n) if n > 1 else lambda k: None
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # one shard: about SHARD_ITEMS rows
-        held = docs.sparkSession.sparkContext.broadcast((sorted(((-1 if i is None else i), t) for i, t in own), own_stats(k)))
+        held = docs.sparkSession.sparkContext.broadcast((sorted(map(tuple, own), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), own_stats(k)))
         found = F.concat(found, _lookup(held, params)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     if n > 1:
-        found = F.array_sort(found)
+        found = F.array_sort(found, lambda a, b: F.when(a["item_id"].eqNullSafe(b["item_id"]), F.when(a < b, -1).when(a > b, 1).otherwise(0)).when(a["item_id"].isNull() | (a["item_id"] < b["item_id"]), -1).otherwise(1))
     return docs.withColumn(out, found)
 
 
@@ -338,5 +340,5 @@ def _lookup(held, params: Params):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, params: Params | None = None) -> DataFrame:
     """Rows that hold no test item."""
-    name = "__leaks"
+    (name,) = fresh(docs, "leaks")
     return with_leaks(docs, benchmark, params, name).where(F.size(name) == 0).drop(name)
