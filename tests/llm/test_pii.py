@@ -1,9 +1,13 @@
+import hashlib
+import math
+import random
 import re
 import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tidemark.llm import pii
+from tidemark.llm.queries import op9_pii_sanitisation
 
 
 def by_regex(text):
@@ -68,3 +72,65 @@ def test_rare_entities(spark):
 
 def test_empty_table(spark):
     assert pii.sanitise(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def plain_terms(texts, alpha=0.8, z=1.96):
+    """Disclosing (entity, term) by counting everything in lists."""
+    n = len(texts)
+    words = [set(re.findall(r"[^\W\d_]{4,}", t.lower())) for t in texts]
+    own = []
+    for t in texts:
+        found = []
+        for kind, a, b in by_regex(t):
+            v = t[a:b].lower() if kind == "email" else re.sub("[^0-9]", "", t[a:b]) if kind != "ip" else t[a:b]
+            left = re.findall(r"[^\W\d_]{4,}", t[max(0, a - 320) : a].lower())[-8:]
+            right = re.findall(r"[^\W\d_]{4,}", t[b : b + 320].lower())[:8]
+            found.append(((kind, v), tuple(left + right)))
+        own.append(found)
+    out = {}
+    for e in {e for f in own for e, _ in f}:
+        n_entity = sum(any(x == e for x, _ in f) for f in own)
+        content = math.log2(n / n_entity)
+        for term in {w for f in own for x, c in f if x == e for w in c}:
+            both = sum(any(x == e and term in c for x, c in f) for f in own)
+            ctx = len({c for f in own for x, c in f if x == e and term in c})
+            share = min(1, both / sum(term in w for w in words))
+            m = ctx / share
+            low = (share + z * z / (2 * m) - z * math.sqrt(share * (1 - share) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            if content > 0 and math.log2(n * low / n_entity) >= alpha * content:
+                out.setdefault(term, set()).add(e)
+    return out
+
+
+def test_query_against_plain_counts(spark, tmp_path):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(700)]
+    rows = []
+    for i in range(1500):
+        w = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.choice([0, 0, 0, 1, 3])):
+            k = rng.randrange(25)
+            w.insert(rng.randint(0, len(w)), f"{vocab[k]}secret{'x' * (k % 5)} u{k}@mail.example" if k % 2 else f"10.0.{k}.7 code{vocab[k]}")
+        rows.append((i, " ".join(w)))
+    rows += [(None, "mail u1@mail.example"), (3, rows[3][1]), (4, "a text of a repeated id"), (1600, None), (1601, "")]
+    texts = [t or "" for _, t in rows]
+    spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in op9_pii_sanitisation(spark, str(tmp_path)).collect()), key=str)
+    terms = plain_terms(texts)
+    assert len(terms) >= 5
+    want = []
+    for d, t in rows:
+        base = by_regex(t or "")
+        taken = [(a, b) for _, a, b in base]
+        more = [("term", *m.span()) for m in re.finditer(r"[^\W\d_]{4,}", t or "") if m.group().lower() in terms and not any(a < m.end() and m.start() < b for a, b in taken)]
+        told = lambda s: ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+        n = [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+        want.append((d, *n, hashlib.sha256(told(base).encode()).hexdigest(), told(base + more)))
+    assert got == sorted(want, key=str) and any("term:" in r[-1] for r in got)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "write to a@b.example", "one", "two", "three", 4), (1, "write to a@b.example", "one", "two", "three", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii string, terms string, doc string, tie int")
+    out = pii.sanitise(df)
+    assert out.columns == [*df.columns, "pii_"] and [tuple(r)[:6] for r in out.collect()] == rows

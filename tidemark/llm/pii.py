@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, checkpointed
+from tidemark.llm.common import NULL_ID, checkpointed, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, BITS = 8, 1 << 22
@@ -222,7 +222,7 @@ def _asked(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc", "tie", "term"])
 
     met = _keyed(docs).mapInArrow(words, "doc long, tie long, term string").join(found.select("term").distinct(), "term")
-    return met.groupBy("doc", "tie").agg(F.collect_set("term").alias("__terms"))
+    return met.groupBy("doc", "tie").agg(F.collect_set("term").alias("terms"))
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
@@ -263,9 +263,9 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame, alpha: float = 0.8, z: float = 1.96, with_text: bool = True) -> DataFrame:
-    """Every row and column of ``docs`` beside a struct ``pii`` (``RESULT``).
+    """Every row and column of ``docs``, and last a struct ``pii`` (``RESULT``).
 
-    Counts are longs; ``base`` and ``spans`` list kind:start:end in code points;
+    It is called so with underscores appended if ``docs`` has that name. Counts are longs; ``base`` and ``spans`` list kind:start:end in code points;
     ``clean`` is the text without them (null text stays null, null without
     ``with_text``). Repeated rows get the same result; rows whose doc_id repeats
     are told apart by their texts.
@@ -279,10 +279,11 @@ def sanitise(docs: DataFrame, alpha: float = 0.8, z: float = 1.96, with_text: bo
             rows = [find(t, set(() if own is None else own), with_text) for t, own in zip(texts, lists, strict=True)]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")])
 
+    doc, tie, own, out = fresh(docs, "doc", "tie", "terms", "pii")
     return (
-        docs.withColumns({"__doc": _long("doc_id"), "__tie": F.xxhash64(text)})
-        .join(terms.withColumnsRenamed({"doc": "__doc", "tie": "__tie"}), ["__doc", "__tie"], "left")
-        .withColumn("pii", apply(text, "__terms")).select(*docs.columns, "pii")
+        docs.withColumns({doc: _long("doc_id"), tie: F.xxhash64(text)})
+        .join(terms.withColumnsRenamed({"doc": doc, "tie": tie, "terms": own}), [doc, tie], "left")
+        .withColumn(out, apply(text, own)).select(*docs.columns, out)
     )
 
 
