@@ -1,3 +1,4 @@
+import re
 import time
 
 from tidemark.llm import template
@@ -68,3 +69,88 @@ def test_large_host_is_dealt_out(spark):
 
 def test_empty_table(spark):
     assert template.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def deduced(pages):
+    """Main text of (page_id, url, html) by counting every token of a host on every page."""
+    parsed = {k: template.Page(h or "").blocks for k, _, h in pages}
+    hosts = {}
+    for k, u, _ in pages:
+        hosts.setdefault(re.sub("^[a-z]+://", "", u or "").split("/")[0].lower(), []).append(k)
+    out = {}
+    for own in hosts.values():
+        distinct = list({tuple(parsed[k]): k for k in own}.values())
+        vectors = {}
+        for n, k in enumerate(distinct):
+            for path, text, *_ in parsed[k]:
+                for t in ((path,), (path, text)):
+                    vectors.setdefault(t, [0] * len(distinct))[n] += 1
+        vectors["page"] = [1] * len(distinct)
+        classes = {}
+        for t, v in vectors.items():
+            if sum(x > 0 for x in v) >= 3:
+                classes.setdefault(tuple(v), set()).add(t)
+        classes = {v: c for v, c in classes.items() if any(len(t) == 2 for t in c) and not all(len(t) == 2 for t in c)}
+        for k in own:
+            seq = [t for path, text, *_ in parsed[k] for t in ((path,), (path, text))]
+            tuples = {}
+            for v, c in classes.items():
+                at = [(i, t) for i, t in enumerate(seq) if t in c]
+                if at:
+                    n = len({t for _, t in at})
+                    groups = [at[i : i + n] for i in range(0, len(at), n)]
+                    if all([t for _, t in g] == [t for _, t in groups[0]] for g in groups):
+                        tuples[v] = [[i for i, _ in g] for g in groups]
+            while True:
+                gap = lambda g, i: sum(x < i for x in g)
+                apart = lambda a, b: len({gap(a, i) % len(a) for i in b}) > 1
+                crossing = [(v, w) for v in tuples for w in tuples if v != w and any(apart(a, b) and apart(b, a) for a in tuples[v] for b in tuples[w])]
+                if not crossing:
+                    break
+                del tuples[min((x for p in crossing for x in p), key=lambda v: sum(x > 0 for x in v))]
+            fixed = {t for v in tuples for t in classes[v]}
+            out[k] = template.main_text([(text, a, m) for path, text, a, m in parsed[k] if (path, text) not in fixed])
+    return out
+
+
+def test_against_counting_every_token(spark):
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    shell = "<body><div>Site name</div><div class=a><p>{0}</p><span>by</span><ul><li>one {0}</li><li>tag</li></ul></div><p>{1}</p><div>Legal</div></body>"
+    rows += [(10_000 + k, f"http://made.example/{k}", shell.format(f"story {k}", "sold out" if k % 3 else f"only {k}")) for k in range(12)]
+    rows += [(10_100 + k, f"http://swap.example/{k}", "<body><p>a {}</p><b>x</b><div>left</div><p>t{}</p><div>right</div></body>".format(*([k, k] if k % 2 else [k, 0]))) for k in range(9)]
+    rows += [(10_200, "http://swap.example/turned", "<body><div>right</div><p>turned</p><p>z</p><div>left</div></body>")]
+    got = {r.page_id: r.main_text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == deduced(rows)
+    assert got[10_003] == "story 3\nby\none story 3\ntag\nonly 3" or "Legal" not in got[10_003]
+
+
+def test_crossing_classes_are_not_nested():
+    classes = {1: (100, 9), 2: (100, 9), 3: (200, 5), 4: (200, 5), 5: (300, 7)}
+    assert template.nested([1, 3, 5, 4, 2], classes) == {100, 200, 300}
+    assert template.nested([1, 3, 2, 4], classes) == {100}
+    assert template.nested([1, 2, 1, 2], classes) == {100} and template.nested([1, 2, 2, 1], classes) == set()
+
+
+def test_articles_without_their_tags(spark):
+    """Sites whose articles stand in a div: what the host repeats goes, the article is found."""
+    page = "<body><div>Site {h}</div><nav>menu</nav><div class=x><{t}><h1>Title {k}</h1><p>Text {q}</p><p>Follow us daily</p></{t}></div><div>Impressum {h}</div></body>"
+    rows = [(100 * h + k, f"http://h{h}.example/{k}", page.format(h=h, k=k, q="q" * (k + 1), t=t)) for h, t in enumerate(["article", "main", "div"]) for k in range(8)]
+    got = {r.page_id: r.main_text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[100 * h + k] == f"Title {k}\nText {'q' * (k + 1)}" for h in range(3) for k in range(8))
+
+
+def test_teasers_repeated_rows_and_clashes(spark):
+    page = "<main><div><article>teaser</article></div><p>real text of the page</p></main>"
+    same = "<p>hello world</p><p>second</p>"
+    rows = [(1, "http://a.example/", page, "k", 1, "m")] + [(k, "http://b.example/", same, "k", 1, "m") for k in (2, 2, 2)] + [(3, "http://c.example/", same, "k", 1, "m")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, template string, host int, main_text string")
+    out = template.extract(df)
+    assert out.columns == [*df.columns, "main_text_"]
+    got = sorted(map(tuple, out.collect()))
+    assert [r[:6] for r in got] == sorted(rows) and got[0][6] == "teaser\nreal text of the page" and {r[6] for r in got[1:]} == {"hello world\nsecond"}
+
+
+def test_very_long_page(spark):
+    html = "<article>" + "".join(f"<p>paragraph {k} of it</p>" for k in range(60_000)) + "</article>"
+    out = template.extract(spark.createDataFrame([(1, "http://a.example/", html)], "page_id long, url string, html string")).collect()
+    assert out[0].main_text.count("\n") == 59_999

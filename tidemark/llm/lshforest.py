@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, checkpointed, fresh, partitions
+from tidemark.llm.common import NULL_ID, checkpointed, fresh, joined, partitions
 from tidemark.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -190,20 +190,6 @@ def trie_nodes(entries: DataFrame, total: int, shortest: int, deepest: int, simi
     return cold.unionByName(narrow).unionByName(wide)
 
 
-def joined(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str = "cnt") -> DataFrame:
-    """``rows`` of groups by ``key`` with the facts of their group, one of which is its number of rows.
-
-    Groups of more than a quarter of a partition's share of the ``total`` rows are
-    fewer than four for each partition. Their facts are broadcast, so that the
-    rows of a hot key stay where they are. Groups without facts go.
-    """
-    most = max(BLOCK, total // (4 * partitions(rows.sparkSession)))
-    large = facts.where(F.col(count) > most)
-    told = rows.join(F.broadcast(large.withColumn("is_large", F.lit(True))), key, "left")
-    light = told.where("is_large is null").select(*rows.columns).join(facts.where(F.col(count) <= most), key)
-    return light.unionByName(told.where("is_large").drop("is_large"))
-
-
 def forest(links: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n items by a square matrix of links."""
     n = len(links)

@@ -1,24 +1,27 @@
 """Main text of web pages by template deduction.
 
-Pages are read as tokens: tags, and text blocks with the path of elements they
-stand in. For every host, tokens (a path, and for blocks whether their text
-changes) are grouped by their occurrence vector over the host's pages, kept as a
-commutative fingerprint so that it is summed on both sides of a shuffle and no
-host's pages ever meet in one task. Pages of a host with equal blocks (repeated
-rows, mirrors) count once. Tokens of equal vectors on ``SUPPORT`` or more different
-pages make an equivalence class; it is valid if it holds a tag path or the page itself,
-so that it nests. Texts of a valid class are template; what remains are slots.
-
-Slots decide on every page. Where some of a page's slots stand in an article
-element (or else in a main element), that is evidence that the others aren't main
-text; an article that is all template is none. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments are left out before.
+Pages are read as tokens: text blocks' paths of elements, and the texts that stand
+there. For every host, tokens are grouped by their occurrence vector over the
+host's pages, kept as a commutative fingerprint so that it is summed on both sides
+of a shuffle and no host's pages ever meet in one task. Pages of a host with equal
+blocks (repeated rows, mirrors) count once. Tokens of equal vectors on ``SUPPORT`` or
+more different pages, and on one page in ``RARE`` of the host, make an equivalence
+class, if it holds a tag path or the page itself: so a host's classes have at most
+``RARE`` times as many tokens as a page, however many pages it has.
+
+On each page the host's classes are nested (``nested``): a class whose tokens don't
+come in one order, repeated whole, or whose tuples cross those of a class of more
+pages, isn't valid there. Texts of valid classes are template; what remains are slots.
+Of a page's slots, those in article elements are taken, or those in main elements
+if they are over twice as much, or all. Menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments are left out before.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +31,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import checkpointed, fresh, joined, partitions
 
-SUPPORT = 3
+SUPPORT, RARE = 3, 1000
 #: Fixed values of HTML: elements without content, elements of raw text, elements that open a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -161,11 +164,57 @@ class Page:
             if t in scope:
                 return
 
-    def main(self, template: set[int] | None = None) -> str:
-        """Blocks that aren't template: those in an article, else in main, else all."""
-        slots = [b for b in self.blocks if not template or key(b[0], b[1]) not in template]
-        own = [b for b in slots if b[2]] or [b for b in slots if b[3]] or slots
-        return "\n".join(t for _, t, _, _ in own)
+    def main(self) -> str:
+        """Main text of a page that no template is known for."""
+        return main_text([(t, a, m) for _, t, a, m in self.blocks])
+
+
+def main_text(slots: list[tuple[str, bool, bool]]) -> str:
+    """Slots (text, in an article, in a main element) in articles, in main elements if over twice as much, or all."""
+    article, main = [s for s in slots if s[1]], [s for s in slots if s[1] or s[2]]
+    size = lambda own: sum(len(t) for t, _, _ in own)
+    whole = any(m for _, _, m in slots)
+    own = article if article and not (whole and size(main) > 2 * size(article)) else main if whole else article or slots
+    return "\n".join(t for t, _, _ in own)
+
+
+def nested(tokens: list[int], classes: dict[int, tuple[int, int]]) -> set[int]:
+    """Classes that are valid on a page, from its tokens in order and the (class, pages) of those that have one.
+
+    Every class has to come as whole tuples of its tokens in one order, and its
+    tuples must nest with those of the others; of two that cross, the one of
+    fewer pages goes.
+    """
+    met: dict[int, list[int]] = {}
+    weight = {}
+    for t in tokens:
+        if t in classes:
+            c, weight[c] = classes[t][0], classes[t][1]
+            met.setdefault(c, []).append(t)
+    order = {}
+    for c, seq in met.items():
+        k = len(set(seq))
+        if seq == seq[:k] * (len(seq) // k):
+            order[c] = seq[:k]
+    while True:
+        stack: list[list] = []  # open tuples: class, tokens so far
+        crossed = None
+        for t in tokens:
+            c = classes[t][0] if t in classes else None
+            if c not in order:
+                continue
+            if stack and stack[-1][0] == c:
+                stack[-1][1] += 1
+            elif any(s[0] == c for s in stack):
+                crossed = min(c, stack[-1][0], key=lambda x: (weight[x], x))
+                break
+            else:
+                stack.append([c, 1])
+            if stack[-1][1] == len(order[c]):
+                stack.pop()
+        if crossed is None:
+            return set(order)
+        del order[crossed]
 
 
 def key(path: str, text: str = "") -> int:
@@ -173,68 +222,87 @@ def key(path: str, text: str = "") -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\x00{text}") - 2**63
 
 
+#: Token of the page itself.
+PAGE = key("\x01")
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)", 1))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and the texts (path and text) of its template, from all its pages (host, html); pages of equal blocks count once."""
+    """host and its classes' tokens (class, token, pages one after another), from all its pages (host, html); pages of equal blocks count once."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(4)]
             for name, source in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                seen: dict[tuple[str, str], int] = {("", ""): 1}  # the page itself
                 blocks = Page(source).blocks
                 page = xxhash.xxh3_128_hexdigest("\x00".join(f"{path}\x00{text}" for path, text, _, _ in blocks))
-                for path, text, _, _ in blocks:
-                    for t in ("", text):
-                        seen[path, t] = seen.get((path, t), 0) + 1
-                for (path, t), n in seen.items():
+                seen = Counter(x for path, text, _, _ in blocks for x in ((key(path), False), (key(path, text), True)))
+                seen[PAGE, False] = 1
+                for (token, is_text), n in seen.items():
                     vector = xxhash.xxh3_64_intdigest(f"{page}\x00{n}") >> 24  # summed: the fingerprint of an occurrence vector
-                    for col, v in zip(cols, (name, key(path), key(path, t), bool(t), vector), strict=True):
+                    for col, v in zip(cols, (name, token, is_text, vector), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["host", "path", "token", "is_text", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["host", "token", "is_text", "vector"])
 
-    counted = (
-        pages.select("host", "html").mapInArrow(tokens, "host string, path long, token long, is_text boolean, vector long").distinct()
-        .groupBy("host", "path", "token", "is_text").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"))
+    counted = checkpointed(
+        pages.select("host", "html").mapInArrow(tokens, "host string, token long, is_text boolean, vector long").distinct()
+        .groupBy("host", "token", "is_text").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"))
         .where(F.col("pages") >= SUPPORT)
     )
-    # classes that hold a tag path or the page itself nest in the pages; a text in one of them stands as often wherever they do
-    nested = counted.where("not is_text").select("host", "vector").distinct()
-    fixed = counted.where("is_text").join(nested, ["host", "vector"])
-    return fixed.groupBy("host").agg(F.collect_set("token").alias("template"))
+    hosts = counted.groupBy("host").agg(F.max(F.when(F.col("token") == PAGE, F.col("pages"))).alias("of"), F.count(F.lit(1)).alias("cnt"))
+    fit = joined(counted, hosts, "host", counted.count()).where(F.col("pages") * RARE >= F.col("of")).withColumn("class", F.xxhash64("vector", "pages"))
+    # classes that hold a tag path or the page itself, and a text
+    own = fit.groupBy("host", "class").agg(F.bool_and("is_text").alias("loose"), F.bool_or("is_text").alias("told"), F.collect_set("token").alias("tokens"), F.max("pages").alias("pages"))
+    found = own.where("told and not loose").select("host", "class", F.explode("tokens").alias("token"), "pages").where(F.col("token") != PAGE)
+    return found.groupBy("host").agg(F.flatten(F.collect_list(F.array("class", "token", "pages"))).alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Every row and column of ``pages`` beside ``main_text``.
+    """Every row and column of ``pages``, and last ``main_text`` (underscores appended if the name is taken).
 
     pages: url and html among other columns. Null html is empty, and so is the
     text where nothing remains; a null url is a host of its own name "". Repeated
     rows and copies under other urls stay rows, but are one page of their host's template.
     """
+    name, part, blocks, template, out = fresh(pages, "host", "part", "blocks", "template", "main_text")
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    own = pages.withColumn("__host", host(F.col("url")))
-    slim = own.select(F.col("__host").alias("host"), source.alias("html"))
-    known = templates(slim).withColumnRenamed("host", "__host")
+    known = templates(pages.select(host(F.col("url")).alias("host"), source.alias("html"))).withColumnsRenamed({"host": name, "template": template})
+
+    @F.pandas_udf("tokens binary, flags binary, texts string")
+    def blocks_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """A page's blocks: two tokens and a flag byte for each, texts a line each."""
+        for sources in batches:
+            rows = []
+            for s in sources:
+                own = Page(s).blocks
+                tokens = np.array([k for path, t, _, _ in own for k in (key(path), key(path, t))], np.int64)
+                rows.append((tokens.tobytes(), bytes(a + 2 * m for _, _, a, m in own), "\n".join(t for _, t, _, _ in own)))
+            yield pd.DataFrame(rows, columns=["tokens", "flags", "texts"])
 
     @F.pandas_udf("string")
-    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        last, held = None, set()
-        for sources, lists in batches:
-            out = []
-            for s, t in zip(sources, lists, strict=True):
-                if t is not last:
-                    last, held = t, set() if t is None else set(np.asarray(t).tolist())
-                out.append(Page(s).main(held))
-            yield pd.Series(out, dtype=object)
-
-    # pages meet their template by host; hosts that would outgrow a task are dealt over all, each part with a copy of the template
+    def text(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
+        last, classes = b"", {}
+        for own, lists in batches:
+            got = []
+            for tokens, flags, texts, t in zip(own["tokens"], own["flags"], own["texts"], lists, strict=True):
+                told = b"" if t is None else t.tobytes()
+                if told != last:
+                    last, classes = told, {k: (c, n) for c, k, n in np.frombuffer(told, np.int64).reshape(-1, 3).tolist()}
+                keys = np.frombuffer(tokens, np.int64).tolist()
+                valid = nested(keys, classes) if classes else set()
+                slots = [(x, bool(f & 1), bool(f & 2)) for x, f, k in zip(texts.split("\n"), flags, keys[1::2]) if k not in classes or classes[k][0] not in valid]
+                got.append(main_text(slots))
+            yield pd.Series(got, dtype=object)
+
+    # pages meet their template by host; hosts that would outgrow a task are dealt over all, each part with a copy of the bounded template
     n = partitions(pages.sparkSession)
-    sizes = own.groupBy("__host").agg(F.count(F.lit(1)).alias("n"))
-    large = [r[0] for r in sizes.where(F.col("n") > max(1000, own.count() // n)).select("__host").collect()]  # fewer than n hosts
-    is_large = F.col("__host").isin(large)
-    own = own.withColumn("__part", F.when(is_large, F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).otherwise(0))
-    known = known.withColumn("__part", F.explode(F.when(is_large, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
-    return own.join(known, ["__host", "__part"], "left").withColumn("main_text", text(source, "template")).select(*pages.columns, "main_text")
+    sizes = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    large = [r[0] for r in sizes.where(F.col("n") > max(1000, pages.count() // n)).select("host").collect()]  # fewer than n hosts
+    own = pages.withColumns({name: host(F.col("url")), blocks: blocks_of(source)})
+    is_large = F.col(name).isin(large)
+    own = own.withColumn(part, F.when(is_large, F.pmod(F.xxhash64(F.col(blocks)["texts"], F.monotonically_increasing_id()), F.lit(n)).cast("int")).otherwise(0))
+    known = known.withColumn(part, F.explode(F.when(is_large, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
+    return own.join(known, [name, part], "left").withColumn(out, text(blocks, template)).select(*pages.columns, out)
