@@ -15,9 +15,9 @@ def brute(rows, k=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [4096, 2])
-def test_neighbours_against_brute_force(spark, tmp_path, monkeypatch, block):
-    monkeypatch.setattr(ann, "BLOCK", block)
+@pytest.mark.parametrize("chunk", [16_384, 200, 30])
+def test_neighbours_against_brute_force(spark, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(ann, "CHUNK", chunk)
     rng = np.random.default_rng(1)
     rows = [(i, rng.standard_normal(16).round(2).tolist()) for i in range(900)]
     rows += [(1000 + i, rows[100][1]) for i in range(40)]  # ties
@@ -39,6 +39,27 @@ def test_few_and_no_vectors(spark, tmp_path):
     assert [tuple(r) for r in ann.search(df, df.where("vec_id = 0")).collect()] == [(0, 1, 5, 1.0)]
     assert ann.search(df.limit(0), df.limit(0)).collect() == []
     assert ann.search(df, df.limit(0)).collect() == []
+    other = spark.createDataFrame([(7, [1.0]), (8, [2.0]), (9, [1.0, 2.5])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in ann.search(df, other).collect()] == [(9, 1, 0, 0.5), (9, 2, 5, 5**0.5 / 2)]
+
+
+def test_recall_and_work_on_a_given_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, df.where("vec_id % 100 = 0")).collect()}
+    want = {(q, i) for q, _, i, _ in brute(rows)}
+    assert len(got & want) >= 0.99 * len(want) and len(got) == len(want)
+
+
+def test_far_cells_are_not_visited(spark, monkeypatch):
+    """Queries in tight groups meet their own cells only, and find what brute force finds."""
+    monkeypatch.setattr(ann, "CHUNK", 100)
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.eye(8)[i % 8] * 50 + rng.standard_normal(8)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(df, df.where("vec_id % 100 = 0")).collect()))
+    want = brute(rows)
+    assert len({r[:3] for r in got} & {r[:3] for r in want}) >= 0.99 * len(want)
 
 
 def test_pages_against_sql(spark, tmp_path):
