@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import dims
 
 
@@ -47,9 +49,41 @@ def regression_report(flags: DataFrame) -> DataFrame:
     return own.select(F.format_string("| %s | %s | %d | %s |", "severity", "kind", "n", F.col("first_id").cast("string")).alias("line"), "severity", "kind", "n")
 
 
+def unique_names(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key, name, unique_name: names taken in order of the key; one that is taken gets _2, _3 or so before its extension.
+
+    Where no name of the table looks like a numbered one of another, the number is
+    the row's place among equal names. Families of names in which some do are
+    gone through in order, one task for each family.
+    """
+    ext = text.extension(F.col(name))
+    stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(ext))
+    root = F.concat(F.regexp_replace(stem, r"(_[0-9]+)+$", ""), F.lit("|"), ext)
+    own = rows.select(key, name, stem.alias("stem"), ext.alias("ext"), root.alias("family"))
+    mixed = own.groupBy("family").agg(F.count_distinct(name).alias("n")).where("n > 1").select("family")
+    plain = own.join(mixed, "family", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy(name).orderBy(key)))
+    numbered = F.concat("stem", F.lit("_"), F.col("k").cast("string"), "ext")
+    simple = plain.select(key, name, F.when(F.col("k") == 1, F.col(name)).otherwise(numbered).alias("unique_name"))
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        pdf = pdf.sort_values(key)
+        for whole, s, e in zip(pdf[name], pdf["stem"], pdf["ext"], strict=True):
+            got, n = whole, 2
+            while got in used:
+                got, n = f"{s}_{n}{e}", n + 1
+            used.add(got)
+            out.append(got)
+        return pd.DataFrame({key: pdf[key], name: pdf[name], "unique_name": out})
+
+    kinds = dict(rows.dtypes)
+    rest = own.join(mixed, "family", "left_semi").groupBy("family").applyInPandas(in_order, f"{key} {kinds[key]}, {name} string, unique_name string")
+    return simple.unionByName(rest)
+
+
 def summaries(reports: DataFrame) -> DataFrame:
     """One line for each render report: loudness before and after, gain, peak and passes."""
-    level = lambda c: F.coalesce(F.format_string("%.1f", c), F.lit("silent"))
+    level = lambda c: F.when(F.col(c).isNull(), "silent").otherwise(F.format_string("%.1f", c))
     return reports.select("clip_id", F.concat_ws(", ", F.concat(level("loudness_before"), F.lit(" to "), level("loudness_after"), F.lit(" LUFS")), F.format_string("gain %.1f dB", "gain_db"), F.format_string("peak %.2f dBTP", "true_peak_db"), F.concat(F.col("passes").cast("string"), F.lit(" passes"))).alias("summary"))
 
 

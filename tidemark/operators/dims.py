@@ -121,6 +121,29 @@ def param_spec(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "key string, kind string, fallback string, low double, high double, choices array<string>")
 
 
+#: Parameters that a preview leaves out.
+EXPORT_ONLY = ("ceiling", "transAttack", "transSustain", "dither")
+
+
+def preview_divergences(spark: SparkSession) -> DataFrame:
+    """key, kind, fallback of the parameters that sound in an export only."""
+    return param_spec(spark).where(F.col("key").isin(*EXPORT_ONLY)).select("key", "kind", "fallback")
+
+
+def audition_groups(spark: SparkSession) -> DataFrame:
+    """speaker_id, group: the ring that soloing a speaker belongs to."""
+    ear = F.col("ring").isin("ear", "sub")
+    az = F.abs("azimuth_adm")
+    group = F.when(F.col("lfe"), "sub").when(F.col("ring") == "ground", "side").when(~ear, "height").when((F.col("speaker_id") == "C") | (az <= 70), "front").when(az > 130, "rear").otherwise("side")
+    return speakers(spark).select("speaker_id", group.alias("group"))
+
+
+def placements(spark: SparkSession) -> DataFrame:
+    """speaker_id and its unit vector from the listener: x right, y up, z back."""
+    a, e = F.radians("azimuth_hrtf"), F.radians("elevation")
+    return speakers(spark).select("speaker_id", (F.sin(a) * F.cos(e)).alias("x"), F.sin(e).alias("y"), (-F.cos(a) * F.cos(e)).alias("z"))
+
+
 def defaults() -> dict[str, str]:
     return {r[0]: r[2] for r in _lines(PARAMETERS)}
 

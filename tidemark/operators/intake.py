@@ -67,6 +67,22 @@ def presets(texts: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: the rate at which clips are decoded whose own rate is unknown or refused.
+FALLBACK_RATE = 48_000
+
+
+def decode_rate(sniffed: Column, live: Column, supported: Column) -> Column:
+    """The first of a file's own rate, the fallback and the device's rate that is supported; else the device's."""
+    tried = F.filter(F.array(sniffed, F.lit(FALLBACK_RATE), live), lambda x: x.isNotNull() & (x > 0) & F.array_contains(supported, x))
+    return F.coalesce(F.try_element_at(tried, F.lit(1)), live)
+
+
+def dual_mono(chunks: DataFrame) -> DataFrame:
+    """Chunks (clip_id, channel, ...) in which clips of one channel have it twice, as 0 and 1; others stay."""
+    mono = chunks.groupBy("clip_id").agg(F.max("channel").alias("last")).where("last = 0").select("clip_id")
+    return chunks.unionByName(chunks.join(mono, "clip_id", "left_semi").withColumn("channel", F.lit(1).cast(chunks.schema["channel"].dataType)))
+
+
 def family(settings: Column) -> Column:
     """creative if a degrading setting is on, else mastering."""
     on = [F.coalesce(F.element_at(settings, k).try_cast("double"), F.lit(0.0)) != 0 for k in DEGRADING]

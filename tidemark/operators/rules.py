@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clamp, js_round, smoothstep
+from tidemark.functions.text import format_bytes
 
 #: Thresholds of source classes (LUFS, LU, dB, correlation).
 LOUD, QUIET, NEAR_TARGET = -11.0, -20.0, 2.0
@@ -215,6 +216,26 @@ def audio_memory(channels: Column, frames: Column, sample_bytes: int = 4) -> Col
     return channels.cast("bigint") * frames.cast("bigint") * sample_bytes
 
 
+#: Shares of a clip's bytes that each part of a job holds, unless told otherwise.
+HELD = {"source": 1.0, "dsp": 1.0, "analysis": 0.0, "encoding": 0.0, "output": 0.0}
+
+
+def memory_plan(channels: Column, frames: Column, budget: Column, immersive_channels: Column | int = 0, sample_bytes: int = 4, **held: float) -> Column:
+    """Bytes that each part of a job holds, their sum, its class and a label."""
+    one = F.greatest(channels, F.lit(0)).cast("bigint") * F.greatest(frames, F.lit(0)).cast("bigint") * sample_bytes
+    around = immersive_channels if isinstance(immersive_channels, Column) else F.lit(immersive_channels)
+    parts = {f"{k}_bytes": one * float(v) for k, v in (HELD | held).items()} | {"immersive_bytes": (around.cast("bigint") * F.greatest(frames, F.lit(0)).cast("bigint") * sample_bytes).cast("double")}
+    peak = reduce(lambda a, b: a + b, parts.values())
+    label = F.concat(F.lit("Expected peak: approximately "), format_bytes(peak))
+    return F.struct(*(v.alias(k) for k, v in parts.items()), peak.alias("peak_bytes"), memory_class(peak, budget).alias("memory_class"), label.alias("label"))
+
+
+def tonal_regions(bands: Column) -> Column:
+    """Means of the two lowest, the middle and the two highest of eight band levels; null for fewer bands."""
+    mean = lambda i, k: (F.element_at(bands, i) + F.element_at(bands, k)) / 2
+    return F.when(F.size(bands) >= 8, F.struct(mean(1, 2).alias("bass_db"), mean(4, 5).alias("presence_db"), mean(7, 8).alias("treble_db")))
+
+
 def requires_stereo() -> Column:
     c = F.col
     return (c("width") != 1) | (c("ms") != 0) | (c("bassMono") > 0) | (c("haas") > 0) | (c("crossfeed") > 0) | (c("phaseRot") > 0) | (c("widthLow") != 1) | (c("widthMid") != 1) | (c("widthHigh") != 1) | c("binaural") | (c("spread") > 0) | (c("depth") > 0) | (c("tape") > 0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,6 +43,27 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(version)).alias("r")).select(key, "r.*")
 
 
+def trailing_levels(rows: DataFrame, series: str, lengths: dict[str, float]) -> DataFrame:
+    """Rows (series, n, dt, value) with a level for each length: readings weighted by how long they stood.
+
+    n numbers a series; dt are seconds. As many of the last readings count as it
+    takes to reach the length, the one that reaches it whole.
+    """
+    so_far = rows.withColumn("at", F.round(F.sum("dt").over(Window.partitionBy(series).orderBy("n")) * 1e6).cast("bigint"))  # microseconds
+    own = {}
+    for name, seconds in lengths.items():
+        w = Window.partitionBy(series).orderBy("at").rangeBetween(-round(seconds * 1e6), 0)
+        power = F.sum(F.col("value") * F.col("value") * F.col("dt")).over(w) / F.sum("dt").over(w)
+        own[name] = block_level(F.greatest(power, F.lit(1e-12)))
+    return so_far.withColumns(own).drop("at")
+
+
+def last_n(rows: DataFrame, series: str, order: str, n: int) -> DataFrame:
+    """The last n rows of each series: a bounded history."""
+    w = Window.partitionBy(series).orderBy(F.desc(order))
+    return rows.withColumn("age", F.row_number().over(w) - 1).where(F.col("age") < n)
+
+
 def peak_hold(rows: DataFrame, series: str, decay: float = 0.98) -> DataFrame:
     """series, n, peak: a peak that decays with every row, kept across micro-batches in event order of each batch."""
 
