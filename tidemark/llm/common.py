@@ -62,7 +62,7 @@ def joined(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str =
     fewer than four for each partition. Their facts are broadcast, so that the
     rows of a hot key stay where they are. Groups without facts go.
     """
-    most = max(1000, total // (4 * partitions(rows.sparkSession)))
+    most = max(64, total // (4 * partitions(rows.sparkSession)))
     large = facts.where(F.col(count) > most)
     told = rows.join(F.broadcast(large.withColumn("is_large", F.lit(True))), key, "left")
     light = told.where("is_large is null").select(*rows.columns).join(facts.where(F.col(count) <= most), key)

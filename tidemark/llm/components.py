@@ -34,7 +34,7 @@ def with_least(rows: DataFrame, total: int) -> DataFrame:
     fewer than four for each partition, so hubs are broadcast and their rows stay
     where they are; all others meet their minimum in a join.
     """
-    most = max(1000, total // (4 * partitions(rows.sparkSession)))
+    most = max(64, total // (4 * partitions(rows.sparkSession)))
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     hubs = low.where(F.col("n") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m"))
     told = rows.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")

@@ -34,7 +34,7 @@ U = np.uint64
 #: Symbols handled by one numpy step, and bytes of packed strings held before a flush.
 CHUNK, FLUSH = 1 << 19, 24 << 20
 #: A minimiser counts as hot from this many packed strings on; strings of a bucket, as planned.
-HOT_LEAST, BUCKET = 4096, 50_000
+HOT_LEAST, BUCKET = 4096, 80_000
 #: Cells in which minimisers are counted, and how many of them a row of counts spans.
 CELLS, SPAN = 1 << 26, 1 << 18
 TOTAL = -1
