@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as s
 from tidemark.functions import text as tx
 from tidemark.operators import clips, compare, dims, frames, kernels, levels, matching, rules
-from tidemark.plans import records, render
+from tidemark.plans import designs, records, render
 from tidemark.plans.sql import ORACLES
 from tidemark.sources import containers, signals
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(records.query.queries)
-ORACLES = ORACLES | records.query.oracles
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = records.query.queries | designs.query.queries
+ORACLES = ORACLES | records.query.oracles | designs.query.oracles
 c = F.col
 
 
