@@ -91,6 +91,11 @@ def refinement_score(delta: Column, average: Column, peak: Column) -> Column:
     return F.when(miss <= 0.15, damage).otherwise(damage * 4 + miss * 0.35)
 
 
+def identification_hz(channel: Column, base: float = 220.0) -> Column:
+    """The tone that names a channel (from 0): a semitone higher for each."""
+    return F.lit(base) * F.pow(F.lit(2.0), channel / 12.0)
+
+
 def oversampling(rate: Column) -> Column:
     return F.when(rate < 88200, 4).when(rate < 176400, 2).otherwise(1)
 

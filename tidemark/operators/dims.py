@@ -165,6 +165,12 @@ def layout_channels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "layout_id string, pos int, speaker_id string, standard boolean")
 
 
+def weighted(rows: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ``lfe``) with the weight of their key; without one, 0 for low-frequency channels and 1 for others."""
+    j = rows.join(F.broadcast(weights), key, "left")  # a row for each kind of channel
+    return j.withColumn("weight", F.coalesce("weight", F.when(F.col("lfe"), 0.0).otherwise(1.0)))
+
+
 def profiles(spark: SparkSession) -> DataFrame:
     none = lambda x: None if x == "-" else float(x)
     rows = [(i, int(b), [int(r) for r in rates.split(",")], layout, none(c), none(lo), box, SIDECARS[i].split()) for i, b, rates, layout, c, lo, box in _lines(PROFILES)]

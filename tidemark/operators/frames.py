@@ -72,6 +72,14 @@ def sliding_minimum(frames: DataFrame, series: str, half: int, value: str = "val
     return frames.withColumn("low", F.min(value).over(w))
 
 
+def smooth_3pt(frames: DataFrame, series: str, share: float, value: str = "value") -> DataFrame:
+    """``smooth``: a row's value and, by ``share``, its two neighbours'; at an end the row stands for the missing one."""
+    w = Window.partitionBy(series).orderBy("frame")
+    v = F.col(value)
+    around = F.coalesce(F.lag(v).over(w), v) + F.coalesce(F.lead(v).over(w), v)
+    return frames.withColumn("smooth", v * (1 - share) + around * (share / 2))
+
+
 def pyramid_level(values: DataFrame, series: str, size: int) -> DataFrame:
     """One level up: min and max of ``size`` buckets (series, bucket, vmin, vmax)."""
     return values.groupBy(series, F.floor(F.col("bucket") / size).alias("bucket")).agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))

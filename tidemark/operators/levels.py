@@ -42,6 +42,13 @@ def side(left: Column, right: Column) -> Column:
     return (left - right) / 2
 
 
+def reduction(gain: Column) -> dict[str, Column]:
+    """Aggregates of a gain curve: deepest and average reduction (dB, of samples under 0.9999), and their share."""
+    on = gain < 0.9999
+    average = F.coalesce(F.avg(F.when(on, gain)), F.lit(1.0))
+    return {"peak_gr_db": gain_to_db(F.min(gain)), "avg_gr_db": gain_to_db(average), "active": F.count_if(on) / F.count(F.lit(1))}
+
+
 def mono_loss_db(left: Column, right: Column) -> Column:
     """Level of the mono fold against the louder channel; 0 for silence."""
     m = mid(left, right)

@@ -18,6 +18,20 @@ def _taper(hz: float) -> float:
     return low * high
 
 
+def best_lag(a: Column, b: Column, most: int) -> Column:
+    """lag and dot of the shift within ``most`` at which two arrays of one length fit best; of equal fits the smallest."""
+    n = F.size(a)
+
+    def dot(k: int) -> Column:
+        left, right = F.slice(a, max(0, -k) + 1, n - abs(k)), F.slice(b, max(0, k) + 1, n - abs(k))
+        return F.aggregate(F.zip_with(left, right, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+    # fits are compared in millionths, so that rounding doesn't choose
+    tried = F.array(*(F.struct(F.floor(dot(k) * 1e6 + 0.5).alias("fit"), F.lit(-k).alias("back"), dot(k).alias("dot")) for k in range(-most, most + 1)))
+    best = F.array_max(tried)
+    return F.struct((-best["back"]).alias("lag"), best["dot"].alias("dot"))
+
+
 def curve(source: Column, reference: Column, mode: str = "balanced", duration_ratio: Column | None = None, frames: Column | None = None) -> Column:
     """gains (dB, eight bands) and confidence of matching ``source`` to ``reference`` band levels."""
     smooth, most = MODES[mode]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
 
@@ -34,6 +35,12 @@ def r(x: Column, digits: int = 4) -> Column:
     return s.js_round(x, digits)
 
 
+def eighths(vector: Column) -> Column:
+    """Ten times the mean of each eighth of a vector of 64: eight levels that all components are in."""
+    part = lambda k: F.aggregate(F.slice(vector, 8 * k + 1, F.lit(8)), F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: part(k) / 8 * 10)
+
+
 def rs(x: str, digits: int = 4) -> str:
     """The same in SQL: ties go up."""
     return f"(floor(({x}) * {float(10**digits)} + 0.5) / {float(10**digits)})"

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
 from tidemark.functions import text as tx
-from tidemark.operators import clips, compare, dims, frames, kernels, levels, matching, rules
+from tidemark.operators import clips, compare, delivery, dims, frames, immersive, kernels, levels, matching, rules
 from tidemark.plans import designs, records, render
+from tidemark.plans.base import eighths
 from tidemark.plans.sql import ORACLES
 from tidemark.sources import containers, signals
 
@@ -172,8 +173,9 @@ def quantise_16bit(spark, sf):
 
 @query
 def gain_and_sample_peak(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("y", F.transform("embedding", lambda v: v.cast("double") * 0.5))
-    return e.select("vec_id", r(F.array_max(F.transform("y", F.abs)), 6).alias("peak"), r(F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, v: a + v * v) / F.size("y")), 6).alias("rms"))
+    e = clips.gain(table(spark, sf, "embeddings").select("vec_id", c("embedding").alias("samples")), 0.5)
+    own = e.select("vec_id", F.explode("samples").alias("v")).select("vec_id", c("v").cast("double").alias("v"))
+    return own.groupBy("vec_id").agg(r(levels.peak(c("v")), 6).alias("peak"), r(levels.rms(c("v")), 6).alias("rms"))
 
 
 @query
@@ -184,33 +186,34 @@ def js_round_db(spark, sf):
 
 @query
 def band_smooth_3pt(spark, sf):
-    w = Window.partitionBy("vec_id").orderBy("i")
-    v = c("v")
-    return components(spark, sf).where("i < 8").select("vec_id", "i", r(v * 0.7 + (F.coalesce(F.lag(v).over(w), v) + F.coalesce(F.lead(v).over(w), v)) * 0.15, 6).alias("smooth"))
+    own = frames.smooth_3pt(components(spark, sf).withColumnRenamed("i", "frame").withColumnRenamed("v", "value"), "vec_id", 0.3)
+    return own.select("vec_id", c("frame").alias("i"), r(c("smooth"), 6).alias("smooth"))
 
 
 @query
 def hann_smooth(spark, sf):
-    half = 3
-    g = [0.5 - 0.5 * math.cos(2 * math.pi * (k + half + 1) / (2 * half + 2)) for k in range(-half, half + 1)]
-    e = c("embedding")
-    at = lambda i, k: F.element_at(e, F.least(F.greatest(i + k, F.lit(0)), F.size(e) - 1) + 1).cast("double") * g[k + half]
-    smooth = F.transform(F.sequence(F.lit(0), F.size(e) - 1), lambda i: sum((at(i, k) for k in range(-half + 1, half + 1)), at(i, -half)) / sum(g))
-    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(smooth).alias("i", "v")).select("vec_id", c("i").cast("bigint").alias("i"), r(c("v"), 5).alias("smooth"))
+    @F.pandas_udf("array<double>")
+    def run(e: pd.Series) -> pd.Series:
+        return pd.Series([kernels.hann_smooth(np.asarray(x, np.float64), 3) for x in e])
+
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(run("embedding")).alias("i", "v")).select("vec_id", c("i").cast("bigint").alias("i"), r(c("v"), 5).alias("smooth"))
 
 
 @query
 def goertzel_dot(spark, sf):
     """Best of eight tones of each channel by the magnitude of its product with the tone, and how far ahead it is."""
-    e = F.transform("embedding", lambda v: v.cast("double"))
 
-    def magnitude(b):
-        w = 2 * math.pi * b / 64
-        dot = lambda fn: F.aggregate(F.transform("e", lambda v, i: v * fn(i.cast("double") * w)), F.lit(0.0), lambda a, v: a + v)
-        return F.sqrt(F.pow(dot(F.cos), F.lit(2.0)) + F.pow(dot(F.sin), F.lit(2.0))) / 32
+    @F.pandas_udf("best int, magnitude double, second double")
+    def run(e: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in e:
+            x = np.asarray(x, np.float64)
+            top = sorted(((immersive.goertzel(x, b, len(x)), b) for b in range(1, 9)), reverse=True)
+            rows.append((top[0][1], top[0][0], top[1][0]))
+        return pd.DataFrame(rows, columns=["best", "magnitude", "second"])
 
-    scored = table(spark, sf, "embeddings").select("vec_id", e.alias("e")).select("vec_id", F.reverse(F.array_sort(F.array(*(F.struct(magnitude(b).alias("mag"), F.lit(b).alias("bin")) for b in range(1, 9))))).alias("best"))
-    return scored.select("vec_id", c("best")[0]["bin"].alias("best"), r(c("best")[0]["mag"], 5).alias("magnitude"), r(c("best")[0]["mag"] / c("best")[1]["mag"], 3).alias("confidence"))
+    own = table(spark, sf, "embeddings").select("vec_id", run("embedding").alias("g"))
+    return own.select("vec_id", "g.best", r(c("g.magnitude"), 5).alias("magnitude"), r(c("g.magnitude") / c("g.second"), 3).alias("confidence"))
 
 
 @query
@@ -218,25 +221,24 @@ def lag_alignment(spark, sf):
     """Lag within 8 samples at which a vector fits the next one best."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
     j = e.join(e.select((c("vec_id") - 1).alias("vec_id"), c("e").alias("o")), "vec_id")
-    n = F.size("e")
-    dot = lambda k: F.aggregate(F.zip_with(F.slice("e", max(0, -k) + 1, n - abs(k)), F.slice("o", max(0, k) + 1, n - abs(k)), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    best = F.array_max(F.array(*(F.struct(F.floor(dot(k) * 1e6 + 0.5).alias("m"), F.lit(-k).alias("k"), dot(k).alias("dot")) for k in range(-8, 9))))
-    return j.select("vec_id", best.alias("b")).select("vec_id", (-c("b.k")).alias("lag"), r(c("b.dot"), 5).alias("dot"))
+    best = matching.best_lag(c("e"), c("o"), 8)
+    return j.select("vec_id", best.alias("b")).select("vec_id", c("b.lag").alias("lag"), r(c("b.dot"), 5).alias("dot"))
 
 
 @query
 def limiter_required_gain(spark, sf):
-    pk, ceiling, knee = c("l_extendedprice") / 60000.0, 10 ** (-1.3 / 20), 10 ** (-2.8 / 20)
-    full = ceiling / pk
-    soft = F.least(F.lit(1.0), 1 - (1 - F.least(F.lit(1.0), full)) * s.smoothstep((pk - knee) / (ceiling - knee)))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", r(F.when(pk <= knee, F.lit(1.0)).when(pk >= ceiling, full).otherwise(soft), 6).alias("gain"))
+    @F.pandas_udf("double")
+    def need(peaks: pd.Series) -> pd.Series:
+        return pd.Series(kernels.required_gain(peaks.to_numpy(), 10 ** (-1.3 / 20)))
+
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", r(need(c("l_extendedprice") / 60000.0), 6).alias("gain"))
 
 
 @query
 def limiter_statistics(spark, sf):
     g = F.least(F.lit(1.0), F.lit(40000.0) / c("l_extendedprice"))
-    on = g < 0.9999
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(r(s.gain_to_db(F.min(g))).alias("peak_gr_db"), r(s.gain_to_db(F.coalesce(F.avg(F.when(on, g)), F.lit(1.0)))).alias("avg_gr_db"), r(F.count_if(on) / F.count(F.lit(1))).alias("active"))
+    own = levels.reduction(g)
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(*(r(v).alias(k) for k, v in own.items()))
 
 
 @query
@@ -308,8 +310,8 @@ def present_measurements(spark, sf):
 def channel_weights(spark, sf):
     """Weights of a lookup, and a default where there is none."""
     w = spark.createDataFrame([("EUROPE", 1.41), ("ASIA", 0.0)], "r_name string, weight double")
-    s_ = table(spark, sf, "supplier").join(table(spark, sf, "nation"), c("n_nationkey") == c("s_nationkey")).join(table(spark, sf, "region"), c("r_regionkey") == c("n_regionkey")).join(w, "r_name", "left")
-    return s_.select("s_suppkey", F.coalesce("weight", F.when(c("s_acctbal") < 0, F.lit(0.0)).otherwise(F.lit(1.0))).alias("weight"))
+    s_ = table(spark, sf, "supplier").join(table(spark, sf, "nation"), c("n_nationkey") == c("s_nationkey")).join(table(spark, sf, "region"), c("r_regionkey") == c("n_regionkey"))
+    return dims.weighted(s_.withColumn("lfe", c("s_acctbal") < 0), w, "r_name").select("s_suppkey", "weight")
 
 
 @query
@@ -322,8 +324,8 @@ def pcm_compare(spark, sf):
 
 @query
 def delivery_checksums(spark, sf):
-    h = F.sha2(F.encode("text", "UTF-8"), 256)
-    return table(spark, sf, "documents").select("doc_id", h.alias("sha256"), F.concat(h, F.lit("  document_"), c("doc_id").cast("string"), F.lit(".txt")).alias("line"))
+    files = table(spark, sf, "documents").select(c("doc_id").alias("package"), F.concat(F.lit("document_"), c("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    return delivery.checksum_lines(files).select(c("package").alias("doc_id"), F.substring("text", 1, 64).alias("sha256"), c("text").alias("line"))
 
 
 @query
@@ -383,7 +385,7 @@ def band_settings(spark, sf):
 
 @query
 def identification_tones(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", r(F.lit(220.0) * F.pow(F.lit(2.0), (c("s_suppkey") % 24) / 12.0)).alias("hz"))
+    return table(spark, sf, "supplier").select("s_suppkey", r(s.identification_hz(c("s_suppkey") % 24)).alias("hz"))
 
 
 @query
@@ -428,8 +430,8 @@ def hf_stack(spark, sf):
 
 @query
 def match_curve(spark, sf):
-    """Each vector's first eight components as bands, matched to the next vector's."""
-    bands = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double") * 10).alias("bands"))
+    """Means of each vector's eighths as levels of bands, matched to the next vector's."""
+    bands = table(spark, sf, "embeddings").select("vec_id", eighths(c("embedding")).alias("bands"))
     pairs = bands.join(bands.select((c("vec_id") - 1).alias("vec_id"), c("bands").alias("reference")), "vec_id")
     out = pairs.select("vec_id", matching.curve(c("bands"), c("reference")).alias("m"))
     return out.select("vec_id", c("m.confidence").alias("confidence"), F.posexplode("m.gains").alias("i", "gain_db")).select("vec_id", c("i").cast("bigint").alias("i"), "gain_db", "confidence")
@@ -540,8 +542,6 @@ def inspect_containers(spark, sf):
 @query
 def speaker_feeds(spark, sf):
     """Levels of a stereo programme's feeds in each standard layout."""
-    from tidemark.operators import immersive
-
     def run(clip, x, rate):
         return [{"clip_id": clip, "layout_id": lay, "channel": i, "speaker_id": sp, "rms": float((feed**2).mean() ** 0.5)} for lay in dims.LAYOUTS for i, (sp, feed) in enumerate(immersive.feeds(x, rate, dims.LAYOUTS[lay].split()).items())]
 
@@ -551,8 +551,6 @@ def speaker_feeds(spark, sf):
 @query
 def identify_channels(spark, sf):
     """Which tone each channel of the identification signal carries, with a runner-up ratio, and its beeps."""
-    from tidemark.operators import immersive
-
     rows = spark.createDataFrame([(n,) for n in (2, 6, 8)], "n int").repartition(3, "n")
 
     def run(batches):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as s
 from tidemark.functions import text as tx
 from tidemark.operators import compare, delivery, dims, intake, levels, macros, rules, scene
-from tidemark.plans.base import Registry, r, rs, table, values
+from tidemark.plans.base import Registry, eighths, r, rs, table, values
 from tidemark.streaming import meters
 
 query = Registry()
@@ -338,10 +338,11 @@ def memory_plan(spark, sf):
 
 
 @query(f"""
-SELECT vec_id, {rs("(embedding[1]::DOUBLE + embedding[2]::DOUBLE) / 2", 6)} AS bass_db, {rs("(embedding[4]::DOUBLE + embedding[5]::DOUBLE) / 2", 6)} AS presence_db, {rs("(embedding[7]::DOUBLE + embedding[8]::DOUBLE) / 2", 6)} AS treble_db FROM embeddings""")
+WITH e AS (SELECT vec_id, unnest(range(len(embedding))) // 8 AS band, unnest(embedding)::DOUBLE * 10 AS v FROM embeddings)
+SELECT vec_id, {rs("avg(v) FILTER (band <= 1)", 6)} AS bass_db, {rs("avg(v) FILTER (band IN (3, 4))", 6)} AS presence_db, {rs("avg(v) FILTER (band >= 6)", 6)} AS treble_db FROM e GROUP BY vec_id""")
 def tonal_regions(spark, sf):
-    """A vector's first components as the levels of the eight bands that the operator takes."""
-    own = rules.tonal_regions(F.transform("embedding", lambda v: v.cast("double")))
+    """Means of a vector's eighths as the levels of the eight bands that the operator takes."""
+    own = rules.tonal_regions(eighths(c("embedding")))
     return table(spark, sf, "embeddings").select("vec_id", own.alias("t")).select("vec_id", *(r(c(f"t.{k}"), 6).alias(k) for k in ("bass_db", "presence_db", "treble_db")))
 
 

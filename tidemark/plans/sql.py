@@ -77,7 +77,7 @@ ORACLES: dict[str, str] = {
     "quantise_16bit": f"WITH e AS ({EMB}) SELECT vec_id, i, CAST(least(floor(least(greatest(v, -1), 1) * 32768 + 0.5), 32767) AS INTEGER) AS pcm FROM e",
     "gain_and_sample_peak": f"WITH e AS ({EMB}) SELECT vec_id, {r('max(abs(v * 0.5))', 6)} AS peak, {r('sqrt(avg(v * v * 0.25))', 6)} AS rms FROM e GROUP BY vec_id",
     "js_round_db": f"SELECT o_orderkey, {r('20 * log10(greatest(1e-9, o_totalprice / 500000.0))', 2)} AS level_db, {r('pow(10, (-(o_orderkey % 97)) / 20.0)', 6)} AS gain FROM orders",
-    "band_smooth_3pt": f"WITH e AS ({EMB}), b AS (SELECT vec_id, i, v FROM e WHERE i < 8) SELECT vec_id, i, {r('v * 0.7 + (coalesce(lag(v) OVER w, v) + coalesce(lead(v) OVER w, v)) * 0.15', 6)} AS smooth FROM b WINDOW w AS (PARTITION BY vec_id ORDER BY i)",
+    "band_smooth_3pt": f"WITH e AS ({EMB}), b AS (SELECT vec_id, i, v FROM e) SELECT vec_id, i, {r('v * 0.7 + (coalesce(lag(v) OVER w, v) + coalesce(lead(v) OVER w, v)) * 0.15', 6)} AS smooth FROM b WINDOW w AS (PARTITION BY vec_id ORDER BY i)",
     "hann_smooth": f"WITH e AS ({EMB}), w AS (SELECT k, 0.5 - 0.5 * cos(2 * pi() * (k + 4) / 8) AS g FROM (SELECT unnest(range(-3, 4)) AS k)) SELECT a.vec_id, a.i, {r('sum(b.v * g) / sum(g)', 5)} AS smooth FROM e a CROSS JOIN w JOIN e b ON b.vec_id = a.vec_id AND b.i = least(greatest(a.i + k, 0), 63) GROUP BY ALL",
     "goertzel_dot": f"WITH e AS ({EMB}), t AS (SELECT unnest(range(1, 9)) AS bin), m AS (SELECT vec_id, bin, sqrt(pow(sum(v * cos(2 * pi() * bin * i / 64)), 2) + pow(sum(v * sin(2 * pi() * bin * i / 64)), 2)) / 32 AS mag FROM e CROSS JOIN t GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY mag DESC, bin) AS rank FROM m) SELECT vec_id, CAST(max(bin) FILTER (rank = 1) AS INTEGER) AS best, {r('max(mag) FILTER (rank = 1)', 5)} AS magnitude, {r('max(mag) FILTER (rank = 1) / max(mag) FILTER (rank = 2)', 3)} AS confidence FROM k GROUP BY vec_id",
     "lag_alignment": f"WITH e AS ({EMB}), g AS (SELECT unnest(range(-8, 9)) AS lag), s AS (SELECT a.vec_id, lag, sum(a.v * b.v) AS dot FROM e a CROSS JOIN g JOIN e b ON b.vec_id = a.vec_id + 1 AND b.i = a.i + lag GROUP BY ALL) SELECT vec_id, CAST(arg_max(lag, (floor(dot * 1e6 + 0.5), -lag)) AS INTEGER) AS lag, {r('max(dot)', 5)} AS dot FROM s GROUP BY vec_id",
@@ -126,7 +126,7 @@ UNION ALL SELECT sev, 'correlation-collapse', id, cls FROM j WHERE -dco > CASE W
 UNION ALL SELECT 'defect', 'dc', id, cls FROM j WHERE k % 11 = 0
 UNION ALL SELECT 'defect', 'missing-measurement', id, cls FROM k WHERE k % 10 = 3""",
     "hf_stack": "WITH p AS (SELECT p_partkey, greatest((p_partkey % 13 - 3) / 2.0, 0) AS air, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 11) / 10.0 * 1.5 ELSE 0 END AS spread, greatest((p_partkey % 9 - 2) / 2.0, 0) AS clarity, greatest((p_partkey % 5 - 1) / 2.0, 0) AS tilt FROM part), t AS (SELECT *, air + spread + 0.45 * clarity + 0.85 * tilt AS total, greatest(least(((p_partkey % 21 - 24) + 20) / 8.0, 1), 0) AS b FROM p), s AS (SELECT *, total - (4 - 1.25 * b) AS surplus FROM t) SELECT p_partkey, surplus > 0 AND total > 0 AS engaged, " + r("total", 1) + " AS estimate_db, CASE WHEN surplus > 0 THEN least(7, " + r("surplus * 0.65 * (0.5 + 0.5 * least(1, surplus / 1.5))", 1) + ") ELSE 0 END AS cut_db FROM s",
-    "match_curve": f"WITH e AS ({EMB}), p AS (SELECT a.vec_id, a.i, (b.v - a.v) * 10 AS d FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.i = a.i WHERE a.i < 8), m AS (SELECT *, d - avg(d) OVER (PARTITION BY vec_id) AS u FROM p), s AS (SELECT *, u * 0.7 + (coalesce(lag(u) OVER w, u) + coalesce(lead(u) OVER w, u)) * 0.15 AS sm FROM m WINDOW w AS (PARTITION BY vec_id ORDER BY i)), t AS (SELECT *, sm * CASE i WHEN 0 THEN 0.5 WHEN 6 THEN 6.0 / 7 WHEN 7 THEN 2.0 / 7 ELSE 1 END AS ta FROM s), z AS (SELECT *, ta - avg(ta) OVER (PARTITION BY vec_id) AS g FROM t) SELECT vec_id, i, {r('least(greatest(g, -5), 5)', 1)} AS gain_db, {r('greatest(0, least(1, 1 - sqrt(avg(u * u) OVER (PARTITION BY vec_id)) / 12))', 2)} AS confidence FROM z",
+    "match_curve": f"WITH e AS ({EMB}), l AS (SELECT vec_id, i // 8 AS i, avg(v) * 10 AS v FROM e GROUP BY ALL), p AS (SELECT a.vec_id, a.i, b.v - a.v AS d FROM l a JOIN l b ON b.vec_id = a.vec_id + 1 AND b.i = a.i), m AS (SELECT *, d - avg(d) OVER (PARTITION BY vec_id) AS u FROM p), s AS (SELECT *, u * 0.7 + (coalesce(lag(u) OVER w, u) + coalesce(lead(u) OVER w, u)) * 0.15 AS sm FROM m WINDOW w AS (PARTITION BY vec_id ORDER BY i)), t AS (SELECT *, sm * CASE i WHEN 0 THEN 0.5 WHEN 6 THEN 6.0 / 7 WHEN 7 THEN 2.0 / 7 ELSE 1 END AS ta FROM s), z AS (SELECT *, ta - avg(ta) OVER (PARTITION BY vec_id) AS g FROM t) SELECT vec_id, i, {r('least(greatest(g, -5), 5)', 1)} AS gain_db, {r('greatest(0, least(1, 1 - sqrt(avg(u * u) OVER (PARTITION BY vec_id)) / 12))', 2)} AS confidence FROM z",
 }
 
 
