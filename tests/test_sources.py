@@ -1,10 +1,13 @@
 """Containers: byte round trips, hostile input, and the Spark source and sink."""
 
+import io
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import clips
 from tidemark.sources import containers as c
 from tidemark.sources import pcm, signals
 
@@ -111,3 +114,52 @@ def test_corpus():
             assert np.isfinite(x).all() != ("non-finite" in case.notes)
         seen.add(case.id)
     assert len(seen) == len(corpus.cases()) > 25
+
+
+@pytest.mark.parametrize("bits", [16, 24, 32])
+@pytest.mark.parametrize("channels", [1, 2, 6])
+def test_streamed_file_equals_whole_file(bits, channels):
+    x = np.random.default_rng(bits).uniform(-1, 1, (channels, 1001)).astype(np.float32)
+    extra = [("bext", b"abc"), ("axml", b"<x/>")]
+    out = io.BytesIO()
+    blocks = (x[:, a : a + 300] for a in range(0, 1001, 300))
+    n = c.stream_wav(out, blocks, channels, 1001, 48_000, bits, extra=extra)
+    assert out.getvalue() == c.write_wav(x, 48_000, bits, extra=extra) and n == len(out.getvalue())
+    assert out.getvalue().startswith(c.wav_head(channels, 1001, 48_000, bits, extra=[(i, len(b)) for i, b in extra]))
+    with pytest.raises(ValueError):
+        c.stream_wav(io.BytesIO(), iter([x[:, :5]]), channels, 1001, 48_000, bits)
+    for first, frames in ((0, None), (17, 400), (900, 999), (2000, 5)):
+        out.seek(0)
+        got = [b for _, b, _ in c.frame_blocks(out, first, frames, 128)]
+        whole, _ = c.read_wav(out.getvalue())
+        want = whole[:, first : None if frames is None else first + frames]
+        assert (np.concatenate(got, 1) if got else np.zeros((channels, 0))).tolist() == want.tolist()
+
+
+def test_stretch_of_frames_and_odd_names(spark, tmp_path):
+    chunks = signals.chunks(spark, ["sine-1k", "impulse"]).withColumn("clip_id", F.concat(F.lit("a/b|"), "clip_id"))
+    pcm.save(chunks, f"{tmp_path}/out", bits=32)
+    part = pcm.load(spark, f"{tmp_path}/out", first_frame=20_000, frames=3000).where("clip_id = 'a/b|sine-1k'")
+    got = {(r.channel, r.start_frame + i): v for r in part.collect() for i, v in enumerate(r.samples)}
+    want = {(r.channel, r.start_frame + i): v for r in chunks.where("clip_id = 'a/b|sine-1k'").collect() for i, v in enumerate(r.samples)}
+    assert len(got) == 3000 * len({c for c, _ in want}) and all(want[k] == v for k, v in got.items())
+
+
+def test_empty_and_large_files_are_rows(spark, tmp_path):
+    for name, raw in (("none.wav", b""), ("large.wav", b"x" * 5000), ("text.wav", b"no audio at all, but text")):
+        (tmp_path / name).write_bytes(raw)
+    out = {r.clip_id: r.errors for r in pcm.from_binary(spark, str(tmp_path), most_bytes=1000).collect()}
+    assert out["large"] == ["too_large"] and len(out["text"]) == 1
+    assert {r.clip_id: r.errors for r in pcm.load(spark, str(tmp_path)).collect()}["none"] == ["empty"]
+
+
+def test_uneven_clips_are_errors(spark, tmp_path):
+    rows = [("whole", 0, 0, 0, 2, [0.5, 0.25], 48_000), ("whole", 1, 0, 0, 2, [0.5, 0.5], 48_000), ("uneven", 0, 0, 0, 4, [0.1] * 4, 48_000), ("uneven", 1, 0, 0, 2, [0.1] * 2, 48_000), ("gap", 0, 0, 0, 2, [0.1] * 2, 48_000), ("gap", 0, 1, 5, 2, [0.1] * 2, 48_000)]
+    df = spark.createDataFrame(rows, "clip_id string, channel int, chunk_idx long, start_frame long, frame_count int, samples array<float>, sample_rate int")
+    out = {r.clip_id: r for r in clips.each_clip(df, lambda clip, x, rate: [{"clip_id": clip, "n": x.size}], "clip_id string, n int, error string").collect()}
+    assert out["whole"].n == 4 and out["whole"].error is None
+    assert "differ in length" in out["uneven"].error and "gaps" in out["gap"].error
+    with pytest.raises(Exception, match="differ in length"):
+        clips.each_clip(df.where("clip_id = 'uneven'"), lambda clip, x, rate: [{"clip_id": clip}], "clip_id string").collect()
+    with pytest.raises(Exception, match="channels differ"):
+        pcm.save(df.where("clip_id = 'uneven'"), f"{tmp_path}/out")

@@ -20,24 +20,43 @@ from tidemark.operators import kernels as k
 
 
 def assembled(t: pa.Table) -> tuple[np.ndarray, int]:
-    """(channels, frames) and the sample rate of a clip's chunk rows (with sample_rate)."""
+    """(channels, frames) and the sample rate of a clip's chunk rows (with sample_rate).
+
+    Channels of different lengths, and chunks that leave gaps or overlap, are a ValueError.
+    """
     order = np.lexsort((t.column("chunk_idx").to_numpy(), t.column("channel").to_numpy()))
-    t = t.take(pa.array(order))
-    channel = t.column("channel").to_numpy()
-    rows = t.column("samples").to_pylist()
-    parts = [np.concatenate([np.asarray(rows[i], np.float32) for i in np.flatnonzero(channel == c)]) for c in np.unique(channel)]
-    n = min(map(len, parts))
-    return np.stack([p[:n] for p in parts]), int(t.column("sample_rate")[0].as_py())
+    t = t.take(pa.array(order)).combine_chunks()
+    channel, start = t.column("channel").to_numpy(), t.column("start_frame").to_numpy()
+    lists = t.column("samples").chunk(0)
+    flat, size = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False), np.diff(lists.offsets.to_numpy())
+    new = np.flatnonzero(np.r_[True, channel[1:] != channel[:-1]])
+    due = np.cumsum(size) - size
+    if (start != due - np.repeat(due[new], np.diff(np.r_[new, len(channel)]))).any():
+        raise ValueError("chunks leave gaps or overlap")
+    frames = np.add.reduceat(size, new)
+    if (frames != frames[0]).any():
+        raise ValueError(f"channels differ in length: {', '.join(map(str, frames.tolist()))} frames")
+    return flat.reshape(len(new), -1), int(t.column("sample_rate")[0].as_py())
 
 
 def each_clip(chunks: DataFrame, fn: Callable[[str, np.ndarray, int], list[dict]], schema: str) -> DataFrame:
-    """Rows that ``fn(clip_id, samples, rate)`` gives for each clip."""
+    """Rows that ``fn(clip_id, samples, rate)`` gives for each clip.
+
+    A clip whose chunks don't fit together (``assembled``) is one row with its
+    ``error`` if the schema has such a column; otherwise the job fails.
+    """
     target = StructType.fromDDL(schema)
     arrow = to_arrow_schema(target)
 
     def run(t: pa.Table) -> pa.Table:
-        x, rate = assembled(t)
-        return pa.Table.from_pylist(fn(t.column("clip_id")[0].as_py(), x, rate), schema=arrow)
+        clip = t.column("clip_id")[0].as_py()
+        try:
+            x, rate = assembled(t)
+        except ValueError as e:
+            if "error" not in arrow.names:
+                raise ValueError(f"{clip}: {e}") from e
+            return pa.Table.from_pylist([{"clip_id": clip, "error": str(e)}], schema=arrow)
+        return pa.Table.from_pylist(fn(clip, x, rate), schema=arrow)
 
     # a stated number of partitions: clips are small in bytes but long in work, and would be coalesced into few tasks
     parts = 4 * chunks.sparkSession.sparkContext.defaultParallelism

@@ -21,9 +21,9 @@ def looks_like_audio(path: Column, mime: Column | None = None) -> Column:
     return by_name if mime is None else by_name | F.coalesce(mime.startswith("audio/"), F.lit(False))
 
 
-def preflight(size: Column) -> Column:
+def preflight(size: Column, most: int = MOST_BYTES) -> Column:
     """Why a file isn't read: empty or too_large; null if it is."""
-    return F.when(size == 0, "empty").when(size > MOST_BYTES, "too_large")
+    return F.when(size == 0, "empty").when(size > most, "too_large")
 
 
 def _some(*rules: Column) -> Column:

@@ -97,6 +97,85 @@ def write_wav(x: np.ndarray, rate: int, bits: int = 24, mask: int = 0, extensibl
     return b"".join(out)
 
 
+def wav_head(channels: int, frames: int, rate: int, bits: int = 24, mask: int = 0, mode: str = "auto", extra: list[tuple[str, int]] = ()) -> bytes:
+    """All that comes before the samples of a file whose length is known: the same bytes as ``write_wav``'s."""
+    if bits not in (16, 24, 32) or not 1 <= channels <= 64 or rate <= 0:
+        raise ValueError("16, 24 or 32 bits, 1 to 64 channels and a positive rate")
+    wide, step = channels > 2 or mask != 0, channels * bits // 8
+    tag = FLOAT if bits == 32 else PCM
+    fmt = struct.pack("<HHIIHH", EXTENSIBLE if wide else tag, channels, rate, rate * step, step, bits)
+    if wide:
+        fmt += struct.pack("<HHIH", 22, bits, mask, tag) + GUID_TAIL
+    plan = plan_riff([("fmt ", len(fmt)), ("data", frames * step), *extra], mode, None)
+    size = next(c["size_field"] for c in plan["chunks"] if c["id"] == "data")
+    return _header(plan, frames) + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", size)
+
+
+def stream_wav(sink, blocks, channels: int, frames: int, rate: int, bits: int = 24, mask: int = 0, extra: list[tuple[str, bytes]] = ()) -> int:
+    """Write blocks of (channels, n) samples to a binary sink as they come; bytes written.
+
+    Only one block is held. ``extra`` chunks follow the samples. Blocks that don't
+    add up to ``frames``, or have another number of channels, are a ValueError.
+    """
+    head = wav_head(channels, frames, rate, bits, mask, extra=[(i, len(b)) for i, b in extra])
+    sink.write(head)
+    done, size = 0, len(head)
+    for block in blocks:
+        if len(block) != channels:
+            raise ValueError(f"a block of {len(block)} channels, not {channels}")
+        raw = encode_pcm(block, bits)
+        sink.write(raw)
+        done, size = done + block.shape[1], size + len(raw)
+    if done != frames:
+        raise ValueError(f"{done} frames came, {frames} were announced")
+    tail = b"\0" * (done * channels * bits // 8 % 2) + b"".join(i.encode() + struct.pack("<I", len(b)) + b + b"\0" * (len(b) % 2) for i, b in extra)
+    sink.write(tail)
+    return size + len(tail)
+
+
+def locate(f) -> dict:
+    """Format, place and size of the samples in an open WAV file, read chunk head by chunk head."""
+    head = f.read(12)
+    if head[:4] not in (b"RIFF", b"RF64", b"BW64") or head[8:12] != b"WAVE":
+        raise ValueError("not a RIFF/WAVE file")
+    form, wide = None, None
+    while len(raw := f.read(8)) == 8:
+        ident, size = raw[:4], struct.unpack("<I", raw[4:])[0]
+        if ident == b"ds64":
+            body = f.read(padded(size))
+            wide = struct.unpack("<QQQ", body[:24])
+        elif ident == b"fmt ":
+            body = f.read(padded(size))
+            if size < 16:
+                raise ValueError("fmt is cut off")
+            tag, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
+            kind = struct.unpack("<H", body[24:26])[0] if tag == EXTENSIBLE and size >= 40 else tag
+            form = {"channels": channels, "sample_rate": rate, "bits": bits, "kind": kind}
+        elif ident == b"data":
+            if not form or form["kind"] not in (PCM, FLOAT) or not form["channels"] or form["bits"] not in (8, 16, 24, 32, 64):
+                raise ValueError("unsupported format")
+            return form | {"offset": f.tell(), "size": wide[1] if size == U32 and wide else size}
+        else:
+            f.seek(padded(size), 1)
+    raise ValueError("no data chunk")
+
+
+def frame_blocks(f, first: int = 0, frames: int | None = None, block: int = 16384):
+    """(start frame, samples, rate) of an open WAV file, from a frame on and as many as asked for; a block at a time."""
+    at = locate(f)
+    step = at["channels"] * at["bits"] // 8
+    f.seek(at["offset"] + first * step)
+    left = max(0, at["size"] // step - first)
+    left = left if frames is None else min(left, frames)
+    while left > 0:
+        raw = f.read(min(block, left) * step)
+        x = decode_pcm(raw, at["channels"], at["bits"], at["kind"])
+        if not x.shape[1]:
+            return
+        yield first, x, at["sample_rate"]
+        first, left = first + x.shape[1], left - x.shape[1]
+
+
 def float80(v: float) -> bytes:
     """80-bit extended, big-endian."""
     if v == 0:
