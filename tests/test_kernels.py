@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.functions import design as d
-from tidemark.operators import immersive, kernels as k
+from tidemark.operators import immersive, kernels as k, stages as st
 from tidemark.plans import render
 from tidemark.sources import signals as sg
 
@@ -66,8 +66,8 @@ def test_centred_minimum():
 
 
 def test_normalise_reaches_its_target():
-    y, st = k.normalise(stereo(sg.pink(4)), SR, -18.0, -1.0)
-    assert abs(k.loudness(y, SR)["integrated"] + 18) < 0.25 and st["ceiling_respected"]
+    y, stats = k.normalise(stereo(sg.pink(4)), SR, -18.0, -1.0)
+    assert abs(k.loudness(y, SR)["integrated"] + 18) < 0.25 and stats["ceiling_respected"]
 
 
 def test_resample_keeps_a_sine():
@@ -127,8 +127,6 @@ def test_render_leaves_out_neutral_stages():
 
 
 def test_stages_are_neutral_when_off_and_do_what_they_say():
-    from tidemark.operators import stages as st
-
     x = np.stack([sg.pink(1), sg.pink(1, seed=9)]).astype(np.float32)
     assert st.haas(x, SR, 0) is x and st.depth(x, SR, 0) is x and st.tape(x, SR, 0) is x and st.crossfeed(x, SR, 0) is x and st.side_bands(x, SR, 1, 1, 1) is x
     flat = st.multiband(x, SR, 0, 0, 0)
@@ -158,3 +156,42 @@ def test_spectra_and_estimates():
     y = np.sin(2 * np.pi * np.arange(4800) / 4 + np.pi / 4)
     assert -0.6 < k.to_db(k.true_peak_estimate(y, SR)) < 0.2 and k.true_peak_estimate(y, SR, 7) <= k.true_peak_estimate(y, SR) + 1e-12
     assert k.spatial_energy({"L": 1, "R": 1, "Ls": 1, "Ltf": 1, "LFE": 0})["front"] == 50
+
+
+def test_saturation_keeps_quiet_signals_and_folds_little():
+    n = np.arange(48_000)
+    quiet = (0.01 * np.sin(2 * np.pi * 1000 * n / 48_000)).astype(np.float32)[None]
+    y = st.saturate(quiet, 48_000, 0.5)
+    assert y.shape == quiet.shape and abs(np.ptp(y[0, 20_000:]) / 0.02 - 1) < 0.02
+    assert np.abs(y[0, 20_000:40_000] - y[0, 20_000:40_000].mean() - quiet[0, 20_000:40_000]).max() < 0.0005  # no delay
+    assert abs(st.saturate(quiet + 0.2, 48_000, 0.5)[0, 40_000:].mean()) < 0.02  # direct current is blocked
+    loud = (0.9 * np.sin(2 * np.pi * 10_000 * n / 48_000)).astype(np.float32)[None]
+    spectrum = np.abs(np.fft.rfft(st.saturate(loud, 48_000, 0.8)[0] * np.hanning(48_000)))
+    plain = np.abs(np.fft.rfft(np.interp(loud[0], np.linspace(-2, 2, 2048), d.saturation_curve(0.8)) * np.hanning(48_000)))
+    folded = 48_000 - 3 * 10_000  # where the third harmonic lands without oversampling
+    assert spectrum[folded - 5 : folded + 6].max() < 0.1 * plain[folded - 5 : folded + 6].max()
+    assert st.saturate(quiet, 48_000, 0) is quiet
+
+
+def test_exponential_knee():
+    level = np.linspace(-60, 0, 601)
+    gain = st.curve_db(level, -24, 4, 12)
+    assert (gain[level <= -24] == 0).all() and (np.diff(gain) <= 1e-9).all()
+    slope = np.diff(level + gain) / np.diff(level)
+    assert abs(slope[-1] - 0.25) < 1e-6 and abs(slope[np.searchsorted(level, -12.2)] - 0.25) < 0.02
+    assert (st.curve_db(level, -24, 1, 12) == 0).all()
+
+
+def test_walk_back_trades_loudness_for_peaks():
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((1, 96_000)) * 0.05).astype(np.float32)
+    x[0, ::4800] = 0.9
+    gain = 18.0
+    y, stats = k.limit((x * 10 ** (gain / 20)).astype(np.float32), 48_000, -1.0)
+    got = k.loudness(y, 48_000)["integrated"]
+    back = k.walked_back(x, 48_000, got + 1.0, -1.0, gain, got, stats, lambda s: True)
+    if back:
+        lower, _, own, level = back
+        assert lower in (16.5, 15.0) and own["peak_gr_db"] > stats["peak_gr_db"] and got - level < 0.4 * (own["peak_gr_db"] - stats["peak_gr_db"])
+    assert k.walked_back(x, 48_000, got - 1.0, -1.0, gain, got, stats, lambda s: True) is None
+    assert k.walked_back(x, 48_000, got + 1.0, -1.0, gain, got, stats, lambda s: False) is None

@@ -85,9 +85,7 @@ def stages(job: Job, rate: int) -> list[tuple[str, object]]:
     if job.depth > 0:
         out.append(("depth", lambda x: st.depth(x, rate, job.depth, job.depth_size, job.depth_mode)))
     if job.saturation > 0:
-        curve = d.saturation_curve(job.saturation)
-        grid = np.linspace(-2, 2, len(curve))
-        out.append(("saturation", lambda x: np.interp(x, grid, curve).astype(np.float32)))
+        out.append(("saturation", lambda x: st.saturate(x, rate, job.saturation)))
     if job.attack or job.sustain:
         out.append(("transients", lambda x: k.shape_transients(x, rate, job.attack, job.sustain)))
     return out
