@@ -17,15 +17,18 @@ def limit(name: str, cls: Column) -> Column:
     return F.when(cls == "creative", F.lit(creative)).otherwise(F.lit(reference))
 
 
-def flags(baseline: DataFrame, candidate: DataFrame, ceiling: float | None = None) -> DataFrame:
+def flags(baseline: DataFrame, candidate: DataFrame, ceiling: float | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """severity, kind, id, class, value: one row for each rule a candidate row breaks, and for each row it lacks.
 
     Both: id, class, nan, inf, dc, true_peak_db, integrated, crest_db, rms_db,
-    correlation, mono_loss_db, centroid_hz. Rules of movement need a baseline row.
+    correlation, mono_loss_db, centroid_hz, and bands_db (an array of band levels)
+    where there is one. Rules of movement need a baseline row. Rows meet by id and
+    the columns ``within``, which come with each flag.
     """
-    measures = [c for c in candidate.columns if c not in ("id", "class")]
-    base = baseline.select("id", *(F.col(c).alias(f"b_{c}") for c in measures)).withColumn("found", F.lit(True))
-    j = candidate.join(base, "id", "left")
+    on = ["id", *within]
+    measures = [c for c in candidate.columns if c not in (*on, "class")]
+    base = baseline.select(*on, *(F.col(c).alias(f"b_{c}") for c in measures))
+    j = candidate.join(base, on, "left")
     c = F.col
     moved = lambda m: c(m) - c(f"b_{m}")
     soft = F.when(c("class") == "reference", "defect").otherwise("info")
@@ -39,27 +42,31 @@ def flags(baseline: DataFrame, candidate: DataFrame, ceiling: float | None = Non
         (soft, F.lit("mono-sum-degradation"), -moved("mono_loss_db") > limit("mono", c("class")), moved("mono_loss_db")),
         (soft, F.lit("spectral-shift"), F.abs(moved("centroid_hz")) > limit("centroid", c("class")), moved("centroid_hz")),
     ]
+    if "bands_db" in measures:
+        worst = F.array_max(F.zip_with("bands_db", "b_bands_db", lambda a, b: F.struct(F.abs(a - b).alias("far"), (a - b).alias("moved"))))
+        rules.append((soft, F.lit("band-shift"), worst["far"] > limit("band", c("class")), worst["moved"]))
     if ceiling is not None:
         rules.append(("defect", F.lit("true-peak-violation"), c("true_peak_db") > ceiling + OVERSHOOT, c("true_peak_db")))
     made = F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct((s if isinstance(s, Column) else F.lit(s)).alias("severity"), kind.alias("kind"), value.cast("double").alias("value"))) for s, kind, when, value in rules))
-    found = j.select("id", "class", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("f")).select("f.severity", "f.kind", "id", "class", "f.value")
-    gone = baseline.join(candidate.select("id"), "id", "left_anti").select(F.lit("defect").alias("severity"), F.lit("missing-measurement").alias("kind"), "id", "class", F.lit(None).cast("double").alias("value"))
+    found = j.select(*on, "class", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("f")).select("f.severity", "f.kind", *on, "class", "f.value")
+    gone = baseline.join(candidate.select(*on), on, "left_anti").select(F.lit("defect").alias("severity"), F.lit("missing-measurement").alias("kind"), *on, "class", F.lit(None).cast("double").alias("value"))
     return found.unionByName(gone)
 
 
 def across(measured: DataFrame, group: str, reference: str, ceiling: float | None = None) -> DataFrame:
-    """Flags of every other group against the reference group; what is a defect there is a divergence here."""
-    ref = measured.where(F.col(group) == reference).drop(group)
-    others = [r[0] for r in measured.select(group).distinct().where(F.col(group) != reference).orderBy(group).collect()]  # names of a few groups
-    out = None
-    for name in others:
-        own = flags(ref.withColumn("class", F.lit("reference")), measured.where(F.col(group) == name).drop(group).withColumn("class", F.lit("reference")), ceiling)
-        own = own.withColumns({
-            "severity": F.when((F.col("severity") == "defect") & ~F.col("kind").isin("nan", "infinity"), "browser").otherwise(F.col("severity")),
-            "kind": F.when(F.col("kind") == "loudness-change", "browser-divergence").otherwise(F.col("kind")), group: F.lit(name),
-        })
-        out = own if out is None else out.unionByName(own)
-    return out
+    """Flags of every other group against the reference group; what is a defect there is a divergence here.
+
+    The reference rows come once for each other group, of which there are few.
+    """
+    ref = measured.where(F.col(group) == reference).drop(group).withColumn("class", F.lit("reference"))
+    own = measured.where(F.col(group) != reference).withColumn("class", F.lit("reference"))
+    names = own.agg(F.collect_set(group).alias("names"))  # one row
+    base = ref.join(F.broadcast(names)).withColumn(group, F.explode("names")).drop("names")
+    found = flags(base, own, ceiling, (group,))
+    return found.withColumns({
+        "severity": F.when((F.col("severity") == "defect") & ~F.col("kind").isin("nan", "infinity"), "browser").otherwise(F.col("severity")),
+        "kind": F.when(F.col("kind") == "loudness-change", "browser-divergence").otherwise(F.col("kind")),
+    })
 
 
 def pcm_differences(original: DataFrame, decoded: DataFrame, tolerance: Column) -> DataFrame:

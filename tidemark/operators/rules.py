@@ -77,60 +77,88 @@ class Edits:
         self.section = []
 
 
-def adapt(rows: DataFrame) -> DataFrame:
-    """Parameters eased by measured statistics (columns ``STATS``), the edits made, and the source class.
-
-    Edits only go down, but for the floor of 90 Hz under which the bass of a
-    bass-heavy source is made mono. Rows without any statistic stay as they are.
-    """
-    c = F.col
-    f = stats_flags()
-    e = Edits(rows.withColumn("__mbLow", c("mbLow")))
+# What eases a parameter: section, condition, parameters, guard, action, reason. Sections follow one another;
+# actions are set (a value), percent (a share of 0 to 100, or -100 to 100 for signed ones), toward1 (a share of the way
+# from 1) and times.
+EASINGS = """
+1 first drive >0 set:0 loud or dense
+1 first sat >0 percent:0.25 loud or dense
+1 dense mbLow,mbMid,mbHigh >0 percent:0.3 loud or dense
+1 loud_only mbLow,mbMid,mbHigh >0 percent:0.45 loud or dense
+1 first transAttack,transSustain !=0 signed:0.4 loud or dense
+1 loud air,clarity >0.5 set:0.5 loud
+1 loud tilt >0 set:0 loud
+1 loud width >1 toward1:0.25 loud
+1 second mbLow,mbMid,mbHigh,sat >0 percent:0.6 moderately dense
+1 second transAttack !=0 signed:0.6 moderately dense
+1 second drive >0.5 set:0.5 moderately dense
+1 third mbLow,mbMid,mbHigh >0 percent:0.7 dynamic
+1 near mbLow,mbMid,mbHigh >0 percent:0.7 near target
+1 near sat >0 percent:0.6 near target
+1 near drive >0.5 set:0.5 near target
+2 third_compressed mbMix >70 set:70 dynamic
+2 hot drive >0 set:0 hot peaks
+2 very_hot sat >0 percent:0.5 very hot peaks
+2 bright clarity >0 set:0 bright
+2 bright air >0.5 set:0.5 bright
+2 bright tilt >0 set:0 bright
+2 bright harsh >0 set:0 bright
+2 forward_only clarity >0.5 set:0.5 hot presence
+2 bassy sub >0.8 set:0.8 bass-heavy
+2 bassy warm >1 set:1 bass-heavy
+2 bassy_dense mbLow >0 held:0.6 held for bass
+2 bassy_stereo bassMono <90 set:90 bass-heavy
+3 phasey width !=1 toward1:0 wide
+3 wide_only width !=1 toward1:0.35 wide
+3 phasey haas,spread,phaseRot >0 times:0 wide
+3 wide_only haas,spread,phaseRot >0 times:0.35 wide
+3 phasey widthLow,widthMid,widthHigh !=1 toward1:0 wide
+3 wide_only widthLow,widthMid,widthHigh !=1 toward1:0.4 wide
+"""
+
+
+def easing_conditions() -> dict[str, Column]:
+    """The conditions that easings name, on statistics and on parameters as they are when their section begins."""
+    f, c = stats_flags(), F.col
     first = f["loud"] | f["dense"]
-    e.put("drive", first & (c("drive") > 0), F.lit(0.0), "loud or dense")
-    e.put("sat", first & (c("sat") > 0), percent(c("sat"), 0.25), "loud or dense")
-    for k in BANDS:
-        e.put(k, first & (c(k) > 0), percent(c(k), F.when(f["dense"], 0.3).otherwise(0.45)), "loud or dense")
-    for k in ("transAttack", "transSustain"):
-        e.put(k, first & (c(k) != 0), percent(c(k), 0.4, -100.0), "loud or dense")
-    for k in ("air", "clarity"):
-        e.put(k, f["loud"] & (c(k) > 0.5), F.lit(0.5), "loud")
-    e.put("tilt", f["loud"] & (c("tilt") > 0), F.lit(0.0), "loud")
-    e.put("width", f["loud"] & (c("width") > 1), 1 + (c("width") - 1) * 0.25, "loud")
     second = ~first & _true(c("crest_db") < DENSE_CREST)
-    for k in BANDS + ("sat",):
-        e.put(k, second & (c(k) > 0), percent(c(k), 0.6), "moderately dense")
-    e.put("transAttack", second & (c("transAttack") != 0), percent(c("transAttack"), 0.6, -100.0), "moderately dense")
-    e.put("drive", second & (c("drive") > 0.5), F.lit(0.5), "moderately dense")
     third = ~first & ~second & f["dynamic"]
     near = ~first & ~second & ~third & c("normalize") & _true(c("integrated") >= c("targetLUFS") - NEAR_TARGET)
-    for k in BANDS:
-        e.put(k, third & (c(k) > 0), percent(c(k), 0.7), "dynamic")
-    for k in BANDS:
-        e.put(k, near & (c(k) > 0), percent(c(k), 0.7), "near target")
-    e.put("sat", near & (c("sat") > 0), percent(c("sat"), 0.6), "near target")
-    e.put("drive", near & (c("drive") > 0.5), F.lit(0.5), "near target")
-    e.done()
-    e.put("mbMix", third & (c("mbMix") > 70) & (F.greatest(*BANDS) > 0), F.lit(70.0), "dynamic")
-    e.put("drive", f["hot"] & (c("drive") > 0), F.lit(0.0), "hot peaks")
-    e.put("sat", f["very_hot"] & (c("sat") > 0), percent(c("sat"), 0.5), "very hot peaks")
-    e.put("clarity", f["bright"] & (c("clarity") > 0), F.lit(0.0), "bright")
-    e.put("air", f["bright"] & (c("air") > 0.5), F.lit(0.5), "bright")
-    e.put("tilt", f["bright"] & (c("tilt") > 0), F.lit(0.0), "bright")
-    e.put("harsh", f["bright"] & (c("harsh") > 0), F.lit(0.0), "bright")
-    e.put("clarity", ~f["bright"] & f["forward"] & (c("clarity") > 0.5), F.lit(0.5), "hot presence")
-    e.put("sub", f["bassy"] & (c("sub") > 0.8), F.lit(0.8), "bass-heavy")
-    e.put("warm", f["bassy"] & (c("warm") > 1), F.lit(1.0), "bass-heavy")
-    held = F.greatest(c("mbLow"), percent(c("__mbLow"), 0.6))
-    e.put("mbLow", f["bassy"] & f["dense"] & (c("mbLow") > 0) & (held != c("mbLow")), held, "held for bass")
-    e.put("bassMono", f["bassy"] & (c("bassMono") < 90) & ~_true(c("channels") == 1), F.lit(90.0), "bass-heavy")
-    e.done()
-    factor, band = F.when(f["phasey"], 0.0).otherwise(0.35), F.when(f["phasey"], 0.0).otherwise(0.4)
-    e.put("width", f["wide"] & (c("width") != 1), 1 + (c("width") - 1) * factor, "wide")
-    for k in ("haas", "spread", "phaseRot"):
-        e.put(k, f["wide"] & (c(k) > 0), c(k) * factor, "wide")
-    for k in ("widthLow", "widthMid", "widthHigh"):
-        e.put(k, f["wide"] & (c(k) != 1), 1 + (c(k) - 1) * band, "wide")
+    wide = f["wide"] | f["phasey"]
+    return f | {
+        "first": first, "loud_only": f["loud"] & ~f["dense"], "second": second, "third": third, "near": near, "third_compressed": third & (F.greatest(*BANDS) > 0),
+        "forward_only": ~f["bright"] & f["forward"], "bassy_dense": f["bassy"] & f["dense"], "bassy_stereo": f["bassy"] & ~_true(c("channels") == 1), "wide_only": wide & ~f["phasey"],
+    }
+
+
+def eased(key: str, action: str, share: float) -> Column:
+    """What an action makes of a parameter. ``held`` never falls under its share of the value that came in."""
+    v = F.col(key)
+    if action == "held":
+        return F.greatest(v, percent(F.col(f"__{key}"), share))
+    return {"set": F.lit(share), "percent": percent(v, share), "signed": percent(v, share, -100.0), "toward1": 1 + (v - 1) * share, "times": v * share}[action]
+
+
+def adapt(rows: DataFrame) -> DataFrame:
+    """Parameters eased by measured statistics (columns ``STATS``), the edits made, and the source class.
+
+    ``EASINGS`` are run section by section. They only go down, but for the floor
+    of 90 Hz under which the bass of a bass-heavy source is made mono. Rows
+    without any statistic stay as they are.
+    """
+    e = Edits(rows.withColumn("__mbLow", F.col("mbLow")))
+    section = "1"
+    for at, name, keys, guard, action, why in (line.split(" ", 5) for line in EASINGS.strip().splitlines()):
+        if at != section:
+            e.done()
+            section = at
+        kind, share = action.split(":")
+        for key in keys.split(","):
+            v, bound = F.col(key), float(guard.lstrip("<>!="))
+            stands = v > bound if guard[0] == ">" else v < bound if guard[0] == "<" else v != bound
+            value = eased(key, kind, float(share))
+            moves = value != v if kind == "held" else F.lit(True)
+            e.put(key, easing_conditions()[name] & stands & moves, value, why)
     e.done()
     return e.rows.withColumn("source_class", source_class()).drop("__mbLow")
 
