@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import struct
 from collections import Counter
+from functools import reduce
 from xml.etree import ElementTree as ET
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.sources import containers as c
 
@@ -196,3 +200,50 @@ def _channel(ident: str, e: ET.Element, tag, bad) -> None:
         for f in low:
             if not 0 < float(f.text or 0) <= 500:
                 bad("lfe", block, f"{f.text} Hz")
+
+
+def elements(xmls: DataFrame) -> DataFrame:
+    """doc_id, kind, ident, refers: a row for each identified element and each reference of XML texts (doc_id, xml).
+
+    A text that can't be parsed is one row of kind ``error``.
+    """
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, xml in zip(b["doc_id"], b["xml"], strict=True):
+                try:
+                    root = ET.fromstring(xml)
+                except ET.ParseError as e:
+                    rows.append((doc, "error", str(e), False))
+                    continue
+                for e in root.iter():
+                    tag = e.tag.rpartition("}")[2]
+                    if tag in GRAMMAR:
+                        rows.append((doc, tag, e.get(GRAMMAR[tag][0]) or "", False))
+                    elif tag.endswith("Ref"):
+                        kind = "audioTrackUID" if tag == "audioTrackUIDRef" else tag.removesuffix("IDRef")
+                        rows.append((doc, kind, (e.text or "").strip(), True))
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "ident", "refers"])
+
+    return xmls.select(F.col("doc_id").cast("long").alias("doc_id"), "xml").mapInPandas(run, "doc_id long, kind string, ident string, refers boolean")
+
+
+def id_problems(xmls: DataFrame) -> DataFrame:
+    """doc_id, rule, ident of everything wrong with the ids of many texts, by joins of their elements and references."""
+    every = elements(xmls)
+    c = F.col
+    own = every.where("not refers and kind <> 'error'")
+    patterns = F.create_map(*(F.lit(x) for kind, (_, p) in GRAMMAR.items() for x in (kind, f"^{p}$")))
+    fit = F.regexp_like(c("ident"), F.element_at(patterns, c("kind")))
+    broken = every.where("kind = 'error'").select("doc_id", F.lit("xml").alias("rule"), F.lit("").alias("ident"))
+    malformed = own.where(~fit).select("doc_id", F.lit("id-pattern").alias("rule"), "ident")
+    sound = own.where(fit)
+    counted = sound.groupBy("doc_id", "ident").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("own_kind"))
+    twice = counted.where("n > 1").select("doc_id", F.lit("duplicate-id").alias("rule"), "ident")
+    refs = every.where("refers")
+    met = refs.join(counted, ["doc_id", "ident"], "left")
+    lost = met.where("own_kind is null").select("doc_id", F.lit("unresolved").alias("rule"), "ident")
+    other = met.where("own_kind <> kind").select("doc_id", F.lit("wrong-kind").alias("rule"), "ident")
+    alone = counted.where("own_kind not in ('audioProgramme', 'audioBlockFormat')").join(refs, ["doc_id", "ident"], "left_anti").select("doc_id", F.lit("unreferenced").alias("rule"), "ident")
+    return reduce(DataFrame.unionByName, (broken, malformed, twice, lost, other, alone))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions import design
-from tidemark.operators import immersive, kernels
-from tidemark.plans.base import Registry, r, rs, table
+from tidemark.operators import adm, dims, immersive, kernels
+from tidemark.plans.base import Registry, r, rs, table, values
 from tidemark.sources import containers
 
 query = Registry()
@@ -410,3 +412,73 @@ def mask_names(spark, sf):
 
     own = table(spark, sf, "part").select("p_partkey", names(c("p_partkey") * 131 % 262144).alias("names"))
     return own.where("names <> ''")
+
+
+# ---- definition models --------------------------------------------------------
+
+
+@query("""
+WITH c AS (SELECT p_partkey, 1 + p_partkey % 64 AS i FROM part)
+SELECT p_partkey, printf('AC_0001%04x', 4096 + i) AS channel, printf('AB_0001%04x_00000001', 4096 + i) AS block, printf('AT_0001%04x_01', 4096 + i) AS track, printf('ATU_%08x', i) AS uid FROM c""")
+def adm_ids(spark, sf):
+    def fn(pdf):
+        own = [adm.ids(1 + k % 64) for k in pdf["p_partkey"].tolist()]
+        return pd.DataFrame({"p_partkey": pdf["p_partkey"], **{x: [o[x] for o in own] for x in ("channel", "block", "track", "uid")}})
+
+    return _over(table(spark, sf, "part").select("p_partkey"), ["p_partkey"], "p_partkey long, channel string, block string, track string, uid string", fn)
+
+
+@query("""
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 9 = 0 THEN 32767 ELSE floor(greatest(-327.68, least(327.66, x)) * 100 + 0.5) END AS INT) AS loudness FROM (SELECT o_orderkey, o_totalprice / 500.0 - 400 AS x FROM orders)""")
+def bext_levels(spark, sf):
+    """The loudness field of a broadcast extension, read from its bytes; unmeasured levels have a value of their own."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(c("o_orderkey") % 9 != 0, c("o_totalprice") / 500.0 - 400).alias("level"))
+
+    def fn(pdf):
+        raws = [adm.bext("x", None if np.isnan(v) else v, None) for v in pdf["level"].astype(float)]
+        return pd.DataFrame({"o_orderkey": pdf["o_orderkey"], "loudness": [int.from_bytes(raw[412:414], "little", signed=True) for raw in raws]})
+
+    return _over(rows, ["o_orderkey"], "o_orderkey long, loudness int", fn)
+
+
+_XML = {
+    "fine": '<audioObject audioObjectID="AO_1001"/><audioObjectIDRef>AO_1001</audioObjectIDRef>',
+    "lost": '<audioPackFormat audioPackFormatID="AP_0001{k}"/><audioPackFormatIDRef>AP_0002{k}</audioPackFormatIDRef>',
+    "twice": '<audioContent audioContentID="ACO_1001"/><audioContent audioContentID="ACO_1001"/><audioContentIDRef>ACO_1001</audioContentIDRef>',
+    "odd": '<audioObject audioObjectID="AO_{k}x"/><audioTrackUIDRef>ATU_0000{k}</audioTrackUIDRef>',
+    "kind": '<audioTrackUID UID="ATU_0000{k}"/><audioObjectIDRef>ATU_0000{k}</audioObjectIDRef>',
+    "cut": "<audioObject",
+}
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS doc_id, p_partkey % 6 AS kind, lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS k FROM part)
+SELECT doc_id, 'unresolved' AS rule, 'AP_0002' || k AS ident FROM p WHERE kind = 1 UNION ALL SELECT doc_id, 'unreferenced', 'AP_0001' || k FROM p WHERE kind = 1
+UNION ALL SELECT doc_id, 'duplicate-id', 'ACO_1001' FROM p WHERE kind = 2
+UNION ALL SELECT doc_id, 'id-pattern', 'AO_' || k || 'x' FROM p WHERE kind = 3 UNION ALL SELECT doc_id, 'unresolved', 'ATU_0000' || k FROM p WHERE kind = 3
+UNION ALL SELECT doc_id, 'wrong-kind', 'ATU_0000' || k FROM p WHERE kind = 4 UNION ALL SELECT doc_id, 'xml', '' FROM p WHERE kind = 5""")
+def adm_id_problems(spark, sf):
+    """Ids of many XML texts checked by joins; five of six kinds of text break one rule or two."""
+    k = F.lpad((c("p_partkey") % 10_000).cast("string"), 4, "0")
+    body = F.replace(_pick(list(_XML.values()), c("p_partkey")), F.lit("{k}"), k)
+    xml = F.concat(F.lit('<a xmlns="urn:ebu:metadata-schema:ebuCore_2016">'), body, F.lit("</a>"))
+    return adm.id_problems(table(spark, sf, "part").select(c("p_partkey").alias("doc_id"), xml.alias("xml")))
+
+
+@query(f"""
+WITH l AS (SELECT * FROM {values([(k, len(v.split()), sum(x == "LFE" for x in v.split())) for k, v in dims.LAYOUTS.items()], "layout_id, n, n_lfe")})
+SELECT layout_id, n, n_lfe AS n_limits, 0 AS n_errors, 4 + 5 * n AS n_ids FROM l""")
+def adm_documents(spark, sf):
+    """The XML of every standard layout: its channels, its low-pass limits, what breaks a rule (nothing), and its ids."""
+    beds = dims.layout_channels(spark).where("standard or layout_id = '9.1.6'").join(dims.speakers(spark), "speaker_id").where("layout_id <> 'venue'")
+    own = beds.groupBy("layout_id").agg(F.sort_array(F.collect_list(F.struct("pos", "speaker_id", "adm_label", "azimuth_adm", "elevation", "lfe"))).alias("speakers"))
+
+    def fn(pdf):
+        rows = []
+        for name, speakers in zip(pdf["layout_id"], pdf["speakers"], strict=True):
+            xml = adm.build([dict(x) for x in speakers], 48_000, 24, 61.5, name)
+            wrong = [x for x in adm.validate(xml, 48_000, 24, [adm.ids(i + 1)["uid"] for i in range(len(speakers))]) if x[0] == "error"]
+            rows.append((name, len(speakers), xml.count("<frequency"), len(wrong), len(re.findall(r' audio\w+ID="| UID="', xml))))
+        return pd.DataFrame(rows, columns=["layout_id", "n", "n_limits", "n_errors", "n_ids"])
+
+    return _over(own, ["layout_id"], "layout_id string, n long, n_limits long, n_errors int, n_ids long", fn)

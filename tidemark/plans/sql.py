@@ -125,6 +125,14 @@ UNION ALL SELECT sev, 'rms-change', id, cls FROM j WHERE abs(drm) > CASE WHEN cv
 UNION ALL SELECT sev, 'correlation-collapse', id, cls FROM j WHERE -dco > CASE WHEN cv THEN 0.55 ELSE 0.155 END
 UNION ALL SELECT 'defect', 'dc', id, cls FROM j WHERE k % 11 = 0
 UNION ALL SELECT 'defect', 'missing-measurement', id, cls FROM k WHERE k % 10 = 3""",
+    "hf_budget": f"""
+WITH p AS (SELECT p_partkey AS k, greatest((p_partkey % 13 - 3) / 2e0, 0) AS air, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 11) / 1e1 * 15e-1 ELSE 0 END AS spread, greatest((p_partkey % 9 - 2) / 2e0, 0) AS clarity, greatest((p_partkey % 5 - 1) / 2e0, 0) AS tilt,
+  2e-1 * greatest((p_partkey + 4) % 7 - 3, 0) + 45e-2 * greatest((p_partkey + 5) % 7 - 3, 0) + 85e-2 * greatest((p_partkey + 6) % 7 - 3, 0) + 1e0 * greatest((p_partkey + 7) % 7 - 3, 0) AS matched, greatest(least((p_partkey % 21 - 4) / 8e0, 1), 0) AS bright FROM part),
+t AS (SELECT *, air + spread + 45e-2 * clarity + 85e-2 * tilt + matched AS total, 4 - 125e-2 * bright AS allowed FROM p),
+s AS (SELECT *, total - allowed AS surplus, total > allowed AND total > 0 AS hit FROM t),
+u AS (SELECT *, CASE WHEN hit THEN least(7, {r("surplus * 65e-2 * (5e-1 + least(1, surplus / 15e-1) * 5e-1)", 1)}) ELSE 0 END AS cut FROM s)
+SELECT k AS p_partkey, hit AS engaged, {r("total", 1)} AS estimate_db, {r("allowed", 1)} AS allowed_db, {r("surplus", 1)} AS surplus_db, cut AS cut_db, CASE WHEN hit THEN {r("greatest(65e-2, 1 - greatest(0, least(1, surplus / 8)) * 4e-1)", 1)} ELSE 1 END AS sat_scale,
+  CASE WHEN hit THEN {r("greatest(0, air - cut * air / total) + greatest(0, spread - cut * spread / total)", 1)} END AS air_total, CASE WHEN hit AND clarity > 0 THEN {r("greatest(0, clarity - cut * clarity * 45e-2 / total)", 1)} END AS clarity, CASE WHEN hit AND tilt > 0 THEN {r("greatest(0, tilt - cut * tilt * 85e-2 / total)", 1)} END AS tilt FROM u""",
     "hf_stack": "WITH p AS (SELECT p_partkey, greatest((p_partkey % 13 - 3) / 2.0, 0) AS air, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 11) / 10.0 * 1.5 ELSE 0 END AS spread, greatest((p_partkey % 9 - 2) / 2.0, 0) AS clarity, greatest((p_partkey % 5 - 1) / 2.0, 0) AS tilt FROM part), t AS (SELECT *, air + spread + 0.45 * clarity + 0.85 * tilt AS total, greatest(least(((p_partkey % 21 - 24) + 20) / 8.0, 1), 0) AS b FROM p), s AS (SELECT *, total - (4 - 1.25 * b) AS surplus FROM t) SELECT p_partkey, surplus > 0 AND total > 0 AS engaged, " + r("total", 1) + " AS estimate_db, CASE WHEN surplus > 0 THEN least(7, " + r("surplus * 0.65 * (0.5 + 0.5 * least(1, surplus / 1.5))", 1) + ") ELSE 0 END AS cut_db FROM s",
     "match_curve": f"WITH e AS ({EMB}), l AS (SELECT vec_id, i // 8 AS i, avg(v) * 10 AS v FROM e GROUP BY ALL), p AS (SELECT a.vec_id, a.i, b.v - a.v AS d FROM l a JOIN l b ON b.vec_id = a.vec_id + 1 AND b.i = a.i), m AS (SELECT *, d - avg(d) OVER (PARTITION BY vec_id) AS u FROM p), s AS (SELECT *, u * 0.7 + (coalesce(lag(u) OVER w, u) + coalesce(lead(u) OVER w, u)) * 0.15 AS sm FROM m WINDOW w AS (PARTITION BY vec_id ORDER BY i)), t AS (SELECT *, sm * CASE i WHEN 0 THEN 0.5 WHEN 6 THEN 6.0 / 7 WHEN 7 THEN 2.0 / 7 ELSE 1 END AS ta FROM s), z AS (SELECT *, ta - avg(ta) OVER (PARTITION BY vec_id) AS g FROM t) SELECT vec_id, i, {r('least(greatest(g, -5), 5)', 1)} AS gain_db, {r('greatest(0, least(1, 1 - sqrt(avg(u * u) OVER (PARTITION BY vec_id)) / 12))', 2)} AS confidence FROM z",
 }
