@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import adm, delivery, dims, intake, scene
+from tidemark.operators import adm, compare, delivery, dims, intake, scene
 from tidemark.sources import containers as c
 
 
@@ -99,3 +99,18 @@ def test_packages_presets_and_observation(spark, tmp_path):
     df = rec.watched("rows", spark.range(10).select(F.col("id").cast("double").alias("v")), "v")
     rec.timed("count", lambda: df.write.format("noop").mode("overwrite").save())
     assert rec.counts("rows") == {"rows": 10, "finite": 10} and rec.slowest()[0][0] == "count"
+
+
+def test_unique_names_skip_those_that_are_there(spark):
+    rows = [(1, "a.wav"), (2, "a_2.wav"), (3, "a.wav"), (4, "a.wav"), (5, "b"), (6, "b"), (7, ".hidden"), (8, ".hidden"), (9, "a_2.wav")]
+    out = {r.k: r.unique_name for r in delivery.unique_names(spark.createDataFrame(rows, "k int, name string"), "k", "name").collect()}
+    assert out == {1: "a.wav", 2: "a_2.wav", 3: "a_3.wav", 4: "a_4.wav", 5: "b", 6: "b_2", 7: ".hidden", 8: ".hidden_2", 9: "a_2_2.wav"}
+
+
+def test_band_shifts_are_flagged(spark):
+    none = ", ".join(f"CAST(NULL AS DOUBLE) AS {k}" for k in ("true_peak_db", "integrated", "crest_db", "rms_db", "correlation", "mono_loss_db", "centroid_hz"))
+    row = lambda i, cls, bands: f"SELECT {i} AS id, '{cls}' AS class, 0 AS nan, 0 AS inf, 0.0D AS dc, {none}, {bands} AS bands_db"
+    base = spark.sql(" UNION ALL ".join(row(i, "reference" if i < 3 else "creative", "array(1.0D, 2.0D)") for i in range(4)))
+    cand = spark.sql(" UNION ALL ".join(row(i, "reference" if i < 3 else "creative", f"array(1.0D, {2.0 + i * 1.6}D)") for i in range(4)))
+    out = {(r.id, r.severity, round(r.value, 6)) for r in compare.flags(base, cand).collect() if r.kind == "band-shift"}
+    assert out == {(1, "defect", 1.6), (2, "defect", 3.2)}

@@ -1,5 +1,6 @@
 """Frames, rules and comparison on small cases with known answers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,23 @@ def test_coercion(spark):
     rows = spark.createDataFrame([("s", "drive", "99"), ("s", "mbSpeed", "fast"), ("s", "width", "junk"), ("s", "unknown", "1"), ("s", "binaural", "maybe")], "set_id string, key string, value string")
     out = {r.key: (r.value, r.defaulted) for r in rules.coerce(rows, dims.param_spec(spark).where("kind <> 'array'")).collect()}
     assert out["drive"][0] == "9.0" and out["mbSpeed"] == ("fast", False) and out["width"][0] == "1" and "unknown" not in out and out["binaural"] == ("false", True) and out["dither"] == ("tpdf", True)
+
+
+def test_series_cut_into_stretches_give_the_same(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k % 2, i, float(v)) for k in range(2) for i, v in enumerate(rng.integers(0, 1000, 300))]
+    df = spark.createDataFrame(rows, "series int, frame long, value double")
+    got = {(r.series, r.frame): r.low for r in frames.sliding_minimum(df, "series", 7, stretch=16).collect()}
+    value = {(s, i): v for s, i, v in rows}
+    assert got == {(s, i): min(value[s, j] for j in range(max(0, i - 7), min(300, i + 8))) for s, i, _ in rows}
+
+
+def test_as_of_over_stretches(spark):
+    left = [(k, t, f"e{t}") for k in range(3) for t in range(0, 100, 3)]
+    right = [(0, 5, 50), (0, 5, 51), (0, 60, 7), (1, 0, 9), (1, 99, 1)]
+    a = spark.createDataFrame(left, "k int, t int, name string")
+    b = spark.createDataFrame(right, "k int, t int, v int")
+    for size in (1, 10, 1000):
+        got = {(r.k, r.t): r.v for r in frames.as_of(a, b, "k", "t", "v", F.floor(F.col("t") / size)).collect()}
+        want = {(k, t): max(((u, v) for q, u, v in right if q == k and u <= t), default=(None, None))[1] for k, t, _ in left}
+        assert got == want

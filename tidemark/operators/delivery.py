@@ -59,26 +59,26 @@ def unique_names(rows: DataFrame, key: str, name: str) -> DataFrame:
     ext = text.extension(F.col(name))
     stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(ext))
     root = F.concat(F.regexp_replace(stem, r"(_[0-9]+)+$", ""), F.lit("|"), ext)
-    own = rows.select(key, name, stem.alias("stem"), ext.alias("ext"), root.alias("family"))
-    mixed = own.groupBy("family").agg(F.count_distinct(name).alias("n")).where("n > 1").select("family")
-    plain = own.join(mixed, "family", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy(name).orderBy(key)))
-    numbered = F.concat("stem", F.lit("_"), F.col("k").cast("string"), "ext")
-    simple = plain.select(key, name, F.when(F.col("k") == 1, F.col(name)).otherwise(numbered).alias("unique_name"))
+    own = rows.select(F.col(key).alias("__key"), F.col(name).alias("__name"), stem.alias("stem"), ext.alias("ext"), root.alias("family"))
+    mixed = own.groupBy("family").agg(F.count_distinct("__name").alias("n")).where("n > 1").select("family")
+    plain = own.join(mixed, "family", "left_anti").withColumn("place", F.row_number().over(Window.partitionBy("__name").orderBy("__key")))
+    numbered = F.concat("stem", F.lit("_"), F.col("place").cast("string"), "ext")
+    simple = plain.select("__key", "__name", F.when(F.col("place") == 1, F.col("__name")).otherwise(numbered).alias("unique_name"))
 
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
-        pdf = pdf.sort_values(key)
-        for whole, s, e in zip(pdf[name], pdf["stem"], pdf["ext"], strict=True):
+        pdf = pdf.sort_values("__key")
+        for whole, s, e in zip(pdf["__name"], pdf["stem"], pdf["ext"], strict=True):
             got, n = whole, 2
             while got in used:
                 got, n = f"{s}_{n}{e}", n + 1
             used.add(got)
             out.append(got)
-        return pd.DataFrame({key: pdf[key], name: pdf[name], "unique_name": out})
+        return pd.DataFrame({"__key": pdf["__key"], "__name": pdf["__name"], "unique_name": out})
 
-    kinds = dict(rows.dtypes)
-    rest = own.join(mixed, "family", "left_semi").groupBy("family").applyInPandas(in_order, f"{key} {kinds[key]}, {name} string, unique_name string")
-    return simple.unionByName(rest)
+    kind = dict(rows.dtypes)[key]
+    rest = own.join(mixed, "family", "left_semi").groupBy("family").applyInPandas(in_order, f"__key {kind}, __name string, unique_name string")
+    return simple.unionByName(rest).select(F.col("__key").alias(key), F.col("__name").alias(name), "unique_name")
 
 
 def summaries(reports: DataFrame) -> DataFrame:

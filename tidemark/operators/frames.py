@@ -67,9 +67,37 @@ def loudness_range(levels: DataFrame, series: str) -> DataFrame:
     return own.where("n_blocks >= 2").select(series, F.greatest(F.lit(0.0), F.col("p95") - F.col("p10")).alias("lra"), "n_blocks")
 
 
-def sliding_minimum(frames: DataFrame, series: str, half: int, value: str = "value") -> DataFrame:
-    w = Window.partitionBy(series).orderBy("frame").rowsBetween(-half, half)
-    return frames.withColumn("low", F.min(value).over(w))
+def sliding_minimum(frames: DataFrame, series: str, half: int, value: str = "value", stretch: int = 1 << 16) -> DataFrame:
+    """``low``: the least of the values up to ``half`` frames away.
+
+    Series are cut into stretches, so that a long one is spread over tasks; rows
+    within ``half`` frames of a cut come to both sides of it.
+    """
+    reach = F.sequence(F.floor((F.col("frame") - half) / stretch), F.floor((F.col("frame") + half) / stretch))
+    spread = frames.withColumn("__stretch", F.explode(reach))
+    w = Window.partitionBy(series, "__stretch").orderBy("frame").rangeBetween(-half, half)
+    low = spread.withColumn("low", F.min(value).over(w))
+    return low.where(F.floor(F.col("frame") / stretch) == F.col("__stretch")).drop("__stretch")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, stretch: Column) -> DataFrame:
+    """``left`` rows (key, at, ...) with the value of the latest ``right`` row (key, at, value) at or before them, or null.
+
+    Of right rows at one time the largest value counts. ``stretch`` is a coarse,
+    non-decreasing function of ``at``: rows meet inside a stretch of a key, and only
+    each stretch's last value travels on, so that no key needs one task.
+    """
+    kind = dict(right.dtypes)[value]
+    both = left.withColumns({value: F.lit(None).cast(kind), "__kind": F.lit(1)}).unionByName(right.select(key, at, value).withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    cut = both.withColumn("__stretch", stretch)
+    last = cut.where("__kind = 0").groupBy(key, "__stretch").agg(F.max(F.struct(at, value))[value].alias("__last"))
+    spots = cut.select(key, "__stretch").distinct().join(last, [key, "__stretch"], "left")
+    before = Window.partitionBy(key).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spots.select(key, "__stretch", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
+    inside = Window.partitionBy(key, "__stretch").orderBy(at, "__kind", value).rowsBetween(Window.unboundedPreceding, 0)
+    here = cut.withColumn("__here", F.last(value, ignorenulls=True).over(inside)).where("__kind = 1")
+    out = here.join(carried, [key, "__stretch"], "left").withColumn(value, F.coalesce("__here", "__carry"))
+    return out.select(*left.columns, value)
 
 
 def smooth_3pt(frames: DataFrame, series: str, share: float, value: str = "value") -> DataFrame:

@@ -390,11 +390,10 @@ def identification_tones(spark, sf):
 
 @query
 def as_of_latest_order(spark, sf):
-    """The latest order of each event's user at its time: a union in order of time instead of a range join."""
-    e = table(spark, sf, "events").select(c("user_id").alias("k"), c("ts").cast("timestamp").alias("t"), "event_id", F.lit(None).cast("bigint").alias("o_orderkey"), F.lit(1).alias("kind"))
-    o = table(spark, sf, "orders").select(c("o_custkey").alias("k"), c("o_orderdate").cast("timestamp").alias("t"), F.lit(None).cast("bigint").alias("event_id"), "o_orderkey", F.lit(0).alias("kind"))
-    w = Window.partitionBy("k").orderBy("t", "kind", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return e.unionAll(o).withColumn("last", F.last("o_orderkey", ignorenulls=True).over(w)).where("kind = 1 and last is not null").select("event_id", c("last").alias("o_orderkey"))
+    """The latest order of each event's user at its time."""
+    e = table(spark, sf, "events").select("event_id", c("user_id").alias("k"), c("ts").cast("timestamp").alias("t"))
+    o = table(spark, sf, "orders").select(c("o_custkey").alias("k"), c("o_orderdate").cast("timestamp").alias("t"), "o_orderkey")
+    return frames.as_of(e, o, "k", "t", "o_orderkey", F.date_trunc("month", "t")).where("o_orderkey is not null").select("event_id", "o_orderkey")
 
 
 @query
