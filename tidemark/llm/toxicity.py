@@ -39,7 +39,7 @@ class Settings:
     sample: int = 4000
     epochs: int = 2
     #: Small samples are gone through more often, until this many steps are made.
-    least_steps: int = 200
+    least_steps: int = 400
     batch_docs: int = 32
     #: Windows of a text that carry its gradient: those of the largest logits.
     learn: int = 64
