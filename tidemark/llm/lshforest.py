@@ -168,6 +168,8 @@ def trie_nodes(entries: DataFrame, total: int, shortest: int, deepest: int, simi
     if deepest == shortest:
         return cold.unionByName(many.where(F.col("cnt") > BLOCK).select(F.col("key").alias("node"), "cnt", F.lit(True).alias("asked"), "doc", "tie"))
     hot = checkpointed(many.where(F.col("cnt") > BLOCK))  # crowded nodes only: the trie is descended until they aren't
+    if not hot.take(1):
+        return cold
     found, left = [], hot.select("doc", "tie", "key", "tail")
     for d in range(shortest + 1, deepest + 1):
         prefix = F.shiftrightunsigned("tail", BITS * (deepest - d))
