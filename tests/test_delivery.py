@@ -114,3 +114,13 @@ def test_band_shifts_are_flagged(spark):
     cand = spark.sql(" UNION ALL ".join(row(i, "reference" if i < 3 else "creative", f"array(1.0D, {2.0 + i * 1.6}D)") for i in range(4)))
     out = {(r.id, r.severity, round(r.value, 6)) for r in compare.flags(base, cand).collect() if r.kind == "band-shift"}
     assert out == {(1, "defect", 1.6), (2, "defect", 3.2)}
+
+
+def test_streamed_bed_equals_whole_file(spark):
+    import io
+
+    own = [r.asDict() for r in dims.layout_channels(spark).where("layout_id = '5.1'").join(dims.speakers(spark), "speaker_id").orderBy("pos").collect()]
+    x = np.random.default_rng(2).uniform(-1, 1, (6, 777)).astype(np.float32)
+    sink = io.BytesIO()
+    n = adm.stream(sink, (x[:, a : a + 100] for a in range(0, 777, 100)), 777, 48_000, 24, own, "bed", -14.0, -1.0)
+    assert sink.getvalue() == adm.write(x, 48_000, 24, own, "bed", -14.0, -1.0) and n == len(sink.getvalue())

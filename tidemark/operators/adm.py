@@ -105,8 +105,17 @@ def write(x: np.ndarray, rate: int, bits: int, speakers: list[dict], name: str,
     """A wave file with chna, axml and bext; its mask is 0, as the metadata say where channels go."""
     if len(speakers) != len(x):
         raise ValueError("as many speakers as channels")
-    xml = build(speakers, rate, bits, x.shape[1] / rate, name)
-    return c.write_wav(x, rate, bits, 0, True, "auto", [("chna", chna(len(x))), ("axml", xml.encode()), ("bext", bext(name, loudness, true_peak))])
+    return c.write_wav(x, rate, bits, 0, True, "auto", _chunks(x.shape[1], rate, bits, speakers, name, loudness, true_peak))
+
+
+def _chunks(frames: int, rate: int, bits: int, speakers: list[dict], name: str, loudness: float | None, true_peak: float | None) -> list[tuple[str, bytes]]:
+    xml = build(speakers, rate, bits, frames / rate, name)
+    return [("chna", chna(len(speakers))), ("axml", xml.encode()), ("bext", bext(name, loudness, true_peak))]
+
+
+def stream(sink, blocks, frames: int, rate: int, bits: int, speakers: list[dict], name: str, loudness: float | None = None, true_peak: float | None = None) -> int:
+    """As ``write``, from blocks of samples as they come; bytes written."""
+    return c.stream_wav(sink, blocks, len(speakers), frames, rate, bits, 0, _chunks(frames, rate, bits, speakers, name, loudness, true_peak), True)
 
 
 def validate(xml: str, rate: int | None = None, bits: int | None = None, uids: list[str] | None = None) -> list[tuple[str, str, str, str]]:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import lerp, smoothstep
+from tidemark.functions.scalars import clamp, lerp, smoothstep
 
 BANDS = ("sub", "low", "lowmid", "mid", "presence", "air")
 GAINS = ("frontM", "centreM", "frontS", "sideS", "rearS", "heightS", "lfeM")
@@ -33,6 +33,46 @@ def problems(rows: DataFrame) -> DataFrame:
     return rows.select("scene", "band", F.explode(broken).alias("rule"))
 
 
+# How knobs of 0 to 1, neutral at 0.5, move a scene: gain, way, knob, bands with weights, amount, low, high.
+# ``add`` moves by amount x weight x (knob - 0.5), ``times`` by a factor that runs from 1 - amount to 1 + amount.
+MOVES = """
+frontS add envelopment mid:1,lowmid:0.7,presence:0.7,air:0.5 -0.2 0 1.2
+sideS add envelopment mid:1,lowmid:0.7,presence:0.7,air:0.5 0.3 0 1.3
+rearS add envelopment mid:1,lowmid:0.7,presence:0.7,air:0.5 0.15 0 1.3
+sideS add front_focus mid:1,lowmid:1 -0.16 0 1.3
+rearS add front_focus mid:1,lowmid:1 -0.07 0 1.3
+frontS add front_focus mid:1,lowmid:1 0.22 0 1.4
+rearS times rear_depth presence:1,air:1 0.3 0 1.4
+frontS add room_size lowmid:1,mid:1,presence:1,air:1 -0.1 0 1.2
+sideS add room_size lowmid:1,mid:1,presence:1,air:1 0.09 0 1.35
+rearS add room_size lowmid:1,mid:1,presence:1,air:1 0.12 0 1.35
+heightS add room_size lowmid:1,mid:1,presence:1,air:1 0.07 0 1.4
+heightS times height_focus presence:1,air:1 0.4 0 1.4
+heightS times height_focus mid:1 -0.4 0 1.4
+decorr times room_size lowmid:1,mid:1,presence:1,air:1 0.4 0 1
+decorr times height_spread lowmid:1,mid:1,presence:1,air:1 0.15 0 1
+"""
+KNOBS = ("envelopment", "front_focus", "rear_depth", "room_size", "height_focus", "height_spread")
+
+
+def planned(rows: DataFrame) -> DataFrame:
+    """Scene rows (scene, band, gains, decorr, and the ``KNOBS``) with gains as the knobs move them; null knobs are neutral."""
+    made: dict[str, Column] = {}
+    for gain, way, knob, bands, amount, low, high in (line.split() for line in MOVES.strip().splitlines()):
+        now, turn = made.get(gain, F.col(gain)), clamp(F.coalesce(F.col(knob), F.lit(0.5)), 0.0, 1.0) - 0.5
+        weights = {b: float(w) for b, w in (x.split(":") for x in bands.split(","))}
+        weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("band"))
+        moved = now + float(amount) * weight * turn if way == "add" else now * (1 + 2 * float(amount) * turn)
+        made[gain] = F.when(F.col("band").isin(*weights), clamp(moved, float(low), float(high))).otherwise(now)
+    return rows.withColumns(made)
+
+
+def ring_levels(levels: DataFrame) -> DataFrame:
+    """scene, side and rear levels as the knob ``rear_depth`` moves them."""
+    turn = clamp(F.coalesce("rear_depth", F.lit(0.5)), 0.0, 1.0) - 0.5
+    return levels.withColumns({"side": F.col("side") * (1 + 0.3 * turn), "rear": F.col("rear") * (1 + 0.5 * turn)})
+
+
 def motion(mode: str, phase: Column, depth: float = 1.0) -> dict[str, Column]:
     """Gains of the left and right of each ring at a phase of 0 to 1; rings that a mode leaves alone are 1."""
     t = phase - F.floor(phase)

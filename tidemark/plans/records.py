@@ -486,3 +486,41 @@ def stereo_balance(spark, sf):
     lines = table(spark, sf, "lineitem")
     left, right = levels.rms_db(c("l_extendedprice") / 100000.0), levels.rms_db(c("l_quantity") / 50.0)
     return lines.groupBy("l_suppkey").agg(r(left).alias("left_db"), r(right).alias("right_db"), r(left - right).alias("balance_db"))
+
+
+# ---- planned scenes ------------------------------------------------------------
+
+_KNOB = {"envelopment": 3, "front_focus": 5, "rear_depth": 7, "room_size": 11, "height_focus": 13, "height_spread": 17}
+_MID = "CASE band WHEN 'mid' THEN 1.0 WHEN 'lowmid' THEN 0.7 WHEN 'presence' THEN 0.7 WHEN 'air' THEN 0.5 END"
+
+
+def _within(x: str, high: str, bands: str, otherwise: str) -> str:
+    return f"(CASE WHEN band IN ({bands}) THEN least({high}, greatest(0, {x})) ELSE {otherwise} END)"
+
+
+_UP, _FOCUS, _TOP = "'lowmid', 'mid', 'presence', 'air'", "'mid', 'lowmid'", "'presence', 'air'"
+
+
+def _chain(start: str, *moves: tuple[str, str, str]) -> str:
+    """Nested moves of (expression with {{}} for the value so far, largest value, bands)."""
+    out = start
+    for text, high, bands in moves:
+        out = _within(text.format(f"({out})"), high, bands, out)
+    return out
+
+
+@query(f"""
+WITH g AS (SELECT p_partkey AS scene, {_sql_pick(BANDS, "p_partkey")} AS band, p_partkey * 5 % 12 / 10e0 AS f, p_partkey * 7 % 13 / 10e0 AS s, p_partkey * 11 % 13 / 10e0 AS r, p_partkey * 13 % 14 / 10e0 AS h, p_partkey % 10 / 10e0 AS d,
+  {', '.join(f"CASE WHEN p_partkey % 19 = 0 THEN 0 ELSE p_partkey * {w} % 11 / 10e0 - 5e-1 END AS {k}" for k, w in _KNOB.items())} FROM part)
+SELECT scene, band,
+  {rs(_chain("f", (f"{{}} - 0.2 * ({_MID}) * envelopment", "1.2", _UP), ("{} + 0.22 * front_focus", "1.4", _FOCUS), ("{} - 0.1 * room_size", "1.2", _UP)), 6)} AS "frontS",
+  {rs(_chain("s", (f"{{}} + 0.3 * ({_MID}) * envelopment", "1.3", _UP), ("{} - 0.16 * front_focus", "1.3", _FOCUS), ("{} + 0.09 * room_size", "1.35", _UP)), 6)} AS "sideS",
+  {rs(_chain("r", (f"{{}} + 0.15 * ({_MID}) * envelopment", "1.3", _UP), ("{} - 0.07 * front_focus", "1.3", _FOCUS), ("{} * (1 + 0.6 * rear_depth)", "1.4", _TOP), ("{} + 0.12 * room_size", "1.35", _UP)), 6)} AS "rearS",
+  {rs(_chain("h", ("{} + 0.07 * room_size", "1.4", _UP), ("{} * (1 + 0.8 * height_focus)", "1.4", _TOP), ("{} * (1 - 0.8 * height_focus)", "1.4", "'mid'")), 6)} AS "heightS",
+  {rs(_chain("d", ("{} * (1 + 0.8 * room_size)", "1", _UP), ("{} * (1 + 0.3 * height_spread)", "1", _UP)), 6)} AS decorr FROM g""")
+def planned_scenes(spark, sf):
+    """Scene rows as six knobs move them."""
+    k = c("p_partkey")
+    knobs = {name: F.when(k % 19 != 0, k * w % 11 / 10.0) for name, w in _KNOB.items()}
+    rows = table(spark, sf, "part").select(k.alias("scene"), _pick(BANDS, k).alias("band"), (k * 5 % 12 / 10.0).alias("frontS"), (k * 7 % 13 / 10.0).alias("sideS"), (k * 11 % 13 / 10.0).alias("rearS"), (k * 13 % 14 / 10.0).alias("heightS"), (k % 10 / 10.0).alias("decorr"), *(v.alias(n) for n, v in knobs.items()))
+    return scene.planned(rows).select("scene", "band", *(r(c(x), 6).alias(x) for x in ("frontS", "sideS", "rearS", "heightS", "decorr")))

@@ -97,11 +97,11 @@ def write_wav(x: np.ndarray, rate: int, bits: int = 24, mask: int = 0, extensibl
     return b"".join(out)
 
 
-def wav_head(channels: int, frames: int, rate: int, bits: int = 24, mask: int = 0, mode: str = "auto", extra: list[tuple[str, int]] = ()) -> bytes:
+def wav_head(channels: int, frames: int, rate: int, bits: int = 24, mask: int = 0, mode: str = "auto", extra: list[tuple[str, int]] = (), extensible: bool | None = None) -> bytes:
     """All that comes before the samples of a file whose length is known: the same bytes as ``write_wav``'s."""
     if bits not in (16, 24, 32) or not 1 <= channels <= 64 or rate <= 0:
         raise ValueError("16, 24 or 32 bits, 1 to 64 channels and a positive rate")
-    wide, step = channels > 2 or mask != 0, channels * bits // 8
+    wide, step = channels > 2 or mask != 0 if extensible is None else extensible, channels * bits // 8
     tag = FLOAT if bits == 32 else PCM
     fmt = struct.pack("<HHIIHH", EXTENSIBLE if wide else tag, channels, rate, rate * step, step, bits)
     if wide:
@@ -111,13 +111,13 @@ def wav_head(channels: int, frames: int, rate: int, bits: int = 24, mask: int =
     return _header(plan, frames) + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", size)
 
 
-def stream_wav(sink, blocks, channels: int, frames: int, rate: int, bits: int = 24, mask: int = 0, extra: list[tuple[str, bytes]] = ()) -> int:
+def stream_wav(sink, blocks, channels: int, frames: int, rate: int, bits: int = 24, mask: int = 0, extra: list[tuple[str, bytes]] = (), extensible: bool | None = None) -> int:
     """Write blocks of (channels, n) samples to a binary sink as they come; bytes written.
 
     Only one block is held. ``extra`` chunks follow the samples. Blocks that don't
     add up to ``frames``, or have another number of channels, are a ValueError.
     """
-    head = wav_head(channels, frames, rate, bits, mask, extra=[(i, len(b)) for i, b in extra])
+    head = wav_head(channels, frames, rate, bits, mask, "auto", [(i, len(b)) for i, b in extra], extensible)
     sink.write(head)
     done, size = 0, len(head)
     for block in blocks:
