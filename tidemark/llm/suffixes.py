@@ -269,7 +269,15 @@ def _resolver(window: int, gram: int, where: str):
         groups = [g for g in by_group.values() if len(g) > 1]
         if not groups:
             return [], [], [], []
-        files, found = Files(where), []
+        files = Files(where)
+        try:
+            found = list(indexed(docs, ties, starts, places, strings, groups, files))
+        finally:
+            files.close()
+        return list(zip(*found, strict=True)) if found else ([], [], [], [])
+
+    def indexed(docs, ties, starts, places, strings, groups: list[list[int]], files: Files) -> Iterator[tuple]:
+        """Runs of repeated windows of groups of strings, a batch of groups at a time."""
         batch: list[int] = []
         held = 0
         for own in [*groups, []]:
@@ -284,12 +292,10 @@ def _resolver(window: int, gram: int, where: str):
                     new = np.r_[True, (k[1:] != k[:-1]) | (place[1:] != place[:-1] + 1)]
                     first = np.flatnonzero(new)
                     last = np.r_[first[1:] - 1, len(k) - 1]
-                    found += zip(docs[k[first]], ties[k[first]], starts[k[first]] + place[first], starts[k[first]] + place[last], strict=True)
+                    yield from zip(docs[k[first]], ties[k[first]], starts[k[first]] + place[first], starts[k[first]] + place[last], strict=True)
                 batch, held = [], 0
             batch += own
             held += size
-        files.close()
-        return list(zip(*found, strict=True)) if found else ([], [], [], [])
 
     return resolve
 
