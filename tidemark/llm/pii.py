@@ -11,9 +11,9 @@ confidence bound of that share (Wilson, ``z``) reaches ``alpha`` of the entity's
 information content. So a rare entity has terms as soon as its content is large
 beside the doubt that few contexts leave. Such terms are removed from every text.
 
-Counts are aggregated on both sides of the shuffle. Term frequencies are only
-gathered for words that hit a fixed-size bitmap (``BITS`` bits) of candidate terms,
-and texts only ask for terms that hit one of the disclosing terms.
+Counts are aggregated on both sides of the shuffle; document frequencies are those
+of all terms, so that what is gathered grows with the texts alone. Texts only ask for
+terms that hit a fixed-size bitmap (``BITS`` bits) of the disclosing terms.
 """
 
 from __future__ import annotations
@@ -160,7 +160,6 @@ def terms_of(text: str) -> set[str]:
 
 def disclosing(docs: DataFrame, alpha: float = 0.8, z: float = 1.96) -> DataFrame:
     """(entity, term) that exceed the threshold."""
-    spark = docs.sparkSession
     rows = _keyed(docs)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,17 +183,16 @@ def disclosing(docs: DataFrame, alpha: float = 0.8, z: float = 1.96) -> DataFram
     # the bound of a share of one is the most that a pair can reach, however rare its term
     at_best = F.col("n_ctx") / (F.col("n_ctx") + z * z)
     wanted = both.where("term <> ''").join(n_entity, "entity").where((content > 0) & (F.log2(n_all * at_best / F.col("n_entity")) >= alpha * content - 1e-9))
-    held = spark.sparkContext.broadcast(_bitmap(wanted))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, hits = Counter(), Hits(held.value)
-        some = bool(held.value.any())
+        """In how many documents of a stretch each term stands."""
+        seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0) if some else ():
-                seen.update(t for t in terms_of(text.as_py()) if hits[t])
-            if len(seen) > 100_000:
-                yield _counted(seen)
-                seen = Counter()
+            for text in batch.column(0):
+                seen.update(terms_of(text.as_py()))
+                if len(seen) > 100_000:
+                    yield _counted(seen)
+                    seen = Counter()
         yield _counted(seen)
 
     n_term = rows.select("text").mapInArrow(counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
