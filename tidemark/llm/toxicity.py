@@ -42,7 +42,7 @@ class Settings:
     least_steps: int = 400
     batch_docs: int = 32
     #: Windows of a text that carry its gradient: those of the largest logits.
-    learn: int = 64
+    learn: int = 16
     rate: float = 0.01
     seed: int = 11
 
@@ -177,9 +177,9 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
     s = settings or Settings()
     rng = np.random.default_rng(s.seed)
     y = np.asarray(labels, np.float32)
-    split = [t.split() for t in texts]
     usable = len(y) >= 20 and 0 < y.sum() < len(y)
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for t in split for w in t))}
+    vocab: dict[str, int] = {}
+    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t.split()], np.int32) for t in texts]  # each word is kept once
     rows, tri, counts = word_keys(list(vocab)) if vocab else (np.zeros(0, np.int64),) * 3
     ends = np.cumsum(counts)
     word = (rng.standard_normal((WORD_ROWS, D_WORD)) * 0.02).astype(np.float32)
@@ -193,7 +193,6 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
     if not usable:
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
-    ids = [np.fromiter((vocab[w] for w in t), np.int64, len(t)) for t in split]
     part = rng.permutation(len(y)) % 10  # 0-3: first embeddings, 4-7: network, 8-9: calibration
     first = [i for i in range(len(y)) if part[i] < 4]
     word[:, 0] += log_odds([rows[ids[i]] for i in first], y[first], WORD_ROWS)
@@ -259,7 +258,8 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
             _nudge(char, slow_c, tri[where], np.repeat(by_word[:, D_WORD:] / np.maximum(n, 1)[:, None], n, axis=0))
     model.word, model.char = word, char
     cal = [i for i in range(len(y)) if part[i] >= 8]
-    raw = Scorer(model).logits([split[i] for i in cal])
+    words = list(vocab)
+    raw = Scorer(model).logits([[words[k] for k in ids[i].tolist()] for i in cal])
     model.scale, model.shift = _calibrate(raw, y[cal])
     model.info = {"sample": len(y), "label_1": int(y.sum())}
     return model
