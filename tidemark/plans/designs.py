@@ -384,7 +384,7 @@ def wav_files(spark, sf):
 
 @query("""
 WITH v AS (SELECT vec_id, len(embedding) AS n, 1 + vec_id % 3 AS ch, [16, 24, 32][1 + vec_id % 3] AS bits FROM embeddings), s AS (SELECT *, (n // ch) * ch * bits // 8 AS data, CASE WHEN ch > 2 THEN 40 ELSE 16 END AS fmt FROM v)
-SELECT vec_id, 0 AS idx, 'fmt ' AS id, 12 AS "offset", fmt AS size, bits, ch AS channels FROM s UNION ALL SELECT vec_id, 1, 'data', 20 + fmt, data, bits, ch FROM s""")
+SELECT vec_id, 0 AS idx, 'fmt ' AS id, 12 AS place, fmt AS size, bits, ch AS channels FROM s UNION ALL SELECT vec_id, 1, 'data', 20 + fmt, data, bits, ch FROM s""")
 def inspected_files(spark, sf):
     """Chunks of files that hold each vector in one to three channels."""
 
@@ -396,9 +396,9 @@ def inspected_files(spark, sf):
             found = containers.inspect(containers.write_wav(x, 48_000, [16, 24, 32][k % 3]))
             assert not found["errors"] and not found["warnings"]
             out += [(k, i, b["id"], b["offset"], b["size"], found["format"]["bits"], found["format"]["channels"]) for i, b in enumerate(found["chunks"])]
-        return pd.DataFrame(out, columns=["vec_id", "idx", "id", "offset", "size", "bits", "channels"])
+        return pd.DataFrame(out, columns=["vec_id", "idx", "id", "place", "size", "bits", "channels"])
 
-    return _over(table(spark, sf, "embeddings").select("vec_id", "embedding"), ["vec_id"], "vec_id long, idx int, id string, offset long, size long, bits int, channels long", fn)
+    return _over(table(spark, sf, "embeddings").select("vec_id", "embedding"), ["vec_id"], "vec_id long, idx int, id string, place long, size long, bits int, channels long", fn)
 
 
 @query("""

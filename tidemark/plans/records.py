@@ -266,9 +266,9 @@ def channel_map_records(spark, sf):
 
 @query(f"""
 WITH s AS ({_speakers_sql()})
-SELECT speaker_id, CASE WHEN lfe = 1 THEN 'sub' WHEN speaker_id LIKE 'V%' AND elevation < 0 THEN 'side' WHEN elevation > 0 THEN 'height' WHEN speaker_id = 'C' OR abs(azimuth) <= 70 THEN 'front' WHEN abs(azimuth) > 130 THEN 'rear' ELSE 'side' END AS "group" FROM s""")
+SELECT speaker_id, CASE WHEN lfe = 1 THEN 'sub' WHEN speaker_id LIKE 'V%' AND elevation < 0 THEN 'side' WHEN elevation > 0 THEN 'height' WHEN speaker_id = 'C' OR abs(azimuth) <= 70 THEN 'front' WHEN abs(azimuth) > 130 THEN 'rear' ELSE 'side' END AS audition_group FROM s""")
 def audition_groups(spark, sf):
-    return dims.audition_groups(spark)
+    return dims.audition_groups(spark).withColumnRenamed("group", "audition_group")
 
 
 @query(f"""
@@ -426,10 +426,10 @@ def windowed_correlation(spark, sf):
 @query("""
 WITH o AS (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS before FROM events),
 g AS (SELECT event_type, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 20 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts) AS g FROM o)
-SELECT event_type, min(ts) AS start, max(ts) + INTERVAL 20 MINUTE AS "end", count(*) AS n FROM g GROUP BY event_type, g""")
+SELECT event_type, min(ts) AS session_start, max(ts) + INTERVAL 20 MINUTE AS session_end, count(*) AS n FROM g GROUP BY event_type, g""")
 def burst_sessions(spark, sf):
     own = meters.sessions(table(spark, sf, "events").select("event_type", "ts"), "event_type", "20 minutes")
-    return own.select("event_type", *(c(k).cast("timestamp_ntz").alias(k) for k in ("start", "end")), "n")
+    return own.select("event_type", *(c(k).cast("timestamp_ntz").alias(f"session_{k}") for k in ("start", "end")), "n")
 
 
 @query("""
