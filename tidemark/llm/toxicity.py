@@ -31,6 +31,8 @@ D_WORD, D_CHAR, HIDDEN, ATT = 4, 4, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 14
 #: Entries of a worker's word cache (about 80 MB), and windows of one matrix step.
 CACHE, STEP = 300_000, 2048
+#: Windows of one step on the driver, which has little memory to spare.
+FEW = 256
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -180,7 +182,9 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
     usable = len(y) >= 20 and 0 < y.sum() < len(y)
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t.split()], np.int32) for t in texts]  # each word is kept once
-    rows, tri, counts = word_keys(list(vocab)) if vocab else (np.zeros(0, np.int64),) * 3
+    words = list(vocab)
+    parts = [word_keys(words[a : a + 10_000]) for a in range(0, len(words), 10_000)]
+    rows, tri, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
     ends = np.cumsum(counts)
     word = (rng.standard_normal((WORD_ROWS, D_WORD)) * 0.02).astype(np.float32)
     char = (rng.standard_normal((CHAR_ROWS, D_CHAR)) * 0.02).astype(np.float32)
@@ -215,11 +219,14 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
         mean = char_means(char, tri[where], counts[used])
         return np.concatenate([word[rows[used]], mean], 1)[back.reshape(grid.shape)], used, back.ravel(), where
 
+    def scored(grid: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return np.concatenate([forward(p, inputs(grid[:, a : a + FEW])[0].astype(np.float32), mask[:, a : a + FEW]) for a in range(0, grid.shape[1], FEW)])
+
     def strongest(grid: np.ndarray, mask: np.ndarray, owner: np.ndarray):
         """The windows of each text that learn; of texts with more of them, all windows are scored first."""
         if np.bincount(owner).max() <= s.learn:
             return grid, mask, owner
-        logit = np.concatenate([forward(p, inputs(grid[:, a : a + STEP])[0].astype(np.float32), mask[:, a : a + STEP]) for a in range(0, len(owner), STEP)])
+        logit = scored(grid, mask)
         order = np.lexsort((-logit, owner))
         rank = np.arange(len(order)) - np.searchsorted(owner, owner)  # owners ascend
         keep = np.sort(order[rank < s.learn])
@@ -258,8 +265,11 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
             _nudge(char, slow_c, tri[where], np.repeat(by_word[:, D_WORD:] / np.maximum(n, 1)[:, None], n, axis=0))
     model.word, model.char = word, char
     cal = [i for i in range(len(y)) if part[i] >= 8]
-    words = list(vocab)
-    raw = Scorer(model).logits([[words[k] for k in ids[i].tolist()] for i in cal])
+    raw = np.full(len(cal), p["bo"][0], np.float64)  # as texts without words score
+    told = [k for k, i in enumerate(cal) if len(ids[i])]
+    for a in range(0, len(told), 16):
+        grid, mask, owner = batch([cal[k] for k in told[a : a + 16]])
+        raw[told[a : a + 16]] = np.maximum.reduceat(scored(grid, mask), np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
     model.scale, model.shift = _calibrate(raw, y[cal])
     model.info = {"sample": len(y), "label_1": int(y.sum())}
     return model
