@@ -1,4 +1,4 @@
-"""The ten operators bound to the driver's tables, with production parameters."""
+"""The operators bound to the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, lshforest, packing, pii, substring, suffixes, template, toxicity, warc
+from tidemark.llm import ann, bitslices, decontam, lshforest, packing, pii, substring, suffixes, template, toxicity, warc
 from tidemark.llm.common import NULL_ID, table
 
 
@@ -105,6 +105,12 @@ def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", F.sha2(F.encode("pii.base", "UTF-8"), 256).alias("base_sha256"), "pii.spans")
 
 
+def op13_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bitslices.near_duplicates(table(spark, sf_dir, "documents"))
+    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return found.select(null("doc").alias("doc_id"), bitslices.hex_digits(F.col("fp")).alias("fingerprint"), null("component").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
