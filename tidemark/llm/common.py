@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet in the shared folder and read from there."""
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def partitions(spark: SparkSession, least: int = 8) -> int:
     """Reduce-side parallelism, as the session is configured."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
