@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bitslices, collocations, decontam, lshforest, packing, pii, substring, suffixes, template, toxicity, warc
+from tidemark.llm import ann, bitslices, collocations, decontam, lshforest, packing, pii, repair, substring, suffixes, template, toxicity, warc
 from tidemark.llm.common import NULL_ID, table
 
 
@@ -105,6 +105,10 @@ def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", F.sha2(F.encode("pii.base", "UTF-8"), 256).alias("base_sha256"), "pii.spans")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_table(table(spark, sf_dir, "conversations"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -120,4 +124,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_revisit_resolution": OP10_SQL, "op12_phrase_collocations": collocations.SQL}
+    return {"op10_revisit_resolution": OP10_SQL, "op11_conversation_repair": repair.SQL, "op12_phrase_collocations": collocations.SQL}
