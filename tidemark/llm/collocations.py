@@ -29,6 +29,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 SHARD, PART, ROWS = 1 << 21, 4 << 20, 1 << 16
 #: Parts in which the best of a language are found before they are ranked.
 SALTS = 64
+#: Bits of a word id for the place in a shard's word list (a text of 2**31 bytes has fewer different words), and for a task's shards.
+PLACE, SERIAL = 29, 12
 UNKNOWN = "und"
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -67,11 +69,12 @@ class _Shard:
 
 
 def _zip(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
+    """32-bit numbers, the bytes of each significance together."""
+    return zstandard.ZstdCompressor(level=3).compress(a.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _unzip(blob, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+def _unzip(blob) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<i4")[:, 0]
 
 
 def sharded(docs: DataFrame, size: int = SHARD) -> DataFrame:
@@ -79,7 +82,7 @@ def sharded(docs: DataFrame, size: int = SHARD) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, _Shard] = defaultdict(_Shard)
-        serial = TaskContext.get().partitionId() << 32
+        serial = TaskContext.get().partitionId() << SERIAL
 
         def told(lang: str) -> pa.RecordBatch:
             nonlocal serial
@@ -163,7 +166,7 @@ def without_rare_words(shards: DataFrame, known: DataFrame) -> DataFrame:
                 at, id_ = at[(o := np.argsort(id_))], id_[o]
                 new = np.zeros(len(words) + 1, np.int32)
                 new[at + 1] = np.arange(1, len(at) + 1)
-                seq = new[_unzip(ids.as_py(), "<i4")]
+                seq = new[_unzip(ids.as_py())]
                 seq = seq[np.r_[True, (seq[1:] > 0) | (seq[:-1] > 0)]]
                 row = [pa.array([shard.as_py()]), pa.array([lang.as_py()]), pa.array([id_], pa.list_(pa.int64())), pa.array([words.values.take(pa.array(at)).to_pylist()], pa.list_(pa.string())), pa.array([_zip(seq)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=["shard", "lang", "ids", "words", "seq"])
@@ -178,7 +181,7 @@ def pairs(coded: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seq, id_ = _unzip(batch.column(2)[i].as_py(), "<i4"), np.array(batch.column(1)[i].values)
+                seq, id_ = _unzip(batch.column(2)[i].as_py()), np.array(batch.column(1)[i].values)
                 for _, at, n in phrase_counts(seq, 2, 2):
                     yield from _slices([np.full(len(at), batch.column(0)[i].as_py()), id_[seq[at] - 1], id_[seq[at + 1] - 1], n], ["shard", "a", "b", "n"])
 
@@ -195,7 +198,7 @@ def phrases(coded: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, ids, words, seq, found = (batch.column(k)[i] for k in range(5))
-                seq, id_ = _unzip(seq.as_py(), "<i4").astype(np.int64), np.array(ids.values)
+                seq, id_ = _unzip(seq.as_py()).astype(np.int64), np.array(ids.values)
                 a, b = (np.searchsorted(id_, found.values.field(k).to_numpy()) + 1 for k in (0, 1))
                 stays = np.isin(seq[:-1] * (len(id_) + 1) + seq[1:], a * (len(id_) + 1) + b)
                 at = np.arange(len(seq)) + np.r_[0, np.cumsum(~stays)]
@@ -220,14 +223,14 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: i
     """
     shards = stored(sharded(docs, size))
     every = shards.select("lang", "shard", F.posexplode(F.arrays_zip("words", "n")).alias("at", "w")).select("lang", "shard", "at", F.col("w.words").alias("word"), F.col("w.n").alias("n"))
-    totals = every.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = stored(every.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
-    known = every.join(words, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))
-    coded = stored(without_rare_words(shards, known))
+    totals = shards.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n"))
+    own, same = F.shiftleft("shard", PLACE).bitwiseOR(F.col("at").cast("long")), Window.partitionBy("lang", "word")
+    words = stored(every.withColumns({"f": F.sum("n").over(same), "id": F.min(own).over(same)}).where(F.col("f") >= least).drop("n"))
+    coded = stored(without_rare_words(shards, words.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))))
     both = pairs(coded).withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least)
     frequent = both.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     longer = phrases(coded, frequent, longest).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return stored(words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f").unionByName(longer)), totals
+    return stored(words.where(F.col("id") == own).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f").unionByName(longer)), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, size: int = SHARD) -> DataFrame:
