@@ -111,21 +111,30 @@ def sharded(docs: DataFrame, size: int = SHARD) -> DataFrame:
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``seq`` in the order of the ``depth`` numbers from there on, by prefix doubling."""
-    rank, known = seq.astype(np.int64), 1
+    rank, known = seq.astype(np.int32), 1
     order = np.argsort(rank, kind="stable")
     while known < depth:
         step = min(known, depth - known)
-        after = np.zeros(len(rank), np.int64)
-        after[: len(rank) - step] = rank[step:]
-        both = rank * (int(rank.max(initial=0)) + 1) + after
+        both = rank.astype(np.int64)
+        both *= int(rank.max(initial=0)) + 1
+        both[: len(rank) - step] += rank[step:]
         order = np.argsort(both, kind="stable")
         both = both[order]
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.cumsum(np.r_[False, both[1:] != both[:-1]]) + 1
+        rank[order] = np.cumsum(np.r_[False, both[1:] != both[:-1]], dtype=np.int32) + 1
         known += step
     return order
 
 
+def runs(seq: np.ndarray, joins: np.ndarray) -> np.ndarray:
+    """The runs of two numbers and more that ``joins`` (for each neighbours) holds together, a 0 after each."""
+    left, right = np.r_[False, joins], np.r_[joins, False]
+    at = np.flatnonzero(left | right)
+    ends = ~right[at]
+    out = np.zeros(len(at) + int(ends.sum()), np.int32)
+    out[np.arange(len(at)) + np.cumsum(ends) - ends] = seq[at]
+    return out
+
+
 def phrase_counts(seq: np.ndarray, shortest: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each length: the length, a place of each different phrase of non-zero numbers, its occurrences."""
     order = suffix_array(seq, longest)
@@ -153,7 +162,7 @@ def _slices(arrays: list, names: list[str]) -> Iterator[pa.RecordBatch]:
 
 
 def without_rare_words(shards: DataFrame, known: DataFrame) -> DataFrame:
-    """shard, lang, ids, words, seq: the shards with a piece's end for each run of words that aren't ``known``.
+    """shard, lang, ids, words, seq: the shards' runs of two ``known`` words and more, a piece's end (0) after each.
 
     known: shard, found (list of place in the shard's list, id). Ids and words are those found, by id; seq numbers them from 1.
     """
@@ -167,7 +176,7 @@ def without_rare_words(shards: DataFrame, known: DataFrame) -> DataFrame:
                 new = np.zeros(len(words) + 1, np.int32)
                 new[at + 1] = np.arange(1, len(at) + 1)
                 seq = new[_unzip(ids.as_py())]
-                seq = seq[np.r_[True, (seq[1:] > 0) | (seq[:-1] > 0)]]
+                seq = runs(seq, (seq[1:] > 0) & (seq[:-1] > 0))
                 row = [pa.array([shard.as_py()]), pa.array([lang.as_py()]), pa.array([id_], pa.list_(pa.int64())), pa.array([words.values.take(pa.array(at)).to_pylist()], pa.list_(pa.string())), pa.array([_zip(seq)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=["shard", "lang", "ids", "words", "seq"])
 
@@ -198,12 +207,10 @@ def phrases(coded: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, ids, words, seq, found = (batch.column(k)[i] for k in range(5))
-                seq, id_ = _unzip(seq.as_py()).astype(np.int64), np.array(ids.values)
+                seq, id_ = _unzip(seq.as_py()), np.array(ids.values)
                 a, b = (np.searchsorted(id_, found.values.field(k).to_numpy()) + 1 for k in (0, 1))
-                stays = np.isin(seq[:-1] * (len(id_) + 1) + seq[1:], a * (len(id_) + 1) + b)
-                at = np.arange(len(seq)) + np.r_[0, np.cumsum(~stays)]
-                broken = np.zeros(int(at[-1]) + 1, np.int64)
-                broken[at] = seq
+                wide = len(id_) + 1
+                broken = runs(seq, np.isin(seq[:-1].astype(np.int64) * wide + seq[1:], a * wide + b))
                 word = words.values.to_pylist()
                 for k, first, n in phrase_counts(broken, 2, longest):
                     for s in range(0, len(first), ROWS):
