@@ -7,7 +7,7 @@ import math
 import numpy as np
 
 from tidemark.functions import design as d
-from tidemark.operators.kernels import _stage, filtered
+from tidemark.operators.kernels import _stage, filtered, follow
 
 #: Attack and release (ms) of band compressors; crossover frequencies in Hz.
 SPEEDS = {"fast": (6, 120), "med": (15, 300), "slow": (30, 450)}
@@ -77,11 +77,8 @@ def compressed(bands: np.ndarray, rate: int, amount: float, speed: str) -> np.nd
     if amount <= 0:
         return bands
     attack, release = (1 - math.exp(-1 / (ms / 1000 * rate)) for ms in SPEEDS[speed])
-    level, out = 0.0, np.empty(bands.shape[1])
-    for i, v in enumerate(np.abs(bands).max(0).tolist()):
-        level += (v - level) * (attack if v > level else release)
-        out[i] = level
-    gain = curve_db(20 * np.log10(np.maximum(out, 1e-9)), -0.24 * amount, 1 + 0.02 * amount, 12.0)
+    out, _ = follow(np.abs(bands).max(0), attack, release, np.zeros(1))
+    gain = curve_db(20 * np.log10(np.maximum(out[0], 1e-9)), -0.24 * amount, 1 + 0.02 * amount, 12.0)
     return bands * 10 ** (gain / 20)
 
 
