@@ -124,26 +124,33 @@ class Follower:
         return np.array([(lines[:, 0] * state[0] + lines[:, 1]).max()])
 
 
-def over_chunks(chunks: DataFrame, recursion: Cascade | Follower, series: tuple[str, ...] = ("clip_id", "channel"), order: str = "chunk_idx", samples: str = "samples", stretch: int = STRETCH) -> DataFrame:
+def over_chunks(
+    chunks: DataFrame, recursion: Cascade | Follower | dict[str, Cascade | Follower], series: tuple[str, ...] = ("clip_id", "channel"),
+    order: str = "chunk_idx", samples: str = "samples", stretch: int = STRETCH,
+) -> DataFrame:
     """``chunks`` with the recursion's output (doubles) for ``samples``, as if each series were one chunk.
 
     Chunks follow each other by ``order`` (unique in a series); a missing one isn't
-    filled in. Empty chunks stay empty, null ones stay null and change no state.
+    filled in. Empty chunks stay empty, null ones stay null and change no state. A
+    dictionary of recursions is looked up by the last column of ``series``.
     """
-    r = recursion
+    bank = recursion if isinstance(recursion, dict) else None
+    which = F.col(series[-1]).cast("string")
+    of = (lambda name: bank[name]) if bank else (lambda _: recursion)
 
     @F.pandas_udf("array<double>")
-    def effect(xs: pd.Series) -> pd.Series:
-        return pd.Series([r.effect(np.asarray([] if x is None else x, np.float64)) for x in xs])
+    def effect(xs: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([of(n).effect(np.asarray([] if x is None else x, np.float64)) for x, n in zip(xs, names, strict=True)])
 
     @F.pandas_udf("array<double>")
-    def output(xs: pd.Series, states: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else r.run(np.asarray(x, np.float64), np.asarray(s))[0] for x, s in zip(xs, states, strict=True)])
+    def output(xs: pd.Series, names: pd.Series, states: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else of(n).run(np.asarray(x, np.float64), np.asarray(s))[0] for x, n, s in zip(xs, names, states, strict=True)])
 
-    def entered(pdf: pd.DataFrame, by: str, start: np.ndarray) -> pd.DataFrame:
+    def entered(pdf: pd.DataFrame, by: str, start: np.ndarray | None) -> pd.DataFrame:
         """The state before each row, from the effects of the rows before it."""
+        r = of(pdf[series[-1]].iloc[0])
         pdf = pdf.sort_values(by)
-        states = [start]
+        states = [r.start if start is None else start]
         for e in pdf["__effect"].iloc[:-1]:
             states.append(r.after(np.asarray(e), states[-1]))
         return pdf.assign(__state=states)
@@ -155,16 +162,16 @@ def over_chunks(chunks: DataFrame, recursion: Cascade | Follower, series: tuple[
     carried = StructType([*keys, at, StructField("__state", numbers)])
     each = StructType([*keys, chunks.schema[order], StructField("__state", numbers)])
     own, cut = list(series), [*series, "__stretch"]
-    parts = chunks.select(*own, order, F.floor(F.col(order) / stretch).cast("long").alias("__stretch"), effect(samples).alias("__effect"))
+    parts = chunks.select(*own, order, F.floor(F.col(order) / stretch).cast("long").alias("__stretch"), effect(samples, which).alias("__effect"))
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.head(1)[cut].assign(__effect=[reduce(r.both, map(np.asarray, pdf.sort_values(order)["__effect"]))])
+        return pdf.head(1)[cut].assign(__effect=[reduce(of(pdf[series[-1]].iloc[0]).both, map(np.asarray, pdf.sort_values(order)["__effect"]))])
 
     stretches = parts.groupBy(*cut).applyInPandas(total, summed)
-    states = stretches.groupBy(*own).applyInPandas(lambda pdf: entered(pdf, "__stretch", r.start)[[*cut, "__state"]], carried)
+    states = stretches.groupBy(*own).applyInPandas(lambda pdf: entered(pdf, "__stretch", None)[[*cut, "__state"]], carried)
     inside = parts.join(states.withColumnRenamed("__state", "__from"), cut)
     begun = inside.groupBy(*cut).applyInPandas(lambda pdf: entered(pdf, order, np.asarray(pdf["__from"].iloc[0]))[[*own, order, "__state"]], each)
-    return chunks.join(begun, [*own, order]).withColumn(samples, output(samples, "__state")).select(*chunks.columns)
+    return chunks.join(begun, [*own, order]).withColumn(samples, output(samples, which, "__state")).select(*chunks.columns)
 
 
 def linked_peak(chunks: DataFrame, clip: str = "clip_id", order: str = "chunk_idx", samples: str = "samples") -> DataFrame:

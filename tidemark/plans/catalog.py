@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as s
 from tidemark.functions import text as tx
 from tidemark.operators import clips, compare, delivery, dims, frames, immersive, kernels, levels, matching, rules
-from tidemark.plans import designs, measures, records, render
+from tidemark.plans import designs, measures, records, series, render
 from tidemark.plans.base import eighths
 from tidemark.plans.sql import ORACLES
 from tidemark.sources import containers, signals
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = records.query.queries | designs.query.queries | measures.query.queries
-ORACLES = ORACLES | records.query.oracles | designs.query.oracles | measures.query.oracles
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = records.query.queries | designs.query.queries | measures.query.queries | series.query.queries
+ORACLES = ORACLES | records.query.oracles | designs.query.oracles | measures.query.oracles | series.query.oracles
 c = F.col
 
 
