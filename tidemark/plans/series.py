@@ -9,7 +9,9 @@ from tidemark.functions import design
 from tidemark.operators import dims, feeds, frames
 from tidemark.operators.scans import Cascade, Follower, over_chunks
 from tidemark.operators.scene import BANDS
+from tidemark.plans import designs
 from tidemark.plans.base import Registry, r, rs, table
+from tidemark.streaming import live
 
 query = Registry()
 c = F.col
@@ -168,3 +170,13 @@ def mixed_feeds(spark, sf):
     out = feeds.mixed(paths, gains, 8, 1000).select(c("clip_id").alias("vec_id"), "speaker_id", "chunk_idx", F.posexplode("samples").alias("i", "y"))
     first = F.when(c("speaker_id") == "L", 0).otherwise(F.least(F.lit(19), F.lit(3)) * (c("vec_id") % 3 + 1))  # frames before a speaker's first path are silent
     return out.select("vec_id", "speaker_id", (c("chunk_idx") * 8 + c("i")).alias("frame"), r(c("y"), 6).alias("y")).where(c("frame") >= first)
+
+
+@query(designs.query.oracles["true_peaks"])
+def live_true_peaks(spark, sf):
+    """The peaks of ``true_peaks`` from chunks of sixteen components that reach a stateful meter one by one."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STORE)
+    k = c("k")
+    cut = table(spark, sf, "embeddings").select(c("vec_id").alias("clip_id"), "embedding", F.explode(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 16).cast("int") - 1)).alias("k"))
+    chunks = cut.select("clip_id", F.lit(0).alias("channel"), k.alias("chunk_idx"), F.timestamp_seconds(k).alias("ts"), F.slice("embedding", k * 16 + 1, F.lit(16)).alias("samples"), ((k + 1) * 16 >= F.size("embedding")).alias("final"))
+    return live.true_peaks(chunks, 48_000).where("ended").select(c("clip_id").alias("vec_id"), r(c("peak"), 5).alias("peak"))
