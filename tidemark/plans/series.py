@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import design
-from tidemark.operators import dims, feeds, frames
+from tidemark.operators import alignment, dims, feeds, frames
 from tidemark.operators.scans import Cascade, Follower, over_chunks
 from tidemark.operators.scene import BANDS
 from tidemark.plans import designs
@@ -180,3 +180,24 @@ def live_true_peaks(spark, sf):
     cut = table(spark, sf, "embeddings").select(c("vec_id").alias("clip_id"), "embedding", F.explode(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 16).cast("int") - 1)).alias("k"))
     chunks = cut.select("clip_id", F.lit(0).alias("channel"), k.alias("chunk_idx"), F.timestamp_seconds(k).alias("ts"), F.slice("embedding", k * 16 + 1, F.lit(16)).alias("samples"), ((k + 1) * 16 >= F.size("embedding")).alias("final"))
     return live.true_peaks(chunks, 48_000).where("ended").select(c("clip_id").alias("vec_id"), r(c("peak"), 5).alias("peak"))
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+b AS (
+  SELECT e.vec_id, e.i, (CASE WHEN e.vec_id % 3 = 0 THEN -8e-1 ELSE 8e-1 END) * coalesce(s.x, 0) + 5e-2 * coalesce(o.x, 0) AS y
+  FROM e LEFT JOIN e s ON s.vec_id = e.vec_id AND s.i = e.i + e.vec_id % 13 - 6 LEFT JOIN e o ON o.vec_id = e.vec_id + 1 AND o.i = e.i),
+d AS (SELECT b.vec_id, lag, sum(y * x) AS product, sum(x * x) AS square FROM b, (SELECT unnest(range(-20, 21)) AS lag), e WHERE e.vec_id = b.vec_id AND e.i = b.i + lag GROUP BY ALL),
+best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(product) DESC, lag) = 1),
+g AS (SELECT *, product / (square + 1e-20) AS gain, (SELECT sum(y * y) FROM b WHERE b.vec_id = best.vec_id) AS energy FROM best)
+SELECT vec_id, lag, {rs("gain", 5)} AS gain, {rs("10 * log10((greatest(0, energy - 2 * gain * product + gain * gain * square) + 1e-20) / (energy + 1e-20))", 3)} AS residual_db, gain < 0 AS inverted FROM g""")
+def aligned_takes(spark, sf):
+    """Lag, gain and residual of a vector and a shifted, scaled take of it with some of the next vector in it."""
+    e = table(spark, sf, "embeddings").select(c("vec_id").alias("pair"), c("embedding").cast("array<double>").alias("e"))
+    both = e.join(e.select((c("pair") - 1).alias("pair"), c("e").alias("o")), "pair", "left")
+    at = lambda i: F.get("e", (i + c("pair") % 13 - 6).cast("int"))
+    gain = F.when(c("pair") % 3 == 0, -0.8).otherwise(0.8)
+    take = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: gain * F.coalesce(at(i), F.lit(0.0)) + 0.05 * F.coalesce(F.get("o", i), F.lit(0.0)))
+    cut = lambda df, v: df.select("pair", v.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("pair", c("k").cast("long").alias("chunk_idx"), F.slice("v", c("k") * 16 + 1, F.lit(16)).alias("samples"))
+    fit = alignment.best_fit(alignment.lag_sums(cut(e, c("e")), cut(both, take), "pair", 16, 20), "pair")
+    return fit.select(c("pair").alias("vec_id"), c("lag").cast("long").alias("lag"), r(c("gain"), 5).alias("gain"), r(c("residual_db"), 3).alias("residual_db"), "inverted")
