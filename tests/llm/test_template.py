@@ -154,3 +154,18 @@ def test_very_long_page(spark):
     html = "<article>" + "".join(f"<p>paragraph {k} of it</p>" for k in range(60_000)) + "</article>"
     out = template.extract(spark.createDataFrame([(1, "http://a.example/", html)], "page_id long, url string, html string")).collect()
     assert out[0].main_text.count("\n") == 59_999
+
+
+def test_malformed_pages_take_linear_time():
+    for source in ("<p" * 400_000, "<" + "a" * 1_000_000, "<a \"x" * 160_000 + ">", "<a '\"" * 160_000 + "\">", "<!" * 400_000, "<!--" * 200_000, "<p x=\"" * 150_000, "</" * 400_000, "<p>a</p" * 100_000):
+        began = time.time()
+        template.Page(source)
+        assert time.time() - began < 3, source[:20]
+
+
+def test_tokens_of_malformed_pages():
+    texts = lambda s: [b[1] for b in template.Page(s).blocks]
+    assert texts("<p>one<p two") == ["one<p two"] and texts("a < b > c") == ["a < b > c"]
+    assert texts("<p title='>'>one</p><p title=\">>\">two</p>") == ["one", "two"]
+    assert texts("<p>one</p><p title=\"open>two</p><p>three</p>") == ["one", "<p title=\"open>two", "three"]
+    assert texts("one<!-- gone") == ["one"] and texts("one<!-- gone --  >two") == ["onetwo"] and texts("<!doctype html>one<?x?>two") == ["onetwo"]

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,11 +48,65 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 WORDS = frozenset(
     "nav navbar navigation menu ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar footer header masthead cookie cookies consent gdpr notice notification popup modal overlay comment comments commentlist disqus respond share sharing social breadcrumb breadcrumbs related recommended newsletter subscribe subscription login signup search widget pagination pager skip".split()
 )
-TOKEN = re.compile(r"""<!--.*?(?:--\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+START = re.compile(r"<(?:!--|/?[A-Za-z]|[!?])")
+NAME_END, COMMENT_END, SPECIAL = re.compile(r"[\s/>]"), re.compile(r"--\s*>"), re.compile("""[>"']""")
+TAIL = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 PART = re.compile(r"[a-z]+")
 
 
+class Tokens:
+    """Tags, comments and declarations of a page, in time linear in its length whatever is left open in it."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.name = (0, -1)  # from where to where no name ends
+        self.ends: tuple[list[int], list[int]] | None = None
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """Start, end, whether it closes, element (None: a comment or declaration) and attributes of the next one."""
+        s = self.source
+        while m := START.search(s, at):
+            start, said = m.start(), m.group()
+            at = start + 1
+            if said == "<!--":
+                end = COMMENT_END.search(s, m.end())
+                return start, end.end() if end else len(s), False, None, ""
+            if start > self.last:
+                continue
+            if said[1] in "!?":
+                return start, s.index(">", m.end()) + 1, False, None, ""
+            name = self._name_end(m.end())
+            end = self._tag_end(name)
+            if end >= 0:
+                return start, end + 1, said[1] == "/", s[m.end() - 1 : name], s[name:end]
+        return None
+
+    def _name_end(self, at: int) -> int:
+        low, high = self.name
+        if not low <= at <= high:
+            m = NAME_END.search(self.source, at)
+            self.name = (at, m.start() if m else len(self.source))
+        return self.name[1]
+
+    def _tag_end(self, at: int) -> int:
+        """The next > that is in no quotes, -1 if there is none. Once one was looked for in vain, all are looked up in a table."""
+        if self.ends is None:
+            m = TAIL.match(self.source, at)
+            if m:
+                return m.end() - 1
+            places = [m.start() for m in SPECIAL.finditer(self.source)]
+            found, later = [-1] * (len(places) + 1), {}
+            for k in range(len(places) - 1, -1, -1):
+                c = self.source[places[k]]
+                found[k] = places[k] if c == ">" else found[later[c] + 1] if c in later else -1
+                later[c] = k
+            self.ends = places, found
+        places, found = self.ends
+        return found[bisect_left(places, at)]
+
+
 def _left_out(tag: str, attrs: str) -> bool:
     if tag in DROPPED:
         return True
@@ -92,21 +147,21 @@ class Page:
             if tag in inside:
                 inside[tag] -= 1
 
-        at, n = 0, len(source)
+        at, n, tokens = 0, len(source), Tokens(source)
         while at < n:
-            m = TOKEN.search(source, at)
-            if not m:
+            token = tokens.after(at)
+            if not token:
                 if not out:
                     text.append(source[at:])
                 break
-            if m.start() > at and not out:
-                text.append(source[at : m.start()])
-            at = m.end()
-            tag = m.group(2)
+            start, end_at, closes, tag, attrs = token
+            if start > at and not out:
+                text.append(source[at:start])
+            at = end_at
             if not tag:
                 continue
             tag = tag.lower()
-            if m.group(1):  # an end tag closes up to its element, if that is open
+            if closes:  # an end tag closes up to its element, if that is open
                 if tag in BLOCKS:
                     flush()
                 if any(t == tag for t, _ in stack):
@@ -122,7 +177,6 @@ class Page:
                 elif tag == "br" and not out:
                     text.append(" ")
                 continue
-            attrs = m.group(3)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = end.end() if end else n
