@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import design
-from tidemark.operators import alignment, dims, feeds, frames
+from tidemark.operators import alignment, dims, feeds, frames, onsets
 from tidemark.operators.scans import Cascade, Follower, over_chunks
 from tidemark.operators.scene import BANDS
 from tidemark.plans import designs
@@ -201,3 +201,23 @@ def aligned_takes(spark, sf):
     cut = lambda df, v: df.select("pair", v.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("pair", c("k").cast("long").alias("chunk_idx"), F.slice("v", c("k") * 16 + 1, F.lit(16)).alias("samples"))
     fit = alignment.best_fit(alignment.lag_sums(cut(e, c("e")), cut(both, take), "pair", 16, 20), "pair")
     return fit.select(c("pair").alias("vec_id"), c("lag").cast("long").alias("lag"), r(c("gain"), 5).alias("gain"), r(c("residual_db"), 3).alias("residual_db"), "inverted")
+
+
+@query(f"""
+WITH {_SIGNAL},
+p AS (SELECT event_type, i, x, sum(x * x) OVER (PARTITION BY event_type ORDER BY i RANGE BETWEEN 4 PRECEDING AND 3 FOLLOWING) / 8 AS energy FROM e),
+d AS (
+  SELECT *, lead(energy) OVER w - energy AS rise, count(*) OVER (PARTITION BY event_type) AS n, avg(energy) OVER (w RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING) AS attack,
+    avg(energy) OVER (w RANGE BETWEEN 8 FOLLOWING AND 79 FOLLOWING) AS rest, max(abs(x)) OVER (w RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING) AS peak
+  FROM p WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+bar AS (SELECT event_type, quantile_cont(abs(rise), 0.99) AS bar FROM d GROUP BY event_type),
+o AS (
+  SELECT d.*, row_number() OVER (PARTITION BY event_type ORDER BY i) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY event_type) // 60) AS step
+  FROM d JOIN bar USING (event_type) WHERE rise > bar)
+SELECT event_type, i AS frame, {rs("10 * log10((attack + 1e-18) / (rest + 1e-18))", 4)} AS ratio_db, {rs("peak", 6)} AS peak
+FROM o WHERE k % step = 0 AND k < step * 60 AND i + 16 <= n""")
+def series_onsets(spark, sf):
+    """Onsets of each type's signal (windows of eight frames), with their attacks."""
+    frames_ = _signal(spark, sf).select("event_type", "chunk_idx", F.posexplode("samples").alias("i", "value")).select("event_type", (c("chunk_idx") * CHUNK + c("i")).alias("frame"), "value")
+    found = onsets.attacks(frames_, "event_type", 8, stretch=512)
+    return found.select("event_type", "frame", r(c("ratio_db"), 4).alias("ratio_db"), r(c("peak"), 6).alias("peak"))
