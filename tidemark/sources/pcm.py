@@ -42,7 +42,7 @@ class PcmSource(DataSource):
     row with ``errors``. Options ``first_frame`` and ``frames`` read a part of each
     file and no more of its bytes. Writing: rows of a clip must be in one partition,
     in order of their frames (``save``); one block is held. Options ``bits`` 16, 24
-    or 32, ``container`` wav or aiff.
+    or 32, ``container`` wav or aiff. As streams: ``streams``.
     """
 
     @classmethod
@@ -59,6 +59,16 @@ class PcmSource(DataSource):
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], int(self.options.get("bits", "24")), self.options.get("container", "wav"))
 
+    def streamReader(self, schema):
+        from tidemark.sources import streams
+
+        return streams.Arrivals(self.options["path"], self.reader(schema))
+
+    def streamWriter(self, schema, overwrite):
+        from tidemark.sources import streams
+
+        return streams.ClipWriter(self.options["path"], int(self.options.get("bits", "24")))
+
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, first: int, frames: int | None):
