@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.functions import design
+from tidemark.functions import design, tables
 from tidemark.operators import alignment, dims, feeds, frames, onsets
 from tidemark.operators.scans import Cascade, Follower, over_chunks
 from tidemark.operators.scene import BANDS
@@ -221,3 +221,19 @@ def series_onsets(spark, sf):
     frames_ = _signal(spark, sf).select("event_type", "chunk_idx", F.posexplode("samples").alias("i", "value")).select("event_type", (c("chunk_idx") * CHUNK + c("i")).alias("frame"), "value")
     found = onsets.attacks(frames_, "event_type", 8, stretch=512)
     return found.select("event_type", "frame", r(c("ratio_db"), 4).alias("ratio_db"), r(c("peak"), 6).alias("peak"))
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+b AS (SELECT vec_id, k, -0.691 + 10 * log10(greatest(sum(x * x) / 16, 1e-30)) AS level FROM e, (SELECT unnest(range(7)) AS k) WHERE i BETWEEN k * 8 AND k * 8 + 15 GROUP BY ALL),
+h AS (SELECT vec_id % 25 AS series, CAST(floor((level + 70) * 10) AS BIGINT) AS bin, count(*) AS n FROM b WHERE level > -70 GROUP BY ALL),
+c AS (SELECT *, (bin + 5e-1) / 10 - 70 AS centre FROM h),
+g AS (SELECT series, -0.691 + 10 * log10(sum(n * pow(10, (centre + 0.691) / 10)) / sum(n)) - 10 AS bar FROM c GROUP BY series)
+SELECT series, {rs("-0.691 + 10 * log10(sum(n * pow(10, (centre + 0.691) / 10)) / sum(n))", 5)} AS level FROM c JOIN g USING (series) WHERE centre > bar GROUP BY series""")
+def gated_by_histogram(spark, sf):
+    """Gated level of groups of vectors, in SQL text: a table function makes the levels, histograms of them merge."""
+    tables.register(spark)
+    return spark.sql("""
+      WITH b AS (SELECT e.vec_id % 25 AS series, l.level FROM {e} e, LATERAL hop_levels(e.embedding, 16, 8) l),
+      h AS (SELECT series, level_bin(level) AS bin, count(*) AS n FROM b GROUP BY ALL)
+      SELECT series, floor(gated_level(level_bins(collect_list(struct(bin, n)))) * 100000 + 0.5D) / 100000 AS level FROM h GROUP BY series""", e=table(spark, sf, "embeddings"))
