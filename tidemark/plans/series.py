@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.functions import design, tables
+from tidemark.functions import design, responses, tables
 from tidemark.operators import alignment, dims, feeds, frames, onsets
 from tidemark.operators.scans import Cascade, Follower, over_chunks
 from tidemark.operators.scene import BANDS
@@ -237,3 +237,30 @@ def gated_by_histogram(spark, sf):
       WITH b AS (SELECT e.vec_id % 25 AS series, l.level FROM {e} e, LATERAL hop_levels(e.embedding, 16, 8) l),
       h AS (SELECT series, level_bin(level) AS bin, count(*) AS n FROM b GROUP BY ALL)
       SELECT series, floor(gated_level(level_bins(collect_list(struct(bin, n)))) * 100000 + 0.5D) / 100000 AS level FROM h GROUP BY series""", e=table(spark, sf, "embeddings"))
+
+
+def _analogue(t: str, name: str) -> str:
+    """Real and imaginary parts of second-order Butterworth responses at t = tan(pi f / rate) / tan(pi corner / rate)."""
+    d = f"((1 - {t} * {t}) * (1 - {t} * {t}) + 2 * {t} * {t})"
+    return f"""(1 - {t} * {t}) / {d} AS {name}r, -sqrt(2) * {t} / {d} AS {name}i, {t} AS {name}x"""
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS k, [44100, 48000, 96000, 192000][1 + p_partkey % 4] AS rate, p_partkey % 199 * 100.0 + 30 AS spot, p_partkey % 5 / 4e0 AS mix FROM part),
+t AS (SELECT *, tan(pi() * spot / rate) / tan(pi() * 140 / rate) AS a, tan(pi() * spot / rate) / tan(pi() * 3200 / rate) AS b FROM p),
+o AS (SELECT k, mix, {_analogue("a", "a")}, {_analogue("b", "b")} FROM t),
+q AS (
+  SELECT *, ar * ar - ai * ai AS alr, 2 * ar * ai AS ali, br * br - bi * bi AS blr, 2 * br * bi AS bli, pow(ax, 4) AS ag, pow(bx, 4) AS bg,
+    (1 - ax * ax) * ar + sqrt(2) * ax * ai AS apr, (1 - ax * ax) * ai - sqrt(2) * ax * ar AS api, (1 - bx * bx) * br + sqrt(2) * bx * bi AS bpr, (1 - bx * bx) * bi - sqrt(2) * bx * br AS bpi FROM o),
+s AS (
+  SELECT k, mix, alr + ag * (alr * blr - ali * bli) + bg * blr AS pr, ali + ag * (alr * bli + ali * blr) + bg * bli AS pi_,
+    alr * bpr - ali * bpi + ag * (1 + bg) * (alr * blr - ali * bli) AS tr, alr * bpi + ali * bpr + ag * (1 + bg) * (alr * bli + ali * blr) AS ti,
+    apr * bpr - api * bpi AS dr, apr * bpi + api * bpr AS di FROM q)
+SELECT k AS p_partkey, {rs("20 * log10(greatest(1e-6, sqrt(pow(pr * mix + 1 - mix, 2) + pow(pi_ * mix, 2))))", 4)} AS parallel_db,
+  {rs("20 * log10(greatest(1e-6, sqrt(pow(tr * mix + dr * (1 - mix), 2) + pow(ti * mix + di * (1 - mix), 2))))", 4)} AS tree_db FROM s""")
+def multiband_sums(spark, sf):
+    """What the older parallel bands and the tree add up to, with dry shares from none to all; in SQL from the analogue filters."""
+    k = c("p_partkey")
+    rows = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, (44100, 48000, 96000, 192000))), (k % 4 + 1).cast("int")).alias("rate"), (k % 199 * 100.0 + 30).alias("at"), (k % 5 / 4.0).alias("mix"))
+    db = lambda layout: r(responses.magnitude_db(layout(c("at"), c("rate"), 140.0, 3200.0, c("mix"))))
+    return rows.select("p_partkey", db(responses.parallel).alias("parallel_db"), db(responses.tree).alias("tree_db"))
