@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.design import BUTTERWORTH
@@ -46,22 +46,30 @@ def second_order(kind: str, freq: Column, corner: float, rate: Column, q: float
     return over(poly(b), poly((1 + alpha, -2 * cw, 1 - alpha)))
 
 
-def fourth_order(kind: str, freq: Column, corner: float, rate: Column) -> Complex:
-    """Linkwitz-Riley: twice the same Butterworth filter."""
-    once = second_order(kind, freq, corner, rate)
-    return times(once, once)
+#: Second-order filters that the layouts below are made of, by name: kind and whether at the upper corner.
+PARTS = {"low_lp": ("lowpass", False), "low_hp": ("highpass", False), "low_ap": ("allpass", False), "high_lp": ("lowpass", True), "high_hp": ("highpass", True), "high_ap": ("allpass", True)}
 
 
-def tree(freq: Column, rate: Column, low: float, high: float, mix: Column) -> Complex:
-    """Three bands of a tree, each in the phase of the others, mixed with a dry path in that phase."""
-    above, late = fourth_order("highpass", freq, low, rate), second_order("allpass", freq, high, rate)
-    bands = plus(times(fourth_order("lowpass", freq, low, rate), late), times(above, fourth_order("lowpass", freq, high, rate)), times(above, fourth_order("highpass", freq, high, rate)))
-    dry = times(second_order("allpass", freq, low, rate), late)
-    return plus(scaled(bands, mix), scaled(dry, 1 - mix))
+def with_parts(rows: DataFrame, freq: str, rate: str, low: float, high: float) -> DataFrame:
+    """``rows`` with the responses of ``PARTS`` as columns (fourth-order Linkwitz-Riley for lowpass and highpass), each worked out once."""
+    once = {name: second_order(kind, F.col(freq), high if upper else low, F.col(rate)) for name, (kind, upper) in PARTS.items()}
+    own = rows.withColumns({f"{name}_{part}": x for name, pair in once.items() for part, x in zip(("re", "im"), pair, strict=True)})
+    twice = {name: times(_part(name), _part(name)) for name, (kind, _) in PARTS.items() if kind != "allpass"}
+    return own.withColumns({f"{name}_{part}": x for name, pair in twice.items() for part, x in zip(("re", "im"), pair, strict=True)})
 
 
-def parallel(freq: Column, rate: Column, low: float, high: float, mix: Column) -> Complex:
-    """The older layout: three bands side by side and a dry wire, whose phases differ, so that their sum combs."""
-    mid = times(fourth_order("highpass", freq, low, rate), fourth_order("lowpass", freq, high, rate))
-    bands = plus(fourth_order("lowpass", freq, low, rate), mid, fourth_order("highpass", freq, high, rate))
+def _part(name: str) -> Complex:
+    return F.col(f"{name}_re"), F.col(f"{name}_im")
+
+
+def tree(mix: Column) -> Complex:
+    """Of rows ``with_parts``: three bands of a tree, each in the phase of the others, mixed with a dry path in that phase."""
+    above, late = _part("low_hp"), _part("high_ap")
+    bands = plus(times(_part("low_lp"), late), times(above, plus(_part("high_lp"), _part("high_hp"))))
+    return plus(scaled(bands, mix), scaled(times(_part("low_ap"), late), 1 - mix))
+
+
+def parallel(mix: Column) -> Complex:
+    """Of rows ``with_parts``: the older layout, three bands side by side and a dry wire, whose phases differ, so that their sum combs."""
+    bands = plus(_part("low_lp"), times(_part("low_hp"), _part("high_lp")), _part("high_hp"))
     return plus(scaled(bands, mix), (1 - mix, F.lit(0.0)))

@@ -262,5 +262,6 @@ def multiband_sums(spark, sf):
     """What the older parallel bands and the tree add up to, with dry shares from none to all; in SQL from the analogue filters."""
     k = c("p_partkey")
     rows = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, (44100, 48000, 96000, 192000))), (k % 4 + 1).cast("int")).alias("rate"), (k % 199 * 100.0 + 30).alias("at"), (k % 5 / 4.0).alias("mix"))
-    db = lambda layout: r(responses.magnitude_db(layout(c("at"), c("rate"), 140.0, 3200.0, c("mix"))))
-    return rows.select("p_partkey", db(responses.parallel).alias("parallel_db"), db(responses.tree).alias("tree_db"))
+    own = responses.with_parts(rows, "at", "rate", 140.0, 3200.0)
+    db = lambda layout: r(responses.magnitude_db(layout(c("mix"))))
+    return own.select("p_partkey", db(responses.parallel).alias("parallel_db"), db(responses.tree).alias("tree_db"))
