@@ -23,6 +23,8 @@ def test_rounding_gains_and_floors(spark):
 def test_text(spark):
     f = lambda v: one(spark, tx.sanitise_filename(F.lit(v)))[0]
     assert [f(v) for v in ("a/b\\c:d?.wav", "..hid  den. ", "CON.txt", "", "x" * 200 + ".flac")] == ["cd.wav", "hid den", "master", "master", "x" * 115 + ".flac"]
+    odd = {".. a": " a", "Lpt9.tar.gz": "master", "con1": "con1", "a\u00a0\u3000 b": "a b", "x/": "master", "d\\ .x. . ": "x", "a\tb\x00c": "abc", "." * 9: "master", "y" * 130 + ".longest-one": "y" * 120}
+    assert {v: f(v) for v in odd} == odd and f(None) == "master"
     assert one(spark, tx.base_name(F.lit("song.mix.wav")), tx.wrap(F.lit("aa bb ccccccc d"), 5), tx.timecode(F.lit(3661.25)), tx.format_bytes(F.lit(1536.0)), tx.quality_tag(F.lit(44100), F.lit(32))) == ("song.mix", "aa bb\nccccccc\nd", "01:01:01.250000000", "2 KB", "44.1k-32float")
 
 
