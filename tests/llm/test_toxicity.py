@@ -81,6 +81,20 @@ def test_nothing_to_learn_from(spark):
     assert tx.keep_clean(docs.limit(0), m).collect() == []
 
 
+def test_the_sample_is_of_documents(spark):
+    """Labels without a document, without a text or held out take no place in the sample; the task equals plain training."""
+    rows = material(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7000, None), (7001, "")] + [(rows[1][0], rows[1][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 1) for i in range(7000, 9000)] + [(None, 1), (3, 7)], "doc_id long, toxic int")
+    s = tx.Settings(sample=len(rows), epochs=1, least_steps=20)
+    m = tx.fit(docs, labels, s)
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    want = tx.train([t for _, t, _ in own], [y for *_, y in own], s)
+    assert m.info == want.info and m.info["sample"] == len(own)
+    near = lambda a, b: np.allclose(a, b, rtol=1e-3, atol=1e-4)  # noqa: E731  # a worker's matrix products add up in another order
+    assert near((m.scale, m.shift), (want.scale, want.shift)) and all(near(m.p[k], want.p[k]) for k in want.p) and near(m.word, want.word)
+
+
 def test_long_texts_are_learned_from():
     """Texts over any length: windows beyond the strongest ones only score."""
     rng = random.Random(8)

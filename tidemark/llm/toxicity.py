@@ -6,20 +6,24 @@ character-trigram embeddings. Windows of ``WINDOW`` words, overlapping by
 attention pools the states of a window into one logit and a text takes the
 largest logit of all its windows, calibrated to a probability.
 
-Training is plain numpy on the driver over a bounded sample of labelled rows
+Training is plain numpy in one task over a bounded sample of labelled rows
 (``Settings.sample`` rows, whole texts): every window of a text is run, and the
-``Settings.learn`` strongest of a text carry its gradient. Scoring is one map over whole texts: no shuffle, and the model that is shipped has a
-fixed size of about 2 MB.
+``Settings.learn`` strongest of a text carry its gradient. The task takes one batch of
+texts at a time and keeps their word numbers; no text comes to the driver, and a lost
+executor only means that the task runs again, with the same result. Scoring is one map
+over whole texts: no shuffle, and the model that is shipped has a fixed size of about 2 MB.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,7 @@ D_WORD, D_CHAR, HIDDEN, ATT = 4, 4, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 14
 #: Entries of a worker's word cache (about 80 MB), and windows of one matrix step.
 CACHE, STEP = 300_000, 2048
-#: Windows of one step on the driver, which has little memory to spare.
+#: Windows of one step of training, a task that shares its executor's memory.
 FEW = 256
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -170,18 +174,19 @@ def log_odds(keys: list[np.ndarray], labels: np.ndarray, rows: int) -> np.ndarra
     return (np.clip(odds, -4, 4) * seen / (seen + 6)).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], settings: Settings | None = None) -> Model:
+def train(texts: Iterable[str], labels: list[int], settings: Settings | None = None) -> Model:
     """Fit on a sample: a part for the first embeddings, a part for the network, a part to calibrate.
 
     An empty sample or one label alone gives a model that scores every text with
-    the share of label 1 (0.0 if empty).
+    the share of label 1 (0.0 if empty). ``texts`` are read once, in order, and not kept;
+    ``labels`` may grow as they are read.
     """
     s = settings or Settings()
     rng = np.random.default_rng(s.seed)
-    y = np.asarray(labels, np.float32)
-    usable = len(y) >= 20 and 0 < y.sum() < len(y)
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t.split()], np.int32) for t in texts]  # each word is kept once
+    y = np.asarray(labels, np.float32)
+    usable = len(y) >= 20 and 0 < y.sum() < len(y)
     words = list(vocab)
     parts = [word_keys(words[a : a + 10_000]) for a in range(0, len(words), 10_000)]
     rows, tri, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
@@ -402,25 +407,38 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Train on labelled rows of ``docs``, never on those held out (crc32 of doc_id mod 5 is 0).
 
-    The sample is the ``settings.sample`` labelled rows of the smallest hashed
-    doc_id; labels other than 0 and 1, null ids and null texts aren't used.
+    The sample is the ``settings.sample`` labelled documents of the smallest hashed
+    doc_id; labels other than 0 and 1, labels without a document, null ids and null or
+    empty texts aren't used. Of rows that repeat an id the least text is taken.
     """
     s = settings or Settings()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id is not null and toxic in (0, 1)")
         .where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .join(texts.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
     )
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .where(F.length("text") > 0)
-        .join(F.broadcast(known), "doc_id")  # at most s.sample rows of two numbers
+    sample = (
+        texts.join(F.broadcast(known), "doc_id")  # at most s.sample rows of two numbers
         .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-        .toPandas().sort_values("doc_id")
+        .repartition(1).sortWithinPartitions("doc_id").select("toxic", "text")
     )
-    return train(rows["text"].tolist(), rows["toxic"].tolist(), s)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[int] = []
+
+        def read() -> Iterator[str]:
+            for batch in batches:
+                seen.extend(batch.column(0).to_pylist())
+                yield from (t.as_py() for t in batch.column(1))
+
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(read(), seen, s))], pa.binary())], ["model"])
+
+    models = sample.mapInArrow(learn, "model binary").collect()  # one, or none if the sample is empty
+    return pickle.loads(models[0].model) if models else train([], [], s)
 
 
 def with_scores(docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
