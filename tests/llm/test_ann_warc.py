@@ -87,6 +87,17 @@ def test_payloads_of_pages(spark, tmp_path):
     assert out[2].headers == {"etag": out[1].headers["etag"], "date": "2", "content-type": "text/html"}
 
 
+def test_null_and_wrong_times_leave_a_hot_url_spread(spark):
+    times = [*range(400), *[warc.NO_TIME] * 2, -(10**14), 10**15]
+    rows = [(i, "hot.example/", t, i % 3 == 0, str(i)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "record_id long, url string, captured long, full boolean, info string")
+    assert max(r["count"] for r in warc.stretched(df, 16).groupBy("stretch").count().collect()) <= 30
+    earlier = lambda t: max(((c, i) for i, _, c, full, _ in rows if full and c < t), default=None)
+    got = {r.record_id: r.found and (r.found.captured, r.found.record_id) for r in warc.latest_earlier(df, 16).collect()}
+    assert got == {i: earlier(t) for i, _, t, *_ in rows}
+    assert warc.latest_earlier(df.limit(0)).collect() == []
+
+
 def test_headers_validators_and_payloads(spark):
     h = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
     rows = [

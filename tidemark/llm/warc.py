@@ -19,6 +19,8 @@ from tidemark.llm.common import partitions
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't tell resources apart.
 TRACKING = "utm_[a-z]*|ref|fbclid|gclid"
+#: Stands for a null time: before every other.
+NO_TIME = -(2**62)
 
 
 def canonical_url(url: Column) -> Column:
@@ -41,9 +43,7 @@ def latest_earlier(records: DataFrame, stretches: int | None = None) -> DataFram
     """
     spark = records.sparkSession
     n = stretches or 4 * partitions(spark)
-    span = records.agg(F.min("captured"), F.max("captured")).first()
-    low, width = (span[0] or 0), max(1, -(-((span[1] or 0) - (span[0] or 0) + 1) // n))
-    rows = records.withColumn("stretch", F.floor((F.col("captured") - low) / width).cast("int"))
+    rows = stretched(records, n)
     mine = F.struct("captured", "record_id", "info")
     lasts = rows.where("full").groupBy("url", "stretch").agg(F.max(mine).alias("last"))
     # at most one row for each stretch of a URL; a stretch takes what earlier ones left
@@ -57,6 +57,19 @@ def latest_earlier(records: DataFrame, stretches: int | None = None) -> DataFram
     return found.groupBy("record_id").agg(F.max("found").alias("found"))  # a repeated record finds what its likes find
 
 
+def stretched(records: DataFrame, n: int) -> DataFrame:
+    """``records`` with the number of their stretch of time, which never falls as ``captured`` grows.
+
+    The n stretches part what lies between the first and last hundredth of the known
+    times; one more on either side takes the rest, so that null or wrong times don't widen them.
+    """
+    known = F.when(F.col("captured") > NO_TIME, F.col("captured"))
+    low, high = records.agg(F.percentile_approx(known, [0.01, 0.99]).alias("span")).first().span or (0, 0)
+    width = max(1, -(-(high - low + 1) // n))
+    at = F.floor((F.col("captured") - low) / width)
+    return records.withColumn("stretch", F.least(F.greatest(at, F.lit(-1)), F.lit(n)).cast("int"))
+
+
 def resolve(records: DataFrame, with_payload: bool = True) -> DataFrame:
     """Every record with its outcome, the response it rests on, merged headers and payload.
 
@@ -68,7 +81,7 @@ def resolve(records: DataFrame, with_payload: bool = True) -> DataFrame:
     source; other columns aren't carried. A null time is before all others.
     """
     r = records.select(
-        F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url"), F.coalesce(F.col("captured").cast("long"), F.lit(-(2**62))).alias("captured"),
+        F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url"), F.coalesce(F.col("captured").cast("long"), F.lit(NO_TIME)).alias("captured"),
         F.coalesce("status", F.lit(200)).alias("status"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload",
     )
     slim = r.select("record_id", "url", "captured", (F.col("status") == 200).alias("full"), F.to_json("headers").alias("info"))
