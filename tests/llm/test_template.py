@@ -91,6 +91,9 @@ def deduced(pages):
             if sum(x > 0 for x in v) >= 3:
                 classes.setdefault(tuple(v), set()).add(t)
         classes = {v: c for v, c in classes.items() if any(len(t) == 2 for t in c) and not all(len(t) == 2 for t in c)}
+        told = sum(n * len(t[1]) for v, c in classes.items() for t in c if len(t) == 2 for n in v)
+        if 4 * told > 3 * sum(len(text) for k in distinct for _, text, *_ in parsed[k]):
+            classes = {}
         for k in own:
             seq = [t for path, text, *_ in parsed[k] for t in ((path,), (path, text))]
             tuples = {}
@@ -156,6 +159,42 @@ def test_very_long_page(spark):
     assert out[0].main_text.count("\n") == 59_999
 
 
+def test_republished_article_is_no_template(spark):
+    page = "<body><article><h1>A title</h1><p>The one article of this host, that was put out again.</p><p>Seen {} times</p></article></body>"
+    rows = [(k, f"http://a.example/{k}", page.format(k)) for k in range(9)]
+    got = {r.page_id: r.main_text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"A title\nThe one article of this host, that was put out again.\nSeen {k} times" for k in range(9)}
+
+
+def test_words_of_class_and_id():
+    main = lambda s: template.Page(s).main()
+    kept = '<p class="ad-hoc">one</p><div class="related-work">two</div><p id="login-howto">three</p>'
+    assert main(f"<article>{kept}</article>") == main(f"<div>{kept}</div>") == "one\ntwo\nthree"
+    gone = '<div class="ad">x</div><div class="x ad-banner">x</div><p id="cookie-notice">x</p><div class="sidebar-left">x</div><ol class="comment_list">x</ol><div class="ad-300x250">x</div>'
+    assert main(f"<article>{kept}{gone}</article>") == "one\ntwo\nthree" and main(gone) == ""
+
+
+def test_headers_of_articles():
+    main = lambda s: template.Page(s).main()
+    assert main("<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by A</p><nav>menu</nav></header><p>text</p></article>") == "Title\nby A\ntext"
+    assert main("<article><p>a</p><header>top<p>more</p></header><p>text</p></article>") == "a\ntext"
+    assert main("<article><header>x<header><h2>Title</h2></header></header><p>text</p></article>") == "x\nTitle\ntext"
+    assert main('<article><header role="banner"><h1>x</h1></header><p>text</p></article>') == "text"
+
+
+def test_short_articles_beside_the_text():
+    body = "The long text of the page. " * 4
+    assert template.Page(f"<article>Short one</article><article>Teaser</article><div>{body}</div>").main() == f"Short one\nTeaser\n{body.strip()}"
+
+
+def test_template_without_names(spark):
+    """What a host says on every page goes by the template alone, in whatever elements it stands."""
+    source = "<head><title>t</title></head><body><nav><ul><li>Home</li><li>About</li></ul></nav><div>{0}</div><div class=ad>Buy</div><footer>Legal</footer></body>"
+    story = lambda k: f"story {k} of this host " + "again " * 9 + "told"
+    df = spark.createDataFrame([(k, f"http://a.example/{k}", source.format(story(k))) for k in range(5)], "page_id long, url string, html string")
+    assert {(r.page_id, r.main_text) for r in template.extract(df, named=False).collect()} == {(k, story(k)) for k in range(5)}
+
+
 def test_malformed_pages_take_linear_time():
     for source in ("<p" * 400_000, "<" + "a" * 1_000_000, "<a \"x" * 160_000 + ">", "<a '\"" * 160_000 + "\">", "<!" * 400_000, "<!--" * 200_000, "<p x=\"" * 150_000, "</" * 400_000, "<p>a</p" * 100_000):
         began = time.time()

@@ -12,9 +12,13 @@ class, if it holds a tag path or the page itself: so a host's classes have at mo
 On each page the host's classes are nested (``nested``): a class whose tokens don't
 come in one order, repeated whole, or whose tuples cross those of a class of more
 pages, isn't valid there. Texts of valid classes are template; what remains are slots.
-Of a page's slots, those in article elements are taken, or those in main elements
-if they are over twice as much, or all. Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments are left out before.
+A host whose classes hold over three quarters of its pages' text has no template: its
+pages are one article with a line that varies, not many articles. Of a page's slots,
+those in article elements are taken, or those in main elements (all slots, if no slot is
+in one) if they are over twice as much. Menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments are left out before: by element, role, or
+a class or id made of such words alone (``ad-banner``, but not ``ad-hoc``). The header
+of an article stays if it holds a heading.
 """
 
 from __future__ import annotations
@@ -44,15 +48,20 @@ BLOCKS = frozenset(
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: Elements, roles and words of class or id that aren't main text.
 DROPPED = frozenset("head script style textarea title xmp iframe noembed noframes noscript template nav header footer aside form button select option dialog menu object svg canvas audio video".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 WORDS = frozenset(
     "nav navbar navigation menu ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar footer header masthead cookie cookies consent gdpr notice notification popup modal overlay comment comments commentlist disqus respond share sharing social breadcrumb breadcrumbs related recommended newsletter subscribe subscription login signup search widget pagination pager skip".split()
 )
+#: Words that say nothing by themselves, beside those above in a class or id.
+NEUTRAL = frozenset(
+    "area bar block bottom box btn button buttons col container content form global group inner item items left link links list main page panel right section site slot sticky text thread top unit wrap wrapper".split()
+)
 START = re.compile(r"<(?:!--|/?[A-Za-z]|[!?])")
 NAME_END, COMMENT_END, SPECIAL = re.compile(r"[\s/>]"), re.compile(r"--\s*>"), re.compile("""[>"']""")
 TAIL = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-PART = re.compile(r"[a-z]+")
+PART = re.compile(r"[a-z]{2,}")
 
 
 class Tokens:
@@ -107,7 +116,9 @@ class Tokens:
         return found[bisect_left(places, at)]
 
 
-def _left_out(tag: str, attrs: str) -> bool:
+def _left_out(tag: str, attrs: str, named: bool = True) -> bool:
+    if not named:
+        return tag == "head" or tag in RAW
     if tag in DROPPED:
         return True
     if "=" in attrs or "hidden" in attrs:
@@ -115,7 +126,8 @@ def _left_out(tag: str, attrs: str) -> bool:
             name = m.group(1).lower()
             value = (m.group(2) or m.group(3) or m.group(4) or "").lower()
             if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-                if not WORDS.isdisjoint(PART.findall(value)):
+                parts = [set(PART.findall(name)) for name in value.split()]
+                if any(p & WORDS and p <= WORDS | NEUTRAL for p in parts):
                     return True
             elif name in ("class", "id") and "comment" in value and tag == "article":
                 return True
@@ -125,11 +137,15 @@ def _left_out(tag: str, attrs: str) -> bool:
 
 
 class Page:
-    """Blocks of a page: (path, text, in an article, in a main element); left-out parts are not among them."""
+    """Blocks of a page: (path, text, in an article, in a main element); left-out parts are not among them.
 
-    def __init__(self, source: str):
+    ``named``: whether elements are left out by their names, roles and classes too, or only what is never shown.
+    """
+
+    def __init__(self, source: str, named: bool = True):
         self.blocks: list[tuple[str, str, bool, bool]] = []
         stack: list[tuple[str, bool]] = []  # element, whether it is left out
+        headers: list[list] = []  # headers of articles that are open: depth, first block, whether a heading was met
         text: list[str] = []
         out = 0
         inside = {"article": 0, "main": 0}
@@ -144,6 +160,10 @@ class Page:
             nonlocal out
             tag, gone = stack.pop()
             out -= gone
+            if headers and headers[-1][0] > len(stack):
+                _, first, headed = headers.pop()
+                if not headed:
+                    del self.blocks[first:]
             if tag in inside:
                 inside[tag] -= 1
 
@@ -195,7 +215,13 @@ class Page:
                         self._close(stack, pop, t, {"table", "tbody", "thead", "tfoot"} | ({"tr"} if t != "tr" and tag != "tr" else set()))
                 elif tag == "body":
                     self._close(stack, pop, "head", set())
-            gone = _left_out(tag, attrs)
+            own = tag == "header" and inside["article"] > 0 and not out and named
+            gone = _left_out("div" if own else tag, attrs, named)
+            if own and not gone:
+                headers.append([len(stack) + 1, len(self.blocks), False])
+            elif headers and tag in HEADINGS and not out and not gone:
+                for h in headers:
+                    h[2] = True
             if tag in inside:
                 if not gone:  # an article ends elements left open before it
                     while stack and stack[-1][0] in ("nav", "aside", "header", "footer", "ul", "ol", "li", "p", "a") and out:
@@ -224,11 +250,11 @@ class Page:
 
 
 def main_text(slots: list[tuple[str, bool, bool]]) -> str:
-    """Slots (text, in an article, in a main element) in articles, in main elements if over twice as much, or all."""
-    article, main = [s for s in slots if s[1]], [s for s in slots if s[1] or s[2]]
+    """Slots (text, in an article, in a main element) in articles, or in main elements (all, if there are none) if over twice as much."""
     size = lambda own: sum(len(t) for t, _, _ in own)
-    whole = any(m for _, _, m in slots)
-    own = article if article and not (whole and size(main) > 2 * size(article)) else main if whole else article or slots
+    article = [s for s in slots if s[1]]
+    wider = [s for s in slots if s[1] or s[2]] if any(m for _, _, m in slots) else slots
+    own = wider if size(wider) > 2 * size(article) else article
     return "\n".join(t for t, _, _ in own)
 
 
@@ -284,46 +310,52 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)", 1))
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(pages: DataFrame, named: bool = True) -> DataFrame:
     """host and its classes' tokens (class, token, pages one after another), from all its pages (host, html); pages of equal blocks count once."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(4)]
+            cols: list[list] = [[] for _ in range(5)]
             for name, source in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                blocks = Page(source).blocks
+                blocks = Page(source, named).blocks
                 page = xxhash.xxh3_128_hexdigest("\x00".join(f"{path}\x00{text}" for path, text, _, _ in blocks))
                 seen = Counter(x for path, text, _, _ in blocks for x in ((key(path), False), (key(path, text), True)))
-                seen[PAGE, False] = 1
+                sizes = {key(path, text): len(text) for path, text, _, _ in blocks}
+                seen[PAGE, False], sizes[PAGE] = 1, sum(len(text) for _, text, _, _ in blocks)
                 for (token, is_text), n in seen.items():
                     vector = xxhash.xxh3_64_intdigest(f"{page}\x00{n}") >> 24  # summed: the fingerprint of an occurrence vector
-                    for col, v in zip(cols, (name, token, is_text, vector), strict=True):
+                    for col, v in zip(cols, (name, token, is_text, vector, sizes.get(token, 0) * n), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["host", "token", "is_text", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "is_text", "vector", "chars"])
 
     counted = checkpointed(
-        pages.select("host", "html").mapInArrow(tokens, "host string, token long, is_text boolean, vector long").distinct()
-        .groupBy("host", "token", "is_text").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"))
+        pages.select("host", "html").mapInArrow(tokens, "host string, token long, is_text boolean, vector long, chars long").distinct()
+        .groupBy("host", "token", "is_text").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"))
         .where(F.col("pages") >= SUPPORT)
     )
-    hosts = counted.groupBy("host").agg(F.max(F.when(F.col("token") == PAGE, F.col("pages"))).alias("of"), F.count(F.lit(1)).alias("cnt"))
+    hosts = counted.groupBy("host").agg(F.max(F.when(F.col("token") == PAGE, F.col("pages"))).alias("of"), F.max(F.when(F.col("token") == PAGE, F.col("chars"))).alias("total"), F.count(F.lit(1)).alias("cnt"))
     fit = joined(counted, hosts, "host", counted.count()).where(F.col("pages") * RARE >= F.col("of")).withColumn("class", F.xxhash64("vector", "pages"))
     # classes that hold a tag path or the page itself, and a text
-    own = fit.groupBy("host", "class").agg(F.bool_and("is_text").alias("loose"), F.bool_or("is_text").alias("told"), F.collect_set("token").alias("tokens"), F.max("pages").alias("pages"))
-    found = own.where("told and not loose").select("host", "class", F.explode("tokens").alias("token"), "pages").where(F.col("token") != PAGE)
+    own = fit.groupBy("host", "class").agg(F.bool_and("is_text").alias("loose"), F.bool_or("is_text").alias("told"), F.collect_set("token").alias("tokens"), F.max("pages").alias("pages"), F.sum(F.when(F.col("is_text"), F.col("chars"))).alias("chars"), F.max("total").alias("total"))
+    token = F.explode("tokens").alias("token")
+    by_class = own.where("told and not loose").select("host", F.array(F.struct("class", "pages", "tokens")).alias("own"), "chars", "total")
+    by_host = by_class.groupBy("host").agg(F.flatten(F.collect_list("own")).alias("own"), F.sum("chars").alias("chars"), F.max("total").alias("total"))
+    found = by_host.where("4 * chars <= 3 * total").select("host", F.explode("own").alias("own")).select("host", "own.class", "own.pages", "own.tokens")
+    found = found.select("host", "class", token, "pages").where(F.col("token") != PAGE)
     return found.groupBy("host").agg(F.flatten(F.collect_list(F.array("class", "token", "pages"))).alias("template"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, named: bool = True) -> DataFrame:
     """Every row and column of ``pages``, and last ``main_text`` (underscores appended if the name is taken).
 
     pages: url and html among other columns. Null html is empty, and so is the
     text where nothing remains; a null url is a host of its own name "". Repeated
     rows and copies under other urls stay rows, but are one page of their host's template.
+    Without ``named`` the template alone tells what is left out, not names of elements.
     """
     name, part, blocks, template, out = fresh(pages, "host", "part", "blocks", "template", "main_text")
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    known = templates(pages.select(host(F.col("url")).alias("host"), source.alias("html"))).withColumnsRenamed({"host": name, "template": template})
+    known = templates(pages.select(host(F.col("url")).alias("host"), source.alias("html")), named).withColumnsRenamed({"host": name, "template": template})
 
     @F.pandas_udf("tokens binary, flags binary, texts string")
     def blocks_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -331,7 +363,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for sources in batches:
             rows = []
             for s in sources:
-                own = Page(s).blocks
+                own = Page(s, named).blocks
                 tokens = np.array([k for path, t, _, _ in own for k in (key(path), key(path, t))], np.int64)
                 rows.append((tokens.tobytes(), bytes(a + 2 * m for _, _, a, m in own), "\n".join(t for _, t, _, _ in own)))
             yield pd.DataFrame(rows, columns=["tokens", "flags", "texts"])
