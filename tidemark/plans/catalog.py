@@ -13,7 +13,7 @@ from tidemark.functions import scalars as s
 from tidemark.functions import text as tx
 from tidemark.operators import clips, compare, delivery, dims, frames, immersive, kernels, levels, matching, rules
 from tidemark.plans import designs, measures, records, series, render
-from tidemark.plans.base import eighths
+from tidemark.plans.base import CYCLES, VECTORS, asked, asked_sql, cycles, eighths
 from tidemark.plans.sql import ORACLES
 from tidemark.sources import containers, signals
 
@@ -465,8 +465,8 @@ def compressor_makeup(spark, sf):
 
 @query
 def measure_clips(spark, sf):
-    """The measurement document of every clip of the signal catalogue."""
-    return clips.each_clip(signals.chunks(spark), clips.measure, clips.MEASURES)
+    """The measurement document of every clip."""
+    return clips.each_clip(cycles(spark, sf), clips.measure, clips.MEASURES)
 
 
 @query
@@ -475,12 +475,12 @@ def limit_true_peak(spark, sf):
         y, st = kernels.limit((x * 2).astype("float32"), rate, -1.0)
         return [{"clip_id": clip, **{k: st[k] for k in ("peak_gr_db", "avg_gr_db", "active", "trim_db", "true_peak_db", "ceiling_respected")}}]
 
-    return clips.each_clip(signals.chunks(spark, ["transient-train", "pink-noise", "clipped-source"]), run, "clip_id string, peak_gr_db double, avg_gr_db double, active double, trim_db double, true_peak_db double, ceiling_respected boolean")
+    return clips.each_clip(cycles(spark, sf), run, "clip_id string, peak_gr_db double, avg_gr_db double, active double, trim_db double, true_peak_db double, ceiling_respected boolean")
 
 
 @query
 def render_report(spark, sf):
-    return render.render(signals.chunks(spark, ["pink-noise", "multitone"]), render.Job(target=-16.0))
+    return render.render(cycles(spark, sf), render.Job(target=-16.0))
 
 
 @query
@@ -489,7 +489,7 @@ def fingerprint_fft(spark, sf):
         f = kernels.fingerprint(x, rate)
         return [{"clip_id": clip, "bands_db": f and f["bands_db"], "frames_used": f and f["frames_used"], "frames_rejected": f and f["frames_rejected"]}]
 
-    return clips.each_clip(signals.chunks(spark), run, "clip_id string, bands_db array<double>, frames_used int, frames_rejected int")
+    return clips.each_clip(cycles(spark, sf), run, "clip_id string, bands_db array<double>, frames_used int, frames_rejected int")
 
 
 @query
@@ -498,7 +498,7 @@ def resample(spark, sf):
         y = kernels.resample(x, rate, 44_100)
         return [{"clip_id": clip, "n_frames": y.shape[1], "peak": float(abs(y).max())}]
 
-    return clips.each_clip(signals.chunks(spark, ["sine-1k", "sine-sweep"]), run, "clip_id string, n_frames bigint, peak double")
+    return clips.each_clip(cycles(spark, sf), run, "clip_id string, n_frames bigint, peak double")
 
 
 @query
@@ -506,7 +506,7 @@ def dither_tpdf(spark, sf):
     def run(clip, x, rate):
         return [{"clip_id": clip, "mode": m, "error_db": kernels.to_db(float(((kernels.dither(x, m, 16, 7) - x) ** 2).mean() ** 0.5))} for m in ("none", "tpdf", "shaped")]
 
-    return clips.each_clip(signals.chunks(spark, ["sine-1k"]), run, "clip_id string, mode string, error_db double")
+    return clips.each_clip(cycles(spark, sf), run, "clip_id string, mode string, error_db double")
 
 
 @query
@@ -515,7 +515,7 @@ def shape_transients(spark, sf):
         y = kernels.shape_transients(x, rate, 60, -20)
         return [{"clip_id": clip, "peak_before": float(abs(x).max()), "peak_after": float(abs(y).max())}]
 
-    return clips.each_clip(signals.chunks(spark, ["transient-train", "bass-60"]), run, "clip_id string, peak_before double, peak_after double")
+    return clips.each_clip(cycles(spark, sf), run, "clip_id string, peak_before double, peak_after double")
 
 
 @query
@@ -523,18 +523,18 @@ def spatial_profiles(spark, sf):
     def run(clip, x, rate):
         return [{"clip_id": clip, **kernels.spatial_profile(x[0], x[1], rate)}]
 
-    return clips.each_clip(signals.chunks(spark, ["pink-noise", "correlated", "anti-correlated"]), run, "clip_id string, brightness_air_db double, centre_dominance double, width double, bass_coherence double, ambient_ratio double, onsets_per_s double")
+    return clips.each_clip(cycles(spark, sf), run, "clip_id string, brightness_air_db double, centre_dominance double, width double, bass_coherence double, ambient_ratio double, onsets_per_s double")
 
 
 @query
 def inspect_containers(spark, sf):
-    """A file of every catalogue clip, written and inspected again: chunk rows."""
+    """A file of every clip, written and inspected again: chunk rows."""
     def run(clip, x, rate):
         raw = containers.write_wav(x, rate, 24)
         found = containers.inspect(raw)
-        return [{"clip_id": clip, "idx": i, "id": ch["id"], "offset": ch["offset"], "size": ch["size"], "errors": len(found["errors"]), "sniffed_rate": containers.sniff_rate(raw)} for i, ch in enumerate(found["chunks"])]
+        return [{"clip_id": clip, "idx": i, "id": ch["id"], "starts_at": ch["offset"], "size": ch["size"], "errors": len(found["errors"]), "sniffed_rate": containers.sniff_rate(raw)} for i, ch in enumerate(found["chunks"])]
 
-    return clips.each_clip(signals.chunks(spark), run, "clip_id string, idx int, id string, offset bigint, size bigint, errors int, sniffed_rate int")
+    return clips.each_clip(cycles(spark, sf), run, "clip_id string, idx int, id string, starts_at bigint, size bigint, errors int, sniffed_rate int")
 
 
 @query
@@ -543,13 +543,13 @@ def speaker_feeds(spark, sf):
     def run(clip, x, rate):
         return [{"clip_id": clip, "layout_id": lay, "channel": i, "speaker_id": sp, "rms": float((feed**2).mean() ** 0.5)} for lay in dims.LAYOUTS for i, (sp, feed) in enumerate(immersive.feeds(x, rate, dims.LAYOUTS[lay].split()).items())]
 
-    return clips.each_clip(signals.chunks(spark, ["pink-noise"]), run, "clip_id string, layout_id string, channel int, speaker_id string, rms double")
+    return clips.each_clip(cycles(spark, sf), run, "clip_id string, layout_id string, channel int, speaker_id string, rms double")
 
 
 @query
 def identify_channels(spark, sf):
     """Which tone each channel of the identification signal carries, with a runner-up ratio, and its beeps."""
-    rows = spark.createDataFrame([(n,) for n in (2, 6, 8)], "n int").repartition(3, "n")
+    rows = table(spark, sf, "part").select((2 + c("p_size") % 7).cast("int").alias("n")).distinct().repartition(7)
 
     def run(batches):
         for b in batches:
@@ -560,23 +560,23 @@ def identify_channels(spark, sf):
 
 @query
 def crossover_response(spark, sf):
-    """Worst deviation of the three-band tree's sum from flat, over 512 frequencies, by rate."""
+    """Worst deviation of the three-band tree's sum from flat, by rate, over the frequencies that the parts ask for."""
     from tidemark.functions import design
 
-    rates = spark.createDataFrame([(x,) for x in (44100, 48000, 96000)], "rate int")
+    k = c("p_partkey")
+    rate = F.element_at(F.array(*map(F.lit, (44_100, 48_000, 96_000))), (k % 3 + 1).cast("int"))
+    asked_for = table(spark, sf, "part").select(rate.alias("rate"), (20 * F.pow(F.lit(1000.0), F.pmod(k, F.lit(512)) / 511)).alias("hz"))
 
     def run(batches):
         for b in batches:
-            rows = []
-            for rate in b["rate"]:
-                f = np.geomspace(20, 20_000, 512)
-                bands = design.crossover(140, 3200, rate)
-                total = sum(design.response(bands[k], f, rate) for k in ("low", "mid", "high"))
-                db = 20 * np.log10(np.abs(total))
-                rows.append((rate, float(np.abs(db).max()), float(f[np.abs(db).argmax()])))
-            yield pd.DataFrame(rows, columns=["rate", "worst_db", "worst_hz"])
+            for rate, own in b.groupby("rate"):
+                f = own["hz"].to_numpy()
+                bands = design.crossover(140, 3200, int(rate))
+                db = 20 * np.log10(np.abs(sum(design.response(bands[k], f, int(rate)) for k in ("low", "mid", "high"))))
+                yield pd.DataFrame({"rate": own["rate"].to_numpy(), "hz": f, "db": np.abs(db)})
 
-    return rates.mapInPandas(run, "rate int, worst_db double, worst_hz double")
+    each = asked_for.mapInPandas(run, "rate int, hz double, db double")
+    return each.groupBy("rate").agg(F.max("db").alias("worst_db"), F.max_by("hz", "db").alias("worst_hz"))
 
 
 @query
@@ -607,3 +607,26 @@ def requires_stereo(spark, sf):
     zero = F.lit(0.0)
     p = table(spark, sf, "part").select("p_partkey", (k % 3).alias("width"), F.when(k % 5 > 2, 5.0).otherwise(0.0).alias("haas"), (k % 7 == 0).alias("binaural"), *(zero.alias(x) for x in ("ms", "bassMono", "crossfeed", "phaseRot", "spread", "depth", "tape")), *(F.lit(1.0).alias(x) for x in ("widthLow", "widthMid", "widthHigh")))
     return p.select("p_partkey", rules.requires_stereo().alias("stereo"))
+
+
+ORACLES["inspect_containers"] = f"""
+WITH e AS (SELECT 'clip-' || (vec_id // {VECTORS}) AS clip_id, CAST(sum(len(embedding)) * {CYCLES} AS BIGINT) AS frames FROM embeddings GROUP BY 1)
+SELECT clip_id, idx, id, at AS starts_at, CASE WHEN idx = 0 THEN 16 ELSE frames * 6 END AS size, 0 AS errors, 48000 AS sniffed_rate
+FROM e, (VALUES (0, 'fmt ', 12), (1, 'data', 36)) AS t(idx, id, at)"""
+
+
+def _for_each_part(name: str, key: str, names: list[str]) -> None:
+    """Binds a query on fixed tables to the parts: each asks for the rows of one name."""
+    of = QUERIES[name]
+    QUERIES[name] = lambda spark, sf: asked(spark, sf, key, names).join(of(spark, sf), key)
+    ORACLES[name] = asked_sql(ORACLES[name], key, names)
+
+
+_SPEAKER_IDS = sorted({sp for own in dims.LAYOUTS.values() for sp in own.split()} | {f"V{k + 1}" for k in range(24)})
+for _name in ("layout_report", "wav_channel_order", "channel_map_texts", "channel_map_records"):
+    _for_each_part(_name, "layout_id", [*dims.LAYOUTS, "venue"])
+for _name in ("audition_groups", "speaker_placements"):
+    _for_each_part(_name, "speaker_id", _SPEAKER_IDS)
+_for_each_part("preview_divergences", "key", ["ceiling", "transAttack", "transSustain", "dither"])
+_for_each_part("delivery_sidecars", "profile_id", ["stereo-distribution", "film-video", "high-res-archive", "bed-714", "venue-204", "adm-ingest"])
+_for_each_part("generated_signals", "clip_id", measures._CLIPS)

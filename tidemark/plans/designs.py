@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import design
 from tidemark.operators import adm, dims, immersive, kernels
-from tidemark.plans.base import Registry, r, rs, table, values
+from tidemark.plans.base import Registry, asked, r, rs, table, values
 from tidemark.sources import containers
 
 query = Registry()
@@ -467,18 +467,21 @@ def adm_id_problems(spark, sf):
 
 @query(f"""
 WITH l AS (SELECT * FROM {values([(k, len(v.split()), sum(x == "LFE" for x in v.split())) for k, v in dims.LAYOUTS.items()], "layout_id, n, n_lfe")})
-SELECT layout_id, n, n_lfe AS n_limits, 0 AS n_errors, 4 + 5 * n AS n_ids FROM l""")
+SELECT p_partkey, layout_id, n, n_lfe AS n_limits, 0 AS n_errors, 4 + 5 * n AS n_ids
+FROM l JOIN (SELECT p_partkey, {list(dims.LAYOUTS)}[1 + p_partkey % {len(dims.LAYOUTS)}] AS layout_id FROM part) USING (layout_id)""")
 def adm_documents(spark, sf):
-    """The XML of every standard layout: its channels, its low-pass limits, what breaks a rule (nothing), and its ids."""
+    """The XML that each part asks for, of its layout, name and length: its channels, low-pass limits, what breaks a rule (nothing), and ids."""
     beds = dims.layout_channels(spark).where("standard or layout_id = '9.1.6'").join(dims.speakers(spark), "speaker_id").where("layout_id <> 'venue'")
     own = beds.groupBy("layout_id").agg(F.sort_array(F.collect_list(F.struct("pos", "speaker_id", "adm_label", "azimuth_adm", "elevation", "lfe"))).alias("speakers"))
+    programmes = table(spark, sf, "part").select("p_partkey", "p_name", (c("p_size") + 0.5).alias("seconds"))
+    own = programmes.join(asked(spark, sf, "layout_id", list(dims.LAYOUTS)), "p_partkey").join(own, "layout_id")
 
     def fn(pdf):
         rows = []
-        for name, speakers in zip(pdf["layout_id"], pdf["speakers"], strict=True):
-            xml = adm.build([dict(x) for x in speakers], 48_000, 24, 61.5, name)
+        for key, name, title, seconds, speakers in zip(*(pdf[x] for x in ("p_partkey", "layout_id", "p_name", "seconds", "speakers")), strict=True):
+            xml = adm.build([dict(x) for x in speakers], 48_000, 24, seconds, title)
             wrong = [x for x in adm.validate(xml, 48_000, 24, [adm.ids(i + 1)["uid"] for i in range(len(speakers))]) if x[0] == "error"]
-            rows.append((name, len(speakers), xml.count("<frequency"), len(wrong), len(re.findall(r' audio\w+ID="| UID="', xml))))
-        return pd.DataFrame(rows, columns=["layout_id", "n", "n_limits", "n_errors", "n_ids"])
+            rows.append((key, name, len(speakers), xml.count("<frequency"), len(wrong), len(re.findall(r' audio\w+ID="| UID="', xml))))
+        return pd.DataFrame(rows, columns=["p_partkey", "layout_id", "n", "n_limits", "n_errors", "n_ids"])
 
-    return _over(own, ["layout_id"], "layout_id string, n long, n_limits long, n_errors int, n_ids long", fn)
+    return _over(own, ["p_partkey"], "p_partkey long, layout_id string, n long, n_limits long, n_errors int, n_ids long", fn)
