@@ -136,7 +136,9 @@ def eased(key: str, action: str, share: float) -> Column:
     v = F.col(key)
     if action == "held":
         return F.greatest(v, percent(F.col(f"__{key}"), share))
-    return {"set": F.lit(share), "percent": percent(v, share), "signed": percent(v, share, -100.0), "toward1": 1 + (v - 1) * share, "times": v * share}[action]
+    if action in ("percent", "signed"):
+        return percent(v, share, -100.0 if action == "signed" else 0.0)
+    return F.lit(share) if action == "set" else v * share if action == "times" else 1 + (v - 1) * share
 
 
 def adapt(rows: DataFrame) -> DataFrame:
@@ -147,20 +149,24 @@ def adapt(rows: DataFrame) -> DataFrame:
     without any statistic stay as they are.
     """
     e = Edits(rows.withColumn("__mbLow", F.col("mbLow")))
-    section = "1"
-    for at, name, keys, guard, action, why in (line.split(" ", 5) for line in EASINGS.strip().splitlines()):
-        if at != section:
-            e.done()
-            section = at
-        kind, share = action.split(":")
-        for key in keys.split(","):
-            v, bound = F.col(key), float(guard.lstrip("<>!="))
-            stands = v > bound if guard[0] == ">" else v < bound if guard[0] == "<" else v != bound
-            value = eased(key, kind, float(share))
-            moves = value != v if kind == "held" else F.lit(True)
-            e.put(key, easing_conditions()[name] & stands & moves, value, why)
-    e.done()
-    return e.rows.withColumn("source_class", source_class()).drop("__mbLow")
+    held = ["__mbLow"]
+    lines = [line.split(" ", 5) for line in EASINGS.strip().splitlines()]
+    for section in sorted({line[0] for line in lines}):
+        own = [line[1:] for line in lines if line[0] == section]
+        conditions = easing_conditions()
+        flags = {f"__{section}_{name}": conditions[name] for name in dict.fromkeys(line[0] for line in own)}  # worked out once, as columns
+        e.rows = e.rows.withColumns(flags)
+        held += flags
+        for name, keys, guard, action, why in own:
+            kind, share = action.split(":")
+            for key in keys.split(","):
+                v, bound = F.col(key), float(guard.lstrip("<>!="))
+                stands = v > bound if guard[0] == ">" else v < bound if guard[0] == "<" else v != bound
+                value = eased(key, kind, float(share))
+                moves = F.col(f"__{section}_{name}") & stands
+                e.put(key, moves & (value != v) if kind == "held" else moves, value, why)
+        e.done()
+    return e.rows.withColumn("source_class", source_class()).drop(*held)
 
 
 def reach(frequency: Column) -> Column:

@@ -611,8 +611,8 @@ def requires_stereo(spark, sf):
 
 ORACLES["inspect_containers"] = f"""
 WITH e AS (SELECT 'clip-' || (vec_id // {VECTORS}) AS clip_id, CAST(sum(len(embedding)) * {CYCLES} AS BIGINT) AS frames FROM embeddings GROUP BY 1)
-SELECT clip_id, idx, id, at AS starts_at, CASE WHEN idx = 0 THEN 16 ELSE frames * 6 END AS size, 0 AS errors, 48000 AS sniffed_rate
-FROM e, (VALUES (0, 'fmt ', 12), (1, 'data', 36)) AS t(idx, id, at)"""
+SELECT clip_id, idx, id, starts_at, CASE WHEN idx = 0 THEN 16 ELSE frames * 6 END AS size, 0 AS errors, 48000 AS sniffed_rate
+FROM e, (VALUES (0, 'fmt ', 12), (1, 'data', 36)) AS t(idx, id, starts_at)"""
 
 
 def _for_each_part(name: str, key: str, names: list[str]) -> None:

@@ -475,6 +475,7 @@ def adm_documents(spark, sf):
     own = beds.groupBy("layout_id").agg(F.sort_array(F.collect_list(F.struct("pos", "speaker_id", "adm_label", "azimuth_adm", "elevation", "lfe"))).alias("speakers"))
     programmes = table(spark, sf, "part").select("p_partkey", "p_name", (c("p_size") + 0.5).alias("seconds"))
     own = programmes.join(asked(spark, sf, "layout_id", list(dims.LAYOUTS)), "p_partkey").join(own, "layout_id")
+    own = own.repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # small rows, long work
 
     def fn(pdf):
         rows = []
