@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -87,6 +90,29 @@ def test_payloads_of_pages(spark, tmp_path):
     assert out[2].headers == {"etag": out[1].headers["etag"], "date": "2", "content-type": "text/html"}
 
 
+def test_payloads_of_a_whole_table(spark):
+    """Every page of a given table against a replay of the crawl in order, in plain Python."""
+    pages = sorted((r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect())
+
+    def canonical(url):
+        url = re.sub("^[A-Za-z][A-Za-z0-9+.-]*://", "", url.strip().split("#")[0])
+        host, rest = re.match("([^/?]*)(.*)", url, re.S).groups()
+        rest = re.sub("([?&])((utm_[a-z]*|ref|fbclid|gclid)=[^&]*(&|$))+", r"\1", rest)
+        return re.sub(":(80|443)$", "", re.sub("^www[.]", "", host.lower())) + re.sub("/$", "", re.sub("[?&]+$", "", rest))
+
+    latest, want = {}, {}
+    for k, url, html in pages:
+        etag = '"' + hashlib.md5(html.encode()).hexdigest() + '"'
+        own, before = {"etag": etag, "date": str(k), "content-length": "0"}, latest.get(canonical(url))
+        if before and before[1] == etag:
+            want[k] = ("resolved", before[0], {"etag": etag, "date": str(k), "content-type": "text/html"}, before[2])
+        else:
+            want[k] = ("changed" if before else "unresolved", None, own, None)
+        latest[canonical(url)] = (k, etag, html)
+    got = {r.page_id: (r.outcome, r.source_page_id, r.headers, r.payload) for r in op10_revisit_payloads(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and len({w[0] for w in want.values()}) > 1
+
+
 def test_null_and_wrong_times_leave_a_hot_url_spread(spark):
     times = [*range(400), *[warc.NO_TIME] * 2, -(10**14), 10**15]
     rows = [(i, "hot.example/", t, i % 3 == 0, str(i)) for i, t in enumerate(times)]
