@@ -1,7 +1,10 @@
 import math
 import random
+import time
 
 import pytest
+from tidemark.llm import common
+from tidemark.llm import components as cc
 from tidemark.llm import lshforest as lf
 from tidemark.llm.components import components
 from tidemark.llm.queries import op2_ngram_jaccard_join
@@ -125,3 +128,48 @@ def test_chain_and_hub(spark):
     hub = spark.range(1, 5001).selectExpr("20000L as u", "20000 + id as v")
     got = {r.root: r.n for r in components(chain.unionAll(hub)).groupBy("root").agg({"node": "count"}).withColumnRenamed("count(node)", "n").collect()}
     assert got == {0: n, 20_000: 5001}
+
+
+def test_few_edges_leave_few_files(spark, monkeypatch):
+    """Each task of a shuffle leaves three files: a few hundred edges need no task for each shuffle partition."""
+    pairs = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(16)
+    for size in (1 << 16, 100):
+        monkeypatch.setattr(cc, "EDGES", size)
+        out = cc.components(edges)
+        assert out.rdd.getNumPartitions() <= 2 * max(1, -(-len(pairs) // size))
+        assert {r.node: r.root for r in out.collect()} == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1200), 1000)}
+
+
+def test_among(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_BITS", 1 << 17)
+    rows = spark.range(5000).selectExpr("if(id % 7 = 0, null, id) as a", "id % 3 as bits", "cast(id as string) as t")
+    keys = spark.createDataFrame([(i, i % 3) for i in range(0, 5000, 50)] + [(None, 0)], "a long, bits long")
+    some, others = common.among(rows, keys, ["a", "bits"])
+    got = [[tuple(r) for r in df.collect()] for df in (some, others)]
+    assert some.columns == others.columns == rows.columns
+    assert sorted(got[0] + got[1], key=str) == sorted((tuple(r) for r in rows.collect()), key=str)
+    wanted = {(i, i % 3) for i in range(0, 5000, 50) if i % 7} | {(None, 0)}
+    assert wanted <= {r[:2] for r in got[0]} and len(got[0]) < 1000
+    some, others = common.among(rows, keys.where("false"), ["a", "bits"])
+    assert some.count() == 0 and others.count() == 5000
+
+
+def written(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_texts_without_copies_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.randrange(10**9):x}" for _ in range(3000))) for i in range(300)]
+    rows += [(400, rows[0][1]), (7, rows[7][1]), (401, rows[1][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    time.sleep(1)
+    before = written(spark)
+    lf.one_of_each(docs).write.parquet(f"{tmp_path}/out")
+    time.sleep(1)
+    assert written(spark) - before < 0.5 * sum(len(t) for _, t in rows)
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(300))

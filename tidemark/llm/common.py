@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id where ids have to be ordered: before every other id.
 NULL_ID = -(2**63)
+#: Bits of the map that tells rows apart by a table of keys.
+KEY_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +80,23 @@ def joined(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str =
     return light.unionByName(told.where("is_large").drop("is_large"))
 
 
+def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have one of the keys, and rows that have none; both stay where they are.
+
+    A bitmap of fixed size (2 MB, ``KEY_BITS``) of the keys is broadcast, so that a
+    join that few of the rows take part in need not shuffle the others. Every row is in
+    one of the two. ``keys`` is read here and again by the join: it should be stored.
+    """
+    names = fresh(rows, "bucket", "place", "bits")
+    bucket, place, bits = names
+    told = lambda df: df.withColumn(place, F.pmod(F.xxhash64(*on), F.lit(KEY_BITS)) + 1).withColumns({bucket: F.bitmap_bucket_number(place), place: F.bitmap_bit_position(place)})
+    maps = told(keys.select(*on)).groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bits))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    is_set = F.coalesce(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1, F.lit(False))
+    met = told(rows).join(F.broadcast(maps), bucket, "left")
+    return met.where(is_set).select(*rows.columns), met.where(~is_set).select(*rows.columns)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Batches re-cut so that each holds about ``most_bytes`` or a single row.
 

@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpointed, partitions
 
 
+#: Edges for each task: less are not worth its files.
+EDGES = 1 << 16
+
+
+def fitted(rows: DataFrame, n: int) -> DataFrame:
+    """As many partitions as ``n`` rows need, at most as many as there are."""
+    return rows.coalesce(max(1, -(-n // EDGES)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for edges (u, v) of any orderable type.
 
     Alternates large-star and small-star rounds until a round changes nothing;
     roots themselves are listed too. Each round is checkpointed, so that a lost
-    executor costs one round.
+    executor costs one round. Tasks are as many as the edges need, since each leaves
+    three files in a shuffle, however few its rows.
     """
     now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     state, was = _state(now), None
     while state[0] and state != was:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = fitted(now, state[0]).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         large = with_least(both, 2 * state[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("of"))
-        large = large.where("u > of").select("u", "v").distinct()
+        large = fitted(large.where("u > of").select("u", "v").distinct(), state[0])
         small = with_least(large, state[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = checkpointed(small.where("u > v").distinct())
+        now = checkpointed(fitted(small.where("u > v").distinct(), state[0]))
         was, state = state, _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -39,7 +49,7 @@ def with_least(rows: DataFrame, total: int) -> DataFrame:
     hubs = low.where(F.col("n") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m"))
     told = rows.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
     light = told.where("hub is null").select("u", "v").join(low.where(F.col("n") <= most).select("u", "m"), "u")
-    return light.unionAll(told.where("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
+    return fitted(light.unionAll(told.where("hub is not null").select("u", "v", F.col("hub_m").alias("m"))), total)
 
 
 def _state(edges: DataFrame) -> tuple:

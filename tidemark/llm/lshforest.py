@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, checkpointed, fresh, joined, partitions
+from tidemark.llm.common import NULL_ID, among, checkpointed, fresh, joined, partitions
 from tidemark.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -163,13 +163,13 @@ def trie_nodes(entries: DataFrame, total: int, shortest: int, deepest: int, simi
     entries: ``total`` rows of doc, tie, key (tree and shortest prefix), tail (further values).
     Pairs of a node count if one of the two is asked. Nodes of one text don't come.
     """
-    many = joined(entries, entries.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"), "key", total)
-    cold = many.where(F.col("cnt") <= BLOCK).select(F.col("key").alias("node"), "cnt", F.lit(True).alias("asked"), "doc", "tie")
-    if deepest == shortest:
-        return cold.unionByName(many.where(F.col("cnt") > BLOCK).select(F.col("key").alias("node"), "cnt", F.lit(True).alias("asked"), "doc", "tie"))
-    hot = checkpointed(many.where(F.col("cnt") > BLOCK))  # crowded nodes only: the trie is descended until they aren't
-    if not hot.take(1):
-        return cold
+    counts = checkpointed(entries.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"))
+    crowded = counts.where(F.col("cnt") > BLOCK)
+    whole = lambda rows: rows.select(F.col("key").alias("node"), "cnt", F.lit(True).alias("asked"), "doc", "tie")
+    if deepest == shortest or not crowded.take(1):
+        return whole(joined(entries, counts, "key", total))
+    cold = whole(joined(entries, counts.where(F.col("cnt") <= BLOCK), "key", total))
+    hot = checkpointed(joined(among(entries, crowded, ["key"])[0], crowded, "key", total))  # crowded nodes only: the trie is descended until they aren't
     found, left = [], hot.select("doc", "tie", "key", "tail")
     for d in range(shortest + 1, deepest + 1):
         prefix = F.shiftrightunsigned("tail", BITS * (deepest - d))
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, trees: int = TREE
     found = components(edges.select(*pair())).select("node.doc", "node.tie", F.xxhash64("root.doc", "root.tie").alias("cluster"))
     clusters = checkpointed(found.join(classes.select("doc", "tie", "rows", "n"), ["doc", "tie"]))
     n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks")
-    members = joined(clusters, clusters.groupBy("cluster").agg(n_blocks, F.count(F.lit(1)).alias("cnt")), "cluster", n_classes).join(rows, ["doc", "tie"])
+    members = joined(clusters, clusters.groupBy("cluster").agg(n_blocks, F.count(F.lit(1)).alias("cnt")), "cluster", n_classes).join(among(rows, clusters, ["doc", "tie"])[0], ["doc", "tie"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -359,8 +359,12 @@ def linked(sets: list[np.ndarray], similar: float) -> np.ndarray:
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Rows that are the smallest of their group, columns as they came; of rows that repeat id and text one stays."""
-    doc, tie = fresh(docs, "doc", "tie")
-    found = near_duplicates(docs, similar).where("doc = root_doc and tie = root_tie").select(F.col("doc").alias(doc), F.col("tie").alias(tie)).distinct()
+    doc, tie, n, keep = fresh(docs, "doc", "tie", "n", "keep")
+    kept = F.expr("doc = root_doc and tie = root_tie")
+    found = near_duplicates(docs, similar).groupBy(F.col("doc").alias(doc), F.col("tie").alias(tie)).agg(F.first(kept).alias(keep), F.count(F.lit(1)).alias(n))
+    odd = checkpointed(found.where(~F.col(keep) | (F.col(n) > 1)).select(doc, tie, keep))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), tie: tie_of(text)})
-    return own.join(found, [doc, tie]).dropDuplicates([doc, tie]).select(*docs.columns)
+    some, others = among(own, odd, [doc, tie])  # rows that stay, and are no one's repetition, aren't shuffled
+    some = some.join(odd, [doc, tie], "left").where(F.coalesce(keep, F.lit(True))).dropDuplicates([doc, tie])
+    return some.select(*docs.columns).unionByName(others.select(*docs.columns))
