@@ -134,3 +134,22 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, pii string, terms string, doc string, tie int")
     out = pii.sanitise(df)
     assert out.columns == [*df.columns, "pii_"] and [tuple(r)[:6] for r in out.collect()] == rows
+
+
+def written(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_texts_without_terms_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(str(rng.randrange(10**9)) for _ in range(2000)) + " some plain words") for i in range(300)]
+    rows += [(900 + i, f"the codename Nightjar{'x' * (i % 2)} writes to agent@secret.example about thing{'q' * i}") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    time.sleep(1)
+    before = written(spark)
+    op9_pii_sanitisation(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    time.sleep(1)
+    assert written(spark) - before < 0.3 * sum(len(t) for _, t in rows)
+    out = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(out) == len(rows) and "term:" in out[900].spans and out[0].spans == ""

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, checkpointed, fresh
+from tidemark.llm.common import NULL_ID, among, checkpointed, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, BITS = 8, 1 << 22
@@ -268,7 +268,7 @@ def sanitise(docs: DataFrame, alpha: float = 0.8, z: float = 1.96, with_text: bo
     ``with_text``). Repeated rows get the same result; rows whose doc_id repeats
     are told apart by their texts.
     """
-    terms = _asked(docs, checkpointed(disclosing(docs, alpha, z)))
+    terms = checkpointed(_asked(docs, checkpointed(disclosing(docs, alpha, z))))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     @F.pandas_udf(RESULT)
@@ -278,11 +278,10 @@ def sanitise(docs: DataFrame, alpha: float = 0.8, z: float = 1.96, with_text: bo
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")])
 
     doc, tie, own, out = fresh(docs, "doc", "tie", "terms", "pii")
-    return (
-        docs.withColumns({doc: _long("doc_id"), tie: F.xxhash64(text)})
-        .join(terms.withColumnsRenamed({"doc": doc, "tie": tie, "terms": own}), [doc, tie], "left")
-        .withColumn(out, apply(text, own)).select(*docs.columns, out)
-    )
+    terms = terms.withColumnsRenamed({"doc": doc, "tie": tie, "terms": own})
+    some, others = among(docs.withColumns({doc: _long("doc_id"), tie: F.xxhash64(text)}), terms, [doc, tie])  # few texts hold terms: only these are shuffled
+    rows = some.join(terms, [doc, tie], "left").unionByName(others.withColumn(own, F.lit(None).cast("array<string>")))
+    return rows.withColumn(out, apply(text, own)).select(*docs.columns, out)
 
 
 def digest(spans: str) -> str:
