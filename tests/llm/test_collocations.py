@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -97,3 +98,35 @@ def test_phrase_counts(seq, longest):
 def test_cut(text, size):
     parts = list(co.cut(text.encode(), size))
     assert b"".join(parts) == text.encode() and all(p.endswith(b"\n") for p in parts[:-1])
+
+
+def written(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_rare_phrases_of_frequent_pairs_take_few_bytes(spark):
+    """All pairs of 60 words are frequent; the longer phrases are rare, but for those of four words that stay."""
+    rng = random.Random(5)
+    rows = [("en", " ".join(f"word{rng.randrange(60)}" for _ in range(1000)) + " four words that stay") for _ in range(300)]
+    df = spark.createDataFrame([(t, g) for g, t in rows], "text string, lang string").repartition(3)
+    time.sleep(1)
+    before = written(spark)
+    counts, _ = co.counted(df, least=40, size=50_000)
+    got = {r.phrase: r.f for r in counts.where("size > 2").collect()}
+    time.sleep(1)
+    assert got["four words that stay"] == 300 and set(got) == {"four words that", "words that stay", "four words that stay"}
+    assert written(spark) - before < 25 * 300_000
+
+
+def test_blocks(spark, monkeypatch):
+    monkeypatch.setattr(co, "BLOCK", 50)
+    rows = corpus(3, 200)
+    df = spark.createDataFrame([(t, g) for g, t in rows], "text string, lang string")
+    assert sorted(tuple(r) for r in co.collocations(df.repartition(3), 4, 5, 50, 300).collect()) == plain(rows, 4, 5, 50)
+
+
+@given(st.lists(st.tuples(*[st.integers(0, 2**62)] * 3), max_size=30))
+def test_packed_columns(rows):
+    columns = np.array(rows, np.int64).reshape(-1, 3).T
+    assert (co._unpack(co._pack(*columns), 3) == columns).all()

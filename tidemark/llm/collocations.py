@@ -3,9 +3,11 @@
 Texts of a language become shards of about ``SHARD`` words, each with a word list of
 its own. A shard's suffix array is built by prefix doubling, the intervals of its
 common prefixes give the shard's count of every phrase, and counts of all shards are
-merged by key. A phrase can only be frequent if its parts are, so three rounds each
-break the shards further: at words that are rare in the whole table, then between
-words whose pair is rare, and only what is left has its longer phrases counted.
+merged by key. A phrase can only be frequent if its parts are, so each round breaks
+the shards further: at words that are rare in the whole table, then between words
+whose pair is rare; what is left is named by its pairs, so that neighbours are
+phrases of three words whose two pairs are both frequent, and so on. Shards send
+their pairs packed, in blocks by pair, and get back the frequent ones.
 Nothing is dropped by a shard's own counts, so all counts that come out are exact.
 """
 
@@ -21,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_slices
+from tidemark.llm.common import partitions, stored, text_slices
 
 #: Occurrences of a candidate, words of the longest one, rows for each language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a shard, bytes of text tokenised at once (cut between pieces), rows of a batch that is sent on.
 SHARD, PART, ROWS = 1 << 21, 4 << 20, 1 << 16
+#: Bytes of packed numbers whose pairs make a block, about.
+BLOCK = 16 << 20
 #: Parts in which the best of a language are found before they are ranked.
 SALTS = 64
 #: Bits of a word id for the place in a shard's word list (a text of 2**31 bytes has fewer different words), and for a task's shards.
@@ -156,77 +160,146 @@ def phrase_counts(seq: np.ndarray, shortest: int, longest: int) -> Iterator[tupl
         yield k, order[begin[full]], count[full]
 
 
-def _slices(arrays: list, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(arrays[0]), ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + ROWS]) for x in arrays], names=names)
-
-
 def without_rare_words(shards: DataFrame, known: DataFrame) -> DataFrame:
-    """shard, lang, ids, words, seq: the shards' runs of two ``known`` words and more, a piece's end (0) after each.
+    """shard, lang, ids, seq: the shards' runs of two ``known`` words and more, a piece's end (0) after each.
 
-    known: shard, found (list of place in the shard's list, id). Ids and words are those found, by id; seq numbers them from 1.
+    known: shard, found (list of place in the shard's list, id). Ids are those found, in order; seq numbers them from 1.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, lang, words, ids, found = (batch.column(k)[i] for k in range(5))
+                words = words.as_py()
                 at, id_ = (found.values.field(k).to_numpy() for k in (0, 1))
                 at, id_ = at[(o := np.argsort(id_))], id_[o]
-                new = np.zeros(len(words) + 1, np.int32)
+                new = np.zeros(words + 1, np.int32)
                 new[at + 1] = np.arange(1, len(at) + 1)
                 seq = new[_unzip(ids.as_py())]
                 seq = runs(seq, (seq[1:] > 0) & (seq[:-1] > 0))
-                row = [pa.array([shard.as_py()]), pa.array([lang.as_py()]), pa.array([id_], pa.list_(pa.int64())), pa.array([words.values.take(pa.array(at)).to_pylist()], pa.list_(pa.string())), pa.array([_zip(seq)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, names=["shard", "lang", "ids", "words", "seq"])
+                row = [pa.array([shard.as_py()]), pa.array([lang.as_py()]), pa.array([id_], pa.list_(pa.int64())), pa.array([_zip(seq)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["shard", "lang", "ids", "seq"])
 
-    rows = shards.join(known, "shard").select("shard", "lang", "words", "ids", "found")
-    return rows.mapInArrow(work, "shard long, lang string, ids array<long>, words array<string>, seq binary")
+    rows = shards.join(known, "shard").select("shard", "lang", F.size("words").alias("words"), "ids", "found")
+    return rows.mapInArrow(work, "shard long, lang string, ids array<long>, seq binary")
 
 
-def pairs(coded: DataFrame) -> DataFrame:
-    """shard, a, b, n: pairs of neighbours (word ids) of each shard."""
+def neighbours(coded: DataFrame, blocks: int) -> DataFrame:
+    """block, shard, lang, pairs (left, right, n as packed columns): each shard's different pairs of neighbours, dealt by pair."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seq, id_ = _unzip(batch.column(2)[i].as_py()), np.array(batch.column(1)[i].values)
-                for _, at, n in phrase_counts(seq, 2, 2):
-                    yield from _slices([np.full(len(at), batch.column(0)[i].as_py()), id_[seq[at] - 1], id_[seq[at + 1] - 1], n], ["shard", "a", "b", "n"])
+                shard, lang, ids, seq = (batch.column(k)[i] for k in range(4))
+                seq, id_ = _unzip(seq.as_py()), np.array(ids.values)
+                ((_, at, n),) = phrase_counts(seq, 2, 2)
+                left, right = id_[seq[at] - 1], id_[seq[at + 1] - 1]
+                mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                block = (((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(blocks)
+                order = np.lexsort((right, left, block))
+                left, right, n, block = left[order], right[order], n[order], block[order]
+                cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, np.int64)
+                packed = [_pack(left[x:y], right[x:y], n[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                row = [pa.array(block[cuts[:-1]].astype(np.int64)), pa.array([shard.as_py()] * len(packed), pa.int64()), pa.array([lang.as_py()] * len(packed), pa.string()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["block", "shard", "lang", "pairs"])
+
+    return coded.select("shard", "lang", "ids", "seq").mapInArrow(work, "block long, shard long, lang string, pairs binary")
+
 
-    return coded.select("shard", "ids", "seq").mapInArrow(work, "shard long, a long, b long, n long")
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, each as differences, the bytes of each significance together."""
+    both = np.stack([np.diff(c.astype("<i8"), prepend=0) for c in columns])
+    return zstandard.ZstdCompressor(level=3).compress(both.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes())
 
 
-def phrases(coded: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """lang, phrase, size, n of each shard, from 2 words on, all of whose pairs are frequent.
+def _unpack(blob: bytes, columns: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
+    return np.cumsum(raw.transpose(0, 2, 1).copy().view("<i8")[..., 0], axis=1)
 
-    frequent: shard, found (list of a, b).
+
+def frequent_pairs(dealt: DataFrame, least: int, parts: int) -> DataFrame:
+    """id, lang, left, right, f of each pair met ``least`` times in all shards, and shard, pairs: which of them a shard holds (left, right, id).
+
+    A frequent pair is one row, however many shards hold it. Rows of a block lie together; a pair has one block.
+    """
+
+    def told(block: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        each = [_unpack(p, 3) for _, _, p in rows]
+        left, right, n = np.concatenate(each, axis=1)
+        # ids of words and phrases differ by language, so that a pair has one language
+        (_, a), (other, b) = (np.unique(c, return_inverse=True) for c in (left, right))
+        _, first, which = np.unique(a * len(other) + b, return_index=True, return_inverse=True)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, which, n)
+        often = total >= least
+        new = np.cumsum(often) - 1 + (block << 32)
+        shard = np.repeat(np.arange(len(rows)), [e.shape[1] for e in each])
+        at = first[often]
+        langs = pa.array([r[1] for r in rows], pa.string()).take(pa.array(shard[at]))
+        none = lambda k, kind: pa.nulls(k, kind)
+        for x in range(0, len(at), ROWS):
+            k = at[x : x + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(new[often][x : x + ROWS]), langs.slice(x, len(k)), pa.array(left[k]), pa.array(right[k]), pa.array(total[often][x : x + ROWS]), none(len(k), pa.int64()), none(len(k), pa.binary())], names=NAMES)
+        a = 0  # of the block's pairs
+        for (own, _, _), e in zip(rows, each, strict=True):
+            mine = which[a : a + e.shape[1]]
+            keep = often[mine]
+            a += e.shape[1]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([*(none(1, k) for k in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())), pa.array([own]), pa.array([_pack(e[0][keep], e[1][keep], new[mine[keep]])], pa.binary())], names=NAMES)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for block, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if held and block != last:
+                    yield from told(last, held)
+                    held = []
+                held.append(tuple(row))
+                last = block
+        if held:
+            yield from told(last, held)
+
+    return dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(work, "id long, lang string, left long, right long, f long, shard long, pairs binary")
+
+
+NAMES = ["id", "lang", "left", "right", "f", "shard", "pairs"]
+
+
+def named(coded: DataFrame, found: DataFrame) -> DataFrame:
+    """shard, lang, ids, seq: runs of two frequent pairs and more, each place named by the pair that begins there (0 after each run).
+
+    found: shard, found (list of packed left, right, id).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, ids, words, seq, found = (batch.column(k)[i] for k in range(5))
+                shard, lang, ids, seq, found = (batch.column(k)[i] for k in range(5))
                 seq, id_ = _unzip(seq.as_py()), np.array(ids.values)
-                a, b = (np.searchsorted(id_, found.values.field(k).to_numpy()) + 1 for k in (0, 1))
+                left, right, new = np.concatenate([_unpack(x, 3) for x in found.as_py()], axis=1)
                 wide = len(id_) + 1
-                broken = runs(seq, np.isin(seq[:-1].astype(np.int64) * wide + seq[1:], a * wide + b))
-                word = words.values.to_pylist()
-                for k, first, n in phrase_counts(broken, 2, longest):
-                    for s in range(0, len(first), ROWS):
-                        part = first[s : s + ROWS]
-                        said = zip(*([word[x] for x in (broken[part + j] - 1).tolist()] for j in range(k)), strict=True)
-                        cols = [pa.array([lang.as_py()] * len(part)), pa.array(list(map(" ".join, said)), pa.string()), pa.array(np.full(len(part), k, np.int32)), pa.array(n[s : s + ROWS])]
-                        yield pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "size", "n"])
+                pair = (np.searchsorted(id_, left) + 1) * wide + np.searchsorted(id_, right) + 1
+                order = np.argsort(new)
+                number = np.empty(len(new), np.int32)
+                number[order] = np.arange(1, len(new) + 1)
+                by = np.argsort(pair)
+                pair, number = pair[by], number[by]
+                here = seq[:-1].astype(np.int64) * wide + seq[1:]
+                at = np.minimum(np.searchsorted(pair, here), len(pair) - 1)
+                seq = np.where(pair[at] == here, number[at], 0).astype(np.int32)
+                seq = runs(seq, (seq[1:] > 0) & (seq[:-1] > 0))
+                row = [pa.array([shard.as_py()]), pa.array([lang.as_py()]), pa.array([new[order]], pa.list_(pa.int64())), pa.array([_zip(seq)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["shard", "lang", "ids", "seq"])
 
-    rows = coded.join(frequent, "shard").select("lang", "ids", "words", "seq", "found")
-    return rows.mapInArrow(work, "lang string, phrase string, size int, n long")
+    rows = coded.join(found, "shard").select("shard", "lang", "ids", "seq", "found")
+    return rows.mapInArrow(work, "shard long, lang string, ids array<long>, seq binary")
 
 
 def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words with ``least`` occurrences (lang, phrase, size, f), and each language's words (lang, n).
 
-    A word or phrase is one row for each shard at most, however often it occurs.
+    A word is one row for each shard at most, however often it occurs, a frequent phrase one row in all.
     """
     shards = stored(sharded(docs, size))
     every = shards.select("lang", "shard", F.posexplode(F.arrays_zip("words", "n")).alias("at", "w")).select("lang", "shard", "at", F.col("w.words").alias("word"), F.col("w.n").alias("n"))
@@ -234,10 +307,20 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: i
     own, same = F.shiftleft("shard", PLACE).bitwiseOR(F.col("at").cast("long")), Window.partitionBy("lang", "word")
     words = stored(every.withColumns({"f": F.sum("n").over(same), "id": F.min(own).over(same)}).where(F.col("f") >= least).drop("n"))
     coded = stored(without_rare_words(shards, words.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))))
-    both = pairs(coded).withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least)
-    frequent = both.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    longer = phrases(coded, frequent, longest).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return stored(words.where(F.col("id") == own).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f").unionByName(longer)), totals
+    parts = partitions(docs.sparkSession)
+    # phrases of k words: id, lang, phrase, last (its last word), f
+    level = words.where(F.col("id") == own).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
+    done = level.select("lang", "phrase", F.lit(1).alias("size"), "f")
+    for k in range(2, longest + 1):
+        blocks = max(1, (coded.agg(F.sum(F.length("seq"))).first()[0] or 0) // BLOCK)
+        found = stored(frequent_pairs(neighbours(coded, blocks), least, parts))
+        pairs = found.where("shard is null").select("id", "lang", "left", "right", "f")
+        begin, end = level.select(F.col("id").alias("left"), "phrase"), level.select(F.col("id").alias("right"), "last")
+        level = stored(pairs.join(begin, "left").join(end, "right").select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f"))
+        done = done.unionByName(level.select("lang", "phrase", F.lit(k).alias("size"), "f"))
+        if k < longest:
+            coded = stored(named(coded, found.where("shard is not null").groupBy("shard").agg(F.collect_list("pairs").alias("found"))))
+    return done, totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, size: int = SHARD) -> DataFrame:
