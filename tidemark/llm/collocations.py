@@ -30,7 +30,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a shard, bytes of text tokenised at once (cut between pieces), rows of a batch that is sent on.
 SHARD, PART, ROWS = 1 << 21, 4 << 20, 1 << 16
 #: Bytes of packed numbers whose pairs make a block, about.
-BLOCK = 16 << 20
+BLOCK = 2 << 20
 #: Parts in which the best of a language are found before they are ranked.
 SALTS = 64
 #: Bits of a word id for the place in a shard's word list (a text of 2**31 bytes has fewer different words), and for a task's shards.
