@@ -199,7 +199,8 @@ def aligned_takes(spark, sf):
     gain = F.when(c("pair") % 3 == 0, -0.8).otherwise(0.8)
     take = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: gain * F.coalesce(at(i), F.lit(0.0)) + 0.05 * F.coalesce(F.get("o", i), F.lit(0.0)))
     cut = lambda df, v: df.select("pair", v.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("pair", c("k").cast("long").alias("chunk_idx"), F.slice("v", c("k") * 16 + 1, F.lit(16)).alias("samples"))
-    fit = alignment.best_fit(alignment.lag_sums(cut(e, c("e")), cut(both, take), "pair", 16, 20), "pair")
+    a, b = cut(e, c("e")), cut(both, take)
+    fit = alignment.residuals(alignment.best_fit(alignment.lag_sums(a, b, "pair", 16, 20), "pair"), a, b, "pair", 16)
     return fit.select(c("pair").alias("vec_id"), c("lag").cast("long").alias("lag"), r(c("gain"), 5).alias("gain"), r(c("residual_db"), 3).alias("residual_db"), "inverted")
 
 
