@@ -43,3 +43,12 @@ def test_query_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_durations_and_sizes_of_odd_prices(spark, tmp_path):
+    prices = [None, 0.0, 59.5, 10485.75, 10485.76, 13107.2, 23592.96, 44564.48, 76021.76, 12058.624, 104857.59, 104857.6, 499999.99]
+    spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = sorted(tuple(x) for x in entry.catalog.QUERIES["filename_durations"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(SQL["filename_durations"]).fetchall()) and got[5][2] == "1.2 MB"

@@ -28,6 +28,15 @@ def test_text(spark):
     assert one(spark, tx.base_name(F.lit("song.mix.wav")), tx.wrap(F.lit("aa bb ccccccc d"), 5), tx.timecode(F.lit(3661.25)), tx.format_bytes(F.lit(1536.0)), tx.quality_tag(F.lit(44100), F.lit(32))) == ("song.mix", "aa bb\nccccccc\nd", "01:01:01.250000000", "2 KB", "44.1k-32float")
 
 
+def test_one_decimal_of_exact_values(spark):
+    rng = np.random.default_rng(5)
+    ties = [k + q for k in range(1, 10) for q in (0.25, 0.75)]
+    near = [float(np.nextafter(k / 20, to)) for k in range(20, 200) for to in (0, 99)] + [k / 20 for k in range(20, 200)]
+    values = [v for v in ties + near + list(rng.uniform(1, 10, 2000)) if 1 <= v < 10]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", tx.format_bytes(F.col("v") * 1048576).alias("size")).collect()
+    assert len(rows) > 2500 and [r.size for r in rows] == ["%.1f MB" % r.v for r in rows]
+
+
 def test_framed_numbers_across_stretches(spark):
     rows = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
     out = frames.framed(rows, "k", ["t"], F.floor(F.col("t") / 70)).collect()
